@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from . import topk, urlfilter
 from .bpe import op4_byte_bpe
+from .chat import op8_chat
+from .fingerprint import op7_fingerprint
+from .langid import op3_language_id
 from .linededup import op10_line_dedup
 from .packing import op1_packing
+from .pii import op2_pii
 from .simhash import op9_simhash
+from .topk import op6_topk
+from .urlfilter import op5_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_byte_bpe, op9_simhash, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_language_id, op4_byte_bpe, op5_url_filter, op6_topk, op7_fingerprint, op8_chat, op9_simhash, op10_line_dedup)}
+ORACLE_SQL = {"op5_url_filter": urlfilter.ORACLE, "op6_topk": topk.ORACLE}
