@@ -129,6 +129,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     runs = runs.withColumn("start", F.greatest("line", F.coalesce("reach", F.lit(0)))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "start", (F.col("line") + F.col("length") - F.col("start")).alias("length"))
     cuts = stage.write(runs.groupBy("_id", "_key").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("removed")))
     stage.drop(lines)
+    cuts = cuts.hint("merge")  # the cuts grow with the corpus, so they are never broadcast
     out = _keyed(docs).join(cuts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left").drop("_id", "_key", "_text_key")
     own = docs.columns
     at = own.index("text")
