@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("trade_date")
-BY_DATE = Window.partitionBy("trade_date")
 EPS = 1e-12
 TRADING_DAYS = 252
 
 
+def by_symbol() -> WindowSpec:
+    """Each name's rows by date."""
+    return Window.partitionBy("symbol").orderBy("trade_date")
+
+
+def by_date() -> WindowSpec:
+    """Each date's rows."""
+    return Window.partitionBy("trade_date")
+
+
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -24,18 +32,19 @@ def rounded(x: Column | str, digits: int = 6) -> Column:
     return F.round(col(x), digits) + F.lit(0.0)
 
 
-def shift(x: Column | str, n: int, by: WindowSpec = BY_SYMBOL) -> Column:
+def shift(x: Column | str, n: int, by: WindowSpec | None = None) -> Column:
+    by = by or by_symbol()
     return F.lag(col(x), n).over(by) if n >= 0 else F.lead(col(x), -n).over(by)
 
 
-def change(x: Column | str, n: int = 1, by: WindowSpec = BY_SYMBOL) -> Column:
+def change(x: Column | str, n: int = 1, by: WindowSpec | None = None) -> Column:
     """Return over n rows."""
     return safe_div(col(x), shift(x, n, by)) - 1
 
 
-def rolling(x: Column | str, n: int, how: str, *, min_rows: int | None = None, by: WindowSpec = BY_SYMBOL, lag: int = 0) -> Column:
+def rolling(x: Column | str, n: int, how: str, *, min_rows: int | None = None, by: WindowSpec | None = None, lag: int = 0) -> Column:
     """An aggregate over the last n rows, `lag` rows back; null with fewer than min_rows (n) values."""
-    x, frame = col(x), by.rowsBetween(-n + 1 - lag, -lag)
+    x, frame = col(x), (by or by_symbol()).rowsBetween(-n + 1 - lag, -lag)
     value = {
         "mean": lambda: F.avg(x), "std": lambda: F.stddev_samp(x), "max": lambda: F.max(x), "min": lambda: F.min(x),
         "sum": lambda: F.sum(x), "median": lambda: F.percentile(x, F.lit(0.5)),
@@ -43,9 +52,9 @@ def rolling(x: Column | str, n: int, how: str, *, min_rows: int | None = None, b
     return F.when(F.count(x).over(frame) >= (n if min_rows is None else min_rows), value.over(frame))
 
 
-def zscore(x: Column | str, by: WindowSpec = BY_DATE) -> Column:
+def zscore(x: Column | str, by: WindowSpec | None = None) -> Column:
     """(x - mean) / (sd + 1e-12) within a group; null where either is."""
-    x = col(x)
+    x, by = col(x), by or by_date()
     return (x - F.avg(x).over(by)) / (F.stddev_samp(x).over(by) + EPS)
 
 

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import BY_SYMBOL, safe_div, shift
+from ..functions.expr import by_symbol, safe_div, shift
 from ..functions.temporal import asof_forward
 
 SERIES = ["EQ", "BE", "BZ"]  # fixed values: tradable series, best first
@@ -117,7 +117,7 @@ def gate(panel: DataFrame, snapped: DataFrame) -> DataFrame:
 def adjust(panel: DataFrame, events: DataFrame) -> DataFrame:
     """The panel with cum_adj_factor, the product of accepted factors strictly after each row, and adjusted prices and volume."""
     kept = gate(panel, snap(panel, events)).where("not rejected").select("symbol", "trade_date", "factor")
-    after = BY_SYMBOL.rowsBetween(1, Window.unboundedFollowing)
+    after = by_symbol().rowsBetween(1, Window.unboundedFollowing)
     joined = panel.join(kept, ["symbol", "trade_date"], "left").withColumn("cum_adj_factor", F.coalesce(F.product(F.coalesce("factor", F.lit(1.0))).over(after), F.lit(1.0)))
     return joined.select(*panel.columns, "cum_adj_factor", *[(F.col(c) * F.col("cum_adj_factor")).alias(f"adj_{c}") for c in ("open", "high", "low", "close")], (F.col("volume") / F.col("cum_adj_factor")).alias("adj_volume"))
 

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import BY_SYMBOL, EPS, rolling, safe_div, zscore
+from ..functions.expr import by_symbol, EPS, rolling, safe_div, zscore
 from ..functions.temporal import asof_backward, asof_forward
+from ..workers import ship
 
 #: Fixed values: (pattern, category, direction, materiality); the first match wins.
 RULES = [
@@ -60,7 +61,7 @@ def car(abnormal: DataFrame, events: DataFrame, windows: list[tuple[int, int]] =
 
     The sum over rows [s, e] after the event is a window sum at the event's own row, so no interval join is needed."""
     def total(s: int, e: int) -> Column:
-        frame = BY_SYMBOL.rowsBetween(s, e)
+        frame = by_symbol().rowsBetween(s, e)
         return F.when(F.count("ar").over(frame) == e - s + 1, F.sum("ar").over(frame))
 
     sums = abnormal.withColumns({f"_{s}_{e}": total(s, e) for s, e in windows})
@@ -78,6 +79,7 @@ def car_table(cars: DataFrame, *, min_events: int = 30) -> DataFrame:
 def car_bootstrap(cars: DataFrame, *, n_boot: int = 2000, seed: int = 11) -> DataFrame:
     """Two-sided bootstrap p-values of the mean by category and window. No group is gathered: each of its 64 parts draws Poisson(1)
     weights for every replicate, and the replicates' sums are added up."""
+    ship(cars.sparkSession)
     means = cars.groupBy("category", "window").agg(F.avg("car").alias("mean"))
     rows = cars.withColumn("part", F.pmod(F.xxhash64("symbol", "knowable_date"), F.lit(64))).join(means, ["category", "window"])
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import BY_DATE, EPS, average_rank, change, rolling, safe_div, shift, zscore
+from ..functions.expr import by_date, EPS, average_rank, change, rolling, safe_div, shift, zscore
 
 
 @dataclass(frozen=True)
@@ -86,5 +86,5 @@ def uniform(universe: DataFrame) -> DataFrame:
 
 def robust_rescale(features: DataFrame, names: list[str]) -> DataFrame:
     """(x - median) / (1.4826 * median absolute deviation + 1e-9) by date."""
-    med = features.select("symbol", "trade_date", *names, *[F.percentile(n, F.lit(0.5)).over(BY_DATE).alias(f"_m_{n}") for n in names])
-    return med.select("symbol", "trade_date", *[((F.col(n) - F.col(f"_m_{n}")) / (1.4826 * F.percentile(F.abs(F.col(n) - F.col(f"_m_{n}")), F.lit(0.5)).over(BY_DATE) + 1e-9)).alias(n) for n in names])
+    med = features.select("symbol", "trade_date", *names, *[F.percentile(n, F.lit(0.5)).over(by_date()).alias(f"_m_{n}") for n in names])
+    return med.select("symbol", "trade_date", *[((F.col(n) - F.col(f"_m_{n}")) / (1.4826 * F.percentile(F.abs(F.col(n) - F.col(f"_m_{n}")), F.lit(0.5)).over(by_date()) + 1e-9)).alias(n) for n in names])
