@@ -52,23 +52,27 @@ def paragraphs(text: str) -> list[str]:
 
 
 def digests(text: str) -> np.ndarray:
-    """A digest for each paragraph; the n-th of equal paragraphs has its own."""
+    """A digest for each paragraph, sorted; the n-th of equal paragraphs has its own. Equal digests count once."""
     seen: dict[str, int] = {}
     out = []
     for p in paragraphs(text):
-        seen[p] = n = seen.get(p, -1) + 1
-        out.append(xxh3_64_intdigest(p, n))
-    return np.array(out, np.uint64)
+        n = seen.get(p, 0)
+        seen[p] = n + 1
+        out.append(xxh3_64_intdigest(p if not n else f"{p}\0{n}"))
+    return np.unique(np.array(out, np.uint64))
 
 
-def _mix(x: np.ndarray, k: int, salt: int) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * _ODD[k] + np.uint64(salt * 0x632BE59B)
-    x = (x ^ (x >> np.uint64(32))) * _ODD[(k + 1) % 4]
-    return x ^ (x >> np.uint64(31))
+def _mix(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x ^ np.uint64(salt * 0x632BE59B)) * _ODD[0]
+    x = (x ^ (x >> np.uint64(32))) * _ODD[1]
+    return x ^ (x >> np.uint64(29))
 
 
 def _cells_of(keys: np.ndarray, third: int, salt: int) -> np.ndarray:
-    return np.concatenate([_mix(keys, k, salt) % np.uint64(third) + np.uint64(k * third) for k in range(3)]).astype(np.int64)
+    """Three cells for each key, one in each third of the table, from three fields of one hash."""
+    h, field, n = _mix(keys, salt + 1), np.uint64((1 << 21) - 1), np.uint64(third)
+    part = [(((h >> np.uint64(21 * k)) & field) * n >> np.uint64(21)).astype(np.int64) + k * third for k in range(3)]
+    return np.concatenate(part)
 
 
 class Sketch:
@@ -79,50 +83,73 @@ class Sketch:
 
     @classmethod
     def of(cls, keys: np.ndarray, cells: int = CELLS, salt: int = 0) -> Sketch:
-        at = _cells_of(keys, cells // 3, salt)
-        counts, sums, checks = np.bincount(at, minlength=cells), np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
-        np.add.at(sums, at, np.tile(keys, 3))
-        np.add.at(checks, at, np.tile(_mix(keys, 3, 0), 3))
+        return cls.between(keys, keys[:0], cells, salt)
+
+    @classmethod
+    def between(cls, a: np.ndarray, b: np.ndarray, cells: int, salt: int) -> Sketch:
+        """The table of a minus the table of b: cells are sums, so both texts' digests are entered at once, b's negated."""
+        keys = np.concatenate([a, b])
+        check = _mix(keys, 0)
+        sign = np.ones(len(keys), np.int64)
+        if len(b):
+            sign[len(a) :] = -1
+            keys, plain = keys.copy(), keys
+            check[len(a) :] = -check[len(a) :]
+            keys[len(a) :] = -keys[len(a) :]
+        else:
+            plain = keys
+        at = _cells_of(plain, cells // 3, salt)
+        counts, sums, checks = np.zeros(cells, np.int64), np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
+        np.add.at(counts, at, np.concatenate([sign, sign, sign]))
+        np.add.at(sums, at, np.concatenate([keys, keys, keys]))
+        np.add.at(checks, at, np.concatenate([check, check, check]))
         return cls(counts, sums, checks, salt)
 
     def __sub__(self, other: Sketch) -> Sketch:
         return Sketch(self.counts - other.counts, self.sums - other.sums, self.checks - other.checks, self.salt)
 
+    def guess(self) -> int:
+        """How many digests a difference seems to hold, from the spread of its counts within each third."""
+        third = len(self.counts) // 3
+        spread = self.counts - self.counts.reshape(3, third).mean(1).repeat(third)
+        return max(abs(int(self.counts[:third].sum())), int((spread**2).sum() / (3 - 3 / third)))
+
     def peel(self) -> int | None:
         """How many digests the difference holds; None if the table is too small for it."""
         counts, sums, checks, found, third = self.counts.copy(), self.sums.copy(), self.checks.copy(), 0, len(self.counts) // 3
         while True:
-            at = np.flatnonzero(np.abs(counts) == 1)
-            minus = counts[at] < 0
-            keys = np.where(minus, -sums[at], sums[at])
-            pure = _mix(keys, 3, 0) == np.where(minus, -checks[at], checks[at])
+            at = np.flatnonzero((counts == 1) | (counts == -1))
+            sign = counts[at].astype(np.uint64)
+            keys = sums[at] * sign
+            check = _mix(keys, 0)
+            pure = check == checks[at] * sign
             if not pure.any():
                 break
             keys, first = np.unique(keys[pure], return_index=True)
-            minus = minus[pure][first]
+            sign, check = sign[pure][first], check[pure][first]
             cells = _cells_of(keys, third, self.salt)
-            np.subtract.at(counts, cells, np.tile(np.where(minus, -1, 1), 3))
-            np.subtract.at(sums, cells, np.tile(np.where(minus, -keys, keys), 3))
-            check = _mix(keys, 3, 0)
-            np.subtract.at(checks, cells, np.tile(np.where(minus, -check, check), 3))
+            signed, checked = keys * sign, check * sign
+            np.subtract.at(counts, cells, np.concatenate([sign, sign, sign]).view(np.int64))
+            np.subtract.at(sums, cells, np.concatenate([signed, signed, signed]))
+            np.subtract.at(checks, cells, np.concatenate([checked, checked, checked]))
             found += len(keys)
         return None if counts.any() or sums.any() or checks.any() else found
 
     def text(self) -> str:
         packed = b"".join(x.astype(kind).tobytes() for x, kind in ((self.counts, "<u4"), (self.sums, "<u8"), (self.checks, "<u8")))
-        return base64.b85encode(packed).decode()
+        return base64.b64encode(packed).decode()
 
 
 def difference(a: np.ndarray, b: np.ndarray, base_a: Sketch, base_b: Sketch) -> int:
     """How many paragraph digests are in one text only, by subtracting and peeling, larger on failure."""
     diff = base_a - base_b
-    if (n := diff.peel()) is not None:
+    guess = diff.guess()
+    if guess <= CELLS and (n := diff.peel()) is not None:
         return n
-    guess, salt = int((diff.counts.astype(float) ** 2).sum() / 3), 0
-    cells = 3 * max(CELLS // 3 * 2, guess * 2 // 3)
+    cells, salt = 3 * max(CELLS // 3 * 2, min(guess, len(a) + len(b)) * 2 // 3), 0
     while True:
         salt += 1
-        if (n := (Sketch.of(a, cells, salt) - Sketch.of(b, cells, salt)).peel()) is not None:
+        if (n := Sketch.between(a, b, cells, salt).peel()) is not None:
             return n
         cells = 3 * min(2 * cells // 3, 2 * (len(a) + len(b)) + CELLS)
 
