@@ -4,7 +4,7 @@ Vectors are dealt into candidate blocks and queries into query blocks; each pair
 block have a fixed size, so no task's memory grows with the input. A block sorts each component once; a query reads those lists from
 the end that its sign prefers. What it has read gives each row a lower bound (unread components at their list's worst) and an
 upper bound (unread ones at the list's frontier). It stops at the depth where a row not yet met could not reach the threshold,
-the k-th best lower bound so far or in the seed block; rows whose upper bound reaches it are then resolved to final scores. Equal
+the k-th best lower bound so far or the k-th best score of a small seed block; rows whose upper bound reaches it are then resolved to final scores. Equal
 scores go to the smaller vec_id.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; a shorter vector counts as
@@ -25,46 +25,43 @@ from .common import Stage, small_batches, table
 ROWS = 4096
 QUERIES = 512
 FIRST_READ = 64
+SEED = 512
 
 
 class Lists:
-    """One block's sorted component lists."""
+    """One block's sorted component lists, each from its largest and from its smallest value."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
-        self.up = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(self.vectors.T, self.up, 1)
+        up = np.argsort(self.vectors, axis=0, kind="stable").T
+        self.rows = {False: np.ascontiguousarray(up), True: np.ascontiguousarray(up[:, ::-1])}
+        self.values = {k: np.ascontiguousarray(np.take_along_axis(self.vectors.T, r, 1)) for k, r in self.rows.items()}
 
     def top(self, query: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the block's rows that may be among the k best, best first; rows under `floor` may be missing."""
-        n, dims = self.vectors.shape
-        used = np.flatnonzero(query)
-        weight, falls = query[used], query[used] > 0
-        if not len(used):
-            keep = self.ids[self.ids != own][:k]
-            return keep, np.zeros(len(keep))
-        rows = np.where(falls[:, None], self.up[used][:, ::-1], self.up[used])
-        parts = np.where(falls[:, None], self.values[used][:, ::-1], self.values[used]) * weight[:, None]
-        frontier, worst = parts.sum(0), parts[:, -1]
-        read, depth, total, met = 0, FIRST_READ, np.zeros(n), np.zeros((n, len(used)))
+        n, falls, rises = len(self.ids), np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        sides = [(True, falls), (False, rises)]
+        frontier = sum(query[d] @ self.values[side][d] for side, d in sides)
+        weight = np.concatenate([query[falls], query[rises]])
+        worst = np.concatenate([self.values[side][d, -1] for side, d in sides]) * weight
         is_own = self.ids == own
+        depth, told = FIRST_READ, floor > -np.inf
         while True:
-            reach = int(np.searchsorted(-frontier, -floor, "right")) + 1 if floor > -np.inf else depth
-            depth = min(n, max(reach, depth if floor == -np.inf else 1))
-            chunk = rows[:, read:depth]
-            total += np.bincount(chunk.ravel(), parts[:, read:depth].ravel(), n)
-            met[chunk.ravel(), np.repeat(np.arange(len(used)), depth - read)] = 1.0
-            read = depth
-            edge = parts[:, read - 1]
-            lower = total + worst.sum() - met @ worst
-            upper = total + edge.sum() - met @ edge
-            lower[is_own], upper[is_own] = -np.inf, -np.inf
-            if n - is_own.sum() > k:
+            # a threshold told beforehand fixes the depth where no row that is not met can reach it
+            depth = min(n, int(np.searchsorted(-frontier, -floor, "right")) + 1 if told else depth)
+            rows = np.concatenate([self.rows[side][d, :depth] for side, d in sides]).ravel()
+            parts = np.concatenate([self.values[side][d, :depth] for side, d in sides]) * weight[:, None]
+            edge = parts[:, -1]
+            # what is read replaces the frontier (the worst value) in the upper (lower) bound
+            upper = edge.sum() + np.bincount(rows, (parts - edge[:, None]).ravel(), n)
+            if not told and n - is_own.sum() > k:
+                lower = worst.sum() + np.bincount(rows, (parts - worst[:, None]).ravel(), n)
+                lower[is_own] = -np.inf
                 floor = max(floor, np.partition(lower, -k)[-k])
-            if read == n or edge.sum() < floor:
+            if told or depth == n or edge.sum() < floor:
                 break
-            depth = read * 2
+            depth *= 2
         at = np.flatnonzero((upper >= floor) & ~is_own)
         scores = self.vectors[at] @ query
         best = np.lexsort((self.ids[at], -scores))[:k]
@@ -123,12 +120,13 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256,
     asked = packed.where(F.col("vec_id") % every == 0).distinct().select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("qb"), F.lit(True).alias("is_query"), "vec_id", "v")
     all_q, all_c = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     columns = ["cb", "qb", "is_query", "vec_id", "v", "floor"]
-    seed_rows = rows.where("cb = 0").withColumn("qb", all_q).select(columns)
+    few = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks * (ROWS // SEED or 1))) == 0
+    seed_rows = rows.where(few).withColumn("cb", F.lit(0)).withColumn("qb", all_q).select(columns)
     seed = stage.write(_search(seed_rows.unionByName(asked.select(F.lit(0).alias("cb"), "qb", "is_query", "vec_id", "v", F.lit(float("-inf")).alias("floor"))), k))
     floors = seed.groupBy("query_id").agg(F.when(F.count("score") >= k, F.min("score").cast("double")).alias("seeded"))
     told = asked.join(floors, asked["vec_id"] == floors["query_id"], "left").select("qb", "is_query", "vec_id", "v", F.coalesce("seeded", F.lit(float("-inf"))).alias("floor"))
-    rest = rows.where("cb > 0").withColumn("qb", all_q).select(columns).unionByName(told.withColumn("cb", all_c).where("cb > 0").select(columns))
-    found = _search(rest, k).unionByName(seed)
+    every_pair = rows.withColumn("qb", all_q).select(columns).unionByName(told.withColumn("cb", all_c).select(columns))
+    found = _search(every_pair, k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     none = F.lit(-(2**62))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.when(F.col("vec_id") != none, F.col("vec_id")).alias("vec_id"), "score")
