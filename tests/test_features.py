@@ -86,3 +86,14 @@ def test_asof_both_ways(spark):
 def test_sandbox_refuses(spark, source):
     with pytest.raises(dsl.SandboxError):
         dsl.compile_expression(source)
+
+
+@pytest.mark.parametrize("values", [[3.0, 1.0, None, 2.0, 2.0, -5.0], [7.0, 7.0], [None], []])
+def test_global_rank(spark, values):
+    from tidemark.functions.ranking import global_rank
+
+    df = spark.createDataFrame(list(enumerate(values)), "symbol int, x double")
+    got = {r.symbol: r["rank"] for r in global_rank(df, "x", "symbol").collect()}
+    order = sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] or 0.0, i))
+    nulls = [i for i in order if values[i] is None]
+    assert [got[i] for i in [i for i in order if values[i] is not None] + nulls] == list(range(1, len(values) + 1))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import by_symbol, EPS, rolling, safe_div, zscore
+from ..functions.ranking import global_rank
 from ..functions.temporal import asof_backward, asof_forward
 from ..workers import ship
 
@@ -100,9 +101,9 @@ def car_bootstrap(cars: DataFrame, *, n_boot: int = 2000, seed: int = 11) -> Dat
 
 def quintiles(day0: DataFrame, value: str = "ar") -> DataFrame:
     """quintile 0..4 = floor(rank * 5 / (n + 1)) of the day-0 abnormal return; ties go by symbol and day."""
-    w = Window.partitionBy(F.lit(1))
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(value, "symbol", "knowable_date"))
-    return day0.withColumn("quintile", F.floor(rank * 5 / (F.count(F.lit(1)).over(w) + 1)).cast("int"))
+    n = day0.agg(F.count(F.lit(1)).alias("_all"))
+    ranked = global_rank(day0, value, "symbol", "knowable_date").join(F.broadcast(n))  # one row
+    return ranked.withColumn("quintile", F.floor(F.col("rank") * 5 / (F.col("_all") + 1)).cast("int")).drop("rank", "_all")
 
 
 def event_features(grid: DataFrame, events: DataFrame, meetings: DataFrame, abnormal: DataFrame) -> DataFrame:
