@@ -7,8 +7,8 @@ differing digests. A table too small for the difference does not empty: both are
 suggest, and then twice that, until it does. Likeness is the share of common paragraphs among all (Jaccard, with repeats).
 
 Neighbours: rows are dealt by ranges of doc_id and sorted, so a task meets a document and the next one together and each
-text is shuffled once. The last row of a range and the first of the following one are written out and paired afterwards,
-two rows for each task.
+text is shuffled once. Every range is also given a copy of the first row of the following one, which its last row is compared with.
+Document ids are numbers.
 
 Defined results: null text counts as empty; two empty texts have likeness 1; equal ids are ordered by text; null ids come
 last; a single row is its own next document; an empty table gives an empty result; other columns are ignored.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import Stage, small_batches, table
+from .common import small_batches, table
 
 CELLS = 24
 LONG_SENTENCE = 600
@@ -180,55 +180,50 @@ _OUT = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint",
 _DDL = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _dealt(docs: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, text, part, ahead): parts are ranges of descending doc_id; rows with ahead = 1 are the first row of the following part.
+
+    At most `parts` bounds go to the driver, and a row finds its part among them by binary search. The bounds are plain numbers in the plan, so a
+    task that runs again deals its rows as before."""
+    shares = [i / parts for i in range(1, parts)]
+    bounds = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * parts)).alias("b")).first()["b"] if shares else None
+    bounds = sorted(set(bounds or ()), reverse=True)
+    part = F.lit(0)
+    if bounds:
+        held = F.array(*[F.lit(b) for b in bounds])
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+        part = F.aggregate(steps, F.lit(0), lambda at, k: F.when(F.get(held, at + k - 1) > F.col("doc_id"), at + k).otherwise(at))
+    own = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(part).alias("part"))
+    last = Window.orderBy("part")  # one short row for each part
+    firsts = own.groupBy("part").agg(F.max("doc_id").alias("first_id"))
+    order = firsts.select("part", "first_id", F.coalesce(F.lag("part").over(last), F.max("part").over(last.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    heads = own.join(F.broadcast(order), (own["part"] == order["part"]) & own["doc_id"].eqNullSafe(order["first_id"])).groupBy("before", "doc_id").agg(F.max("text").alias("text"))
+    rows = own.withColumn("ahead", F.lit(0)).unionByName(heads.select("doc_id", "text", F.col("before").alias("part"), F.lit(1).alias("ahead")))
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("ahead", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, its edited text's, and the likeness to that and to the next document by descending id."""
     spark = docs.sparkSession
     small_batches(spark, 500)
-    stage = Stage(spark, "fingerprint")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", "text")
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part, before = TaskContext.get().partitionId(), None
-        id_type = None
-
-        def rows(found):
-            columns = list(zip(*found, strict=True))
-            kinds = [("role", pa.string()), ("part", pa.int64()), ("doc_id", id_type), ("text", pa.string()), *_OUT]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
-
+        before = None
         for b in batches:
-            found, id_type = [], b.schema.field(0).type
+            found = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 now = Print(text or "")
-                if before is None:
-                    found.append(("head", part, doc, now.value, *[None] * 6))
-                else:
-                    found.append(("done", part, before[0], None, *compare(before[1], now)))
+                if before is not None:
+                    found.append((before[0], *compare(before[1], now)))
                 before = doc, now
             if found:
-                yield rows(found)
-        if before is not None:
-            yield rows([("open", part, before[0], before[1].value, *[None] * 6)])
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", "text").repartitionByRange(parts, F.desc_nulls_last("doc_id")).sortWithinPartitions(F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
-    made = stage.write(dealt.mapInArrow(run, f"role string, part long, doc_id {kind}, text string, {_DDL}"))
-    heads = made.where("role = 'head'").select("part", F.col("text").alias("next_text"))
-    by_part = Window.orderBy("part")  # one short row for each task
-    order = heads.select("part").withColumn("next_part", F.lead("part").over(by_part)).withColumn("first", F.min("part").over(by_part))
-    order = order.select("part", F.coalesce("next_part", "first").alias("next_part"))
-    ends = made.where("role = 'open'").select("part", "doc_id", "text").join(order, "part").join(heads.withColumnRenamed("part", "next_part"), "next_part")
-
-    def close(batches):
-        for b in batches:
-            found = [compare(Print(t), Print(n)) for t, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            if found:
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True), _OUT, strict=True))], ["doc_id", *(n for n, _ in _OUT)])
+                columns = list(zip(*found, strict=True))
+                kinds = [("doc_id", b.schema.field(0).type), *_OUT]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 
-    closed = ends.select("doc_id", "text", "next_text").mapInArrow(close, f"doc_id {kind}, {_DDL}")
-    return made.where("role = 'done'").select(closed.columns).unionByName(closed)
+    dealt = _dealt(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_DDL}")
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
