@@ -3,7 +3,7 @@
 Texts are lower-cased, runs of other characters than letters become one separator, and n-grams of 1 to 3 characters are hashed
 into 2^BITS features with weight (1 + ln count) * idf, scaled to unit length. Document frequencies are counted over all
 learnable documents. The weights are learned by follow-the-regularised-leader (proximal, per coordinate) with elastic-net
-penalties, in one task over a sample of at most MAX_FIT learnable documents; every fifth of them only fits the temperature that
+penalties, in one task over a sample of at most MAX_FIT different learnable documents; every fifth of them only fits the temperature that
 calibrates the scores. The model's size is bounded by features and languages; it is broadcast.
 
 Learnable: non-null text with a letter and non-null language in documents that the caller selects. Only the text is ever an input of a
@@ -146,7 +146,7 @@ def train(docs: DataFrame, learnable: Column, *, text: str = "text", lang: str =
             rows = [r for r in rows if len(r[0])]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.string())], ["at", "n", "lang"])
 
-    picked = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(share * 1_000_000)).limit(max_fit)
+    picked = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(share * 1_000_000)).dropDuplicates(["text", "lang"]).limit(max_fit)  # a group of copies counts once
     sample = stage.write(picked.mapInArrow(featurize, "at array<long>, n array<long>, lang string"))
     languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
     if not languages:
