@@ -1,3 +1,4 @@
+import numpy as np
 import public_tokenizers as vocabularies
 from pyspark.sql import functions as F
 
@@ -45,3 +46,24 @@ def test_pipeline_of_nothing(spark, tmp_path):
 
 def test_vocabulary_is_a_parameter():
     assert vocabularies.path("byte_bpe_50k.tiktoken").endswith(".tiktoken")
+
+
+def test_near_copies_over_four_bits_apart_go_and_pairs_below_the_similarity_stay(spark, docs):
+    """Copies of similarity 0.8 to 0.95 go however far their SimHashes are; copies below 0.8 stay however near."""
+    rng = np.random.default_rng(5)
+    rows, below, far = [], set(), 0
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, 200)]
+        other = list(words)
+        for at in rng.choice(200, int(rng.integers(1, 9)), replace=False):
+            other[at] = f"new{at}"
+        a, b = (" ".join(w) for w in (words, other))
+        x, y = ({" ".join(w[i : i + p.WORDS]) for i in range(200 - p.WORDS + 1)} for w in (words, other))
+        if 5 * len(x & y) >= 4 * len(x | y):
+            far += (slow_fingerprint(a, p.WORDS) ^ slow_fingerprint(b, p.WORDS)).bit_count() > 4
+        else:
+            below.add(2 * k + 1)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    kept = {r.doc_id for r in p.near_duplicates(spark, docs(*rows), "").collect()}
+    assert far and below
+    assert kept == {2 * k for k in range(40)} | below
