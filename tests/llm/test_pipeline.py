@@ -67,3 +67,16 @@ def test_near_copies_over_four_bits_apart_go_and_pairs_below_the_similarity_stay
     kept = {r.doc_id for r in p.near_duplicates(spark, docs(*rows), "").collect()}
     assert far and below
     assert kept == {2 * k for k in range(40)} | below
+
+
+def test_ids_that_are_null_or_shared_lose_no_clean_document(spark, docs):
+    """One row of each group stays, whatever the ids are, and always the same one."""
+    a = [f"a{i}" for i in range(60)]
+    near, b = " ".join([*a[:59], "z"]), " ".join(f"b{i}" for i in range(60))
+    a = " ".join(a)
+    others = [(None, f"first clean text {' '.join(f'n{i}' for i in range(20))}"), (None, f"second clean text {' '.join(f'm{i}' for i in range(20))}"), (None, None)]
+    rows = [(3, near), (5, a), (5, b), (7, b), (5, b), (None, a), *others]
+    for some in (rows, rows[::-1]):
+        kept = p.near_duplicates(spark, docs(*some), "")
+        assert kept.columns == p.COLUMNS
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, near), (5, b), *others], key=str)
