@@ -3,7 +3,8 @@
 Texts are cut at candidate values; each candidate that validates is replaced and all others stay as they are:
 
 - card numbers (13 to 19 digits, single spaces or dashes allowed, Luhn checksum holds): all digits but the last are permuted and
-  the check digit is made anew, so the result validates too;
+  the check digit is made anew, so the result validates too; in a run of digit groups, which may hold other numbers beside a card,
+  the longest valid number from each group on counts, from left to right, after the other formats' values are cut out;
 - phone numbers (+country code, then 10 digits) and 3-2-4 digit identity numbers: the digits are permuted, the country code stays;
 - IPv4 addresses (four octets of 0 to 255): the 32 bits are permuted;
 - dates (YYYY-MM-DD, DD/MM/YYYY, DD.MM.YYYY of the years 1800 to 2199 that exist): the day's number among the 146,097 = 189 x 773
@@ -36,8 +37,9 @@ _DATE = r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./])\d{2}([/.])\d{2}\1\d{
 _IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 _PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
 _IDENTITY = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-_CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
-CANDIDATE = "|".join([_MAIL, _SECRET, _DATE, _IP, _PHONE, _IDENTITY, _CARD])
+_RUN = r"(?<![\d.])\d[\d -]{11,}\d"
+CANDIDATE = "|".join([_MAIL, _SECRET, _DATE, _IP, _PHONE, _IDENTITY])
+_MAYBE = r"[0-9]|@|=|:|AKIA"  # every candidate and run has one of these
 
 
 def _word(key: Column, *parts) -> Column:
@@ -99,6 +101,40 @@ def _card(x: Column, key: Column) -> Column:
     return _let(F.regexp_replace(x, "[^0-9]", ""), of)
 
 
+def _cards(t: Column, key: Column) -> Column:
+    """struct(out, n): the text with the card numbers in its runs of digit groups replaced, and their count."""
+
+    def run(x: Column) -> Column:
+        def of(groups: Column) -> Column:
+            n = F.size(groups)
+            number = lambda i, j: F.regexp_replace(F.array_join(F.slice(groups, i, j - i + 1), ""), "[ -]+$", "")
+
+            def valid(w: Column) -> Column:
+                return _let(F.regexp_replace(w, "[^0-9]", ""), lambda d: F.when(F.length(d).between(13, 19) & ~w.rlike("[ -]{2}"), luhn_sum(d) % 10 == 0).otherwise(False))
+
+            def step(s: Column, i: Column) -> Column:
+                group = F.element_at(groups, i)
+                same = F.struct(F.concat(s["out"], group).alias("out"), s["next"].alias("next"), s["n"].alias("n"))
+
+                def to(j: Column) -> Column:
+                    old, gap = number(i, j), F.regexp_extract(F.element_at(groups, j), "[ -]*$", 0)
+                    new = _let(_card(old, key), lambda c: F.struct(F.concat(s["out"], c, gap).alias("out"), (j + 1).alias("next"), (s["n"] + (c != old).cast("int")).alias("n")))
+                    return F.when(j.isNull(), same).otherwise(new)
+
+                last = F.array_max(F.filter(F.sequence(i, F.least(i + 18, n)), lambda j: valid(number(i, j))))
+                return F.when(i < s["next"], s).otherwise(_let(last, to))
+
+            start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"), F.lit(0).alias("n"))
+            return F.aggregate(F.sequence(F.lit(1), n), start, step)
+
+        return _let(F.regexp_extract_all(x, F.lit("[0-9]+[ -]*"), F.lit(0)), of)
+
+    runs = F.transform(F.regexp_extract_all(t, F.lit(_RUN), F.lit(0)), run)
+    pieces = F.split(t, _RUN, -1)
+    said = lambda new: F.struct(F.array_join(F.flatten(F.zip_with(pieces, new, lambda p, r: F.array(p, F.coalesce(r["out"], F.lit(""))))), "").alias("out"), F.aggregate(new, F.lit(0), lambda a, r: a + r["n"]).alias("n"))
+    return F.when(t.rlike(_RUN), _let(runs, said)).otherwise(F.struct(t.alias("out"), F.lit(0).alias("n")))
+
+
 def _phone(x: Column, key: Column) -> Column:
     code = F.regexp_extract(x, r"^(\+\d{1,3}?)[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}$", 1)
     rest = F.substring(x, F.length(code) + 1, F.length(x))
@@ -150,7 +186,7 @@ def pseudonym(x: Column, key: Column) -> Column:
     whole = lambda p: x.rlike(f"^(?:{p})$")
     new = (
         F.when(whole(_MAIL), _mail(x, key)).when(whole(_SECRET), _secret(x, key)).when(whole(_DATE), _date(x, key))
-        .when(whole(_IP), _ip(x, key)).when(whole(_PHONE), _phone(x, key)).when(whole(_IDENTITY), _identity(x, key)).otherwise(_card(x, key))
+        .when(whole(_IP), _ip(x, key)).when(whole(_PHONE), _phone(x, key)).when(whole(_IDENTITY), _identity(x, key))
     )
     return F.coalesce(new, x)
 
@@ -158,13 +194,15 @@ def pseudonym(x: Column, key: Column) -> Column:
 def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = KEY) -> DataFrame:
     """The documents with values replaced in `text`, and n_replaced."""
     k, t = F.lit(key), F.col(text)
-    found = docs.withColumn("_hits", F.when(t.rlike(r"[0-9]{2}|@|=|:"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    maybe = t.rlike(_MAYBE)
+    found = docs.withColumn("_hits", F.when(maybe, F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
     named = found.withColumn("_new", F.transform("_hits", lambda x: pseudonym(x, k)))
-    parts = F.split(t, CANDIDATE, -1)
-    joined = F.array_join(F.flatten(F.zip_with(parts, F.col("_new"), lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))), "")
-    changed = F.size(F.filter(F.zip_with("_hits", "_new", lambda a, b: a != b), lambda c: c))
-    out = F.when(F.size("_hits") > 0, joined).otherwise(t)
-    return named.select(*[out.alias(c) if c == text else F.col(c) for c in docs.columns], F.coalesce(changed, F.lit(0)).cast("long").alias("n_replaced"))
+    parts = F.when(F.size("_hits") > 0, F.split(t, CANDIDATE, -1)).otherwise(F.array(t))
+    cut = named.withColumn("_parts", F.when(maybe, F.transform(parts, lambda p: _cards(p, k))))
+    joined = F.array_join(F.flatten(F.zip_with("_parts", "_new", lambda p, n: F.array(p["out"], F.coalesce(n, F.lit(""))))), "")
+    changed = F.size(F.filter(F.zip_with("_hits", "_new", lambda a, b: a != b), lambda c: c)) + F.aggregate("_parts", F.lit(0), lambda n, p: n + p["n"])
+    out = F.when(maybe, joined).otherwise(t)
+    return cut.select(*[out.alias(c) if c == text else F.col(c) for c in docs.columns], F.coalesce(changed, F.lit(0)).cast("long").alias("n_replaced"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
