@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
 from ..functions.temporal import next_session_of
+from ..session import shared_dir
 from ..sources import views
 from ..streaming import jobs
 from .events import event_calendar
@@ -16,7 +17,7 @@ from .registry import query
 
 def _drained(spark, sf_dir, build, mode):
     schema = views.read(spark, sf_dir, "events").schema
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/tidemark-stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}"
     jobs.drain(build(jobs.source(spark, f"{sf_dir}/events.parquet", schema)), f"{root}/out", f"{root}/state", mode=mode)
     out = spark.read.parquet(f"{root}/out")
     if mode == "complete":  # the last batch holds the whole table

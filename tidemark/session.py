@@ -1,7 +1,9 @@
-"""The SparkSession that tests and benchmarks use."""
+"""The SparkSession that tests and benchmarks use, and the folder for intermediate tables."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +19,12 @@ def session(cores: int | str = "*", **conf: str) -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's spark.checkpoint.dir. Where it is unset: a temporary folder of a local session, else the warehouse."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at
+    if spark.sparkContext.master.startswith("local"):
+        return f"{tempfile.gettempdir()}/checkpoints"
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
