@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from ..workers import ship
 
 
@@ -21,11 +22,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's spark.checkpoint.dir, or a local one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-
 class Stage:
     """Written tables in the shared folder that cut lineage, so that a lost executor costs a reread and no recomputation."""
 
@@ -48,11 +44,38 @@ class Stage:
             path.getFileSystem(conf).delete(path, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before those that are columns of df (in any case) already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
-def null_safe(left: DataFrame, right: DataFrame, *keys: str):
-    """A join condition that also matches null keys."""
-    out = F.lit(True)
-    for k in keys:
-        out = out & left[k].eqNullSafe(right[k])
-    return out
+def without(df: DataFrame, *outputs: str) -> DataFrame:
+    """df without the columns that have an output's name: an operator's own outputs take their place."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in {o.lower() for o in outputs}])
+
+
+HOT_SHARE = 64
+HOT_LEAST = 256
+
+
+def hot_keys(counted: DataFrame, key: str, rows: int) -> list:
+    """The keys that hold more than a HOT_SHARE-th of `rows` rows: fewer than HOT_SHARE, so they may go to the driver. counted: (key, n)."""
+    return [r[0] for r in counted.where(F.col("n") > max(HOT_LEAST, rows // HOT_SHARE)).select(key).collect()]
+
+
+def split_join(rows: DataFrame, facts: DataFrame, key: str, hot: list, spread: Column | str, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which has few rows of each key, on key ("inner" or "left"). The rows of a hot key are dealt over
+    HOT_SHARE tasks by `spread`, and only that key's facts are repeated for them."""
+    if not hot:
+        return rows.join(facts, key, how)
+    is_hot = F.col(key).isin(hot)
+    salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(HOT_SHARE))).otherwise(F.lit(0).cast("long")))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(HOT_SHARE - 1).cast("long"))
+    repeated = facts.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0).cast("long")))))
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
