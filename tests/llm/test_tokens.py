@@ -13,7 +13,7 @@ from tidemark.llm.packing import combinations, plan
 from .conftest import ODD_TEXTS
 
 MULTI = vocabularies.path("byte_bpe_multi_50k.tiktoken")
-RANKS = (vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
+VOCABULARY = packing.public_vocabulary()
 ALPHABET = ["a", "b", "the", " ", "\n", "\t", "\x1c", "\x85", " ", "'s", "'", "é", "1", "²", "!", "\U0001f600", "字", "\r", "​", "<|endoftext|>"]
 
 
@@ -46,18 +46,25 @@ def test_encode_documents(spark, docs):
     assert bpe.digest_documents(docs(), MULTI, vocabularies.PATTERN).count() == 0
 
 
-def test_rank_file_gives_the_tokenizer_files_ids():
+def test_ids_are_the_tokenizer_files():
+    """By the tokenizer as it comes: strings of added tokens in texts are one id."""
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(vocabularies.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
-    own = packing.Tokens(*RANKS)
+    whole, own = Tokenizer.from_file(VOCABULARY.tokenizer), packing.Tokens(VOCABULARY)
+    assert np.frombuffer(own.encode("a <|endoftext|> b"), "<u4").tolist().count(50256) == 1
     for t in [*mixtures(3000), *[x or "" for x in ODD_TEXTS if len(x or "") < 5000]]:
         assert np.frombuffer(own.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_that_take_in_neighbours_are_refused(tmp_path):
+    path = tmp_path / "t.json"
+    path.write_text('{"added_tokens": [{"id": 1, "content": "<x>", "single_word": false, "lstrip": true, "rstrip": false, "normalized": false}]}')
+    with pytest.raises(ValueError, match="<x>"):
+        packing.Vocabulary(str(path), "", "").added()
+
+
 def check_packing(rows, texts, window):
-    own = packing.Tokens(*RANKS)
+    own = packing.Tokens(VOCABULARY)
     ids = {d: own.encode(t) + b"\x01\0\0\0" for d, t in texts.items()}
     by_doc, by_seq = {}, {}
     for r in rows:
@@ -87,18 +94,18 @@ def check_packing(rows, texts, window):
 def test_packing_covers_every_id_once(spark, docs, window):
     rnd = random.Random(window)
     texts = dict(enumerate([*ODD_TEXTS, *(" ".join(rnd.choice(["alpha", "beta", "gamma"]) for _ in range(rnd.randint(1, 90))) for _ in range(150))]))
-    rows = packing.pack_documents(docs(*texts.values()).repartition(3), RANKS, window=window).collect()
+    rows = packing.pack_documents(docs(*texts.values()).repartition(3), VOCABULARY, window=window).collect()
     check_packing(rows, texts, window)
 
 
 def test_packing_of_one_length_and_of_nothing(spark, docs):
     texts = {i: "alpha beta gamma delta" for i in range(40)}
-    check_packing(packing.pack_documents(docs(*texts.values()), RANKS, window=16).collect(), texts, 16)
-    assert packing.pack_documents(docs(), RANKS, window=16).count() == 0
+    check_packing(packing.pack_documents(docs(*texts.values()), VOCABULARY, window=16).collect(), texts, 16)
+    assert packing.pack_documents(docs(), VOCABULARY, window=16).count() == 0
 
 
 def test_packing_keeps_repeated_rows_and_null_ids(spark, docs):
-    rows = packing.pack_documents(docs((1, "a b c"), (1, "a b c"), (None, "d e")), RANKS, window=2).collect()
+    rows = packing.pack_documents(docs((1, "a b c"), (1, "a b c"), (None, "d e")), VOCABULARY, window=2).collect()
     assert sorted(str((r.doc_id, r.start)) for r in rows) == sorted(str(x) for x in [(1, 0), (1, 2), (1, 0), (1, 2), (None, 0), (None, 2)])
 
 
@@ -112,3 +119,69 @@ def test_plan_never_places_more_than_there_is():
     h[0] = 0
     rows, taken, base, first = plan(h, 64)
     assert (taken <= h).all() and taken.sum() > 0.5 * h.sum()
+
+
+def exact_nnls(a, h):
+    """Non-negative least squares by active sets (Lawson and Hanson)."""
+    n = a.shape[1]
+    x, free = np.zeros(n), np.zeros(n, bool)
+    while True:
+        g = a.T @ (h - a @ x)
+        g[free] = -np.inf
+        if free.all() or g.max() <= 1e-9 * max(1.0, np.abs(h).max()):
+            return x
+        free[g.argmax()] = True
+        while True:
+            z = np.zeros(n)
+            z[free] = np.linalg.lstsq(a[:, free], h, rcond=None)[0]
+            if z[free].min() > -1e-12:
+                x = np.maximum(z, 0)
+                break
+            bad = free & (z <= 0)
+            x += np.min(x[bad] / (x[bad] - z[bad] + 1e-300)) * (z - x)
+            free &= x > 1e-12
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repeat_counts_are_near_the_least_squares_solution(seed):
+    rng = np.random.default_rng(seed)
+    window = 24
+    h = np.zeros(window + 1)
+    h[rng.choice(np.arange(1, window + 1), 9, replace=False)] = rng.integers(1, 60, 9)
+    lengths, times = combinations(np.flatnonzero(h), window)
+    if not len(lengths):
+        return
+    a = np.zeros((window + 1, len(lengths)))
+    for k, (some, m) in enumerate(zip(lengths, times, strict=True)):
+        for length, count in zip(some, m, strict=True):
+            a[length, k] += count
+    x = packing.repeats(lengths, times, h)
+    best = a @ exact_nnls(a, h) - h
+    assert (x >= 0).all()
+    assert np.linalg.norm(a @ x - h) <= np.linalg.norm(best) + 0.02 * np.linalg.norm(h)
+
+
+def test_greedy_fills_windows_with_residuals():
+    left = np.zeros(65, np.int64)
+    left[[30, 17, 9, 8]] = 1
+    assert sorted(packing.greedy(left, 64)) == [8, 9, 17, 30]
+    left[8] = 0
+    assert packing.greedy(left, 64) is None and packing.greedy(left * 0, 64) is None
+    rng = np.random.default_rng(1)
+    few = rng.integers(0, 40, 257)
+    few[0] = 0
+    unplaced = [int((h - plan(h, 256)[1]).sum()) for h in (few, few * 1000)]
+    assert unplaced[1] < 20 * max(unplaced[0], 10)  # what is cut does not grow with the documents
+
+
+def test_many_and_few_cuts_give_the_same(spark, docs, monkeypatch):
+    texts = {i: "alpha beta gamma delta " * (i % 7 + 1) for i in range(60)}
+    few = packing.pack_documents(docs(*texts.values()), VOCABULARY, window=16).collect()
+    monkeypatch.setattr(packing, "FEW_CUTS", 0)
+    assert sorted(few) == sorted(packing.pack_documents(docs(*texts.values()), VOCABULARY, window=16).collect())
+
+
+def test_long_matches_are_not_kept():
+    own = bpe.Encoder(MULTI, vocabularies.PATTERN)
+    own.encode("x" * 5000 + " " + "y" * 5000 + " short")
+    assert max(map(len, own.seen)) <= bpe.CACHE_CHARS and max(map(len, own.words)) <= bpe.CACHE_CHARS

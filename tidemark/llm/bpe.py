@@ -4,7 +4,8 @@ The tree's leaves hold, for each live token start, the rank of the pair that beg
 breaker; its root is the leftmost pair of least rank. A merge changes three leaves (the merged pair, the absorbed token and
 the live neighbour on the left), so a match of n bytes takes O(n log n) steps however long it is.
 
-Equal matches meet often, so a worker keeps what it has encoded in bounded tables (CACHE_ENTRIES, WORD_ENTRIES) that start anew when full.
+Equal matches meet often, so a worker keeps what it has encoded of up to CACHE_CHARS characters in bounded tables (CACHE_ENTRIES,
+WORD_ENTRIES) that start anew when full.
 
 Defined results: null and empty text give no ids and the digests of nothing; repeated rows and doc_ids are encoded each on
 their own; columns other than the id and text columns are neither read nor returned; an empty table gives an empty result.
@@ -24,6 +25,7 @@ from .common import small_batches, table
 
 CACHE_ENTRIES = 800_000
 WORD_ENTRIES = 300_000
+CACHE_CHARS = 64
 _NEVER = 1 << 62
 _POS = 32
 _MASK = (1 << _POS) - 1
@@ -100,9 +102,11 @@ class Encoder:
     def _match(self, match: str) -> tuple[int, ...]:
         ids = self.seen.get(match)
         if ids is None:
-            if len(self.seen) >= CACHE_ENTRIES:
-                self.seen = {}
-            self.seen[match] = ids = tuple(merge(match.encode(), self.ranks))
+            ids = tuple(merge(match.encode(), self.ranks))
+            if len(match) <= CACHE_CHARS:
+                if len(self.seen) >= CACHE_ENTRIES:
+                    self.seen = {}
+                self.seen[match] = ids
         return ids
 
     def _matches(self, text: str) -> tuple[int, ...]:
@@ -122,9 +126,11 @@ class Encoder:
             if ids is None:
                 if not w or w[0].isspace():
                     return list(self._matches(text))
-                if len(words) >= WORD_ENTRIES:
-                    words.clear()
-                words[w] = ids = self._matches(" " + w)
+                ids = self._matches(" " + w)
+                if len(w) <= CACHE_CHARS:
+                    if len(words) >= WORD_ENTRIES:
+                        words.clear()
+                    words[w] = ids
             out.append(ids)
         return list(chain.from_iterable(out))
 

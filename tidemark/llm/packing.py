@@ -6,11 +6,13 @@
    There every pair and triple of occupied lengths that fills a window exactly, and every k-fold length with its complement,
    is a column; multiplicative updates solve min |Ax - h| with x >= 0 for the repeat counts; the counts are rounded down and a
    sweep over the columns places what still fits exactly.
-3. What no combination takes is laid end to end, longest first, and cut at window boundaries, so only the last sequence can be
-   short.
+3. The residual lengths are packed greedily: from the longest on, a window takes what is longest and fits until it is full, and is
+   repeated as often as the residual counts allow, so that few pieces are left however many documents there are. Those are
+   laid end to end, longest first, and cut at window boundaries, so only the last sequence can be short.
 4. Each piece gets its number among the pieces of its length from counts per (task, length), so neither a common length nor a
    common source meets in one task, and looks up its place in the plan, whose size is bounded by the window.
-5. Documents whose remainder was cut are tokenized once more for the checksums of the two parts.
+5. Documents whose remainder was cut are tokenized once more for the checksums of the two parts. Up to FEW_CUTS of them are
+   sent to the tasks that read the texts; more are joined by a shuffle.
 
 Defined results: null and empty texts hold only the end id; equal rows are packed each; null ids are kept; an empty table gives
 an empty result; other columns are ignored.
@@ -18,7 +20,10 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import struct
+from collections import Counter
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -32,41 +37,58 @@ from .common import Stage, small_batches, table
 WINDOW = 2048
 END_ID = 1
 NNLS_STEPS = 150
+FEW_CUTS = 100_000
+
+
+class Vocabulary(NamedTuple):
+    """A tokenizer file, the rank file of the same vocabulary and the pattern that splits texts before merging."""
+
+    tokenizer: str
+    ranks: str
+    pattern: str
+
+    def added(self) -> dict[str, int]:
+        """The tokens that the tokenizer file adds: each is one id wherever a text holds its string."""
+        with open(self.tokenizer, encoding="utf-8") as f:
+            some = json.load(f)["added_tokens"]
+        if bad := [t["content"] for t in some if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+            raise ValueError(f"added tokens that take in what is beside them: {bad}")
+        return {t["content"]: t["id"] for t in some}
 
 
 class Tokens:
     """Ids of whole texts as little-endian 32-bit words.
 
-    The ids are defined by the vocabulary's tokenizer file; its rank file holds the same vocabulary, gives the same ids (the
-    tests compare them) and takes a quarter of the time, without a table of words that would grow with the corpus."""
+    The ids are those of the tokenizer file, added tokens included. They are made from its rank file, which gives the same ids (the
+    tests compare them) in a quarter of the time, without a table of words that would grow with the corpus."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, vocabulary: Vocabulary):
         import tiktoken
 
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+        self.encoding = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=load_ranks(vocabulary.ranks), special_tokens=vocabulary.added())
 
     def encode(self, text: str | None) -> bytes:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes() if text else b""
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() if text else b""
 
 
-_tokens: dict[tuple[str, str], Tokens] = {}
+_tokens: dict[Vocabulary, Tokens] = {}
 
 
-def tokens(path: str, pattern: str) -> Tokens:
+def tokens(vocabulary: Vocabulary) -> Tokens:
     """The worker's tokenizer, kept between tasks."""
-    if (path, pattern) not in _tokens:
-        _tokens[path, pattern] = Tokens(path, pattern)
-    return _tokens[path, pattern]
+    if vocabulary not in _tokens:
+        _tokens[vocabulary] = Tokens(vocabulary)
+    return _tokens[vocabulary]
 
 
-def pieces(docs: DataFrame, vocabulary: tuple[str, str], window: int) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: Vocabulary, window: int) -> DataFrame:
     """Per document its full windows and its remainder: (doc_id, row_key, task, start, length, ids_crc32, doc_tokens)."""
     end = struct.pack("<I", END_ID)
 
     def run(batches):
         from pyspark import TaskContext
 
-        task, enc = TaskContext.get().partitionId(), tokens(*vocabulary)
+        task, enc = TaskContext.get().partitionId(), tokens(vocabulary)
         for b in batches:
             rows = [], [], [], [], []
             for k, ids in enumerate(map(enc.encode, b.column(1).to_pylist())):
@@ -129,6 +151,31 @@ def repeats(lengths: np.ndarray, times: np.ndarray, histogram: np.ndarray) -> np
     return x
 
 
+def greedy(left: np.ndarray, window: int) -> list[int] | None:
+    """The lengths of one full window: the longest that there is, then what is longest and fits, ended by a length or a pair that
+    fills it. None if that fails."""
+    have = left.copy()
+    some = np.flatnonzero(have)
+    if not len(some):
+        return None
+    out = [int(some[-1])]
+    have[out[0]] -= 1
+    room = window - out[0]
+    while room:
+        if have[room]:
+            return [*out, room]
+        low = np.flatnonzero(have[:room])
+        pair = low[(have[room - low] > 0) & ((2 * low != room) | (have[low] > 1))]
+        if len(pair):
+            return [*out, int(pair[-1]), room - int(pair[-1])]
+        if not len(low):
+            return None
+        out.append(int(low[-1]))
+        have[low[-1]] -= 1
+        room -= int(low[-1])
+    return out
+
+
 def plan(histogram: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Where the pieces of each length go.
 
@@ -138,6 +185,17 @@ def plan(histogram: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np
     left, next_seq, rows = histogram.copy(), 0, []
     taken = np.zeros_like(histogram)
     present = np.flatnonzero(histogram)
+
+    def put(entries: list[tuple[int, int]], n: int) -> None:
+        nonlocal next_seq
+        at = 0
+        for a, m in entries:
+            rows.append((a, int(taken[a]), next_seq, m, at))
+            taken[a] += n * m
+            left[a] -= n * m
+            at += a * m
+        next_seq += n
+
     if len(present):
         lengths, times = combinations(present, window)
         x = repeats(lengths, times, histogram) if len(lengths) else np.zeros(0)
@@ -151,13 +209,18 @@ def plan(histogram: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np
                     if not exact and x[p] < 1:
                         break
                     continue
-                at = 0
-                for a, m in entries:
-                    rows.append((a, int(taken[a]), next_seq, m, at))
-                    taken[a] += n * m
-                    left[a] -= n * m
-                    at += a * m
-                next_seq += n
+                put(entries, n)
+        open_ = left.copy()
+        while open_.any():
+            found = greedy(open_, window)
+            if found is None:
+                open_[np.flatnonzero(open_)[-1]] = 0  # no window with this length as its longest can be filled
+                continue
+            entries = sorted(Counter(found).items(), reverse=True)
+            n = min(int(open_[a]) // m for a, m in entries)
+            put(entries, n)
+            for a, m in entries:
+                open_[a] -= n * m
     base, at = np.zeros(window + 1, np.int64), 0
     for a in range(window, 0, -1):
         base[a] = at
@@ -203,12 +266,12 @@ def place(numbered: DataFrame, histogram: np.ndarray, window: int) -> DataFrame:
     return numbered.select("doc_id", "row_key", "start", "length", "ids_crc32", "doc_tokens", "number").mapInArrow(run, f"doc_id {kind}, row_key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def slice_checksums(docs: DataFrame, cuts: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
+def slice_checksums(docs: DataFrame, cuts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(row_key, start, length, ids_crc32) of the cut pieces, by tokenizing their documents once more."""
     end = struct.pack("<I", END_ID)
 
     def run(batches):
-        enc = tokens(*vocabulary)
+        enc = tokens(vocabulary)
         for b in batches:
             start, length = b.column(2).to_pylist(), b.column(3).to_pylist()
             crc = [crc32((ids + end)[4 * s : 4 * (s + n)]) for ids, s, n in zip(map(enc.encode, b.column(1).to_pylist()), start, length, strict=True)]
@@ -216,12 +279,14 @@ def slice_checksums(docs: DataFrame, cuts: DataFrame, vocabulary: tuple[str, str
 
     keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("row_key"))
     wanted = cuts.select("row_key", "start", "length").distinct()
+    if cuts.count() <= FEW_CUTS:
+        wanted = F.broadcast(wanted)  # so many rows of 24 bytes at most; texts are not shuffled
     out = keyed.join(wanted, "row_key").select("row_key", "text", "start", "length")
     return out.mapInArrow(run, "row_key long, start long, length long, ids_crc32 long").dropDuplicates(["row_key", "start", "length"])
 
 
-def pack_documents(docs: DataFrame, vocabulary: tuple[str, str], *, window: int = WINDOW) -> DataFrame:
-    """vocabulary: a rank file and the pattern that splits texts before merging. One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack_documents(docs: DataFrame, vocabulary: Vocabulary, *, window: int = WINDOW) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     small_batches(spark, 500)
     docs = docs.select("doc_id", "text")
@@ -236,6 +301,7 @@ def pack_documents(docs: DataFrame, vocabulary: tuple[str, str], *, window: int
     in_task = Window.partitionBy("task", "length").orderBy("doc_id", "start", "row_key")
     numbered = cut.withColumn("nth", F.row_number().over(in_task) - 1).join(offsets, ["task", "length"]).withColumn("number", (F.col("nth") + F.col("before")).cast("long"))
     placed = stage.write(place(numbered, histogram, window))
+    stage.drop(cut)
     cuts = placed.where(F.col("ids_crc32").isNull()).drop("ids_crc32")
     sums = slice_checksums(docs, cuts, vocabulary)
     mended = cuts.join(sums, ["row_key", "start", "length"])
@@ -243,7 +309,11 @@ def pack_documents(docs: DataFrame, vocabulary: tuple[str, str], *, window: int
     return placed.where(F.col("ids_crc32").isNotNull()).select(columns).unionByName(mended.select(columns))
 
 
-def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def public_vocabulary() -> Vocabulary:
     import public_tokenizers as vocabularies
 
-    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), (vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN))
+    return Vocabulary(vocabularies.path("byte_bpe_50k.json"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), public_vocabulary())
