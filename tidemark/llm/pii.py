@@ -5,18 +5,20 @@ Texts are cut at candidate values; each candidate that validates is replaced and
 - card numbers (13 to 19 digits, single spaces or dashes allowed, Luhn checksum holds): all digits but the last are permuted and
   the check digit is made anew, so the result validates too; in a run of digit groups, which may hold other numbers beside a card,
   the longest valid number from each group on counts, from left to right, after the other formats' values are cut out;
-- phone numbers (+country code, then 10 digits) and 3-2-4 digit identity numbers: the digits are permuted, the country code stays;
-- IPv4 addresses (four octets of 0 to 255): the 32 bits are permuted;
-- dates (YYYY-MM-DD, DD/MM/YYYY, DD.MM.YYYY of the years 1800 to 2199 that exist): the day's number among the 146,097 = 189 x 773
-  days of four centuries is permuted;
+- phone numbers (10 digits in the groups 3-3-4 that punctuation or a country code marks) and 3-2-4 digit identity numbers: the digits
+  are permuted, the country code stays, and a number has one pseudonym with and without it;
+- account numbers (IBAN, checksum holds): the digits behind the check digits are permuted and those made anew; letters stay;
+- IPv4 addresses (four octets of 0 to 255): the 32 bits are permuted; IPv6 addresses (eight groups, or with ::): each half is;
+- dates (YYYY-MM-DD, DD/MM/YYYY, DD.MM.YYYY of the years 1800 to 2199 that exist; with slashes also MM/DD/YYYY where the day comes first
+  in no reading): the day's number among the 146,097 = 189 x 773 days of four centuries is permuted, and written in the same order;
 - mail addresses and access keys (AKIA..., password=, token = "..."), which are no numbers, get a keyed digest in their shape.
 
 A permutation is a Feistel network of ROUNDS rounds over two mixed-radix halves with keyed SHA-256 as the round function, so distinct
 values of a format keep distinct pseudonyms, and equal values (in any punctuation) the same one in every document.
 
 Defined results: null text stays null and empty text empty; repeated rows are treated alike; invalid candidates (failed checksum,
-octet over 255, 31 February) stay; counts of replaced values are returned; other columns are carried along; an empty table gives an
-empty result.
+octet over 255, 31 February) stay; counts of replaced values are returned; other columns are carried along, but for one named
+n_replaced, whose place the count takes; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused, without
 
 ROUNDS = 8
 DAY_RADIX = (189, 773)
 FIRST_DAY = "1800-01-01"
-KEY = "tidemark"
+TEST_KEY = "tidemark test key"
+KEY_SETTING = "spark.tidemark.pii.key"
 
 _MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z])(?:password|passwd|secret|token|api_key)\s?[=:]\s?\"?[0-9A-Za-z+/_-]{12,}\"?"
@@ -37,8 +40,12 @@ _DATE = r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./])\d{2}([/.])\d{2}\1\d{
 _IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 _PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
 _IDENTITY = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+_NATIONAL = r"(?<![\w+.-])(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?!\.?[\w-])"
+_ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IP6 = rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\w:.])"
 _RUN = r"(?<![\d.])\d[\d -]{11,}\d"
-CANDIDATE = "|".join([_MAIL, _SECRET, _DATE, _IP, _PHONE, _IDENTITY])
+CANDIDATE = "|".join([_MAIL, _SECRET, _ACCOUNT, _IP6, _DATE, _IP, _PHONE, _NATIONAL, _IDENTITY])
 _MAYBE = r"[0-9]|@|=|:|AKIA"  # every candidate and run has one of these
 
 
@@ -141,6 +148,51 @@ def _phone(x: Column, key: Column) -> Column:
     return F.concat(code, _let(permute_digits(F.regexp_replace(rest, "[^0-9]", ""), key, F.lit("phone")), lambda d: refill(rest, d)))
 
 
+def _national(x: Column, key: Column) -> Column:
+    return _let(permute_digits(F.regexp_replace(x, "[^0-9]", ""), key, F.lit("phone")), lambda d: refill(x, d))
+
+
+def _mod97(text: Column) -> Column:
+    """The text's remainder by 97, with letters as two digits (A is 10)."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda m, c: (m * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+
+
+def _account(x: Column, key: Column) -> Column:
+    """x is two letters, two check digits and the rest, with spaces between groups."""
+
+    def of(plain: Column) -> Column:
+        land, rest = F.substring(plain, 1, 2), F.substring(x, F.lit(5), F.length(x))
+        digits = F.regexp_replace(rest, "[^0-9]", "")
+        valid = (_mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1) & (F.length(digits) >= 2)
+
+        def anew(new: Column) -> Column:
+            check = 98 - _mod97(F.concat(F.regexp_replace(new, " ", ""), land, F.lit("00")))
+            return F.concat(land, F.lpad(check.cast("string"), 2, "0"), new)
+
+        return F.when(valid, _let(_let(permute_digits(digits, key, F.lit("account")), lambda d: refill(rest, d)), anew)).otherwise(x)
+
+    return _let(F.regexp_replace(x, " ", ""), of)
+
+
+def _ip6(x: Column, key: Column) -> Column:
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    head, tail = groups(F.substring_index(x, "::", 1)), F.when(F.contains(x, F.lit("::")), groups(F.substring_index(x, "::", -1))).otherwise(F.array().cast("array<string>"))
+    missing = 8 - F.size(head) - F.size(tail)
+    full = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), tail)
+
+    def of(g: Column) -> Column:
+        word = lambda i: g[i] * 65536 + g[i + 1]
+        size = F.lit(1 << 32)
+        first = feistel(word(0), word(2), size, size, key, F.lit("ip6"))
+        last = feistel(word(4), word(6), size, size, key, F.concat_ws("|", F.lit("ip6"), word(0), word(2)))
+        said = lambda s: F.array(*[F.lower(F.hex(v)) for c in ("l", "r") for v in (F.floor(s[c] / 65536).cast("long"), s[c] % 65536)])
+        return F.concat_ws(":", _let(first, said), _let(last, said))
+
+    whole = x.rlike("[0-9]") & (F.size(head) + F.size(tail) >= 2) & F.when(F.contains(x, F.lit("::")), missing >= 1).otherwise(missing == 0)
+    return F.when(whole, _let(F.transform(full, lambda g: F.conv(g, 16, 10).cast("long")), of)).otherwise(x)
+
+
 def _identity(x: Column, key: Column) -> Column:
     return _let(permute_digits(F.regexp_replace(x, "-", ""), key, F.lit("identity")), lambda d: refill(x, d))
 
@@ -158,13 +210,20 @@ def _ip(x: Column, key: Column) -> Column:
 
 def _date(x: Column, key: Column) -> Column:
     iso = x.substr(5, 1) == "-"
-    day = F.when(iso, F.try_to_date(x, "yyyy-MM-dd")).otherwise(F.try_to_date(F.concat(F.substring(x, 7, 4), F.lit("-"), F.substring(x, 4, 2), F.lit("-"), F.substring(x, 1, 2)), "yyyy-MM-dd"))
+    year, one, two = F.substring(x, 7, 4), F.substring(x, 1, 2), F.substring(x, 4, 2)
+    made = lambda month, day: F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd")
+    slashed, day_first = x.substr(3, 1) == "/", made(two, one)
+    day = F.when(iso, F.try_to_date(x, "yyyy-MM-dd")).when(slashed, F.coalesce(day_first, made(one, two))).otherwise(day_first)
     first, (a, b) = F.lit(FIRST_DAY).cast("date"), DAY_RADIX
 
     def of(n: Column) -> Column:
         new = feistel(F.floor(n / b), n % b, F.lit(a), F.lit(b), key, F.lit("date"))
         back = _let(new, lambda s: F.date_add(first, (s["l"] * b + s["r"]).cast("int")))
-        said = lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(x.substr(3, 1) == "/", F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))
+
+        def said(d: Column) -> Column:
+            slashes = F.when(day_first.isNull(), F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
+            return F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(slashed, slashes).otherwise(F.date_format(d, "dd.MM.yyyy"))
+
         return F.when((n >= 0) & (n < a * b), _let(back, said)).otherwise(x)
 
     return _let(F.datediff(day, first), of)
@@ -185,25 +244,32 @@ def pseudonym(x: Column, key: Column) -> Column:
     """The candidate's pseudonym, or itself where it does not validate."""
     whole = lambda p: x.rlike(f"^(?:{p})$")
     new = (
-        F.when(whole(_MAIL), _mail(x, key)).when(whole(_SECRET), _secret(x, key)).when(whole(_DATE), _date(x, key))
-        .when(whole(_IP), _ip(x, key)).when(whole(_PHONE), _phone(x, key)).when(whole(_IDENTITY), _identity(x, key))
+        F.when(whole(_MAIL), _mail(x, key)).when(whole(_SECRET), _secret(x, key)).when(whole(_ACCOUNT), _account(x, key)).when(whole(_IP6), _ip6(x, key)).when(whole(_DATE), _date(x, key))
+        .when(whole(_IP), _ip(x, key)).when(whole(_PHONE), _phone(x, key)).when(whole(_NATIONAL), _national(x, key)).when(whole(_IDENTITY), _identity(x, key))
     )
     return F.coalesce(new, x)
 
 
-def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = KEY) -> DataFrame:
-    """The documents with values replaced in `text`, and n_replaced."""
+def pseudonymise(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
+    """The documents with values replaced in `text`, and n_replaced. Whoever knows the key can undo the permutations."""
+    own = without(docs, "n_replaced")
+    hits, new, parts = unused(own, "hits", "new", "parts")
     k, t = F.lit(key), F.col(text)
     maybe = t.rlike(_MAYBE)
-    found = docs.withColumn("_hits", F.when(maybe, F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    named = found.withColumn("_new", F.transform("_hits", lambda x: pseudonym(x, k)))
-    parts = F.when(F.size("_hits") > 0, F.split(t, CANDIDATE, -1)).otherwise(F.array(t))
-    cut = named.withColumn("_parts", F.when(maybe, F.transform(parts, lambda p: _cards(p, k))))
-    joined = F.array_join(F.flatten(F.zip_with("_parts", "_new", lambda p, n: F.array(p["out"], F.coalesce(n, F.lit(""))))), "")
-    changed = F.size(F.filter(F.zip_with("_hits", "_new", lambda a, b: a != b), lambda c: c)) + F.aggregate("_parts", F.lit(0), lambda n, p: n + p["n"])
+    found = own.withColumn(hits, F.when(maybe, F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    named = found.withColumn(new, F.transform(hits, lambda x: pseudonym(x, k)))
+    between = F.when(F.size(hits) > 0, F.split(t, CANDIDATE, -1)).otherwise(F.array(t))
+    cut = named.withColumn(parts, F.when(maybe, F.transform(between, lambda p: _cards(p, k))))
+    joined = F.array_join(F.flatten(F.zip_with(parts, new, lambda p, n: F.array(p["out"], F.coalesce(n, F.lit(""))))), "")
+    changed = F.size(F.filter(F.zip_with(hits, new, lambda a, b: a != b), lambda c: c)) + F.aggregate(parts, F.lit(0), lambda n, p: n + p["n"])
     out = F.when(maybe, joined).otherwise(t)
-    return cut.select(*[out.alias(c) if c == text else F.col(c) for c in docs.columns], F.coalesce(changed, F.lit(0)).cast("long").alias("n_replaced"))
+    return cut.select(*[out.alias(c) if c == text else F.col(f"`{c}`") for c in own.columns], F.coalesce(changed, F.lit(0)).cast("long").alias("n_replaced"))
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session sets. Unset, as in tests, it is a public one that hides nothing from who knows it."""
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents", "doc_id", "text"), session_key(spark))
