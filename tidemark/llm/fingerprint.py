@@ -31,6 +31,10 @@ from .common import small_batches, table
 
 CELLS = 24
 LONG_SENTENCE = 600
+FIELD_CELLS = 1 << 17
+RETRIES = 12
+PART_BYTES = 256 << 20
+MAX_PARTS = 20_000
 _SENTENCES = re.compile(r"[^\n.!?]+[\n.!?]*|[\n.!?]+").findall
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -69,8 +73,11 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _cells_of(keys: np.ndarray, third: int, salt: int) -> np.ndarray:
-    """Three cells for each key, one in each third of the table, from three fields of one hash."""
-    h, field, n = _mix(keys, salt + 1), np.uint64((1 << 21) - 1), np.uint64(third)
+    """Three cells for each key, one in each third of the table: from three fields of one hash, or, in a large table, from a hash each."""
+    n = np.uint64(third)
+    if third > FIELD_CELLS:
+        return np.concatenate([((_mix(keys, 3 * salt + k + 1) >> np.uint64(32)) * n >> np.uint64(32)).astype(np.int64) + k * third for k in range(3)])
+    h, field = _mix(keys, salt + 1), np.uint64((1 << 21) - 1)
     part = [(((h >> np.uint64(21 * k)) & field) * n >> np.uint64(21)).astype(np.int64) + k * third for k in range(3)]
     return np.concatenate(part)
 
@@ -141,17 +148,20 @@ class Sketch:
 
 
 def difference(a: np.ndarray, b: np.ndarray, base_a: Sketch, base_b: Sketch) -> int:
-    """How many paragraph digests are in one text only, by subtracting and peeling, larger on failure."""
+    """How many paragraph digests are in one text only, by subtracting and peeling, larger on failure.
+
+    The small tables of the fingerprints tell small differences; larger ones are entered anew from the digests of both texts. After
+    RETRIES failures, which random hashes practically never give, the digests themselves are compared."""
     diff = base_a - base_b
     guess = diff.guess()
     if guess <= CELLS and (n := diff.peel()) is not None:
         return n
-    cells, salt = 3 * max(CELLS // 3 * 2, min(guess, len(a) + len(b)) * 2 // 3), 0
-    while True:
-        salt += 1
+    cells = 3 * max(CELLS // 3 * 2, min(guess, len(a) + len(b)) * 2 // 3)
+    for salt in range(1, RETRIES + 1):
         if (n := Sketch.between(a, b, cells, salt).peel()) is not None:
             return n
         cells = 3 * min(2 * cells // 3, 2 * (len(a) + len(b)) + CELLS)
+    return len(np.setxor1d(a, b, assume_unique=True))
 
 
 class Print:
@@ -180,6 +190,13 @@ _OUT = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint",
 _DDL = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _parts(docs: DataFrame) -> int:
+    """How many ranges: one for each shuffle partition, and more where the optimizer's size of the table says so."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size // PART_BYTES if size < 1 << 60 else 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(known, MAX_PARTS))
+
+
 def _dealt(docs: DataFrame, parts: int) -> DataFrame:
     """(doc_id, text, part, ahead): parts are ranges of descending doc_id; rows with ahead = 1 are the first row of the following part.
 
@@ -222,7 +239,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                 kinds = [("doc_id", b.schema.field(0).type), *_OUT]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 
-    dealt = _dealt(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = _dealt(docs, _parts(docs))
     return dealt.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_DDL}")
 
 
