@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, small_batches, table
+from .common import Stage, small_batches, table, without
 
 BITS = 16
 MAX_FIT = 6000
@@ -165,11 +165,13 @@ def train(docs: DataFrame, learnable: Column, *, text: str = "text", lang: str =
             yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()]), pa.array([bias.astype("<f8").tobytes()]), pa.array([t])], ["w", "bias", "t"])
 
     r = sample.coalesce(1).mapInArrow(fitted, "w binary, bias binary, t double").first()
+    stage.drop(sample)
     return Model(languages, idf, np.frombuffer(r["w"], "<f4").reshape(1 << BITS, -1).astype(np.float64), np.frombuffer(r["bias"], "<f8"), r["t"])
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """The documents with lang_pred and score."""
+    """The documents with lang_pred and score, which take the place of columns of their names."""
+    docs = without(docs, "lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 

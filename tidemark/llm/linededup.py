@@ -15,7 +15,8 @@ A line that very many documents hold is only ever aggregated and joined (skewed
 
 Order of copies: by doc_id (null first), then by text digest, then by line. Defined results: null text stays null, and empty text
 empty; rows that repeat both id and text are one document and are cut alike; a document whose every line goes keeps an empty
-text (removed_lines = n_lines tells it); an empty table gives an empty result; other columns are carried along.
+text (removed_lines = n_lines tells it); an empty table gives an empty result; other columns are carried along, but for those named
+removed, n_lines or removed_lines, whose place the results take.
 """
 
 from __future__ import annotations
@@ -27,16 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_intdigest
 
-from .common import Stage, small_batches, table
+from .common import Stage, small_batches, table, unused, without
 
 MIN_WORDS = 25
 LINE_BITS = 28
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_text_key", F.xxhash64("text"))
-
-
 def line_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line, hi, lo, before, upto): each line's 128-bit id and the words before it and up to its end."""
 
@@ -60,7 +57,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), long(line), signed(hi), signed(lo), long(before), long(upto)], ["doc_id", "text_key", "line", "hi", "lo", "before", "upto"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = _keyed(docs).select("doc_id", F.col("_text_key").alias("text_key"), "text")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     return keyed.mapInArrow(run, f"doc_id {kind}, text_key long, line long, hi long, lo long, before long, upto long")
 
 
@@ -122,15 +119,17 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     stage = Stage(spark, "linededup")
+    docs = without(docs, "removed", "n_lines", "removed_lines")
+    id_, key, at_key = unused(docs, "id", "key", "text_key")
     lines = stage.write(line_rows(docs))
     runs = repeated_runs(lines, stage).where(F.col("words") >= min_words)
     last = Window.partitionBy("doc_id", "text_key").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("reach", F.max(F.col("line") + F.col("length")).over(last)).where("reach is null or line + length > reach")
-    runs = runs.withColumn("start", F.greatest("line", F.coalesce("reach", F.lit(0)))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "start", (F.col("line") + F.col("length") - F.col("start")).alias("length"))
-    cuts = stage.write(runs.groupBy("_id", "_key").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("removed")))
+    runs = runs.withColumn("start", F.greatest("line", F.coalesce("reach", F.lit(0)))).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), "start", (F.col("line") + F.col("length") - F.col("start")).alias("length"))
+    cuts = stage.write(runs.groupBy(id_, key).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("removed")))
     stage.drop(lines)
     cuts = cuts.hint("merge")  # the cuts grow with the corpus, so they are never broadcast
-    out = _keyed(docs).join(cuts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left").drop("_id", "_key", "_text_key")
+    out = docs.withColumn(at_key, F.xxhash64("text")).join(cuts, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(at_key) == F.col(key)), "left").drop(id_, key, at_key)
     own = docs.columns
     at = own.index("text")
 

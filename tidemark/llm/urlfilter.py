@@ -9,7 +9,7 @@ day; the decisions are joined back by those keys, where skewed joins are split.
 
 Defined results: a null or unparsable url, and a null day, match nothing and are allowed; entries of one key and day: block
 wins over allow over drop; repeated captures are decided each; a null key or day in a list is ignored; empty tables are fine; other
-columns are carried along.
+columns are carried along, but for those named decision or matched_key, whose place the results take.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hot_keys, split_join, table, unused, without
 
 
 def host(url):
@@ -42,16 +42,25 @@ def validity(entries: DataFrame) -> DataFrame:
 
 def filter_urls(captures: DataFrame, entries: DataFrame, *, url: str = "url", day: str = "fetched_on") -> DataFrame:
     """The captures with decision ('block' or 'allow') and matched_key."""
-    keyed = captures.withColumns({"_host": host(F.col(url)), "_segment": segment(F.col(url)), "_day": F.col(day)})
-    distinct = keyed.where("_host is not null and _day is not null").select("_host", "_segment", "_day").distinct()
-    parts = F.split("_host", r"\.")
+    own = without(captures, "decision", "matched_key")
+    names = unused(own, "host", "segment", "at", "match")
+    keyed = own.withColumns(dict(zip(names[:3], (host(F.col(url)), segment(F.col(url)), F.col(day)), strict=True)))
+    distinct = keyed.select(*[F.col(n).alias(a) for n, a in zip(names[:3], ("host", "segment", "at"), strict=True)]).where("host is not null and at is not null").distinct()
+    parts = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    keys = F.array_distinct(F.concat(parents, F.array(F.concat("_host", "_segment"))))
-    asked = distinct.select("_host", "_segment", "_day", F.explode(keys).alias("key"))
-    active = asked.join(validity(entries), "key").where("valid_from <= _day and (valid_to is null or _day < valid_to)")
-    decided = active.groupBy("_host", "_segment", "_day").agg(F.max(F.struct(F.length("key").alias("n"), "key", "action")).alias("m"))
-    out = keyed.join(decided, ["_host", "_segment", "_day"], "left")
-    return out.select(*captures.columns, F.coalesce("m.action", F.lit("allow")).alias("decision"), F.col("m.key").alias("matched_key"))
+    keys = F.array_distinct(F.concat(parents, F.array(F.concat("host", "segment"))))
+    asked = distinct.select("host", "segment", "at", F.explode(keys).alias("key"))
+    listed = validity(entries)
+    # a key that many captures share, such as a top-level domain, is dealt over many tasks if it has entries, and else left out
+    counted = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(counted, "key", counted.agg(F.sum("n")).first()[0] or 0)
+    if hot:
+        met = [r[0] for r in listed.where(F.col("key").isin(hot)).select("key").distinct().collect()]
+        asked, hot = asked.where(~F.col("key").isin([k for k in hot if k not in met])), met
+    active = split_join(asked, listed, "key", hot, F.hash("host", "segment", "at").cast("long")).where("valid_from <= at and (valid_to is null or at < valid_to)")
+    decided = active.groupBy("host", "segment", "at").agg(F.max(F.struct(F.length("key").alias("n"), "key", "action")).alias("m"))
+    out = keyed.join(decided.toDF(*names), names[:3], "left")
+    return out.select(*[F.col(f"`{c}`") for c in own.columns], F.coalesce(F.col(names[3])["action"], F.lit("allow")).alias("decision"), F.col(names[3])["key"].alias("matched_key"))
 
 
 def dated_list(hosts: DataFrame) -> DataFrame:
