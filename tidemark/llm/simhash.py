@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Stage, small_batches, table
+from .common import Stage, hot_keys, small_batches, split_join, table
 
 SEGMENTS = 5
 DISTANCE = 4
@@ -161,18 +161,22 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def components(edges: DataFrame, stage: Stage) -> DataFrame:
     """(node, root): the least node that edges (a, b) connect each node to.
 
-    Large-star and small-star steps alternate until every edge leads to its component's least node."""
+    Large-star and small-star steps alternate until every edge leads to its component's least node. A component's least node comes to
+    have edges to all of its nodes, so the joins deal the rows of such nodes over many tasks."""
     now = stage.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        least = stage.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        hot = hot_keys(least, "u", 2 * now.count())
+        large = split_join(both, least.drop("n"), "u", hot, "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stage.write(large.distinct())
+        least_too = stage.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        hot = hot_keys(least_too, "u", large.count())
+        small = split_join(large, least_too.drop("n"), "u", hot, "v").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         new = stage.write(small.where("u != v").distinct())
-        depth = new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
+        depth = new.select("v").distinct().join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
         many = new.groupBy("u").count().where("count > 1").limit(1).count() if not depth else 1
-        stage.drop(now)
+        stage.drop(now, least, large, least_too)
         now = new
         if not depth and not many:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -182,12 +186,21 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, id_col: str = "doc_id",
     """(id, fingerprint as 16 hex digits, component_id): component_id is the smallest id that links reach."""
     stage = Stage(docs.sparkSession, "simhash")
     fps = stage.write(fingerprints(docs, words=words, id_col=id_col, text_col=text_col))
-    distinct = fps.groupBy("fp").agg(F.min(id_col).alias("first"))
+    distinct = stage.write(fps.groupBy("fp").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")))
     roots = components(links(distinct.select("fp")), stage)
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stage.write(rooted.join(least, "root").select("fp", "component_id"))
-    return fps.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = stage.write(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = stage.write(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    named = stage.write(split_join(rooted, least.drop("n"), "root", hot_keys(least, "root", rooted.count()), "fp").select("fp", "component_id"))
+    copies = hot_keys(distinct, "fp", fps.count())
+    stage.drop(distinct, rooted, least)
+    return split_join(fps, named, "fp", copies, F.monotonically_increasing_id()).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def similar_texts(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_md5, root): near-duplicates by a similarity of percent / 100 of whole shingle sets instead of a distance of fingerprints."""
+    from . import jaccard
+
+    return jaccard.near_duplicates(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
