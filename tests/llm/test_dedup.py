@@ -114,3 +114,36 @@ def test_near_duplicates_of_odd_rows(spark, docs):
     base = " ".join(f"w{i}" for i in range(400))
     near = simhash.near_duplicates(docs((9, base), (4, base + " more"), (4, base + " more"), (None, "other words entirely in this one"))).collect()
     assert sorted(str(r.component_id) for r in near) == ["4", "4", "4", "None"]
+
+
+def test_components_split_hot_nodes(spark, monkeypatch):
+    """Stars whose centre holds most edges are dealt by its neighbours."""
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 4)
+    edges = [(1000, i) for i in range(300)] + [(2000 + i, 3000 + i) for i in range(50)] + [(299, 5000), (5000, 5001)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long"), Stage(spark, "t")).collect()}
+    want = roots(sorted({x for e in edges for x in e}), edges)
+    assert got == {k: v for k, v in want.items() if k != v}
+    binary = spark.createDataFrame([(a.to_bytes(4), b.to_bytes(4)) for a, b in edges], "a binary, b binary")
+    assert {int.from_bytes(r.node): int.from_bytes(r.root) for r in simhash.components(binary, Stage(spark, "t")).collect()} == got
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_split_join_equals_a_join(spark, how):
+    from tidemark.llm.common import split_join
+
+    rows = spark.createDataFrame([(k, i) for k in (1, 2, 3, None) for i in range(40)], "k long, v long")
+    facts = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (5, "d")], "k long, f string")
+    plain = sorted(map(str, rows.join(facts, "k", how).select("k", "v", "f").collect()))
+    for hot in ([1], [1, 2, 7]):
+        assert sorted(map(str, split_join(rows, facts, "k", hot, "v", how).select("k", "v", "f").collect())) == plain
+
+
+def test_line_dedup_replaces_columns_of_its_outputs_names(spark, docs):
+    from pyspark.sql import functions as F
+
+    df = docs("p q r s\nt u", "p q r s\nv").withColumns({"removed": F.lit("x"), "n_lines": F.lit("y"), "_text_key": F.lit("kept"), "key": F.lit("kept"), "id": F.lit(1)})
+    got = linededup.dedup_lines(df, min_words=3)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "_text_key", "key", "id", "removed", "n_lines", "removed_lines"]
+    assert sorted((r.text, r._text_key, r.key, r.removed_lines) for r in got.collect()) == [("p q r s\nt u", "kept", "kept", 0), ("v", "kept", "kept", 1)]

@@ -1,9 +1,12 @@
+import re
+
 import numpy as np
 import public_tokenizers as vocabularies
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from tidemark.llm import packing
+from tidemark.llm import jaccard, packing, simhash
 from tidemark.llm.common import Stage
 
 from .test_dedup import brute_lines, roots, slow_fingerprint
@@ -26,19 +29,51 @@ def test_stages_on_the_smallest_documents(spark):
     cut = brute_lines(sorted(texts(lang).items()), 25)
     whole = {d: len(t.split("\n")) for d, t in texts(lang).items()}
     assert texts(lines) == {d: t for d, (t, gone) in cut.items() if not gone or gone < whole[d]}
-    prints = {d: slow_fingerprint(t, p.WORDS) for d, t in texts(lines).items()}
-    values = sorted(set(prints.values()))
-    root = roots(values, [(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= 4])
-    groups = {}
-    for d, v in sorted(prints.items()):
-        groups.setdefault(root[v], d)
-    assert texts(near) == {d: texts(lines)[d] for d in groups.values()}
+    assert texts(near) == {d: texts(lines)[d] for d in brute_groups(texts(lines)).values()}
     assert texts(private).keys() == texts(near).keys()
     assert private.where("text rlike '[A-Za-z0-9]@mail[0-9]'").count() == 0
     assert private.where(F.length("text") != F.col("n_chars")).count() == 0
     check_packing(packed.collect(), texts(private), packing.WINDOW)
 
 
+def brute_groups(texts):
+    """text -> smallest id of its group, comparing all pairs of shingle sets."""
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for d, t in texts.items()}
+    sets = {d: frozenset(" ".join(w[i : i + p.WORDS]) for i in range(max(1, len(w) - p.WORDS + 1))) if w else frozenset() for d, w in words.items()}
+    some = sorted(set(sets.values()), key=sorted)
+    near = [(i, j) for i, a in enumerate(some) for j, b in enumerate(some[:i]) if a and b and 5 * len(a & b) >= 4 * len(a | b)]
+    root, number = roots(range(len(some)), near), {x: i for i, x in enumerate(some)}
+    groups = {}
+    for d in sorted(texts):
+        groups.setdefault(root[number[sets[d]]], d)
+    return groups
+
+
+def family(rng, size, changes):
+    """Texts of 120 words, each a changed copy of one or of the text before."""
+    base = [f"w{x}" for x in rng.integers(0, 9000, 120)]
+    out = [list(base)]
+    for _ in range(size - 1):
+        new = list(out[-1] if rng.random() < 0.5 else base)
+        for at in rng.choice(120, int(rng.integers(1, changes)), replace=False):
+            new[at] = f"x{rng.integers(0, 10**6)}"
+        out.append(new)
+    return [" ".join(x) for x in out]
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_groups_equal_brute_force(spark, docs, monkeypatch, block):
+    """Families of near copies of all sizes, some above and some below the similarity, in small blocks too."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    texts = dict(enumerate(t for size, changes in ((40, 3), (25, 6), (2, 3), (8, 9), (1, 2)) for t in family(rng, size, changes)))
+    texts |= {500: "", 501: None, 502: "one two", 503: "One  two", 504: texts[3]}
+    got = {}
+    for r in simhash.similar_texts(docs(*texts.items())).collect():
+        got.setdefault(bytes(r.root), set()).add(r.doc_id)
+    assert sorted(min(g) for g in got.values()) == sorted(brute_groups(texts).values())
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert p.run(spark, str(tmp_path)).count() == 0
