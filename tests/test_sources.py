@@ -87,3 +87,49 @@ def test_stores(spark, tmp_path):
     assert m.log_rows(spark, str(tmp_path / "log"), "trade_date date").count() == 6
     with pytest.raises(Exception, match="already exists"):
         stores.write_raw(days, path)
+
+
+def test_paths_and_windows(spark, tmp_path):
+    old, new = date(2020, 3, 5), date(2024, 7, 5)
+    assert m.remote_path(old) == "content/historical/EQUITIES/2020/MAR/cm05MAR2020bhav.csv.zip" and m.remote_path(new) == "content/cm/BhavCopy_NSE_CM_0_0_0_20240705_F_0000.csv.zip"
+    assert m.remote_path(old, "fo").endswith("DERIVATIVES/2020/MAR/fo05MAR2020bhav.csv.zip") and m.remote_path(old, "index") == "content/indices/ind_close_all_05032020.csv"
+    assert m.relative_path(old, "index") == "indexclose/2020/ind_close_all_05032020.csv" and m.month_path(old, "announcements") == "events/announcements/2020/ann_202003.json"
+    assert m.month_window(date(2024, 2, 9)) == ("01-02-2024", "29-02-2024") and m.month_window(date(2023, 12, 31)) == ("01-12-2023", "31-12-2023")
+    for d in (old, new):
+        put(tmp_path, m.snapshot_path(d, "renames").split("/")[1], "A,B,C,1-JAN-2020\n")
+    assert m.newest(spark, str(tmp_path / "symbolchange_*.csv")).endswith("symbolchange_2024-07-05.csv")
+    with pytest.raises(Exception, match="(?i)path.not.*exist|no-such"):
+        m.newest(spark, str(tmp_path / "no-such-*.csv"))
+
+
+def test_year_reader_prunes(spark, tmp_path):
+    days = spark.createDataFrame([(date(y, 1, 2), y) for y in (2021, 2022, 2023)], "trade_date date, v int")
+    stores.write_years(days, str(tmp_path / "t"))
+    some = stores.read_years(spark, str(tmp_path / "t"), 2022, 2022)
+    assert [(r.trade_date, r.v) for r in some.collect()] == [(date(2022, 1, 2), 2022)]
+    assert "PartitionFilters: [isnotnull(year" in some._jdf.queryExecution().executedPlan().toString()
+    assert stores.read_years(spark, str(tmp_path / "t")).count() == 3
+
+
+def test_ledger_reports_and_reruns(spark, tmp_path):
+    trials = spark.createDataFrame([("ridge", 0.1)], "model string, mean_ic double")
+    assert stores.trial_count(spark, str(tmp_path / "ledger")) == 0
+    stores.append_log(trials, str(tmp_path / "ledger"))
+    stores.append_log(trials, str(tmp_path / "ledger"))
+    assert stores.trial_count(spark, str(tmp_path / "ledger")) == 2
+    for kind, read in (("parquet", spark.read.parquet), ("json", spark.read.json), ("csv", lambda p: spark.read.option("header", True).csv(p))):
+        for _ in range(2):
+            stores.write_report(trials, str(tmp_path / kind), kind)
+        assert [r.model for r in read(str(tmp_path / kind)).collect()] == ["ridge"]
+    log = spark.createDataFrame([(date(2024, 1, 1), False), (date(2024, 1, 2), True)], "trade_date date, dry_run boolean")
+    days = spark.createDataFrame([(date(2024, 1, k),) for k in (1, 2, 3)], "trade_date date")
+    assert sorted(r.trade_date.day for r in stores.not_yet_run(days, log).collect()) == [2, 3]
+
+
+def test_settings(monkeypatch):
+    from tidemark.session import settings
+
+    monkeypatch.setenv("TIDEMARK_DATA", "/data/x/")
+    assert (settings().raw, settings().curated, settings().reports) == ("/data/x/raw", "/data/x/curated", "/data/x/reports")
+    monkeypatch.delenv("TIDEMARK_DATA")
+    assert settings().root.endswith("/tidemark-data")

@@ -2,11 +2,38 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+@dataclass(frozen=True)
+class Settings:
+    """The data root and its zones."""
+
+    root: str
+
+    @property
+    def raw(self) -> str:
+        return f"{self.root}/raw"
+
+    @property
+    def curated(self) -> str:
+        return f"{self.root}/curated"
+
+    @property
+    def reports(self) -> str:
+        return f"{self.root}/reports"
+
+
+def settings() -> Settings:
+    """Settings by the variable TIDEMARK_DATA, else a folder in the user's home; the root may be any path that Spark reads."""
+    return Settings((os.environ.get("TIDEMARK_DATA") or str(Path.home() / "tidemark-data")).rstrip("/"))
+
+
 def session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session with UTC timestamps, adaptive execution and few shuffle partitions."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("tidemark")

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from datetime import date
+from datetime import date, timedelta
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,18 +25,57 @@ class FormatError(ValueError):
 
 def file_name(d: date, kind: str = "cash") -> str:
     """The exchange's name of a day's file; its format changed on CUTOVER."""
+    if kind == "index":
+        return f"ind_close_all_{d:%d%m%Y}.csv"
     if d >= CUTOVER:
         return f"BhavCopy_NSE_{'CM' if kind == 'cash' else 'FO'}_0_0_0_{d:%Y%m%d}_F_0000.csv.zip"
     stamp = f"{d:%d%b%Y}".upper()
     return f"{'cm' if kind == 'cash' else 'fo'}{stamp}bhav.csv.zip"
 
 
+def remote_path(d: date, kind: str = "cash") -> str:
+    """The path of a day's file below the exchange's archive."""
+    name = file_name(d, kind)
+    if kind == "index":
+        return f"content/indices/{name}"
+    if d >= CUTOVER:
+        return f"content/{'cm' if kind == 'cash' else 'fo'}/{name}"
+    month = f"{d:%b}".upper()
+    return f"content/historical/{'EQUITIES' if kind == 'cash' else 'DERIVATIVES'}/{d.year}/{month}/{name}"
+
+
+#: The raw zone's folders of daily files, and its monthly feeds with their files' prefixes.
+FOLDERS = {"cash": "bhavcopy", "fo": "fo", "index": "indexclose"}
+FEEDS = {"ca": ("ca_api", "ca"), "announcements": ("events/announcements", "ann"), "board_meetings": ("events/board_meetings", "bm"), "bulk_deals": ("events/bulk_deals", "bulk")}
+SNAPSHOTS = {"renames": ("symbolchange/symbolchange", "%Y-%m-%d"), "constituents": ("constituents/nifty500", "%Y%m%d")}
+
+
 def relative_path(d: date, kind: str = "cash") -> str:
-    return f"{kind}/{d.year}/{file_name(d, kind)}"
+    return f"{FOLDERS[kind]}/{d.year}/{file_name(d, kind)}"
+
+
+def month_path(d: date, feed: str) -> str:
+    folder, prefix = FEEDS[feed]
+    return f"{folder}/{d.year}/{prefix}_{d:%Y%m}.json"
+
+
+def month_window(d: date) -> tuple[str, str]:
+    """The first and last day of a month as feeds are asked for them."""
+    last = (d.replace(day=28) + timedelta(days=4)).replace(day=1) - timedelta(days=1)
+    return f"{d.replace(day=1):%d-%m-%Y}", f"{last:%d-%m-%Y}"
+
+
+def snapshot_path(d: date, kind: str) -> str:
+    stem, stamp = SNAPSHOTS[kind]
+    return f"{stem}_{d.strftime(stamp)}.csv"
 
 
-def month_path(d: date, kind: str) -> str:
-    return f"{kind}/{d.year}/{kind}_{d:%Y%m}.json"
+def newest(spark: SparkSession, pattern: str) -> str:
+    """The last file by name that fits a glob pattern: snapshots are named by their day. Raises if there is none."""
+    found = spark.read.format("binaryFile").load(pattern).agg(F.max("path")).first()[0]
+    if found is None:
+        raise FileNotFoundError(pattern)
+    return found
 
 
 def date_of(path: Column) -> Column:
@@ -96,7 +135,7 @@ def unzipped(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def futures(lines: DataFrame, underlying: str = "NIFTY") -> DataFrame:
     """Index futures of one underlying from unzipped files (path, line_no, line), in either format."""
     heads = lines.where("line_no = 0").select("path", F.split("line", ",").alias("head"))
-    cells = lines.where("line_no > 0").join(F.broadcast(heads), "path").withColumn("c", F.split("line", ","))  # one row a file
+    cells = lines.where("line_no > 0").join(heads, "path").withColumn("c", F.split("line", ","))
     cell = lambda *names: F.coalesce(*[F.expr(f"try_element_at(c, nullif(cast(array_position(head, '{n}') as int), 0))") for n in names])
     kind, name = cell("INSTRUMENT", "FinInstrmTp"), cell("SYMBOL", "TckrSymb")
     number = lambda *n: cell(*n).try_cast("double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,16 @@ def write_years(df: DataFrame, path: str, date: str = "trade_date") -> None:
     df.withColumn("year", F.year(date)).repartition("year").write.partitionBy("year").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
+def read_years(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """A table written by years, of which only the partitions from `first` to `last` are listed and read."""
+    df = spark.read.parquet(path)
+    if first is not None:
+        df = df.where(F.col("year") >= first)
+    if last is not None:
+        df = df.where(F.col("year") <= last)
+    return df.drop("year")
+
+
 def stale_years(raw_dates: DataFrame, built: DataFrame, date: str = "trade_date") -> DataFrame:
     """Years whose curated last date or number of dates differ from the raw files'."""
     side = lambda df, n: df.groupBy(F.year(date).alias("year")).agg(F.max(date).alias(f"{n}_max"), F.countDistinct(date).alias(f"{n}_days"))
@@ -48,6 +59,28 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def trial_count(spark: SparkSession, path: str) -> int:
+    """How many rows a JSON-lines ledger has; 0 if there is none yet."""
+    try:
+        return spark.read.schema("model string").json(path).count()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return 0
+        raise
+
+
+def write_report(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """A report as parquet, csv (with a header) or json; an earlier one at the path is replaced."""
+    writer = df.write.mode("overwrite")
+    {"parquet": writer.parquet, "csv": writer.option("header", True).csv, "json": writer.json}[kind](path)
+
+
+def not_yet_run(days: DataFrame, log: DataFrame) -> DataFrame:
+    """Session days (trade_date) that a run log (trade_date, dry_run) does not hold a real run of: a rerun of a logged day finds none."""
+    done = log.where("not coalesce(dry_run, false)").select("trade_date")
+    return days.join(done, "trade_date", "left_anti")
+
+
 def new_items(items: DataFrame, seen: DataFrame, key: str = "link_hash") -> DataFrame:
     """Items that the store does not hold, one a key."""
     return items.dropDuplicates([key]).join(seen.select(key), key, "left_anti")
