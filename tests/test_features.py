@@ -97,3 +97,73 @@ def test_global_rank(spark, values):
     order = sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] or 0.0, i))
     nulls = [i for i in order if values[i] is None]
     assert [got[i] for i in [i for i in order if values[i] is not None] + nulls] == list(range(1, len(values) + 1))
+
+
+#: Subjects as exchanges word them, with the category, direction and materiality of the first rule that they match.
+SUBJECTS = [
+    ("Raising of funds", "fundraising", 0, 1), ("Allotment of NCDs", "fundraising", 0, 1), ("Commercial Paper", "fundraising", 0, 1), ("Show cause notice", "litigation_regulatory", -1, 2), ("SEBI order", "litigation_regulatory", -1, 2),
+    ("Investigation", "litigation_regulatory", -1, 2), ("Search and seizure", "litigation_regulatory", -1, 2), ("Change in KMP", "board_change", 0, 0), ("Key managerial personnel", "board_change", 0, 0), ("Order bagged", "order_win", 1, 1),
+    ("Company acquires stake", "m_and_a", 0, 2), ("to acquire 51% stake", "m_and_a", 0, 2), ("Unaudited standalone result", "earnings_result", 0, 2), ("Rating upgraded", "rating_action", 0, 1), ("New facility", "capex_expansion", 1, 1),
+    ("Disclosure under Substantial Acquisition of Shares", "other", 0, 0), ("GST order of demand", "litigation_regulatory", -1, 1), ("NCLT-convened meeting", "m_and_a", 0, 1), ("Company pledges to plant trees", "other", 0, 0),
+    ("Creation of PLEDGE", "pledge", -1, 1), ("Interim dividend", "dividend_distribution", 1, 1), ("Weather is fine", "other", 0, 0), ("", "other", 0, 0), (None, "other", 0, 0),
+]
+
+
+def test_taxonomy_on_subjects(spark):
+    from tidemark.operators import events
+
+    df = spark.createDataFrame([(i, s) for i, (s, *_) in enumerate(SUBJECTS)], "i int, subject string")
+    got = {r.i: (r.category, r.direction, r.materiality) for r in events.classify(df).collect()}
+    assert got == {i: tuple(k) for i, (_, *k) in enumerate(SUBJECTS)}
+
+
+def test_generated_subjects_reach_every_rule():
+    import re
+
+    from tidemark.operators import events
+
+    first = {next((i for i, (p, *_) in enumerate(events.RULES) if re.search(p, s, re.I)), None) for s in views.SUBJECTS if s}
+    assert set(range(len(events.RULES))) <= first and None in first
+
+
+def test_sentiment_gate_needs_a_year_and_sees_the_past_only(spark):
+    from tidemark.operators import events
+
+    days = [D0 + timedelta(i) for i in range(400)]
+    prices = spark.createDataFrame([(d, 0.01 * ((i * 7) % 5 - 2), 100.0 + i) for i, d in enumerate(days)], "trade_date date, ret double, level double")
+    index = spark.createDataFrame([(d, float((i * 13) % 11 - 5), 1) for i, d in enumerate(days) if i % 3], "trade_date date, sentiment double, n long")
+    got = events.sentiment_gate(prices, index).orderBy("trade_date").collect()
+    s = [float((i * 13) % 11 - 5) if i % 3 else 0.0 for i in range(400)]
+    mean = [sum(s[i - 4 : i + 1]) / 5 if i >= 4 else None for i in range(400)]
+    assert [r.trade_date for r in got] == days[255:399]
+    for k, r in enumerate(got):
+        i = 255 + k
+        assert r.sent_5d == pytest.approx(mean[i]) and r.sent_med == pytest.approx(sorted(mean[i - 251 : i + 1])[126]) and r.fwd1 == pytest.approx(0.01 * (((i + 1) * 7) % 5 - 2))
+    assert events.sentiment_study(events.sentiment_gate(prices, index), index, buy=0.001, sell=0.001).first().ic_next_day is None  # under 500 days
+
+
+def test_proposals(spark):
+    from tidemark.operators import proposal
+
+    bad = {"name": ("A!", "why", "dret()", 5), "rationale": ("good_name", "", "dret()", 5), "expression": ("good_name", "why", "", 5), "lookback_days": ("good_name", "why", "dret()", 300)}
+    for field, p in bad.items():
+        assert proposal.Proposal(*p).problem() == field
+    assert proposal.Proposal("good_name", "why", "shift(dret(), 1)", 5).problem() is None and proposal.Proposal("good_name", "why", "col('open')", 5).problem().startswith("sandbox")
+    df = spark.createDataFrame([*bad.values(), ("fine_one", "why", "dret()", 1), (None, "why", "dret()", 1)], "name string, rationale string, expression string, lookback_days int")
+    assert [r.problem for r in proposal.invalid(df).collect()] == [*bad, None, "name"]
+    some = spark.createDataFrame([(0, "trend"), (1, "liquidity"), (2, "new"), (3, "trend")], "position int, family string")
+    memory = spark.createDataFrame([("liquidity", 1), ("trend", 2)], "family string, rank int")
+    assert [r.position for r in proposal.by_memory(some, memory).orderBy("turn").collect()] == [1, 0, 3, 2]
+
+
+def test_screen_gives_reasons_and_deltas(spark):
+    from tidemark.operators import proposal, validation
+
+    p = walk(spark, 6, 330)
+    cal = sessions(p)
+    rows = features.build_features(p).select("symbol", "trade_date", "ret_21d").join(features.forward_return_z(p).where("label is not null"), ["symbol", "trade_date"]).join(cal, "trade_date")
+    folds = validation.walk_forward(cal, test=20, min_train=260)
+    some = [proposal.Proposal("dret_two", "new", "roll_mean(dret(), 2)", 2), proposal.Proposal("ret_21d", "taken", "dret()", 1), proposal.Proposal("open_one", "refused", "col('open')", 1)]
+    got = {r.name: r for r in proposal.screen(p, rows, cal, folds, ["ret_21d"], some, min_names=3).collect()}
+    assert got["dret_two"].status == "ok" and got["dret_two"].delta_ic is not None
+    assert got["ret_21d"].detail.startswith("name collides") and got["open_one"].detail.startswith("sandbox")

@@ -74,10 +74,10 @@ def divergence(live: DataFrame, research: DataFrame) -> DataFrame:
     return w.withColumn("gap", F.col("live") - F.col("research"))
 
 
-def checklist(log: DataFrame, *, clean: int = 30, reconciled: int = 5) -> DataFrame:
-    """Go-live booleans from a run log (status, reconcile_ok, orders_rejected)."""
+def checklist(log: DataFrame, *keys: str, clean: int = 30, reconciled: int = 5) -> DataFrame:
+    """Go-live booleans from a run log (reconcile_ok, orders_rejected), for each of its keys."""
     ok = F.count_if((F.col("orders_rejected") == 0) & F.col("reconcile_ok"))
-    return log.agg(ok.alias("clean_sessions"), F.count_if("reconcile_ok").alias("reconciled_days"), (ok >= clean).alias("enough_clean"), (F.count_if("reconcile_ok") >= reconciled).alias("enough_reconciled"))
+    return log.groupBy(*keys).agg(ok.alias("clean_sessions"), F.count_if("reconcile_ok").alias("reconciled_days"), (ok >= clean).alias("enough_clean"), (F.count_if("reconcile_ok") >= reconciled).alias("enough_reconciled"))
 
 
 def illiquidity(panel_returns: DataFrame, *, window: int = 21, quantile_rows: int = 252, quantile: float = 0.8) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
@@ -16,8 +17,8 @@ TABLES["classified"] = f"SELECT event_id, symbol, announced_at, subject, k.categ
 TABLES["ev_sessions"] = "SELECT DISTINCT CAST(ts AS DATE) AS trade_date FROM events WHERE isodow(ts) < 6 AND CAST(ts AS DATE) <> DATE '2024-01-17'"
 TABLES["knowable"] = """SELECT c.*, n.trade_date AS knowable_date FROM (SELECT *, CASE WHEN hour(announced_at) * 60 + minute(announced_at) < 930 THEN CAST(announced_at AS DATE) ELSE CAST(announced_at AS DATE) + 1 END AS start FROM classified) c
     ASOF JOIN ev_sessions n ON c.start <= n.trade_date"""
-TABLES["study_events"] = """SELECT DISTINCT o_custkey % 10 + 1 AS symbol, CAST(o_orderdate AS DATE) AS knowable_date, CASE o_orderpriority WHEN '1-URGENT' THEN 'earnings_result' WHEN '2-HIGH' THEN 'pledge' WHEN '3-MEDIUM' THEN 'order_win' ELSE 'litigation_regulatory' END AS category,
-    CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN -1 WHEN '3-MEDIUM' THEN 1 ELSE -1 END AS direction, CASE o_orderpriority WHEN '1-URGENT' THEN 2 ELSE 1 END AS materiality FROM orders WHERE o_orderkey % 20 = 0"""
+TABLES["study_events"] = """SELECT DISTINCT symbol, CAST(o_orderdate AS DATE) AS knowable_date, CASE o_orderpriority WHEN '1-URGENT' THEN 'earnings_result' WHEN '2-HIGH' THEN 'pledge' WHEN '3-MEDIUM' THEN 'order_win' ELSE 'litigation_regulatory' END AS category,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN -1 WHEN '3-MEDIUM' THEN 1 ELSE -1 END AS direction, CASE o_orderpriority WHEN '1-URGENT' THEN 2 ELSE 1 END AS materiality FROM order_symbols"""
 TABLES["abnormal"] = """SELECT symbol, trade_date, ar FROM (SELECT symbol, trade_date, ret - (y - beta * x) - beta * mret AS ar FROM (SELECT *, (xy - x * y) / (xx - x * x + 1e-12) AS beta FROM
     (SELECT symbol, trade_date, ret, mret, CASE WHEN count(*) OVER w >= 60 THEN avg(mret) OVER w END AS x, avg(ret) OVER w AS y, avg(ret * mret) OVER w AS xy, avg(mret * mret) OVER w AS xx
     FROM rets JOIN market USING (trade_date) WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)))) WHERE ar IS NOT NULL"""
@@ -27,10 +28,10 @@ TABLES["cars"] = "SELECT e.symbol, e.knowable_date, e.category, w.window, w.car
 
 
 def study_events(spark, sf_dir):
-    o = views.read(spark, sf_dir, "orders").where("o_orderkey % 20 = 0")
+    o = views.read(spark, sf_dir, "orders")
     p = F.col("o_orderpriority")
     pick = lambda a, b, c, d: F.when(p == "1-URGENT", a).when(p == "2-HIGH", b).when(p == "3-MEDIUM", c).otherwise(d)
-    return o.select((F.col("o_custkey") % 10 + 1).alias("symbol"), F.to_date("o_orderdate").alias("knowable_date"), pick("earnings_result", "pledge", "order_win", "litigation_regulatory").alias("category"), pick(0, -1, 1, -1).alias("direction"), pick(2, 1, 1, 1).alias("materiality")).distinct()
+    return o.select(views.order_symbol(spark, sf_dir).alias("symbol"), F.to_date("o_orderdate").alias("knowable_date"), pick("earnings_result", "pledge", "order_win", "litigation_regulatory").alias("category"), pick(0, -1, 1, -1).alias("direction"), pick(2, 1, 1, 1).alias("materiality")).distinct()
 
 
 def event_calendar(spark, sf_dir):
@@ -86,7 +87,7 @@ def car_t_stats(spark, sf_dir):
 
 @query()
 def car_bootstrap(spark, sf_dir):
-    return events.car_bootstrap(events.car(_abnormal(spark, sf_dir), study_events(spark, sf_dir)), n_boot=200)
+    return events.car_bootstrap(events.car(_abnormal(spark, sf_dir), study_events(spark, sf_dir)))
 
 
 @query("""WITH d AS (SELECT e.symbol, e.knowable_date, a.ar, sum(a.ar) OVER w AS drift, count(*) OVER w AS n FROM abnormal a LEFT JOIN (SELECT DISTINCT symbol, knowable_date FROM study_events WHERE category = 'earnings_result') e ON e.symbol = a.symbol AND e.knowable_date = a.trade_date
@@ -100,7 +101,7 @@ def pead_quintiles(spark, sf_dir):
     return events.quintiles(wide).groupBy("quintile").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("ar")).alias("day0"), rounded(F.avg("drift")).alias("drift"))
 
 
-_FEATURES = """WITH ev AS (SELECT symbol, knowable_date, category, direction, materiality FROM study_events), grid AS (SELECT symbol, trade_date FROM bars JOIN weekly USING (trade_date) WHERE symbol <= 10),
+_FEATURES = """WITH ev AS (SELECT symbol, knowable_date, category, direction, materiality FROM study_events), grid AS (SELECT symbol, trade_date FROM bars JOIN weekly USING (trade_date)),
     m AS (SELECT DISTINCT symbol, knowable_date + 14 AS meeting_date, knowable_date AS known_date FROM ev WHERE category = 'earnings_result'),
     le AS (SELECT e.symbol, e.knowable_date AS event_date, coalesce(a.ar, 0.0) AS last_event_ar FROM (SELECT DISTINCT symbol, knowable_date FROM ev) e LEFT JOIN abnormal a ON a.symbol = e.symbol AND a.trade_date = e.knowable_date),
     g AS (SELECT grid.*, le.event_date, le.last_event_ar FROM grid ASOF LEFT JOIN le ON grid.symbol = le.symbol AND grid.trade_date >= le.event_date),
@@ -119,7 +120,7 @@ def event_features_full(spark, sf_dir):
     from ..functions.temporal import weekly_grid
 
     b = views.bars(spark, sf_dir)
-    grid = b.select("symbol", "trade_date").where("symbol <= 10").join(weekly_grid(sessions(b)), "trade_date", "left_semi")
+    grid = b.select("symbol", "trade_date").join(weekly_grid(sessions(b)), "trade_date", "left_semi")
     e = study_events(spark, sf_dir)
     m = e.where("category = 'earnings_result'").select("symbol", F.date_add("knowable_date", 14).alias("meeting_date"), F.col("knowable_date").alias("known_date")).distinct()
     f = events.event_features(grid, e, m, _abnormal(spark, sf_dir))
@@ -137,12 +138,42 @@ def fiscal_years(spark, sf_dir):
     return views.read(spark, sf_dir, "orders").groupBy(fiscal_year("o_orderdate").alias("fy")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_POS, _NEG = (", ".join(f"'{w}'" for w in x) for x in (events.POSITIVE, events.NEGATIVE))
+_LEXICON = "MAP {" + ", ".join(f"'{w}': {v}" for v, words in events.LEXICON.items() for w in words.split()) + "}"
+TABLES["sentiment_index"] = f"""WITH w AS (SELECT announced_at, list_filter(string_split_regex(lower(coalesce(subject, '')), '[^a-z-]+'), lambda x: x <> '') AS words FROM order_announcements),
+    v AS (SELECT CAST(announced_at AS DATE) + CASE WHEN hour(announced_at) * 60 + minute(announced_at) >= 930 THEN 1 ELSE 0 END AS day, CASE WHEN len(words) = 0 THEN 0.0 ELSE list_sum(list_transform(words, lambda x: coalesce({_LEXICON}[x], 0.0))) / len(words) END AS s FROM w),
+    d AS (SELECT day, avg(s) AS sentiment, count(*) AS n FROM v GROUP BY day)
+    SELECT x.trade_date, avg(sentiment) AS sentiment, CAST(sum(n) AS BIGINT) AS n FROM d ASOF JOIN sessions x ON d.day <= x.trade_date GROUP BY x.trade_date"""
+TABLES["sentiment_rows"] = """SELECT trade_date, n, sentiment, sent_5d, sent_med, fwd1, fwd5, sent_5d > sent_med AS risk_on FROM (
+    SELECT *, CASE WHEN count(sent_5d) OVER w = 252 THEN list_sort(list(sent_5d) OVER w)[127] END AS sent_med, lead(mret) OVER o AS fwd1, lead(level, 5) OVER o / level - 1 AS fwd5 FROM (
+    SELECT *, CASE WHEN count(*) OVER w5 = 5 THEN avg(coalesce(sentiment, 0.0)) OVER w5 END AS sent_5d FROM (SELECT trade_date, mret, product(1 + mret) OVER (ORDER BY trade_date) AS level FROM (SELECT trade_date, mret * 0.01 AS mret FROM market)) LEFT JOIN sentiment_index USING (trade_date)
+    WINDOW w5 AS (ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WINDOW o AS (ORDER BY trade_date), w AS (ORDER BY trade_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) WHERE sent_5d IS NOT NULL AND sent_med IS NOT NULL AND fwd1 IS NOT NULL"""
 
 
-@query(f"""WITH t AS (SELECT knowable_date AS trade_date, string_split_regex(lower(subject), '\\s+') AS w FROM knowable), d AS (SELECT trade_date, avg((len(list_filter(w, lambda x: x IN ({_POS}))) - len(list_filter(w, lambda x: x IN ({_NEG}))))::DOUBLE / len(w)) AS sentiment, count(*) AS n FROM t GROUP BY trade_date),
-    m AS (SELECT *, CASE WHEN count(*) OVER w5 = 5 THEN avg(sentiment) OVER w5 END AS mean FROM d WINDOW w5 AS (ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
-    SELECT trade_date, n, round(sentiment, 8) + 0.0 AS sentiment, round(mean, 8) + 0.0 AS mean, coalesce(mean >= quantile_cont(mean, 0.5) OVER (ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), true) AS risk_on FROM m""")
+def _sentiment(spark, sf_dir):
+    """The market's price series and the sentiment index of announcements along it."""
+    b = views.bars(spark, sf_dir)
+    m = views.market(views.returns(b)).select("trade_date", (F.col("mret") * 0.01).alias("ret"))
+    prices = m.withColumn("level", F.product(1 + F.col("ret")).over(Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)))  # one row a session
+    return prices, events.daily_sentiment(views.order_announcements(spark, sf_dir), sessions(b))
+
+
+@query("SELECT trade_date, n, round(sentiment, 8) + 0.0 AS sentiment FROM sentiment_index")
+def sentiment_daily(spark, sf_dir):
+    return _sentiment(spark, sf_dir)[1].select("trade_date", "n", rounded("sentiment", 8).alias("sentiment"))
+
+
+@query("SELECT trade_date, n, round(sent_5d, 8) + 0.0 AS sent_5d, round(sent_med, 8) + 0.0 AS sent_med, round(fwd1, 8) + 0.0 AS fwd1, round(fwd5, 8) + 0.0 AS fwd5 FROM sentiment_rows")
 def sentiment_roll_gate(spark, sf_dir):
-    d = _known(spark, sf_dir).groupBy(F.col("knowable_date").alias("trade_date")).agg(F.avg(events.sentiment(F.col("subject"))).alias("sentiment"), F.count(F.lit(1)).alias("n"))
-    return events.sentiment_gate(d).select("trade_date", "n", rounded("sentiment", 8).alias("sentiment"), rounded("mean", 8).alias("mean"), "risk_on")
+    g = events.sentiment_gate(*_sentiment(spark, sf_dir))
+    return g.select("trade_date", "n", *[rounded(c, 8).alias(c) for c in ("sent_5d", "sent_med", "fwd1", "fwd5")])
+
+
+@query("""WITH r AS (SELECT *, CASE WHEN sent_5d - sent_med > 1e-12 THEN 1.0 ELSE 0.0 END AS pos FROM sentiment_rows), c AS (SELECT *, coalesce(lag(pos) OVER (ORDER BY trade_date), 0) AS was, lag(trade_date) OVER (ORDER BY trade_date) IS NULL AS first FROM r),
+    x AS (SELECT *, pos * fwd1 - CASE WHEN pos > was THEN 0.0012 WHEN pos < was THEN 0.001 ELSE 0 END AS gated, fwd1 - CASE WHEN first THEN 0.0012 ELSE 0 END AS always FROM c), f AS (SELECT count(*) AS n_days, corr(sent_5d, fwd1) AS ic1, corr(sent_5d, fwd5) FILTER (WHERE fwd5 IS NOT NULL) AS ic5,
+    avg(gated) / stddev_samp(gated) * sqrt(252.0) AS g, avg(always) / stddev_samp(always) * sqrt(252.0) AS a, avg(pos) AS t FROM x)
+    SELECT n_days, (SELECT count(*) FROM sentiment_index) AS coverage_days, round(ic1, 6) + 0.0 AS ic_next_day, round(ic5, 6) + 0.0 AS ic_next_5d, round(g, 6) + 0.0 AS gated_sharpe, round(a, 6) + 0.0 AS always_long_sharpe, round(g - a, 6) + 0.0 AS gated_minus_always, round(t, 6) + 0.0 AS time_in_market FROM f""")
+def sentiment_study(spark, sf_dir):
+    prices, index = _sentiment(spark, sf_dir)
+    gate = events.sentiment_gate(prices, index).withColumn("risk_on", F.col("sent_5d") - F.col("sent_med") > 1e-12)  # equal means that were summed in another order
+    s = events.sentiment_study(gate, index, buy=0.0012, sell=0.001)
+    return s.select("n_days", "coverage_days", *[rounded(c).alias(c) for c in ("ic_next_day", "ic_next_5d", "gated_sharpe", "always_long_sharpe", "gated_minus_always", "time_in_market")])

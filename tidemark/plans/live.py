@@ -20,10 +20,10 @@ def month_spine(spark, sf_dir):
     return live.month_spine(views.bars(spark, sf_dir).agg(F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi")), "lo", "hi")
 
 
-@query("""WITH s AS (SELECT DISTINCT o_custkey % 10 + 1 AS symbol, CAST(o_orderdate AS DATE) AS sample_date FROM orders WHERE o_orderkey % 50 = 0)
+@query("""WITH s AS (SELECT DISTINCT symbol, CAST(o_orderdate AS DATE) AS sample_date FROM order_symbols)
     SELECT s.symbol, s.sample_date, b.trade_date, round(b.close, 8) AS close FROM s ASOF JOIN bars b ON s.symbol = b.symbol AND s.sample_date <= b.trade_date WHERE b.trade_date - s.sample_date <= 7""")
 def spot_sample_tolerance(spark, sf_dir):
-    s = views.read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select((F.col("o_custkey") % 10 + 1).alias("symbol"), F.to_date("o_orderdate").alias("sample_date")).distinct()
+    s = views.read(spark, sf_dir, "orders").select(views.order_symbol(spark, sf_dir).alias("symbol"), F.to_date("o_orderdate").alias("sample_date")).distinct()
     return live.sample_within(s, views.bars(spark, sf_dir)).select("symbol", "sample_date", "trade_date", rounded("close", 8).alias("close"))
 
 
@@ -83,10 +83,11 @@ def weekly_divergence(spark, sf_dir):
     return live.divergence(log, s).select("week", "days", *[rounded(c).alias(c) for c in ("live", "research", "gap")])
 
 
-@query("""SELECT count(*) FILTER (WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0) AS clean_sessions, count(*) FILTER (WHERE o_orderkey % 5 <> 0) AS reconciled_days, count(*) FILTER (WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0) >= 30 AS enough_clean, count(*) FILTER (WHERE o_orderkey % 5 <> 0) >= 5 AS enough_reconciled FROM orders WHERE o_custkey = 7""")
+@query("""SELECT o_custkey AS desk, count(*) FILTER (WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0) AS clean_sessions, count(*) FILTER (WHERE o_orderkey % 5 <> 0) AS reconciled_days, count(*) FILTER (WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0) >= 30 AS enough_clean, count(*) FILTER (WHERE o_orderkey % 5 <> 0) >= 5 AS enough_reconciled FROM orders GROUP BY 1""")
 def go_live_checklist(spark, sf_dir):
-    log = views.read(spark, sf_dir, "orders").where("o_custkey = 7").select(F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0).alias("orders_rejected"), (F.col("o_orderkey") % 5 != 0).alias("reconcile_ok"))
-    return live.checklist(log)
+    """Each customer's orders are the run log of a desk."""
+    log = views.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("desk"), F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0).alias("orders_rejected"), (F.col("o_orderkey") % 5 != 0).alias("reconcile_ok"))
+    return live.checklist(log, "desk")
 
 
 @query("""WITH d AS (SELECT trade_date, quantile_cont(abs(ret) / (traded_value + 1.0), 0.5) AS median FROM rets WHERE ret IS NOT NULL GROUP BY trade_date), l AS (SELECT trade_date, CASE WHEN count(*) OVER w = 21 THEN avg(median) OVER w END AS level FROM d WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW))
@@ -107,12 +108,12 @@ def counterfactual_rewards(spark, sf_dir):
     return live.action_rewards(p).select("action", "trade_date", rounded("reward", 8).alias("reward"))
 
 
-_CANDIDATES = ["turnover_trend", "pullback_in_trend"]
+_CANDIDATES = ["turnover_shock_5d", "rev_gap_2d"]
 
 
-@query("""WITH f AS (SELECT symbol, trade_date, CASE WHEN count(*) OVER w5 = 5 AND count(*) OVER w63 = 63 THEN avg(traded_value) OVER w5 / nullif(avg(traded_value) OVER w63, 0) END AS turnover_trend,
-    -(close / lag(close, 2) OVER w - 1) + 0.05 * (close / lag(close, 126) OVER w - 1) AS pullback_in_trend FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY trade_date), w5 AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), w63 AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)),
-    c AS (SELECT 'turnover_trend' AS name, symbol, trade_date, turnover_trend AS x FROM f UNION ALL SELECT 'pullback_in_trend', symbol, trade_date, pullback_in_trend FROM f), b AS (SELECT c.*, l.label FROM c JOIN labels5 l USING (symbol, trade_date) WHERE x IS NOT NULL AND label IS NOT NULL),
+@query("""WITH f AS (SELECT symbol, trade_date, CASE WHEN count(*) OVER w5 = 5 AND count(*) OVER w63 = 63 THEN avg(traded_value) OVER w5 / (avg(traded_value) OVER w63 + 1.0) END AS turnover_shock_5d,
+    -(CASE WHEN count(ret) OVER w2 = 2 THEN avg(ret) OVER w2 END) + 0.05 * CASE WHEN count(ret) OVER w126 = 126 THEN avg(ret) OVER w126 END AS rev_gap_2d FROM rets WINDOW w2 AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), w126 AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 125 PRECEDING AND CURRENT ROW), w5 AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), w63 AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)),
+    c AS (SELECT 'turnover_shock_5d' AS name, symbol, trade_date, turnover_shock_5d AS x FROM f UNION ALL SELECT 'rev_gap_2d', symbol, trade_date, rev_gap_2d FROM f), b AS (SELECT c.*, l.label FROM c JOIN labels5 l USING (symbol, trade_date) WHERE x IS NOT NULL AND label IS NOT NULL),
     r AS (SELECT name, trade_date, rank() OVER (PARTITION BY name, trade_date ORDER BY x) + (count(*) OVER (PARTITION BY name, trade_date, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY name, trade_date ORDER BY label) + (count(*) OVER (PARTITION BY name, trade_date, label) - 1) / 2.0 AS b FROM b),
     d AS (SELECT name, trade_date, CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS ic FROM r GROUP BY name, trade_date HAVING count(*) >= 10)
     SELECT name, count(ic) AS days, round(avg(ic), 6) + 0.0 AS mean_ic, round(avg(ic) / stddev_samp(ic) * sqrt(count(ic)), 4) + 0.0 AS t FROM d GROUP BY name""")
@@ -124,7 +125,10 @@ def screen_candidates(spark, sf_dir):
     return live.screen(c, features.forward_return_z(b)).select("name", "days", rounded("mean_ic").alias("mean_ic"), rounded("t", 4).alias("t"))
 
 
-@query(f"SELECT symbol, trade_date, {', '.join(f'round(coalesce((CAST({c} AS DOUBLE) - avg({c}) OVER d) / (stddev_samp({c}) OVER d + 1e-12), 0), 3) + 0.0 AS {c}' for c in ('n_events_63d', 'n_pledge_63d'))} FROM ({ORACLE_SQL['event_features_full']}) WINDOW d AS (PARTITION BY trade_date)")
+_EVENT_COLUMNS = ["days_since_event", "days_since_earnings", "last_event_ar", "n_events_63d", "n_negative_63d", "n_positive_63d", "n_pledge_63d", "n_litigation_63d", "days_to_board_meeting"]
+
+
+@query(f"SELECT symbol, trade_date, {', '.join(f'round(coalesce((CAST({c} AS DOUBLE) - avg({c}) OVER d) / (stddev_samp({c}) OVER d + 1e-12), 0), 3) + 0.0 AS {c}' for c in _EVENT_COLUMNS)} FROM ({ORACLE_SQL['event_features_full']}) WINDOW d AS (PARTITION BY trade_date)")
 def event_features_normalised(spark, sf_dir):
-    f = events.normalise(event_features_full(spark, sf_dir).select("symbol", "trade_date", "n_events_63d", "n_pledge_63d"))
-    return f.select("symbol", "trade_date", rounded("n_events_63d", 3).alias("n_events_63d"), rounded("n_pledge_63d", 3).alias("n_pledge_63d"))
+    f = events.normalise(event_features_full(spark, sf_dir))
+    return f.select("symbol", "trade_date", *[rounded(c, 3).alias(c) for c in _EVENT_COLUMNS])

@@ -10,10 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.views import SUBJECTS
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+_SUBJECTS = "[" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in SUBJECTS) + "]"
+
 #: Shared table expressions of the oracles; each may use those above it.
 TABLES = {
     "bars": """SELECT symbol, trade_date, arg_min(u, k) AS open, max(u) AS high, min(u) AS low, arg_max(u, k) AS close,
@@ -32,12 +36,10 @@ TABLES = {
         WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)) WHERE score IS NOT NULL""",
     "strategy": """SELECT trade_date, avg(ret) AS r FROM (SELECT r.*, m.score, row_number() OVER (PARTITION BY r.trade_date ORDER BY m.score DESC, r.symbol) AS n
         FROM rets r JOIN momentum m USING (symbol, trade_date) WHERE r.ret IS NOT NULL) WHERE n <= 5 GROUP BY trade_date""",
-    "announcements": """SELECT event_id, user_id % 40 AS symbol, ts AS announced_at, CASE event_type
-        WHEN 'purchase' THEN CASE WHEN value > 50 THEN 'Bags order worth Rs 50 crore from a state utility' ELSE 'Company wins contract for supply of equipment' END
-        WHEN 'view' THEN CASE WHEN value > 50 THEN 'Financial Results for the quarter ended March' ELSE 'Declaration of interim dividend' END
-        WHEN 'click' THEN CASE WHEN value > 50 THEN 'Creation of pledge of shares by promoters' ELSE 'Resignation of independent director' END
-        WHEN 'error' THEN CASE WHEN value > 50 THEN 'Intimation of credit rating upgrade' ELSE 'Receipt of tax demand order under GST' END
-        WHEN 'signup' THEN CASE WHEN value > 50 THEN 'Scheme of amalgamation with subsidiary' ELSE 'General update to shareholders' END END AS subject FROM events""",
+    "announcements": f"SELECT event_id, user_id % 40 AS symbol, ts AS announced_at, ({_SUBJECTS})[CAST(event_id % {len(SUBJECTS)} AS INTEGER) + 1] AS subject FROM events",
+    "order_symbols": "SELECT *, o_custkey % (SELECT max(s_suppkey) + 1 FROM supplier) AS symbol FROM orders",
+    "order_announcements": f"""SELECT o_orderkey AS event_id, symbol, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_minutes(CAST(o_orderkey * 37 % 1440 AS INTEGER)) AS announced_at,
+        ({_SUBJECTS})[CAST(o_orderkey % {len(SUBJECTS)} AS INTEGER) + 1] AS subject FROM order_symbols""",
 }
 
 
