@@ -61,18 +61,23 @@ def canonicalise(frame: DataFrame, renames: list[tuple[str, str, date]], on: str
     return frame.join(F.broadcast(table), hit, "left").withColumn("canon_symbol", F.coalesce("_canon", "symbol")).drop("_s", "_from", "_to", "_canon")  # at most renames x dates rows
 
 
+#: How subjects of any era state a bonus, a split and the events whose factor shows in prices only.
+BONUS = r"(?i)\bbonus\b\D{0,8}?(\d+)\s*:\s*(\d+)"
+SPLIT = r"(?i)\bsplit\b\D*?(\d+(?:\.\d+)?)\D*?\bto\b\D*?(\d+(?:\.\d+)?)"
+GAP = r"(?i)\b(demerger|rights|capital reduction|scheme of arrangement)\b"
+
+
 def expected_factor(subject: Column) -> Column:
-    """The price factor that a subject declares: bonus a:b gives b / (a + b), a split from x to y gives y / x; null unless below 1."""
+    """The price factor that a subject declares: bonus a:b gives b / (a + b), a split from x down to y gives y / x; null unless below 1."""
     number = lambda p, g: F.nullif(F.regexp_extract(subject, p, g), F.lit("")).cast("double")
-    bonus, split = r"(?i)bonus\D*?(\d+)\s*:\s*(\d+)", r"(?i)split.*?from\D*?(\d+(?:\.\d+)?).*?to\D*?(\d+(?:\.\d+)?)"
-    a, b, x, y = number(bonus, 1), number(bonus, 2), number(split, 1), number(split, 2)
-    factor = F.coalesce(safe_div(b, a + b), F.lit(1.0)) * F.coalesce(safe_div(y, x), F.lit(1.0))
-    return F.when((factor < 1) & (factor > 0), factor)
+    a, b, x, y = number(BONUS, 1), number(BONUS, 2), number(SPLIT, 1), number(SPLIT, 2)
+    factor = F.when((a > 0) & (b > 0), b / (a + b)).otherwise(1.0) * F.when((x > 0) & (y > 0) & (y < x), y / x).otherwise(1.0)
+    return F.when(factor < 1, factor)
 
 
 def is_gap(subject: Column) -> Column:
     """Subjects whose factor must be observed."""
-    return F.coalesce(subject.rlike(r"(?i)demerger|rights|capital reduction|scheme of"), F.lit(False))
+    return F.coalesce(subject.rlike(GAP), F.lit(False))
 
 
 def declared_factors(ca: DataFrame) -> DataFrame:
@@ -106,19 +111,49 @@ def snap(panel: DataFrame, events: DataFrame) -> DataFrame:
     return hit.groupBy("symbol", "trade_date").agg(F.product("factor").alias("factor"))
 
 
-def gate(panel: DataFrame, snapped: DataFrame) -> DataFrame:
-    """The snapped factors with `rejected`: a material factor that the day's move contradicts. An unknown move passes."""
-    priced = panel.select("symbol", "trade_date", "close", shift("close", 1).alias("prev_close"))
+def _gated(priced: DataFrame) -> DataFrame:
+    """Rows with close, prev_close and factor get ratio and `rejected`: a material factor that the day's move contradicts."""
     ratio = safe_div(safe_div("close", F.when(F.col("prev_close") > 0, F.col("prev_close"))), "factor")
     material = (F.col("factor") < MATERIAL[0]) | (F.col("factor") > MATERIAL[1])
-    return snapped.join(priced, ["symbol", "trade_date"]).withColumn("ratio", ratio).withColumn("rejected", F.coalesce(material & ((F.col("ratio") > PLAUSIBLE[1]) | (F.col("ratio") < PLAUSIBLE[0])), F.lit(False)))
+    return priced.withColumn("ratio", ratio).withColumn("rejected", F.coalesce(material & ((F.col("ratio") > PLAUSIBLE[1]) | (F.col("ratio") < PLAUSIBLE[0])), F.lit(False)))
 
 
-def adjust(panel: DataFrame, events: DataFrame) -> DataFrame:
+def gate(panel: DataFrame, snapped: DataFrame) -> DataFrame:
+    """The snapped factors with `rejected`: a material factor that the day's move contradicts. An unknown move passes."""
+    priced = panel.select("symbol", "trade_date", "close", shift("close", 1).alias("prev_close"))
+    return _gated(snapped.join(priced, ["symbol", "trade_date"]))
+
+
+def with_declared(panel: DataFrame, declared: DataFrame) -> DataFrame:
+    """The panel's rows with prev_close and the factor that takes effect there (null without one), from declared actions (symbol, ex_date,
+    subject): what combine, gap_factors and snap give, by one exchange of bars and actions by symbol.
+
+    Bars and actions of a symbol are one sorted frame. Each action learns the next session, its open and the close before; observed factors
+    take that session as their ex-date, and win over what is declared for it."""
+    acts = declared.dropDuplicates(["symbol", "ex_date", "subject"]).withColumns({"_f": expected_factor(F.col("subject")), "_g": is_gap(F.col("subject"))}).where("_f is not null or _g")
+    acts = acts.groupBy("symbol", F.col("ex_date").alias("trade_date")).agg(F.product("_f").alias("_f"), F.max("_g").alias("_g"))
+    own = panel.columns
+    bar = F.struct(*own, shift("close", 1).alias("prev_close"))
+    bars = panel.select("symbol", "trade_date", F.lit(0).alias("_side"), bar.alias("_bar"))
+    shape = bars.schema["_bar"].dataType
+    both = bars.withColumns({"_f": F.lit(None).cast("double"), "_g": F.lit(False)}).unionByName(acts.select("symbol", "trade_date", F.lit(1).alias("_side"), F.lit(None).cast(shape).alias("_bar"), "_f", "_g"))
+    ahead = Window.partitionBy("symbol").orderBy(F.desc("trade_date"), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_next", F.last(F.when(F.col("_side") == 0, F.struct(F.col("_bar.trade_date").alias("day"), safe_div("_bar.open", "_bar.prev_close").alias("gap"))), ignorenulls=True).over(ahead))
+    seen = seen.withColumn("_gap", F.when(F.col("_g") & (F.col("_next.gap") > 0) & (F.col("_next.gap") < GAP_BELOW), F.col("_next.gap")))
+    # per session: its observed factor once, and declared ones but for those dated on a session that has an observed one
+    one = Window.partitionBy("symbol", F.coalesce("_bar.trade_date", "_next.day"))
+    day = seen.withColumns({"_observed": F.max("_gap").over(one)})
+    told = F.when((F.col("_side") == 1) & ~(F.col("_observed").isNotNull() & (F.col("trade_date") == F.col("_next.day"))), F.col("_f"))
+    product = F.product(told).over(one)
+    factor = F.when(product.isNotNull() | F.col("_observed").isNotNull(), F.coalesce(product, F.lit(1.0)) * F.coalesce("_observed", F.lit(1.0)))
+    return day.withColumn("_factor", factor).where("_side = 0").select("_bar.*", F.col("_factor").alias("factor"))
+
+
+def adjust(panel: DataFrame, declared: DataFrame) -> DataFrame:
     """The panel with cum_adj_factor, the product of accepted factors strictly after each row, and adjusted prices and volume."""
-    kept = gate(panel, snap(panel, events)).where("not rejected").select("symbol", "trade_date", "factor")
+    kept = _gated(with_declared(panel, declared)).withColumn("_kept", F.when(F.col("factor").isNotNull() & ~F.col("rejected"), F.col("factor")).otherwise(1.0))
     after = by_symbol().rowsBetween(1, Window.unboundedFollowing)
-    joined = panel.join(kept, ["symbol", "trade_date"], "left").withColumn("cum_adj_factor", F.coalesce(F.product(F.coalesce("factor", F.lit(1.0))).over(after), F.lit(1.0)))
+    joined = kept.withColumn("cum_adj_factor", F.coalesce(F.product("_kept").over(after), F.lit(1.0)))
     return joined.select(*panel.columns, "cum_adj_factor", *[(F.col(c) * F.col("cum_adj_factor")).alias(f"adj_{c}") for c in ("open", "high", "low", "close")], (F.col("volume") / F.col("cum_adj_factor")).alias("adj_volume"))
 
 

@@ -11,9 +11,9 @@ from ..operators import actions
 from ..sources import views
 from .registry import TABLES, query
 
-TABLES["ca"] = """SELECT o_custkey % 10 + 1 AS symbol, CAST(o_orderdate AS DATE) AS ex_date, CASE o_orderkey % 5
+TABLES["ca"] = """SELECT symbol, CAST(o_orderdate AS DATE) AS ex_date, CASE o_orderkey % 40
     WHEN 0 THEN 'Bonus ' || CAST(o_orderkey % 3 + 1 AS VARCHAR) || ':' || CAST(o_orderkey % 7 + 1 AS VARCHAR) WHEN 1 THEN 'Face Value Split From Rs 10/- To Rs 9/- Per Share'
-    WHEN 2 THEN 'Rights 1:5 @ Premium Rs 20' WHEN 3 THEN 'Interim Dividend - Rs 2 Per Share' ELSE 'Demerger' END AS subject FROM orders WHERE o_orderkey % 40 < 5"""
+    WHEN 2 THEN 'Rights 1:5 @ Premium Rs 20' WHEN 3 THEN 'Demerger' ELSE 'Interim Dividend - Rs 2 Per Share' END AS subject FROM order_symbols"""
 TABLES["ca_parsed"] = """SELECT symbol, ex_date, product(factor) AS factor FROM (SELECT DISTINCT symbol, ex_date, subject,
     CASE WHEN subject LIKE 'Bonus%' THEN CAST(regexp_extract(subject, ':(\\d+)', 1) AS DOUBLE) / (CAST(regexp_extract(subject, '(\\d+):', 1) AS DOUBLE) + CAST(regexp_extract(subject, ':(\\d+)', 1) AS DOUBLE))
     WHEN subject LIKE '%Split%' THEN 0.9::DOUBLE END AS factor FROM ca) WHERE factor IS NOT NULL GROUP BY symbol, ex_date"""
@@ -26,11 +26,10 @@ TABLES["ca_gated"] = """SELECT *, coalesce((factor < 0.8 OR factor > 1.25) AND (
 
 
 def declared(spark, sf_dir):
-    o = views.read(spark, sf_dir, "orders").where("o_orderkey % 40 < 5")
     text = lambda n, d: (F.col("o_orderkey") % n + d).cast("string")
-    kind = F.col("o_orderkey") % 5
-    subject = F.when(kind == 0, F.concat(F.lit("Bonus "), text(3, 1), F.lit(":"), text(7, 1))).when(kind == 1, "Face Value Split From Rs 10/- To Rs 9/- Per Share").when(kind == 2, "Rights 1:5 @ Premium Rs 20").when(kind == 3, "Interim Dividend - Rs 2 Per Share").otherwise("Demerger")
-    return o.select((F.col("o_custkey") % 10 + 1).alias("symbol"), F.to_date("o_orderdate").alias("ex_date"), subject.alias("subject"))
+    kind = F.col("o_orderkey") % 40
+    subject = F.when(kind == 0, F.concat(F.lit("Bonus "), text(3, 1), F.lit(":"), text(7, 1))).when(kind == 1, "Face Value Split From Rs 10/- To Rs 9/- Per Share").when(kind == 2, "Rights 1:5 @ Premium Rs 20").when(kind == 3, "Demerger").otherwise("Interim Dividend - Rs 2 Per Share")
+    return views.read(spark, sf_dir, "orders").select(views.order_symbol(spark, sf_dir).alias("symbol"), F.to_date("o_orderdate").alias("ex_date"), subject.alias("subject"))
 
 
 def _events(spark, sf_dir):
@@ -80,7 +79,7 @@ def ca_plausibility_rejects(spark, sf_dir):
     SELECT symbol, trade_date, round(ln(cum), 6) + 0.0 AS log_factor, round(ln(close * cum), 6) + 0.0 AS log_adj_close, round(ln(volume / cum), 6) + 0.0 AS log_adj_volume FROM c""")
 def adjusted_panel(spark, sf_dir):
     """Backward-adjusted bars, as logarithms since products of many factors span magnitudes."""
-    a = actions.adjust(*_events(spark, sf_dir))
+    a = actions.adjust(views.bars(spark, sf_dir), declared(spark, sf_dir))
     return a.select("symbol", "trade_date", rounded(F.log("cum_adj_factor")).alias("log_factor"), rounded(F.log("adj_close")).alias("log_adj_close"), rounded(F.log("adj_volume")).alias("log_adj_volume"))
 
 
