@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import TRADING_DAYS, cost_rate, rolling, safe_div
 from ..functions.temporal import sessions
+from ..stages import Stage
 
 
 def average_volume(panel: DataFrame) -> DataFrame:
@@ -26,38 +27,47 @@ def top_n(signal: DataFrame, universe: DataFrame, grid: DataFrame, n: int = 25)
     return picks.select(F.col("trade_date").alias("rebalance_date"), "symbol", "score", (1.0 / F.count(F.lit(1)).over(Window.partitionBy("trade_date"))).alias("weight"))
 
 
-def book(panel: DataFrame, targets: DataFrame, *, lag: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(paths, spans): each target's value by session after its execution, and the executions.
+def book(panel: DataFrame, targets: DataFrame, calendar: DataFrame, *, lag: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(paths, spans, dated): each target's value by session after its execution, the executions, and the targets with theirs.
 
-    paths: k, symbol, idx, weight, value; spans: k (the execution's session), until (the next one's, or the last session)."""
-    cal = sessions(panel)
-    dated = targets.join(cal.withColumnRenamed("trade_date", "rebalance_date"), "rebalance_date").withColumn("k", F.col("idx") + lag).drop("idx")
-    last = cal.agg(F.max("idx").alias("last"))
+    paths: k, until, symbol, idx, weight, adv, value; spans: k (the execution's session), until (the next one's, or the last session). All but
+    the panel are short: rows a rebalance times names of a book."""
+    dated = targets.join(calendar.withColumnRenamed("trade_date", "rebalance_date"), "rebalance_date").withColumn("k", F.col("idx") + lag).drop("idx")
+    last = calendar.agg(F.max("idx").alias("last"))
     spans = dated.select("k").distinct().join(F.broadcast(last)).where("k <= last").withColumn("until", F.coalesce(F.lead("k").over(Window.orderBy("k")), F.col("last"))).drop("last")  # one row a rebalance
-    held = dated.join(spans, "k")
-    days = held.where("until > k").withColumn("idx", F.explode(F.sequence(F.col("k") + 1, F.col("until"))))
-    moves = panel.join(cal, "trade_date").select("symbol", "idx", "ret")
+    days = dated.join(spans, "k").where("until > k").withColumn("idx", F.explode(F.sequence(F.col("k") + 1, F.col("until"))))
+    moves = panel.select("symbol", "trade_date", "ret").join(calendar, "trade_date").select("symbol", "idx", "ret")
     path = Window.partitionBy("k", "symbol").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     paths = days.join(moves, ["symbol", "idx"], "left").withColumn("value", F.col("weight") * F.product(1 + F.coalesce("ret", F.lit(0.0))).over(path))
-    return paths.select("k", "symbol", "idx", "weight", "adv", "value"), spans
+    return paths.select("k", "until", "symbol", "idx", "weight", "adv", "value"), spans, dated
 
 
 def run(panel: DataFrame, targets: DataFrame, *, lag: int = 1, capital: float = 2.5e6, impact_multiplier: float = 1.0, market: str = "delivery") -> DataFrame:
-    """Daily results: trade_date, gross_return, cost, net_return, turnover. targets: rebalance_date, symbol, weight, adv."""
-    paths, spans = book(panel, targets, lag=lag)
+    """Daily results: trade_date, gross_return, cost, net_return, turnover. targets: rebalance_date, symbol, weight, adv.
+
+    The calendar, the dated targets and their paths are written once, as several steps use each."""
+    stage = Stage(panel.sparkSession, "backtest")
+    calendar = stage.write(sessions(panel))
+    kept = stage.write(targets.select("rebalance_date", "symbol", "weight", "adv"))
+    paths, spans, dated = book(panel, kept, calendar, lag=lag)
+    return costed(stage.write(paths), stage.write(spans), stage.write(dated), calendar, capital=capital, impact_multiplier=impact_multiplier, market=market)
+
+
+def costed(paths: DataFrame, spans: DataFrame, dated: DataFrame, calendar: DataFrame, *, capital: float = 2.5e6, impact_multiplier: float = 1.0, market: str = "delivery") -> DataFrame:
+    """The daily results of a book. A departing name's volume is the last one known of it, from any earlier pick."""
     by_k = Window.partitionBy("k").orderBy("idx")
-    cash = targets.join(sessions(panel).withColumnRenamed("trade_date", "rebalance_date"), "rebalance_date").groupBy((F.col("idx") + lag).alias("k")).agg((1 - F.sum("weight")).alias("cash"))
-    value = paths.groupBy("k", "idx").agg(F.sum("value").alias("held")).join(cash, "k").withColumn("v", F.col("held") + F.col("cash"))
-    daily = value.withColumn("gross_return", F.col("v") / F.coalesce(F.lag("v").over(by_k), F.lit(1.0)) - 1)
-    drifted = paths.join(spans, "k").where("idx = until").join(value.select("k", "idx", "v"), ["k", "idx"]).select(F.col("idx").alias("x"), "symbol", (F.col("value") / F.col("v")).alias("was"), F.col("adv").alias("old_adv"))
-    fresh = targets.join(sessions(panel).withColumnRenamed("trade_date", "rebalance_date"), "rebalance_date").select((F.col("idx") + lag).alias("x"), "symbol", F.col("weight").alias("to"), F.col("adv").alias("new_adv"))
-    executed = spans.select(F.col("k").alias("x"))
-    trades = fresh.join(drifted, ["x", "symbol"], "full_outer").join(executed, "x", "left_semi")
+    whole = Window.partitionBy("k", "idx")
+    cash = dated.groupBy("k").agg((1 - F.sum("weight")).alias("cash"))
+    valued = paths.join(cash, "k").withColumn("v", F.sum("value").over(whole) + F.col("cash"))
+    daily = valued.groupBy("k", "idx").agg(F.first("v").alias("v")).withColumn("gross_return", F.col("v") / F.coalesce(F.lag("v").over(by_k), F.lit(1.0)) - 1)
+    drifted = valued.where("idx = until").select(F.col("idx").alias("x"), "symbol", (F.col("value") / F.col("v")).alias("was"), F.col("adv").alias("old_adv"))
+    fresh = dated.select(F.col("k").alias("x"), "symbol", F.col("weight").alias("to"), F.col("adv").alias("new_adv"))
+    trades = fresh.join(drifted, ["x", "symbol"], "full_outer").join(spans.select(F.col("k").alias("x")), "x", "left_semi")
     delta = F.coalesce("to", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))
     order, adv = F.abs(delta) * capital, F.coalesce("new_adv", "old_adv")
     rate = F.when(delta > 0, cost_rate("buy", order, adv, market=market, impact_multiplier=impact_multiplier)).otherwise(cost_rate("sell", order, adv, market=market, impact_multiplier=impact_multiplier, dp_order_value=order))
     costs = trades.groupBy(F.col("x").alias("idx")).agg(F.sum(F.abs(delta) * rate).alias("cost"), (F.sum(F.abs(delta)) / 2).alias("turnover"))
-    out = daily.select("idx", "gross_return").join(costs, "idx", "full_outer").join(sessions(panel), "idx")
+    out = daily.select("idx", "gross_return").join(costs, "idx", "full_outer").join(calendar, "idx")
     gross, cost = F.coalesce("gross_return", F.lit(0.0)), F.coalesce("cost", F.lit(0.0))
     return out.select("trade_date", gross.alias("gross_return"), cost.alias("cost"), (gross - cost).alias("net_return"), F.coalesce("turnover", F.lit(0.0)).alias("turnover"))
 

@@ -1,86 +1,15 @@
-"""The event engine: a day loop with orders, halts, price bands, next-day settlement and a cash ledger; and single-name tools.
-
-The engine's state depends on its path, so a run is one task; runs (configurations, capitals) are keyed by `run` and go side by side."""
+"""Single-name tools: causal denoising, contextual bandits and policies."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.temporal import asof_backward
 from ..workers import ship
 
-MAX_ORDER_AGE = 5
-PRICE_BAND = 0.20
-
-
-def simulate(rows: pd.DataFrame, targets: pd.DataFrame, *, capital: float, rate: float = 0.0, fractional: bool = False) -> pd.DataFrame:
-    """Daily equity of one run. rows: trade_date, symbol, close (no row: halted); targets: rebalance_date, symbol, weight.
-
-    Each day settles cash, fills queued orders at the close (sells first; a move beyond the band rejects, a name without a bar
-    carries, 2 * MAX_ORDER_AGE calendar days expire), marks the book, and queues the day's target for the next session."""
-    prices = {d: dict(zip(g["symbol"], g["close"], strict=True)) for d, g in rows.groupby("trade_date")}
-    want = {d: dict(zip(g["symbol"], g["weight"], strict=True)) for d, g in targets.groupby("rebalance_date")}
-    cash, due, held, last, queue, pending, out = capital, 0.0, {}, {}, {}, None, []
-    for day in sorted(prices):
-        px = prices[day]
-        cash, due, filled, rejected, expired = cash + due, 0.0, 0, 0, 0
-        if pending is not None:
-            equity = cash + sum(q * last[s] for s, q in held.items())
-            queue = {}
-            for s in sorted(pending.keys() | held.keys()):
-                ref = last.get(s)
-                if ref:
-                    q = (pending.get(s, 0.0) * equity - held.get(s, 0.0) * ref) / ref
-                    q = q if fractional else math.copysign(math.floor(abs(q)), q)
-                    if q:
-                        queue[s] = (q, day)
-            pending = None
-        for s, (q, since) in sorted(queue.items(), key=lambda x: (x[1][0] > 0, x[0])):
-            if s not in px:
-                if (day - since).days > 2 * MAX_ORDER_AGE:
-                    del queue[s]
-                    expired += 1
-                continue
-            del queue[s]
-            if last.get(s) and abs(px[s] / last[s] - 1) > PRICE_BAND:
-                rejected += 1
-                continue
-            if q > 0:
-                most = cash / (px[s] * (1 + rate))
-                q = min(q, most if fractional else math.floor(most))
-                cash -= q * px[s] * (1 + rate)
-            else:
-                q = -min(-q, held.get(s, 0.0))
-                due += -q * px[s] * (1 - rate)
-            held[s] = held.get(s, 0.0) + q
-            if abs(held[s]) < 1e-12:
-                del held[s]
-            filled += 1
-        last |= px
-        out.append((day, cash + due + sum(q * last[s] for s, q in held.items()), cash, due, filled, rejected, expired))
-        if day in want:
-            pending = want[day]
-    return pd.DataFrame(out, columns=["trade_date", "equity", "cash", "due", "filled", "rejected", "expired"])
-
-
-def run_engine(panel: DataFrame, targets: DataFrame, capitals: list[float], *, rate: float = 0.001) -> DataFrame:
-    """Equity by run (capital) and day."""
-    ship(panel.sparkSession)
-    runs = F.explode(F.array(*map(F.lit, capitals)))
-    rename = lambda df: df.toDF(*df.columns)  # noqa: E731  the two sides of a cogroup may stem from one table
-    a, b = panel.select("trade_date", "symbol", "close").withColumn("run", runs), targets.select("rebalance_date", "symbol", "weight").withColumn("run", runs)
-
-    def one(key, left, right):
-        out = simulate(left, right, capital=key[0], rate=rate)
-        out.insert(0, "run", key[0])
-        return out
-
-    return rename(a).groupBy("run").cogroup(rename(b).groupBy("run")).applyInPandas(one, "run double, trade_date date, equity double, cash double, due double, filled long, rejected long, expired long")
-
 
 def haar_denoise(x: np.ndarray) -> np.ndarray:
     """Soft-threshold shrinkage of Haar details with the universal threshold."""
@@ -111,10 +40,24 @@ def causal_transform(panel: DataFrame, column: str, *, window: int = 64) -> Data
     return held.select("symbol", "trade_date", column, last("_w").alias("denoised"))
 
 
-def linucb(rewards: DataFrame, arms: list[str], context: list[str], *, alpha: float = 0.3, ridge: float = 1.0, seed: int = 0) -> DataFrame:
-    """Disjoint LinUCB over a reward table (run, step, context columns, arms): the decision of a step knows earlier steps only."""
+def fixed_policy(rewards: DataFrame, arm: str) -> DataFrame:
+    """The policy that always picks one arm: (run, step, arm, reward) of a reward table."""
+    return rewards.select("run", "step", F.lit(arm).alias("arm"), F.col(arm).alias("reward"))
 
+
+def policy_returns(decisions: DataFrame, daily: DataFrame) -> DataFrame:
+    """(run, trade_date, r): the daily returns (run, arm, trade_date, r) of the arm decided (run, decided_on, arm) last before each day; 0
+    before the first decision."""
+    days = daily.select("run", "trade_date").distinct().withColumn("_before", F.date_sub("trade_date", 1))
+    held = asof_backward(days, decisions, ["run"], "_before", "decided_on", ["arm"])
+    return held.join(daily, ["run", "arm", "trade_date"], "left").select("run", "trade_date", F.coalesce("r", F.lit(0.0)).alias("r"))
+
+
+def linucb(rewards: DataFrame, arms: list[str], context: list[str], *, alpha: float = 0.3, ridge: float = 1.0) -> DataFrame:
+    """Disjoint LinUCB over a reward table (run, step, context columns, arms): the decision of a step knows earlier steps only. A run's steps
+    are learned in order by one task; runs go side by side."""
     ship(rewards.sparkSession)
+
     def one(g: pd.DataFrame) -> pd.DataFrame:
         k = len(context)
         a, b, out = {x: ridge * np.eye(k) for x in arms}, {x: np.zeros(k) for x in arms}, []
@@ -132,8 +75,8 @@ def linucb(rewards: DataFrame, arms: list[str], context: list[str], *, alpha: fl
 
 def thompson(moments: DataFrame, *, seed: int = 7) -> DataFrame:
     """One draw per arm from its reward moments (arm, n, mean, var), and the best arm; draws are seeded by arm."""
-
     ship(moments.sparkSession)
+
     @F.pandas_udf("double")
     def draw(arm: pd.Series, n: pd.Series, mean: pd.Series, var: pd.Series) -> pd.Series:
         return pd.Series([np.random.default_rng([seed, sum(map(ord, a))]).normal(m, np.sqrt(max(v, 1e-12) / max(k, 1))) for a, k, m, v in zip(arm, n, mean, var, strict=True)])

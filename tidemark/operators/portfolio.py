@@ -92,23 +92,78 @@ def violations(book: DataFrame, config: Config) -> DataFrame:
     return book.groupBy("rebalance_date").agg(*[c.alias(n) for n, c in checks.items()]).select("rebalance_date", F.explode(F.array(*[F.struct(F.lit(n).alias("constraint"), F.col(n).alias("broken")) for n in checks])).alias("c")).where("c.broken").select("rebalance_date", "c.constraint")
 
 
+NAMES_A_BLOCK = 128
+
+
+def products(returns: DataFrame) -> DataFrame:
+    """(a, b, n, x, y, xy, wxy, qq): over the days that names a <= b have in common their count and the sums of a's and b's values, of their
+    product, of w times it and of its square. returns: symbol, trade_date, x, w.
+
+    Names are dealt into blocks; a task takes two blocks, whose values are two matrices of one row a session, and multiplies them, so that
+    a row is sent once to each block and not once to each name."""
+    ship(returns.sparkSession)
+    names = returns.agg(F.count_distinct("symbol")).first()[0]
+    blocks = max(1, -(-names // NAMES_A_BLOCK))
+    own = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(j, F.col("block")).alias("lo"), F.greatest(j, F.col("block")).alias("hi"))))
+    dealt = returns.where("x is not null").withColumn("block", own).select("symbol", "trade_date", "x", "w", "block", each.alias("p")).select("symbol", "trade_date", "x", "w", "block", "p.lo", "p.hi")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        days, row = np.unique(g["trade_date"].to_numpy(), return_inverse=True)
+        symbols, column = np.unique(g["symbol"].to_numpy(), return_inverse=True)
+        values, weight = np.full((len(days), len(symbols)), np.nan), np.zeros(len(days))
+        values[row, column], weight[row] = g["x"], g["w"]
+        block = np.zeros(len(symbols), int)
+        block[column] = g["block"]
+        have, v = (~np.isnan(values)).astype(float), np.nan_to_num(values)
+        left, right = np.flatnonzero(block == g["lo"].iloc[0]), np.flatnonzero(block == g["hi"].iloc[0])
+        sums = [x[:, left].T @ y[:, right] for x, y in ((have, have), (v, have), (have, v), (v, v), (v * weight[:, None], v), (v * v, v * v))]
+        i, j = np.nonzero(sums[0])
+        a, b = symbols[left[i]], symbols[right[j]]
+        turned = a > b
+        keep = ~turned if g["lo"].iloc[0] == g["hi"].iloc[0] else np.ones(len(a), bool)
+        n, x, y, *rest = (m[i, j] for m in sums)
+        x, y = np.where(turned, y, x), np.where(turned, x, y)
+        out = pd.DataFrame({"a": np.where(turned, b, a), "b": np.where(turned, a, b), "n": n.astype(np.int64), "x": x, "y": y, **dict(zip(("xy", "wxy", "qq"), rest, strict=True))})
+        return out[keep]
+
+    kind = returns.schema["symbol"].dataType.simpleString()
+    return dealt.groupBy("lo", "hi").applyInPandas(run, f"a {kind}, b {kind}, n long, x double, y double, xy double, wxy double, qq double")
+
+
 def pair_moments(returns: DataFrame) -> DataFrame:
-    """Pairwise population covariances (a, b, n, cov) of long returns (symbol, trade_date, ret), on common days.
+    """Pairwise population covariances (a, b, n, cov) of long returns (symbol, trade_date, ret), on common days."""
+    p = products(returns.select("symbol", "trade_date", F.col("ret").alias("x"), F.lit(1.0).alias("w")))
+    return p.select("a", "b", "n", (F.col("xy") / F.col("n") - F.col("x") / F.col("n") * F.col("y") / F.col("n")).alias("cov"))
+
 
-    The pairs of names on a day are the result's own pairs: a covariance matrix has that many cells."""
-    x = returns.select("trade_date", F.col("symbol").alias("a"), F.col("ret").alias("x"))
-    y = returns.select("trade_date", F.col("symbol").alias("b"), F.col("ret").alias("y"))
-    return x.join(y, "trade_date").where("a <= b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.covar_pop("x", "y").alias("cov"))
+def demeaned(returns: DataFrame) -> DataFrame:
+    """(symbol, trade_date, x): returns less their name's mean, so that a missing one, which counts as the mean, is 0."""
+    return returns.where("ret is not null").select("symbol", "trade_date", (F.col("ret") - F.avg("ret").over(Window.partitionBy("symbol"))).alias("x"))
 
 
 def ewma_moments(returns: DataFrame, *, lam: float = 0.94) -> DataFrame:
-    """Pairwise exponentially weighted covariances around 0 (a, b, cov); age counts sessions back from the last."""
+    """Exponentially weighted covariances (a, b, cov) of demeaned returns over all sessions; age counts sessions back from the last, and
+    missing returns take their name's mean."""
     age = F.row_number().over(Window.orderBy(F.desc("trade_date"))) - 1  # one row a session
     ages = returns.select("trade_date").distinct().withColumn("w", F.pow(F.lit(lam), age))
-    r = returns.join(ages, "trade_date")
-    x = r.select("trade_date", "w", F.col("symbol").alias("a"), F.col("ret").alias("x"))
-    y = r.select("trade_date", F.col("symbol").alias("b"), F.col("ret").alias("y"))
-    return x.join(y, "trade_date").where("a <= b").groupBy("a", "b").agg((F.sum(F.col("w") * F.col("x") * F.col("y")) / F.sum("w")).alias("cov"))
+    total = ages.agg(F.sum("w").alias("total"))
+    p = products(demeaned(returns).join(ages, "trade_date"))
+    return p.join(F.broadcast(total)).select("a", "b", (F.col("wxy") / F.col("total")).alias("cov"))  # one row
+
+
+def ledoit_wolf(returns: DataFrame) -> DataFrame:
+    """Covariances (a, b, cov) shrunk towards a scaled identity (Ledoit-Wolf), with missing returns at their name's mean: the shrinkage
+    follows from sums over all pairs, which the products give."""
+    t = returns.select("trade_date").distinct().agg(F.count(F.lit(1)).alias("t"))
+    p = products(demeaned(returns).withColumn("w", F.lit(1.0))).join(F.broadcast(t))  # one row
+    s = p.select("a", "b", "t", (F.col("xy") / F.col("t")).alias("s"), (F.col("qq") / F.col("t")).alias("q"))
+    twice, same = F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0), F.col("a") == F.col("b")
+    total = s.agg(F.count_if(same).alias("p"), F.sum(F.when(same, F.col("s"))).alias("trace"), F.sum(twice * F.col("s") * F.col("s")).alias("ss"), F.sum(twice * F.col("q")).alias("qs"), F.first("t").alias("_t"))
+    mu = F.col("trace") / F.col("p")
+    d2 = F.col("ss") - F.col("p") * mu * mu
+    shrink = total.select(mu.alias("mu"), F.when(d2 > 0, F.least((F.col("qs") - F.col("ss")) / F.col("_t"), d2) / d2).otherwise(0.0).alias("shrink"))
+    return s.join(F.broadcast(shrink)).select("a", "b", (F.when(same, F.col("shrink") * F.col("mu")).otherwise(0.0) + (1 - F.col("shrink")) * F.col("s")).alias("cov"))  # one row
 
 
 def shrunk_covariance(x: np.ndarray) -> np.ndarray:
@@ -134,55 +189,111 @@ def min_variance(cov: np.ndarray, ridge: float = 1e-10) -> np.ndarray:
     return w / w.sum() if w.sum() > 0 else np.full(n, 1 / n)
 
 
-def construct(rows: DataFrame, configs: list[Config]) -> DataFrame:
-    """Path-dependent books: (config, rebalance_date, symbol, weight, prior).
+RISK_WINDOW = 252
+MIN_OBS = 63
 
-    rows: rebalance_date, symbol, vol, adv, industry, and hist, the name's trailing returns, for the names picked on each date. The
-    book of one date depends on the last, so each configuration is one task; configurations run side by side."""
+
+def risk_windows(panel: DataFrame, picks: DataFrame, calendar: DataFrame, *, window: int = RISK_WINDOW, min_obs: int = MIN_OBS) -> DataFrame:
+    """picks (rebalance_date, symbol, ...) with obs, vol and hist over the `window` sessions that end at the rebalance: hist holds (session,
+    ret) of the name's returns there; vol and hist are null under min_obs of them, for that name alone."""
+    at = calendar.select("trade_date", "idx")
+    back = Window.partitionBy("symbol").orderBy("idx").rangeBetween(-window + 1, 0)
+    rows = panel.where("ret is not null").select("symbol", "trade_date", "ret").join(at, "trade_date")
+    asked = picks.select("symbol", F.col("rebalance_date").alias("trade_date")).join(at, "trade_date").withColumn("_asked", F.lit(True))
+    both = rows.join(asked, ["symbol", "trade_date", "idx"], "full_outer")
+    obs = F.count("ret").over(back)
+    held = F.collect_list(F.when(F.col("ret").isNotNull(), F.struct("idx", "ret"))).over(back)
+    found = both.select("symbol", F.col("trade_date").alias("rebalance_date"), "_asked", obs.alias("obs"), F.when(obs >= min_obs, F.stddev_samp("ret").over(back) * F.sqrt(F.lit(252.0))).alias("vol"), F.when(obs >= min_obs, held).alias("hist"))
+    return picks.join(found.where("_asked").drop("_asked"), ["symbol", "rebalance_date"])
+
+
+def base_weights(rows: DataFrame, configs: list[Config], names: list[str]) -> DataFrame:
+    """rows, once for each configuration, with weight before any cap. Books of a date are weighted apart, so all dates go side by side;
+    a book holds top_n names at most. Names without enough history share an equal part, the others the risk model's."""
     ship(rows.sparkSession)
+    each = rows.withColumn("config", F.explode(F.array(*map(F.lit, names))))
+    by_name = dict(zip(names, configs, strict=True))
+    kind = rows.schema["symbol"].dataType.simpleString()
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        c, g = by_name[g["config"].iloc[0]], g.sort_values("symbol")
+        n, covered = len(g), g["hist"].notna().to_numpy()
+        w = np.full(n, 1 / n)
+        if c.scheme != "equal" and covered.any():
+            some = g[covered]
+            if c.scheme == "ivol":
+                inverse = 1 / some["vol"].where(some["vol"] > 0)
+                part = inverse.fillna(inverse.mean()).fillna(1.0).to_numpy()
+                part = part / part.sum()
+            else:
+                last = max(r["idx"] for h in some["hist"] for r in h)
+                x = np.full((RISK_WINDOW, len(some)), np.nan)
+                for k, h in enumerate(some["hist"]):
+                    for r in h:
+                        if (at := RISK_WINDOW - 1 - (last - r["idx"])) >= 0:
+                            x[at, k] = r["ret"]
+                part = min_variance(shrunk_covariance(x[~np.isnan(x).all(1)]))
+            w[covered] = part * covered.sum() / n
+        return pd.DataFrame({"config": g["config"].iloc[0], "rebalance_date": g["rebalance_date"].iloc[0], "symbol": g["symbol"], "weight": w})
+
+    shape = f"config string, rebalance_date date, symbol {kind}, weight double"
+    w = each.select("config", "rebalance_date", "symbol", "vol", "hist").groupBy("config", "rebalance_date").applyInPandas(run, shape)
+    return each.drop("hist", "vol").join(w, ["config", "rebalance_date", "symbol"])
+
+
+def targets(rows: DataFrame, configs: list[Config], names: list[str], realised: DataFrame) -> DataFrame:
+    """Base weights under the position cap, the sector cap and the volatility target: (config, rebalance_date, symbol, industry, adv, weight).
+    realised: trade_date, vol of the fully invested book."""
+    book = base_weights(rows.select("rebalance_date", "symbol", "vol", "adv", "industry", "hist"), configs, names)
+    n = F.count(F.lit(1)).over(Window.partitionBy("config", "rebalance_date"))
+    limit = lambda field: F.element_at(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.lit(getattr(c, field)) for c in configs])), F.col("config"))
+    book = book.withColumn("_cap", F.greatest(limit("position_cap"), 1 / n))
+    one = Window.partitionBy("config", "rebalance_date")
+    for _ in range(4):
+        room = F.greatest(F.col("_cap") - F.col("weight"), F.lit(0.0))
+        excess = F.sum(F.greatest(F.col("weight") - F.col("_cap"), F.lit(0.0))).over(one)
+        total = F.sum(room).over(one)
+        book = book.withColumn("weight", F.least(F.col("weight"), F.col("_cap")) + F.least(excess, total) * F.coalesce(safe_div(room, F.nullif(total, F.lit(0.0))), F.lit(0.0)))
+    sector = F.sum("weight").over(Window.partitionBy("config", "rebalance_date", "industry"))
+    book = book.withColumn("weight", F.when(F.col("industry").isNull(), F.col("weight")).otherwise(F.col("weight") * F.least(F.lit(1.0), safe_div(limit("sector_cap"), sector))))
+    seen = book.join(realised.select(F.col("trade_date").alias("rebalance_date"), F.col("vol").alias("_vol")), "rebalance_date", "left")
+    gross = F.coalesce(F.least(F.lit(1.0), safe_div(limit("target_vol"), F.nullif(F.col("_vol"), F.lit(0.0)))), F.lit(1.0))
+    return seen.select("config", "rebalance_date", "symbol", "industry", "adv", (F.col("weight") * gross).alias("weight"))
+
+
+def construct(rows: DataFrame, configs: list[Config], realised: DataFrame) -> DataFrame:
+    """Books (config, rebalance_date, symbol, weight, prior) from targets by the trading rule, the participation cap and a gross of 1 at most.
+
+    rows: rebalance_date, symbol, vol, adv, industry and hist of the names picked on each date (risk_windows). All that does not depend on
+    the last book is worked out by date in parallel; what carries over, a configuration's bands or partial moves, folds its targets
+    in order: top_n short rows a rebalance, however many names there are. Prior weights are the last book's, without drift."""
     names = [f"{c.scheme}_tau{c.tau:g}" for c in configs]
     by_name = dict(zip(names, configs, strict=True))
-    each = rows.withColumn("config", F.explode(F.array(*map(F.lit, names))))
+    kind = rows.schema["symbol"].dataType.simpleString()
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         name = g["config"].iloc[0]
         c, book, adv, out = by_name[name], {}, {}, []
         for day, d in g.sort_values(["rebalance_date", "symbol"]).groupby("rebalance_date"):
-            n = len(d)
-            if c.scheme == "minvar" and n > 1:
-                x = np.array([np.asarray(h, float) for h in d["hist"]]).T
-                w = min_variance(shrunk_covariance(x))
-            elif c.scheme == "ivol":
-                inv = 1 / d["vol"].where(d["vol"] > 0)
-                inv = inv.fillna(inv.mean()).fillna(1.0).to_numpy()
-                w = inv / inv.sum()
-            else:
-                w = np.full(n, 1 / n)
-            cap = max(c.position_cap, 1 / n)
-            for _ in range(10):
-                excess, room = np.clip(w - cap, 0, None).sum(), np.clip(cap - w, 0, None)
-                if excess < 1e-12 or room.sum() < 1e-12:
-                    break
-                w = np.minimum(w, cap) + min(excess, room.sum()) * room / room.sum()
-            target = dict(zip(d["symbol"], w, strict=True))
+            target = dict(zip(d["symbol"], d["weight"], strict=True))
             adv |= dict(zip(d["symbol"], d["adv"], strict=True))
             new = {}
             for s in sorted(target.keys() | book.keys()):
                 to, was = target.get(s, 0.0), book.get(s, 0.0)
-                if to > 0 and abs(to - was) < c.band * to:
+                if c.tau < 1:
+                    to = 0.0 if to <= 1e-12 and was < c.full_exit else was + c.tau * (to - was)
+                elif to > 0 and abs(to - was) < c.band * to:
                     to = was
-                to = was + c.tau * (to - was)
-                if s not in target and to < c.full_exit:
-                    to = 0.0
-                if adv.get(s):
+                if c.capital > 0 and adv.get(s) is not None and not np.isnan(adv[s]):
                     most = c.adv_limit * adv[s] / c.capital
-                    to = was + max(-most, min(most, to - was)) if most > 0 else to
-                if to > 0:
+                    to = was + max(-most, min(most, to - was))
+                if to > 1e-12:
                     new[s] = to
             total = sum(new.values())
-            new = {s: v / total for s, v in new.items()} if total > 1 else new
+            new = {s: v / total for s, v in new.items()} if total > 1 + 1e-12 else new
             out += [(name, day, s, v, book.get(s, 0.0)) for s, v in new.items()]
             book = new
         return pd.DataFrame(out, columns=["config", "rebalance_date", "symbol", "weight", "prior"])
 
-    return each.groupBy("config").applyInPandas(run, "config string, rebalance_date date, symbol long, weight double, prior double")
+    t = targets(rows, configs, names, realised)
+    return t.groupBy("config").applyInPandas(run, f"config string, rebalance_date date, symbol {kind}, weight double, prior double")

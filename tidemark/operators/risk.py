@@ -23,27 +23,30 @@ def so_far() -> WindowSpec:
 
 
 def var_report(daily: DataFrame, *, min_rows: int = 60) -> DataFrame:
-    """Historical and Cornish-Fisher value at risk and expected shortfall at 95 and 99 %, as negative returns; nothing under min_rows."""
-    cuts = daily.agg(F.percentile("r", F.lit(0.05)).alias("var95"), F.percentile("r", F.lit(0.01)).alias("var99"))
+    """Historical and Cornish-Fisher value at risk and expected shortfall at 95 and 99 %, as losses; fewer than min_rows rows raise."""
+    cuts = daily.agg(F.percentile("r", F.lit(0.05)).alias("q95"), F.percentile("r", F.lit(0.01)).alias("q99"))
     tails = daily.join(F.broadcast(cuts))  # one row
+    n = F.count("r")
+    tail = lambda q: -F.avg(F.when(F.col("r") <= F.col(q), F.col("r")))
     out = tails.agg(
-        F.count("r").alias("n"), F.first("var95").alias("var95"), F.first("var99").alias("var99"), F.avg(F.when(F.col("r") <= F.col("var95"), F.col("r"))).alias("cvar95"), F.avg(F.when(F.col("r") <= F.col("var99"), F.col("r"))).alias("cvar99"),
+        F.when(n >= min_rows, n).otherwise(F.raise_error(F.lit(f"value at risk needs {min_rows} observations"))).alias("n"), (-F.first("q95")).alias("var95"), (-F.first("q99")).alias("var99"), tail("q95").alias("cvar95"), tail("q99").alias("cvar99"),
         F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"), skew("r").alias("skew"), excess_kurtosis("r").alias("kurtosis"),
-    ).where(F.col("n") >= min_rows)
+    )
 
     def expanded(p: float) -> Column:
         z, s, k = NormalDist().inv_cdf(p), F.col("skew"), F.col("kurtosis")
-        return F.col("m") + F.col("sd") * (z + (z * z - 1) * s / 6 + (z**3 - 3 * z) * k / 24 - (2 * z**3 - 5 * z) * s * s / 36)
+        return -(F.col("m") + F.col("sd") * (z + (z * z - 1) * s / 6 + (z**3 - 3 * z) * k / 24 - (2 * z**3 - 5 * z) * s * s / 36))
 
     return out.withColumns({"cf_var95": expanded(0.05), "cf_var99": expanded(0.01)})
 
 
 def sortino_calmar(daily: DataFrame) -> DataFrame:
-    """Sortino over root-mean-square downside, and CAGR over the worst drawdown."""
+    """Sortino over the root mean square of the losing days, infinite without any; CAGR over the worst drawdown, 0 without one."""
     c = daily.withColumn("equity", F.product(1 + F.col("r")).over(so_far())).withColumn("dd", F.col("equity") / F.max("equity").over(so_far()) - 1)
-    down = F.sqrt(F.avg(F.when(F.col("r") < 0, F.col("r") * F.col("r")).otherwise(0.0)))
+    down = F.sqrt(F.avg(F.when(F.col("r") < 0, F.col("r") * F.col("r"))))
     cagr = F.pow(F.max_by("equity", "trade_date"), 252 / F.count(F.lit(1))) - 1
-    return c.agg((safe_div(F.avg("r"), down) * math.sqrt(252)).alias("sortino"), safe_div(cagr, F.abs(F.min("dd"))).alias("calmar"))
+    sortino = F.when(down.isNull(), F.lit(float("inf"))).otherwise(safe_div(F.avg("r"), down) * math.sqrt(252))
+    return c.agg(sortino.alias("sortino"), F.when(F.min("dd") < 0, cagr / F.abs(F.min("dd"))).otherwise(0.0).alias("calmar"))
 
 
 def rolling_sharpe(daily: DataFrame, window: int = 252) -> DataFrame:
@@ -146,10 +149,14 @@ def psi(reference: DataFrame, current: DataFrame, column: str, bins: int = 10) -
     return shares.withColumns({"p": share("a"), "q": share("b")}).agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"))
 
 
+def rank_ic_by(scored: DataFrame, *keys: str, min_names: int = 20) -> DataFrame:
+    """Spearman correlation of score and label by keys and date; null without variance."""
+    r = scored.withColumns({"_a": average_rank("score", *keys, "trade_date"), "_b": average_rank("label", *keys, "trade_date")})
+    return r.groupBy(*keys, "trade_date").agg(F.count(F.lit(1)).alias("n"), correlation(F.col("_a"), F.col("_b")).alias("ic")).where(F.col("n") >= min_names)
+
+
 def rank_ic(scored: DataFrame, min_names: int = 20) -> DataFrame:
-    """Spearman correlation of score and label by date; null without variance."""
-    r = scored.withColumns({"_a": average_rank("score", "trade_date"), "_b": average_rank("label", "trade_date")})
-    return r.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), correlation(F.col("_a"), F.col("_b")).alias("ic")).where(F.col("n") >= min_names)
+    return rank_ic_by(scored, min_names=min_names)
 
 
 def decile_spread(scored: DataFrame) -> DataFrame:
@@ -209,29 +216,52 @@ def sharpe_moments(daily: DataFrame) -> DataFrame:
     return daily.agg(F.count("r").alias("n"), F.avg("r").alias("mean"), safe_div(F.avg("r"), F.stddev_samp("r")).alias("sr"), skew("r").alias("skew"), (excess_kurtosis("r") + 3).alias("kurtosis"))
 
 
-def normal_cdf(x: float) -> float:
-    return 0.5 * math.erfc(-x / math.sqrt(2))
+ERF_TERMS = 120
+ERF_FLAT = 6.0
+
+
+def erf(x: Column) -> Column:
+    """The error function: exp(-x^2) times a series of positive terms, which is exact to rounding; beyond ERF_FLAT it is 1."""
+    def of(v: Column) -> Column:
+        start = F.struct(v.alias("term"), v.alias("total"))
+        step = lambda t, i: F.struct((t["term"] * 2 * v * v / (2 * i + 1)).alias("term"), (t["total"] + t["term"] * 2 * v * v / (2 * i + 1)).alias("total"))
+        total = F.aggregate(F.sequence(F.lit(1), F.lit(ERF_TERMS)), start, step, lambda t: t["total"])
+        return F.element_at(F.transform(F.array(total), lambda t: 2 / math.sqrt(math.pi) * F.exp(-v * v) * t), 1)
+
+    near = F.greatest(F.least(x, F.lit(ERF_FLAT)), F.lit(-ERF_FLAT))
+    return F.element_at(F.transform(F.array(near.cast("double")), of), 1)
+
+
+def normal_cdf(x: Column) -> Column:
+    return (1 + erf(x / math.sqrt(2))) / 2
 
 
-def probabilistic_sharpe(n: int, sr: float, skewness: float, kurtosis: float, benchmark: float = 0.0) -> float:
+def _sharpe_spread(sr: Column, skewness: Column, kurtosis: Column) -> Column:
+    return 1 - skewness * sr + (kurtosis - 1) / 4 * sr * sr
+
+
+def probabilistic_sharpe(n: Column, sr: Column, skewness: Column, kurtosis: Column, benchmark: float = 0.0) -> Column:
     """The probability that the true Sharpe exceeds the benchmark; a half under three observations."""
-    if n < 3:
-        return 0.5
-    return normal_cdf((sr - benchmark) * math.sqrt(n - 1) / math.sqrt(max(1 - skewness * sr + (kurtosis - 1) / 4 * sr * sr, 1e-12)))
+    z = (sr - benchmark) * F.sqrt(n - 1) / F.sqrt(F.greatest(_sharpe_spread(sr, skewness, kurtosis), F.lit(1e-12)))
+    return F.when(n < 3, 0.5).otherwise(normal_cdf(z))
 
 
-def min_track_record(sr: float, skewness: float, kurtosis: float, benchmark: float = 0.0, confidence: float = 0.95) -> float:
+def min_track_record(sr: Column, skewness: Column, kurtosis: Column, benchmark: float = 0.0, confidence: float = 0.95) -> Column:
     """Observations after which the Sharpe exceeds the benchmark with the confidence; infinite if it does not exceed it."""
-    if sr <= benchmark:
-        return math.inf
-    return 1 + (1 - skewness * sr + (kurtosis - 1) / 4 * sr * sr) * (NormalDist().inv_cdf(confidence) / (sr - benchmark)) ** 2
+    return F.when(sr <= benchmark, F.lit(float("inf"))).otherwise(1 + _sharpe_spread(sr, skewness, kurtosis) * F.pow(NormalDist().inv_cdf(confidence) / (sr - benchmark), F.lit(2.0)))
 
 
 def kupiec(n: Column, hits: Column, level: float) -> Column:
-    """Likelihood ratio of the exception rate against its level."""
+    """Likelihood ratio of the exception rate against its level, 0 at least."""
     xlogy = lambda x, y: F.when(x > 0, x * F.log(F.greatest(y, F.lit(1e-300)))).otherwise(0.0)
-    p = hits / n
-    return -2 * (xlogy(n - hits, F.lit(1 - level)) + xlogy(hits, F.lit(level)) - xlogy(n - hits, 1 - p) - xlogy(hits, p))
+    p = safe_div(hits, n)
+    ratio = -2 * (xlogy(n - hits, F.lit(1 - level)) + xlogy(hits, F.lit(level)) - xlogy(n - hits, 1 - p) - xlogy(hits, p))
+    return F.when(n > 0, F.greatest(ratio, F.lit(0.0))).otherwise(0.0)
+
+
+def kupiec_p(ratio: Column) -> Column:
+    """The chi-squared probability (one degree of freedom) of a ratio as large: small values reject the model."""
+    return 1 - erf(F.sqrt(ratio / 2))
 
 
 def expected_max_sharpe(variance: float, trials: int) -> float:
@@ -242,5 +272,50 @@ def expected_max_sharpe(variance: float, trials: int) -> float:
     return math.sqrt(variance) * ((1 - g) * inv(1 - 1 / trials) + g * inv(1 - 1 / (trials * math.e)))
 
 
-def deflated_sharpe(n: int, sr: float, skewness: float, kurtosis: float, trials: int, variance: float = (0.5 / math.sqrt(252)) ** 2) -> float:
+def deflated_sharpe(n: Column, sr: Column, skewness: Column, kurtosis: Column, trials: int, variance: float = (0.5 / math.sqrt(252)) ** 2) -> Column:
     return probabilistic_sharpe(n, sr, skewness, kurtosis, expected_max_sharpe(variance, trials))
+
+
+def hedge_gate(hedged: DataFrame, index: DataFrame, *, limit: float = 0.1, window: int = 60) -> DataFrame:
+    """One row: the mean residual beta of the later half of a hedged series (trade_date, r, cost), whether it is within the limit, and the
+    yearly cost drag. index: trade_date, m."""
+    beta = rolling_beta(hedged.select("trade_date", "r"), index, window)
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    late = beta.withColumns({"_k": F.row_number().over(days()), "_n": n}).where("_k > _n - floor(_n / 2)")
+    drag = hedged.agg((F.avg("cost") * 252).alias("cost_drag"))
+    gate = late.agg(F.avg("beta").alias("residual_beta"))
+    return gate.withColumn("passes", F.abs("residual_beta") < limit).join(F.broadcast(drag))  # one row each
+
+
+def live_returns(log: DataFrame) -> DataFrame:
+    """(trade_date, r) between the logged equities (trade_date, equity); days after an equity of 0 or less drop."""
+    before = F.lag("equity").over(days())
+    return log.select("trade_date", "equity", F.when(before > 0, F.col("equity") / before - 1).alias("r")).where("r is not null").select("trade_date", "r")
+
+
+def live_risk(log: DataFrame, *, target_vol: float = 0.135, band: tuple[float, float] = (0.10, 0.17), min_rows: int = 21) -> DataFrame:
+    """One row of a live log (trade_date, equity): days, yearly volatility and whether it is in the band, the worst drawdown, exceptions of
+    the value at risk at the target volatility, and their Kupiec ratio and p-value; nothing under min_rows returns."""
+    limit = 1.645 * target_vol / math.sqrt(252)
+    r = live_returns(log).agg(F.count("r").alias("days"), (F.stddev_samp("r") * math.sqrt(252)).alias("vol"), F.count_if(F.col("r") < -limit).alias("exceptions"))
+    dd = log.select((F.col("equity") / F.max("equity").over(so_far()) - 1).alias("dd")).agg(F.least(F.min("dd"), F.lit(0.0)).alias("max_drawdown"))
+    out = r.join(F.broadcast(dd)).where(F.col("days") >= min_rows)  # one row each
+    ratio = kupiec(F.col("days").cast("double"), F.col("exceptions").cast("double"), 0.05)
+    return out.withColumn("in_band", F.col("vol").between(*band)).withColumn("lr", ratio).withColumn("p_value", kupiec_p(F.col("lr")))
+
+
+def trailing_book_vol(log: DataFrame, *, fast: int = 21, slow: int = 63, least: float = 0.05) -> DataFrame:
+    """One row: the larger of the fast and slow trailing yearly volatilities of the fully invested book's returns, from a log (trade_date,
+    equity, cash); days invested by less than `least` drop, and without `fast` days it is null."""
+    before, invested = F.lag("equity").over(days()), safe_div(F.col("equity") - F.col("cash"), "equity")
+    book = log.select("trade_date", F.when((before > 0) & (invested > least), (F.col("equity") / before - 1) / invested).alias("r")).where("r is not null")
+    back = F.row_number().over(Window.orderBy(F.desc("trade_date")))
+    last = book.withColumn("_b", back)
+    vol = lambda w: F.when(F.count_if(F.col("_b") <= w) == w, F.stddev_samp(F.when(F.col("_b") <= w, F.col("r"))) * math.sqrt(252))
+    return last.agg(F.when(vol(fast).isNotNull(), F.greatest(vol(fast), vol(slow))).alias("vol"))
+
+
+def book_vol(daily: DataFrame, *, fast: int = 21, slow: int = 63) -> DataFrame:
+    """(trade_date, vol): by day the larger of the fast and slow trailing yearly volatilities of a fully invested book's returns (trade_date, r)."""
+    vol = lambda w: rolling("r", w, "std", by=days()) * math.sqrt(252)
+    return daily.select("trade_date", F.when(vol(fast).isNotNull(), F.greatest(vol(fast), vol(slow))).alias("vol"))

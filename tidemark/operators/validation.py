@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div
+from ..stages import Stage
 from ..workers import ship
 
 
@@ -23,13 +24,15 @@ def walk_forward(calendar: DataFrame, *, test: int = 63, min_train: int = 756, h
 
 
 def combinatorial(calendar: DataFrame, *, blocks: int = 8, pick: int = 2, gap: int = 5) -> DataFrame:
-    """Every choice of `pick` test blocks out of `blocks`: (combo, block, first, last, banned_from, banned_to) session indices."""
+    """Every choice of `pick` test blocks out of `blocks` of equal size, the last with the rest: (combo, block, first, last, banned_from,
+    banned_to) session indices."""
     combos = [(c, int(b)) for c, some in enumerate(combinations(range(blocks), pick)) for b in some]
     chosen = calendar.sparkSession.createDataFrame(combos, "combo long, block long")  # C(blocks, pick) x pick rows
     n = calendar.agg((F.max("idx") + 1).alias("n"))
-    edge = lambda b: F.floor(F.col("n") * b / blocks)
-    spans = chosen.join(F.broadcast(n)).select("combo", "block", edge(F.col("block")).alias("first"), (edge(F.col("block") + 1) - 1).alias("last"))  # one row
-    return spans.withColumns({"banned_from": F.col("first") - gap, "banned_to": F.col("last") + gap})
+    size, b = F.floor(F.col("n") / blocks), F.col("block")
+    last = F.when(b == blocks - 1, F.col("n")).otherwise((b + 1) * size) - 1
+    spans = chosen.join(F.broadcast(n)).select("combo", "block", "n", (b * size).alias("first"), last.alias("last"))  # one row
+    return spans.withColumns({"banned_from": F.greatest(F.col("first") - gap, F.lit(0)), "banned_to": F.least(F.col("last") + gap, F.col("n") - 1)}).drop("n")
 
 
 def overfitting(scores: DataFrame) -> DataFrame:
@@ -55,50 +58,60 @@ def spa_statistic(excess: DataFrame) -> DataFrame:
     return excess.groupBy("config").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd")).withColumn("t", safe_div(F.sqrt("n") * F.col("mean"), F.nullif(F.col("sd"), F.lit(0.0))))
 
 
+DRAWS_A_TASK = 100
+
+
 def spa_bootstrap(excess: DataFrame, *, draws: int = 2000, mean_block: int = 21, seed: int = 7) -> DataFrame:
     """Reality-check and SPA p-values by the stationary bootstrap.
 
-    A draw's blocks depend on its number alone, so configs are resampled alike in different tasks; a config's series has one row a
-    session. Studentised means over draws are compared by their maximum."""
+    A config's series has one row a session and goes to every part of DRAWS_A_TASK draws, which are made side by side. A draw's blocks
+    depend on its number alone, so configs are resampled alike. Studentised means over draws are compared by their maximum."""
     ship(excess.sparkSession)
-    ordered = excess.withColumn("idx", F.row_number().over(Window.partitionBy("config").orderBy("trade_date")) - 1)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = g.sort_values("idx")["d"].to_numpy()
-        n = len(x)
-        out = np.empty(draws)
-        for b in range(draws):
-            rng = np.random.default_rng([seed, b])
-            jump = rng.random(n) < 1 / mean_block
-            jump[0] = True
-            starts = rng.integers(0, n, n)
-            at = np.flatnonzero(jump)
-            age = np.arange(n) - at[np.cumsum(jump) - 1]
-            out[b] = x[(starts[at[np.cumsum(jump) - 1]] + age) % n].mean()
-        sd, mean = max(np.sqrt(n) * out.std(), 1e-12), x.mean()
-        keep = mean if np.sqrt(n) * mean / sd >= -np.sqrt(2 * np.log(np.log(max(n, 3)))) else 0.0
-        return pd.DataFrame({"config": g["config"].iloc[0], "draw": np.arange(draws), "rc": np.sqrt(n) * (out - mean), "spa": np.sqrt(n) * (out - keep) / sd, "rc_seen": np.sqrt(n) * mean, "spa_seen": np.sqrt(n) * mean / sd})
-
-    d = ordered.groupBy("config").applyInPandas(run, "config string, draw long, rc double, spa double, rc_seen double, spa_seen double")
+    series = excess.groupBy("config").agg(F.sort_array(F.collect_list(F.struct("trade_date", "d"))).alias("rows"))
+    parts = series.select("config", F.col("rows.d").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(-(-draws // DRAWS_A_TASK) - 1))).alias("part")).repartition("config", "part")
+
+    def run(batches):
+        for g in batches:
+            for config, x, part in zip(g["config"], g["x"], g["part"], strict=True):
+                x, n = np.asarray(x), len(x)
+                numbers, means = np.arange(part * DRAWS_A_TASK, min(draws, (part + 1) * DRAWS_A_TASK)), []
+                for b in numbers:
+                    rng = np.random.default_rng([seed, b])
+                    jump = rng.random(n) < 1 / mean_block
+                    jump[0] = True
+                    starts, at = rng.integers(0, n, n), np.flatnonzero(jump)
+                    block = at[np.cumsum(jump) - 1]
+                    means.append(x[(starts[block] + np.arange(n) - block) % n].mean())
+                yield pd.DataFrame({"config": config, "draw": numbers, "m": means, "n": n, "mean": x.mean()})
+
+    drawn = parts.mapInPandas(run, "config string, draw long, m double, n long, mean double")
+    root, whole = F.sqrt(F.col("n").cast("double")), Window.partitionBy("config")
+    sd = F.greatest(root * F.stddev_pop("m").over(whole), F.lit(1e-12))
+    keep = F.when(root * F.col("mean") / F.col("sd") >= -F.sqrt(2 * F.log(F.log(F.greatest(F.col("n"), F.lit(3)).cast("double")))), F.col("mean")).otherwise(0.0)
+    d = drawn.withColumn("sd", sd).select("draw", (root * (F.col("m") - F.col("mean"))).alias("rc"), (root * (F.col("m") - keep) / F.col("sd")).alias("spa"), (root * F.col("mean")).alias("rc_seen"), (root * F.col("mean") / F.col("sd")).alias("spa_seen"))
     seen = d.agg(F.max("rc_seen").alias("rc_top"), F.greatest(F.max("spa_seen"), F.lit(0.0)).alias("spa_top"))
     best = d.groupBy("draw").agg(F.max("rc").alias("rc"), F.greatest(F.max("spa"), F.lit(0.0)).alias("spa"))
     return best.join(F.broadcast(seen)).agg(F.avg((F.col("rc") >= F.col("rc_top")).cast("double")).alias("rc_p"), F.avg((F.col("spa") >= F.col("spa_top")).cast("double")).alias("spa_p"))  # one row
 
 
-def gram(rows: DataFrame, folds: DataFrame, features: list[str], label: str = "label") -> DataFrame:
-    """Per fold the sums of products of features, 1 and label over its training rows: all that ridge needs, by partial aggregation."""
+def session_sums(rows: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """Per session (idx) the sums of products of features, 1 and label: all that ridge needs of any set of sessions."""
     names = [*features, "_one"]
-    x = rows.withColumn("_one", F.lit(1.0)).join(F.broadcast(folds), F.col("idx") <= F.col("train_end"))  # one row a fold
-    pairs = [F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate([*names, label]) if j >= i]
-    return x.groupBy("fold").agg(*pairs)
+    x = rows.withColumn("_one", F.lit(1.0))
+    return x.groupBy("idx").agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate([*names, label]) if j >= i])
 
 
-def ridge_walk_forward(rows: DataFrame, folds: DataFrame, features: list[str], *, label: str = "label", penalty: float = 1.0) -> DataFrame:
-    """Out-of-sample ridge predictions: (symbol, trade_date, fold, pred, label).
+def expanding_sessions(calendar: DataFrame, folds: DataFrame) -> DataFrame:
+    """(fold, idx) of every fold's training sessions, from one row a session and one a fold."""
+    return calendar.select("idx").join(folds.select("fold", "train_end"), F.col("idx") <= F.col("train_end")).select("fold", "idx")
 
-    Training is one aggregation per fold; only the solved coefficients, a row a fold, go back to the rows."""
-    ship(rows.sparkSession)
+
+def ridge_weights(sums: DataFrame, training: DataFrame, features: list[str], *, penalty: float = 1.0) -> DataFrame:
+    """(fold, w): the coefficients and, last, the intercept of each fold, whose sessions `training` (fold, idx) lists."""
+    ship(sums.sparkSession)
     k = len(features)
+    names = [c for c in sums.columns if c != "idx"]
+    gram = training.join(sums, "idx").groupBy("fold").agg(*[F.sum(c).alias(c) for c in names])
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -108,8 +121,115 @@ def ridge_walk_forward(rows: DataFrame, folds: DataFrame, features: list[str], *
             out.append((r["fold"], np.linalg.lstsq(a, b, rcond=None)[0].tolist()))
         return pd.DataFrame(out, columns=["fold", "w"])
 
-    w = gram(rows, folds, features, label).mapInPandas(lambda it: map(solve, it), "fold long, w array<double>")
-    fitted = folds.join(w, "fold")
-    hit = rows.join(F.broadcast(fitted), (F.col("idx") >= F.col("test_start")) & (F.col("idx") <= F.col("test_end")))  # one row a fold
-    pred = sum((F.col(f) * F.col("w")[i] for i, f in enumerate(features)), F.col("w")[k])
-    return hit.select("symbol", "trade_date", "fold", pred.alias("pred"), label)
+    return gram.mapInPandas(lambda it: map(solve, it), "fold long, w array<double>")
+
+
+def ridge_predict(rows: DataFrame, weights: DataFrame, sessions: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """(symbol, trade_date, fold, pred, label) of the rows of the sessions (fold, idx), which are equi-joined with the folds' weights."""
+    at = sessions.join(weights, "fold")  # a row for each fold and session
+    pred = sum((F.col(f) * F.col("w")[i] for i, f in enumerate(features)), F.col("w")[len(features)])
+    return rows.join(at, "idx").select("symbol", "trade_date", "fold", pred.alias("pred"), label)
+
+
+def test_sessions(calendar: DataFrame, folds: DataFrame) -> DataFrame:
+    """(fold, idx) of every fold's test sessions."""
+    return calendar.select("idx").join(folds, F.col("idx").between(F.col("test_start"), F.col("test_end"))).select("fold", "idx")
+
+
+def ridge_walk_forward(rows: DataFrame, calendar: DataFrame, folds: DataFrame, features: list[str], *, label: str = "label", penalty: float = 1.0) -> DataFrame:
+    """Out-of-sample ridge predictions: (symbol, trade_date, fold, pred, label).
+
+    Rows are summed up once by session; folds add up sessions, and only their coefficients, a row a fold, go back to the rows."""
+    stage = Stage(rows.sparkSession, "ridge")
+    folds = stage.write(folds)
+    w = stage.write(ridge_weights(session_sums(rows, features, label), expanding_sessions(calendar, folds), features, penalty=penalty))
+    return ridge_predict(rows, w, test_sessions(calendar, folds), features, label)
+
+
+def mean_rank_ic(scored: DataFrame, *keys: str, min_names: int = 20) -> DataFrame:
+    """Days, mean daily rank correlation of pred and label, and its t, by keys."""
+    from .risk import rank_ic_by
+
+    daily = rank_ic_by(scored.withColumnRenamed("pred", "score"), *keys, min_names=min_names)
+    t = safe_div(F.avg("ic"), F.nullif(F.stddev_samp("ic"), F.lit(0.0)) / F.sqrt(F.count("ic")))
+    return daily.groupBy(*keys).agg(F.count("ic").alias("days"), F.avg("ic").alias("mean_ic"), F.coalesce(t, F.lit(0.0)).alias("t"))
+
+
+def cpcv_sweep(rows: DataFrame, calendar: DataFrame, models: dict[str, list[str]], *, blocks: int = 8, pick: int = 2, gap: int = 5, penalty: float = 1.0, min_names: int = 20) -> DataFrame:
+    """(combo, config, is_score, oos_score): mean rank correlations in and out of sample of each model, a list of features, over all
+    combinatorial purged splits. A split trains on the sessions outside its blocks and their gaps."""
+    spans = combinatorial(calendar, blocks=blocks, pick=pick, gap=gap).withColumnRenamed("combo", "fold")
+    out_of = calendar.select("idx").join(spans, F.col("idx").between(F.col("first"), F.col("last"))).select("fold", "idx").distinct()
+    banned = calendar.select("idx").join(spans, F.col("idx").between(F.col("banned_from"), F.col("banned_to"))).select("fold", "idx").distinct()
+    inside = spans.select("fold").distinct().crossJoin(calendar.select("idx")).join(banned, ["fold", "idx"], "left_anti")  # a row for each split and session
+    stage = Stage(rows.sparkSession, "cpcv")
+    inside = stage.write(inside)
+    kinds = stage.write(inside.withColumn("part", F.lit("is_score")).unionByName(out_of.withColumn("part", F.lit("oos_score"))))
+    found = None
+    for name, features in models.items():
+        w = stage.write(ridge_weights(session_sums(rows, features), inside, features, penalty=penalty))
+        at = kinds.join(w, "fold")
+        pred = sum((F.col(f) * F.col("w")[i] for i, f in enumerate(features)), F.col("w")[len(features)])
+        scored = rows.join(at, "idx").select("symbol", "trade_date", "fold", "part", pred.alias("pred"), "label")
+        ic = mean_rank_ic(scored, "fold", "part", min_names=min_names).groupBy(F.col("fold").alias("combo")).pivot("part", ["is_score", "oos_score"]).agg(F.first("mean_ic")).withColumn("config", F.lit(name))
+        found = ic if found is None else found.unionByName(ic)
+    return found.select("combo", "config", "is_score", "oos_score")
+
+
+def increment(rows: DataFrame, calendar: DataFrame, folds: DataFrame, sets: dict[str, list[str]], *, against: tuple[str, ...] = (), min_names: int = 20) -> DataFrame:
+    """Per feature set of the walk-forward ridge: days, mean rank correlation, t, its excess over the first set's mean, and the mean rank
+    correlation of its predictions with each feature in `against`."""
+    base, out, stage = None, None, Stage(rows.sparkSession, "increment")
+    for name, features in sets.items():
+        p = stage.write(ridge_walk_forward(rows, calendar, folds, features))
+        one = mean_rank_ic(p.withColumn("config", F.lit(name)), "config", min_names=min_names)
+        for f in against:
+            other = p.select("symbol", "trade_date", "pred").join(rows.select("symbol", "trade_date", F.col(f).alias("label")), ["symbol", "trade_date"]).withColumn("config", F.lit(name))
+            one = one.join(mean_rank_ic(other, "config", min_names=min_names).select("config", F.col("mean_ic").alias(f"with_{f}")), "config", "left")
+        base = base if base is not None else one.select(F.col("mean_ic").alias("_base"))
+        out = one if out is None else out.unionByName(one)
+    return out.join(F.broadcast(base)).withColumn("delta_ic", F.col("mean_ic") - F.col("_base")).drop("_base")  # one row
+
+
+def lagged(series: DataFrame, lags: int, value: str = "ret") -> DataFrame:
+    """(symbol, trade_date, idx, lag_0.., label): a name's last `lags` values, oldest last, and the next one; rows that lack one drop."""
+    by = Window.partitionBy("symbol").orderBy("trade_date")
+    names = [f"lag_{k}" for k in range(lags)]
+    rows = series.withColumns({n: F.lag(value, k).over(by) for k, n in enumerate(names)}).withColumn("label", F.lead(value).over(by))
+    full = rows.withColumn("idx", (F.row_number().over(by) - 1).cast("long")).dropna(subset=names)
+    return full.select("symbol", "trade_date", "idx", *names, "label")
+
+
+def lag_walk_forward(series: DataFrame, *, lags: int = 20, burn_in: int = 504, every: int = 63, embargo: int = 1, window: int | None = None, penalty: float = 1.0, least: int = 252) -> DataFrame:
+    """Single-name predictions (symbol, trade_date, idx, pred, label) of ridge on lagged values, trained anew every `every` rows on the rows
+    at least `embargo` before, all of them or the last `window`. A name without `least` training rows has no prediction.
+
+    Each name is a partition; its rows are summed up by stretches of `every` rows and the stretches' sums are added up by windows, so no
+    row is read once a fold."""
+    ship(series.sparkSession)
+    names = [f"lag_{k}" for k in range(lags)]
+    rows = lagged(series, lags)
+    terms = [*names, "_one"]
+    # row i may train the models of row i + 1 + embargo on
+    train = rows.where("label is not null").withColumns({"_one": F.lit(1.0), "_fold": F.ceil((F.col("idx") + 1 + embargo - burn_in) / every).cast("long")})
+    pairs = {f"{i}_{j}": F.sum(F.col(a) * F.col(b)) for i, a in enumerate(terms) for j, b in enumerate([*terms, "label"]) if j >= i}
+    sums = train.groupBy("symbol", "_fold").agg(*[v.alias(k) for k, v in pairs.items()])
+    before = Window.partitionBy("symbol").orderBy("_fold").rangeBetween(Window.unboundedPreceding if window is None else -(window // every) + 1, 0)
+    folds = rows.where(F.col("idx") >= burn_in).select("symbol", F.floor((F.col("idx") - burn_in) / every).alias("_fold")).distinct()
+    every_fold = folds.join(sums, ["symbol", "_fold"], "full_outer")
+    grown = every_fold.select("symbol", "_fold", *[F.sum(c).over(before).alias(c) for c in pairs])
+    k = len(names)
+    one = f"{k}_{k}"
+
+    def solve(batches):
+        for g in batches:
+            out = []
+            for r in g.to_dict("records"):
+                a = np.array([[r[f"{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)]) + penalty * np.diag([1.0] * k + [0.0])
+                out.append((r["symbol"], r["_fold"], np.linalg.lstsq(a, np.array([r[f"{i}_{k + 1}"] for i in range(k + 1)]), rcond=None)[0].tolist()))
+            yield pd.DataFrame(out, columns=["symbol", "_fold", "w"])
+
+    w = grown.where((F.col("_fold") >= 0) & (F.col(one) >= least)).mapInPandas(solve, f"symbol {series.schema['symbol'].dataType.simpleString()}, _fold long, w array<double>")
+    asked = rows.where(F.col("idx") >= burn_in).withColumn("_fold", F.floor((F.col("idx") - burn_in) / every))
+    pred = sum((F.col(n) * F.col("w")[i] for i, n in enumerate(names)), F.col("w")[k])
+    return asked.join(w, ["symbol", "_fold"]).select("symbol", "trade_date", "idx", pred.alias("pred"), "label")

@@ -8,6 +8,7 @@ from ..functions.expr import cost_rate, rounded
 from ..functions.temporal import sessions, weekly_grid
 from ..operators import backtest, features, universe
 from ..sources import views
+from ..stages import Stage
 from .panel import SCALED
 from .registry import TABLES, query
 
@@ -51,8 +52,13 @@ def targets(panel, n=5):
     return picks.join(adv, ["symbol", "rebalance_date"])
 
 
+def staged(spark, sf_dir):
+    """The scaled panel, written once: signals, universe, calendar and returns all come from it."""
+    return Stage(spark, "panel").write(scaled(spark, sf_dir).select("symbol", "trade_date", "close", "traded_value", "ret"))
+
+
 def daily(spark, sf_dir, **kw):
-    panel = scaled(spark, sf_dir)
+    panel = staged(spark, sf_dir)
     return backtest.run(panel, targets(panel), **kw)
 
 
@@ -92,11 +98,13 @@ def backtest_overseas_market(spark, sf_dir):
 
 
 def _sweep(spark, sf_dir, column, values, run_one):
-    panel = scaled(spark, sf_dir)
-    t = targets(panel)
+    """One book, costed once for each value."""
+    panel, stage = staged(spark, sf_dir), Stage(spark, "sweep")
+    calendar = stage.write(sessions(panel))
+    paths, spans, dated = (stage.write(x) for x in backtest.book(panel, stage.write(targets(panel).select("rebalance_date", "symbol", "weight", "adv")), calendar))
     out = None
     for v in values:
-        one = _rounded_summary(run_one(panel, t, v)).withColumn(column, F.lit(v)).select(column, "cagr", "sharpe", "max_drawdown")
+        one = _rounded_summary(run_one((paths, spans, dated, calendar), v)).withColumn(column, F.lit(v)).select(column, "cagr", "sharpe", "max_drawdown")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -107,12 +115,12 @@ def _sweep_sql(column, runs):
 
 @query(_sweep_sql("multiplier", [(m, daily_sql(multiplier=m)) for m in (0.0, 0.5, 1.0, 2.0)]))
 def cost_sensitivity(spark, sf_dir):
-    return _sweep(spark, sf_dir, "multiplier", [0.0, 0.5, 1.0, 2.0], lambda p, t, m: backtest.run(p, t, impact_multiplier=m))
+    return _sweep(spark, sf_dir, "multiplier", [0.0, 0.5, 1.0, 2.0], lambda book, m: backtest.costed(*book, impact_multiplier=m))
 
 
 @query(_sweep_sql("capital", [(c, daily_sql(capital=c)) for c in (5e5, 2.5e6, 1e7)]))
 def capacity_curve(spark, sf_dir):
-    return _sweep(spark, sf_dir, "capital", [5e5, 2.5e6, 1e7], lambda p, t, c: backtest.run(p, t, capital=c))
+    return _sweep(spark, sf_dir, "capital", [5e5, 2.5e6, 1e7], lambda book, c: backtest.costed(*book, capital=c))
 
 
 @query("""SELECT o_orderkey AS order_id, round(0.001 + (3.07e-5 + 1e-6) * 1.18 + 1.5e-4 + (3 + 10 * sqrt(o_totalprice / 1e6)) / 1e4, 10) AS buy_rate,

@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dsl
-from ..functions.expr import by_symbol, rolling, rounded, zscore
-from ..operators import backtest, engine, portfolio
+from ..functions.expr import rolling, rounded, zscore
+from ..functions.temporal import sessions
+from ..operators import backtest, engine, portfolio, risk, universe
 from ..sources import views
 from . import backtests
+from .panel import SCALED
 from .registry import TABLES, query
 
 CONFIGS = [portfolio.Config(capital=2.5e6), portfolio.Config(scheme="ivol", tau=0.5), portfolio.production(2.5e6)]
@@ -18,21 +20,27 @@ TABLES["vol_book"] = "SELECT t.rebalance_date, t.symbol, (1 / v.vol) / sum(1 / v
 
 
 def picked(spark, sf_dir):
-    """The target book with each name's volatility, volume, industry and trailing returns."""
+    """The target book with each name's volatility, volume, industry and trailing returns over a risk window of sessions."""
+    panel = backtests.staged(spark, sf_dir)
+    picks = backtests.targets(panel).join(views.sectors(spark, sf_dir).select("symbol", "industry"), "symbol", "left")
+    return portfolio.risk_windows(panel, picks, sessions(panel)), panel
+
+
+def vol_book(spark, sf_dir):
+    """The target book with 63-row volatilities."""
     panel = backtests.scaled(spark, sf_dir)
-    hist = F.when(F.count("ret").over(by_symbol().rowsBetween(-62, 0)) == 63, F.collect_list("ret").over(by_symbol().rowsBetween(-62, 0)))
-    risk_in = panel.select("symbol", F.col("trade_date").alias("rebalance_date"), (rolling("ret", 63, "std") * F.sqrt(F.lit(252.0))).alias("vol"), hist.alias("hist"))
+    risk_in = panel.select("symbol", F.col("trade_date").alias("rebalance_date"), (rolling("ret", 63, "std") * F.sqrt(F.lit(252.0))).alias("vol"))
     return backtests.targets(panel).join(risk_in, ["symbol", "rebalance_date"]).join(views.sectors(spark, sf_dir).select("symbol", "industry"), "symbol", "left")
 
 
 @query("SELECT rebalance_date, symbol, round(weight, 8) AS weight FROM vol_book")
 def inverse_vol_weights(spark, sf_dir):
-    return portfolio.inverse_vol(picked(spark, sf_dir)).select("rebalance_date", "symbol", rounded("weight", 8).alias("weight"))
+    return portfolio.inverse_vol(vol_book(spark, sf_dir)).select("rebalance_date", "symbol", rounded("weight", 8).alias("weight"))
 
 
 @query("SELECT rebalance_date, symbol, round(CASE WHEN industry IS NULL THEN weight ELSE weight * least(1, 0.4 / sum(weight) OVER (PARTITION BY rebalance_date, industry)) END, 8) AS weight FROM vol_book")
 def sector_cap(spark, sf_dir):
-    return portfolio.cap_sectors(portfolio.inverse_vol(picked(spark, sf_dir)), 0.4).select("rebalance_date", "symbol", rounded("weight", 8).alias("weight"))
+    return portfolio.cap_sectors(portfolio.inverse_vol(vol_book(spark, sf_dir)), 0.4).select("rebalance_date", "symbol", rounded("weight", 8).alias("weight"))
 
 
 _ROUND_SQL = "SELECT rebalance_date, symbol, least(weight, 0.22) + least(sum(greatest(weight - 0.22, 0)) OVER d, sum(greatest(0.22 - weight, 0)) OVER d) * coalesce(greatest(0.22 - weight, 0) / nullif(sum(greatest(0.22 - weight, 0)) OVER d, 0), 0) AS weight FROM {} WINDOW d AS (PARTITION BY rebalance_date)"
@@ -40,7 +48,7 @@ _ROUND_SQL = "SELECT rebalance_date, symbol, least(weight, 0.22) + least(sum(gre
 
 @query(f"WITH a AS ({_ROUND_SQL.format('vol_book')}), b AS ({_ROUND_SQL.format('a')}), c AS ({_ROUND_SQL.format('b')}) SELECT rebalance_date, symbol, round(weight, 8) AS weight FROM c")
 def position_cap(spark, sf_dir):
-    return portfolio.cap_positions(portfolio.inverse_vol(picked(spark, sf_dir)), 0.22, rounds=3).select("rebalance_date", "symbol", rounded("weight", 8).alias("weight"))
+    return portfolio.cap_positions(portfolio.inverse_vol(vol_book(spark, sf_dir)), 0.22, rounds=3).select("rebalance_date", "symbol", rounded("weight", 8).alias("weight"))
 
 
 @query("""WITH p AS (SELECT symbol, rebalance_date, weight, coalesce(lag(weight) OVER (PARTITION BY symbol ORDER BY rebalance_date), 0) AS prior FROM vol_book), n AS (SELECT *, CASE WHEN weight > 0 AND abs(weight - prior) < 0.25 * weight THEN prior ELSE weight END AS held FROM p)
@@ -48,54 +56,74 @@ def position_cap(spark, sf_dir):
 def no_trade_band(spark, sf_dir):
     """One step of band and partial adjustment against the name's last weight."""
     w = Window.partitionBy("symbol").orderBy("rebalance_date")
-    b = portfolio.inverse_vol(picked(spark, sf_dir)).withColumn("prior", F.coalesce(F.lag("weight").over(w), F.lit(0.0)))
+    b = portfolio.inverse_vol(vol_book(spark, sf_dir)).withColumn("prior", F.coalesce(F.lag("weight").over(w), F.lit(0.0)))
     b = b.withColumn("held", portfolio.no_trade(F.col("weight"), F.col("prior"), 0.25))
     return b.select("symbol", "rebalance_date", rounded("held", 8).alias("held"), rounded(portfolio.partial(F.col("held"), F.col("prior"), 0.5, 0.005), 8).alias("weight"))
 
 
-TABLES["tail"] = "SELECT symbol, trade_date, ret * 0.01 AS ret FROM rets WHERE ret IS NOT NULL AND symbol <= 10 AND trade_date >= DATE '2000-01-01'"
+TABLES["book_names"] = "SELECT r.symbol, r.trade_date, r.ret * 0.01 AS ret FROM rets r WHERE r.ret IS NOT NULL AND r.symbol IN (SELECT symbol FROM universe WHERE liquidity_rank <= 20)"
+TABLES["demeaned"] = "SELECT symbol, trade_date, ret - avg(ret) OVER (PARTITION BY symbol) AS x FROM book_names"
 
 
-def _tail(spark, sf_dir):
-    return backtests.scaled(spark, sf_dir).where("ret is not null and symbol <= 10 and trade_date >= date'2000-01-01'").select("symbol", "trade_date", "ret")
+def book_names(spark, sf_dir):
+    """All returns of the names that were ever in the point-in-time universe."""
+    panel = backtests.scaled(spark, sf_dir)
+    names = universe.pit_universe(panel, **SCALED).where("in_universe").select("symbol").distinct()
+    return panel.where("ret is not null").select("symbol", "trade_date", "ret").join(names, "symbol", "left_semi")
 
 
-@query("SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, round(covar_pop(a.ret, b.ret), 8) + 0.0 AS cov FROM tail a JOIN tail b ON a.trade_date = b.trade_date AND a.symbol <= b.symbol GROUP BY 1, 2")
+@query("SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, round(covar_pop(a.ret, b.ret), 8) + 0.0 AS cov FROM book_names a JOIN book_names b ON a.trade_date = b.trade_date AND a.symbol <= b.symbol GROUP BY 1, 2")
 def pairwise_covariance(spark, sf_dir):
-    return portfolio.pair_moments(_tail(spark, sf_dir)).select("a", "b", "n", rounded("cov", 8).alias("cov"))
+    return portfolio.pair_moments(book_names(spark, sf_dir)).select("a", "b", "n", rounded("cov", 8).alias("cov"))
 
 
-@query("""WITH g AS (SELECT trade_date, pow(0.94, row_number() OVER (ORDER BY trade_date DESC) - 1) AS w FROM (SELECT DISTINCT trade_date FROM tail))
-    SELECT a.symbol AS a, b.symbol AS b, round(sum(w * a.ret * b.ret) / sum(w), 8) + 0.0 AS cov FROM tail a JOIN tail b ON a.trade_date = b.trade_date AND a.symbol <= b.symbol JOIN g ON g.trade_date = a.trade_date GROUP BY 1, 2""")
+@query("""WITH g AS (SELECT trade_date, pow(0.94, row_number() OVER (ORDER BY trade_date DESC) - 1) AS w FROM (SELECT DISTINCT trade_date FROM demeaned))
+    SELECT a.symbol AS a, b.symbol AS b, round(sum(w * a.x * b.x) / (SELECT sum(w) FROM g), 8) + 0.0 AS cov FROM demeaned a JOIN demeaned b ON a.trade_date = b.trade_date AND a.symbol <= b.symbol JOIN g ON g.trade_date = a.trade_date GROUP BY 1, 2""")
 def ewma_covariance(spark, sf_dir):
-    return portfolio.ewma_moments(_tail(spark, sf_dir)).select("a", "b", rounded("cov", 8).alias("cov"))
+    return portfolio.ewma_moments(book_names(spark, sf_dir)).select("a", "b", rounded("cov", 8).alias("cov"))
 
 
-@query()
-def construct_books(spark, sf_dir):
-    """Equal with bands, inverse-vol with tau, and min-variance with tau, as one task a configuration."""
-    rows = picked(spark, sf_dir).where("hist is not null")
-    return portfolio.construct(rows, CONFIGS)
+@query("""WITH t AS (SELECT count(DISTINCT trade_date)::DOUBLE AS t FROM demeaned), s AS (SELECT a.symbol AS a, b.symbol AS b, sum(a.x * b.x) / any_value(t) AS s, sum(a.x * a.x * b.x * b.x) / any_value(t) AS q FROM demeaned a JOIN demeaned b ON a.trade_date = b.trade_date, t GROUP BY 1, 2),
+    m AS (SELECT sum(s) FILTER (WHERE a = b) / count(*) FILTER (WHERE a = b) AS mu, count(*) FILTER (WHERE a = b) AS p, sum(s * s) AS ss, sum(q) AS qs FROM s), k AS (SELECT mu, least((qs - ss) / t, ss - p * mu * mu) / (ss - p * mu * mu) AS d FROM m, t)
+    SELECT a, b, round(CASE WHEN a = b THEN d * mu ELSE 0 END + (1 - d) * s, 8) + 0.0 AS cov FROM s, k WHERE a <= b""")
+def ledoit_wolf_covariance(spark, sf_dir):
+    return portfolio.ledoit_wolf(book_names(spark, sf_dir)).select("a", "b", rounded("cov", 8).alias("cov"))
+
+
+@query("""WITH p AS (SELECT t.rebalance_date, t.symbol, s.idx FROM targets t JOIN sessions s ON s.trade_date = t.rebalance_date)
+    SELECT p.rebalance_date, p.symbol, count(r.ret) AS obs, CASE WHEN count(r.ret) >= 63 THEN round(stddev_samp(r.ret * 0.01) * sqrt(252.0), 8) END AS vol FROM p LEFT JOIN (SELECT r.*, s.idx FROM rets r JOIN sessions s USING (trade_date) WHERE ret IS NOT NULL) r
+    ON r.symbol = p.symbol AND r.idx > p.idx - 252 AND r.idx <= p.idx GROUP BY p.rebalance_date, p.symbol""")
+def risk_inputs(spark, sf_dir):
+    return picked(spark, sf_dir)[0].select("rebalance_date", "symbol", "obs", rounded("vol", 8).alias("vol"))
+
+
+def _realised(panel):
+    """By day the volatility of the fully invested equal-weight book, which the volatility target reads."""
+    return risk.book_vol(backtest.run(panel, backtests.targets(panel)).select("trade_date", F.col("gross_return").alias("r")))
+
+
+@query(f"""WITH d AS ({backtests.daily_sql()}) SELECT trade_date, CASE WHEN count(*) OVER f = 21 THEN round(greatest(stddev_samp(gross_return) OVER f, CASE WHEN count(*) OVER s = 63 THEN stddev_samp(gross_return) OVER s END) * sqrt(252.0), 8) END AS vol
+    FROM d WINDOW f AS (ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), s AS (ORDER BY trade_date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)""")
+def book_volatility(spark, sf_dir):
+    return _realised(backtests.staged(spark, sf_dir)).select("trade_date", rounded("vol", 8).alias("vol"))
 
 
 @query()
-def event_engine(spark, sf_dir):
-    panel = backtests.scaled(spark, sf_dir)
-    # the engine trades prices, so the panel's prices are rebuilt from the scaled returns
-    w = Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    prices = panel.withColumn("close", 100 * F.exp(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(w)))
-    return engine.run_engine(prices, backtests.targets(panel), [2.5e6, 1e7])
+def construct_books(spark, sf_dir):
+    """Equal with bands, inverse-vol with tau, and min-variance with tau."""
+    rows, panel = picked(spark, sf_dir)
+    return portfolio.construct(rows, CONFIGS, _realised(panel))
 
 
 def _dsl_sql() -> str:
     d = "ret"
     body = {
-        "vol_ratio": "sd21 / nullif(sd63, 0)", "range_position": "(close - lo) / nullif(hi - lo, 0)", "illiquidity_trend": "il5 / nullif(il63, 0)",
-        "pullback_in_trend": "-(close / p2 - 1) + 0.05 * (close / p126 - 1)", "turnover_trend": "tv5 / nullif(tv63, 0)", "drift_turn": "r21 - r5",
+        "vol_ratio_21_63": "sd21 / (sd63 + 1e-6)", "range_pos_21d": "(close - lo) / (hi - lo + 1e-6)", "illiq_trend_5_63": "il5 / (il63 + 1e-12)",
+        "rev_gap_2d": "-r2 + 0.05 * r126", "turnover_shock_5d": "tv5 / (tv63 + 1.0)", "month_turn_drift": "r21 - r5",
     }
     full = lambda n, w, x, c="*": f"CASE WHEN count({c}) OVER w{w} = {w} THEN {x} OVER w{w} END AS {n}"
-    cols = ", ".join([full("sd21", 21, f"stddev_samp({d})", d), full("sd63", 63, f"stddev_samp({d})", d), full("lo", 21, "min(low)"), full("hi", 21, "max(high)"), full("il5", 5, f"avg(abs({d}) / (traded_value + 1.0))", d), full("il63", 63, f"avg(abs({d}) / (traded_value + 1.0))", d), "lag(close, 2) OVER w AS p2", "lag(close, 126) OVER w AS p126", full("tv5", 5, "avg(traded_value)"), full("tv63", 63, "avg(traded_value)"), full("r21", 21, f"avg({d})", d), full("r5", 5, f"avg({d})", d)])
-    frames = ", ".join(f"w{n} AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 21, 63))
+    cols = ", ".join([full("sd21", 21, f"stddev_samp({d})", d), full("sd63", 63, f"stddev_samp({d})", d), full("lo", 21, "min(close)"), full("hi", 21, "max(close)"), full("il5", 5, f"avg(abs({d}) / (traded_value + 1.0))", d), full("il63", 63, f"avg(abs({d}) / (traded_value + 1.0))", d), full("r2", 2, f"avg({d})", d), full("r126", 126, f"avg({d})", d), full("tv5", 5, "avg(traded_value)"), full("tv63", 63, "avg(traded_value)"), full("r21", 21, f"avg({d})", d), full("r5", 5, f"avg({d})", d)])
+    frames = ", ".join(f"w{n} AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (2, 5, 21, 63, 126))
     return f"SELECT symbol, trade_date, {', '.join(f'round({v}, 6) + 0.0 AS {k}' for k, v in body.items())} FROM (SELECT symbol, trade_date, close, {cols} FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY trade_date), {frames})"
 
 
@@ -105,25 +133,14 @@ def dsl_seed_features(spark, sf_dir):
     return b.select("symbol", "trade_date", *[rounded(dsl.compile_expression(s)).alias(n) for n, s in dsl.SEEDS.items()])
 
 
-@query()
-def dsl_candidate(spark, sf_dir):
-    """A candidate feature, z-scored by date."""
-    c = views.bars(spark, sf_dir).select("symbol", "trade_date", dsl.compile_expression(dsl.SEEDS["vol_ratio"]).alias("x")).where("x is not null")
-    return c.select("symbol", "trade_date", zscore("x").alias("z"))
+TABLES["dsl_x"] = "SELECT symbol, trade_date, a / (b + 1e-6) AS x FROM (SELECT symbol, trade_date, CASE WHEN count(ret) OVER f = 21 THEN stddev_samp(ret) OVER f END AS a, CASE WHEN count(ret) OVER s = 63 THEN stddev_samp(ret) OVER s END AS b FROM rets WINDOW f AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), s AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) WHERE a IS NOT NULL AND b IS NOT NULL"
 
 
-@query()
-def dsl_rejections(spark, sf_dir):
-    """Which sources the expression language refuses."""
-    sources = ["col('close')", "roll_mean(dret(), 253)", "__import__('os')", "col('open')", "col('close').abs", "shift(col('close'), -1)", "1 if dret() else 0", "roll_std(dret(), 21) / 2"]
-    rows = []
-    for s in sources:
-        try:
-            dsl.compile_expression(s)
-            rows.append((s, True))
-        except dsl.SandboxError:
-            rows.append((s, False))
-    return spark.createDataFrame(rows, "source string, accepted boolean")
+@query("SELECT symbol, trade_date, round((x - avg(x) OVER d) / (stddev_samp(x) OVER d + 1e-12), 4) + 0.0 AS z FROM dsl_x WINDOW d AS (PARTITION BY trade_date)")
+def dsl_candidate(spark, sf_dir):
+    """A candidate feature, z-scored by date."""
+    c = views.bars(spark, sf_dir).select("symbol", "trade_date", dsl.compile_expression(dsl.SEEDS["vol_ratio_21_63"]).alias("x")).where("x is not null")
+    return c.select("symbol", "trade_date", rounded(zscore("x"), 4).alias("z"))
 
 
 @query()
@@ -138,20 +155,39 @@ def long_flat_single_name(spark, sf_dir):
     return backtest.long_flat(p, buy=0.0012, sell=0.001).select("trade_date", "position", rounded("net", 8).alias("net"))
 
 
+ARMS = {"quarter": 0.25, "half": 0.5, "full": 1.0}
+TABLES["weekly_rewards"] = "SELECT symbol AS run, week, row_number() OVER w AS step, coalesce(lag(r) OVER w, 0.0) AS before, r FROM (SELECT symbol, CAST(date_trunc('week', trade_date) AS DATE) AS week, avg(ret * 0.01) AS r FROM rets WHERE ret IS NOT NULL GROUP BY 1, 2) WINDOW w AS (PARTITION BY symbol ORDER BY week)"
+
+
 def _arms(spark, sf_dir):
-    s = backtests.scaled(spark, sf_dir).where("ret is not null").groupBy(F.to_date(F.date_trunc("week", "trade_date")).alias("week")).agg(F.avg("ret").alias("a"), F.expr("avg(ret) filter (where symbol % 2 = 0)").alias("b"), F.expr("avg(ret) filter (where symbol % 3 = 0)").alias("c"))
-    w = Window.orderBy("week")  # one row a week
-    return s.select(F.lit("all").alias("run"), F.row_number().over(w).cast("long").alias("step"), F.lit(1.0).alias("bias"), F.coalesce(F.lag("a").over(w), F.lit(0.0)).alias("before"), *[F.coalesce(x, F.lit(0.0)).alias(x) for x in "abc"])
+    """Weekly rewards of three exposures to each symbol, which is a run of its own, with the week before as context."""
+    s = backtests.scaled(spark, sf_dir).where("ret is not null").groupBy(F.col("symbol").alias("run"), F.to_date(F.date_trunc("week", "trade_date")).alias("week")).agg(F.avg("ret").alias("r"))
+    w = Window.partitionBy("run").orderBy("week")
+    return s.select("run", "week", F.row_number().over(w).cast("long").alias("step"), F.lit(1.0).alias("bias"), F.coalesce(F.lag("r").over(w), F.lit(0.0)).alias("before"), *[(F.col("r") * x).alias(n) for n, x in ARMS.items()])
 
 
 @query()
 def linucb_policy(spark, sf_dir):
-    return engine.linucb(_arms(spark, sf_dir), ["a", "b", "c"], ["bias", "before"])
+    return engine.linucb(_arms(spark, sf_dir), list(ARMS), ["bias", "before"])
+
+
+@query("SELECT run, step, 'half' AS arm, round(r * 0.5, 8) + 0.0 AS reward FROM weekly_rewards")
+def fixed_policy(spark, sf_dir):
+    return engine.fixed_policy(_arms(spark, sf_dir), "half").select("run", "step", "arm", rounded("reward", 8).alias("reward"))
+
+
+@query("""WITH d AS (SELECT run, week + 6 AS decided_on, CASE WHEN before > 0 THEN 1.0 ELSE 0.25 END AS x FROM weekly_rewards), t AS (SELECT symbol AS run, trade_date, ret * 0.01 AS ret, trade_date - 1 AS prior FROM rets WHERE ret IS NOT NULL)
+    SELECT t.run, t.trade_date, round(coalesce(t.ret * d.x, 0.0), 8) + 0.0 AS r FROM t ASOF LEFT JOIN d ON d.run = t.run AND t.prior >= d.decided_on""")
+def stitched_policy_returns(spark, sf_dir):
+    """Full exposure after a week that followed a rising one, else a quarter: decided on the week's last day, held until the next decision."""
+    decisions = _arms(spark, sf_dir).select("run", F.date_add("week", 6).alias("decided_on"), F.when(F.col("before") > 0, "full").otherwise("quarter").alias("arm"))
+    daily = backtests.scaled(spark, sf_dir).where("ret is not null").select(F.col("symbol").alias("run"), "trade_date", F.explode(F.array(*[F.struct(F.lit(n).alias("arm"), (F.col("ret") * x).alias("r")) for n, x in ARMS.items()])).alias("x")).select("run", "trade_date", "x.*")
+    return engine.policy_returns(decisions, daily).select("run", "trade_date", rounded("r", 8).alias("r"))
 
 
 @query()
 def thompson_memory(spark, sf_dir):
-    arms = _arms(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(x).alias("arm"), F.col(x).alias("reward")) for x in "abc"])).alias("e")).select("e.*")
+    arms = _arms(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(x).alias("arm"), F.col(x).alias("reward")) for x in ARMS])).alias("e")).select("e.*")
     return engine.thompson(arms.groupBy("arm").agg(F.count("reward").alias("n"), F.avg("reward").alias("mean"), F.var_samp("reward").alias("var")))
 
 

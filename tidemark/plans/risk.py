@@ -43,23 +43,23 @@ def _r(df, *names, digits=6):
 _M = "avg(r) AS m, stddev_samp(r) AS sd, (avg(r*r*r) - 3 * avg(r) * avg(r*r) + 2 * pow(avg(r), 3)) / pow(stddev_pop(r), 3) AS s, (avg(r*r*r*r) - 4 * avg(r) * avg(r*r*r) + 6 * avg(r) * avg(r) * avg(r*r) - 3 * pow(avg(r), 4)) / pow(var_pop(r), 2) - 3 AS k"
 
 
-@query("""WITH q AS (SELECT quantile_cont(r, 0.05) AS v95, quantile_cont(r, 0.01) AS v99 FROM series) SELECT count(*) AS n, round(any_value(v95), 8) + 0.0 AS var95, round(any_value(v99), 8) + 0.0 AS var99,
-    round(avg(r) FILTER (WHERE r <= v95), 8) + 0.0 AS cvar95, round(avg(r) FILTER (WHERE r <= v99), 8) + 0.0 AS cvar99 FROM series, q HAVING count(*) >= 60""")
+@query("""WITH q AS (SELECT quantile_cont(r, 0.05) AS v95, quantile_cont(r, 0.01) AS v99 FROM series) SELECT count(*) AS n, round(-any_value(v95), 8) + 0.0 AS var95, round(-any_value(v99), 8) + 0.0 AS var99,
+    round(-avg(r) FILTER (WHERE r <= v95), 8) + 0.0 AS cvar95, round(-avg(r) FILTER (WHERE r <= v99), 8) + 0.0 AS cvar99 FROM series, q""")
 def var_cvar(spark, sf_dir):
     return _r(risk.var_report(series(spark, sf_dir)).select("n", "var95", "var99", "cvar95", "cvar99"), "var95", "var99", "cvar95", "cvar99", digits=8)
 
 
 def _cf(z: float) -> str:
-    return f"round(m + sd * ({z} + {z * z - 1} * s / 6 + {z**3 - 3 * z} * k / 24 - {2 * z**3 - 5 * z} * s * s / 36), 6) + 0.0"
+    return f"round(-(m + sd * ({z} + {z * z - 1} * s / 6 + {z**3 - 3 * z} * k / 24 - {2 * z**3 - 5 * z} * s * s / 36)), 6) + 0.0"
 
 
-@query(f"WITH x AS (SELECT {_M} FROM series HAVING count(*) >= 60) SELECT round(s, 4) + 0.0 AS skew, round(k, 4) + 0.0 AS kurtosis, {_cf(risk.NormalDist().inv_cdf(0.05))} AS cf_var95, {_cf(risk.NormalDist().inv_cdf(0.01))} AS cf_var99 FROM x")
+@query(f"WITH x AS (SELECT {_M} FROM series) SELECT round(s, 4) + 0.0 AS skew, round(k, 4) + 0.0 AS kurtosis, {_cf(risk.NormalDist().inv_cdf(0.05))} AS cf_var95, {_cf(risk.NormalDist().inv_cdf(0.01))} AS cf_var99 FROM x")
 def cornish_fisher_var(spark, sf_dir):
     v = risk.var_report(series(spark, sf_dir)).select("skew", "kurtosis", "cf_var95", "cf_var99")
     return _r(_r(v, "skew", "kurtosis", digits=4), "cf_var95", "cf_var99")
 
 
-@query("SELECT round(avg(r) / sqrt(avg(CASE WHEN r < 0 THEN r * r ELSE 0 END)) * sqrt(252.0), 6) AS sortino, round((pow(arg_max(equity, trade_date), 252.0 / count(*)) - 1) / abs(min(equity / peak - 1)), 4) + 0.0 AS calmar FROM curve")
+@query("SELECT round(avg(r) * 252 / sqrt(avg(r * r) FILTER (WHERE r < 0) * 252), 6) AS sortino, round((pow(arg_max(equity, trade_date), 252.0 / count(*)) - 1) / abs(min(equity / peak - 1)), 4) + 0.0 AS calmar FROM curve")
 def sortino_calmar(spark, sf_dir):
     return _r(_r(risk.sortino_calmar(series(spark, sf_dir)), "sortino"), "calmar", digits=4)
 
@@ -223,21 +223,72 @@ def psr_mintrl_moments(spark, sf_dir):
     return _r(_r(_r(risk.sharpe_moments(series(spark, sf_dir)), "mean", digits=8), "sr"), "skew", "kurtosis", digits=4)
 
 
-@query()
+#: The normal distribution by its series: erf(x) = exp(-x^2) * sum of x^(2n+1) / gamma(n + 3/2).
+_ERF = "CASE WHEN abs({x}) > 6 THEN sign({x}) ELSE exp(-({x}) * ({x})) * list_sum(list_transform(range(0, 120), lambda n: pow({x}, 2 * n + 1) / gamma(n + 1.5))) END"
+_MOMENTS = "SELECT count(*) AS n, avg(r) / stddev_samp(r) AS sr, (avg(r*r*r) - 3 * avg(r) * avg(r*r) + 2 * pow(avg(r), 3)) / pow(stddev_pop(r), 3) AS s, (avg(r*r*r*r) - 4 * avg(r) * avg(r*r*r) + 6 * avg(r) * avg(r) * avg(r*r) - 3 * pow(avg(r), 4)) / pow(var_pop(r), 2) AS k FROM series"
+_BEST10 = risk.expected_max_sharpe((0.5 / 252**0.5) ** 2, 10)
+_Z95 = risk.NormalDist().inv_cdf(0.95)
+
+
+@query(f"""WITH m AS ({_MOMENTS}), z AS (SELECT *, sr * sqrt(n - 1) / sqrt(1 - s * sr + (k - 1) / 4 * sr * sr) / sqrt(2.0) AS x, (sr - {_BEST10}) * sqrt(n - 1) / sqrt(1 - s * sr + (k - 1) / 4 * sr * sr) / sqrt(2.0) AS y FROM m)
+    SELECT round((1 + {_ERF.format(x="x")}) / 2, 8) AS psr, round((1 + {_ERF.format(x="y")}) / 2, 8) AS dsr, CASE WHEN sr <= 0 THEN 'infinity'::DOUBLE ELSE round(1 + (1 - s * sr + (k - 1) / 4 * sr * sr) * pow({_Z95} / sr, 2), 4) END AS min_track_record FROM z""")
 def probabilistic_sharpe(spark, sf_dir):
-    """PSR, deflated Sharpe over 10 trials and the minimum track record, from one row of moments."""
-    m = risk.sharpe_moments(series(spark, sf_dir)).first()
-    a = (m["n"], m["sr"], m["skew"], m["kurtosis"]) if m["n"] > 2 else (0, 0.0, 0.0, 3.0)
-    return spark.createDataFrame([(risk.probabilistic_sharpe(*a), risk.deflated_sharpe(*a, 10), risk.min_track_record(*a[1:]))], "psr double, dsr double, min_track_record double")
+    """PSR, deflated Sharpe over 10 trials and the minimum track record."""
+    a = [F.col(c) for c in ("n", "sr", "skew", "kurtosis")]
+    return risk.sharpe_moments(series(spark, sf_dir)).select(rounded(risk.probabilistic_sharpe(*a), 8).alias("psr"), rounded(risk.deflated_sharpe(*a, 10), 8).alias("dsr"), rounded(risk.min_track_record(*a[1:]), 4).alias("min_track_record"))
+
+
+def _lr(n: str, x: str) -> str:
+    return f"greatest(0, -2 * (({n} - {x}) * ln(0.95) + {x} * ln(0.05) - CASE WHEN {n} > {x} THEN ({n} - {x}) * ln(1 - {x} / {n}) ELSE 0 END - CASE WHEN {x} > 0 THEN {x} * ln({x} / {n}) ELSE 0 END))"
 
 
-@query("""WITH v AS (SELECT trade_date, r, -1.645 * CASE WHEN count(*) OVER w = 63 THEN stddev_samp(r) OVER w END AS limit_r FROM series WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)),
-    k AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE r < limit_r)::DOUBLE AS x FROM v WHERE limit_r IS NOT NULL) SELECT CAST(n AS BIGINT) AS n, CAST(x AS BIGINT) AS exceptions,
-    round(-2 * ((n - x) * ln(0.95) + CASE WHEN x > 0 THEN x * ln(0.05) ELSE 0 END - CASE WHEN n - x > 0 THEN (n - x) * ln(1 - x / n) ELSE 0 END - CASE WHEN x > 0 THEN x * ln(x / n) ELSE 0 END), 6) + 0.0 AS lr FROM k""")
+@query(f"""WITH v AS (SELECT trade_date, r, -1.645 * CASE WHEN count(*) OVER w = 63 THEN stddev_samp(r) OVER w END AS limit_r FROM series WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)),
+    k AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE r < limit_r)::DOUBLE AS x FROM v WHERE limit_r IS NOT NULL), l AS (SELECT n, x, {_lr("n", "x")} AS lr FROM k)
+    SELECT CAST(n AS BIGINT) AS n, CAST(x AS BIGINT) AS exceptions, round(lr, 6) + 0.0 AS lr, round(1 - {_ERF.format(x="sqrt(lr / 2)")}, 8) + 0.0 AS p_value FROM l""")
 def kupiec_pof(spark, sf_dir):
-    """Exceptions of a trailing parametric VaR and their likelihood ratio."""
+    """Exceptions of a trailing parametric VaR, their likelihood ratio and its p-value."""
     from ..functions.expr import rolling
 
     v = series(spark, sf_dir).withColumn("limit_r", -1.645 * rolling("r", 63, "std", by=risk.days(), lag=1)).where("limit_r is not null")
     c = v.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("r") < F.col("limit_r")).alias("exceptions"))
-    return c.withColumn("lr", rounded(risk.kupiec(F.col("n").cast("double"), F.col("exceptions").cast("double"), 0.05)))
+    lr = risk.kupiec(F.col("n").cast("double"), F.col("exceptions").cast("double"), 0.05)
+    return c.withColumn("lr", lr).select("n", "exceptions", rounded("lr").alias("lr"), rounded(risk.kupiec_p(F.col("lr")), 8).alias("p_value"))
+
+
+@query("""WITH h AS (SELECT trade_date, cost, r - beta * m - cost AS r FROM (SELECT *, 2e-4 * abs(beta - coalesce(lag(beta) OVER (ORDER BY trade_date), 0)) + 2 * 2e-4 * 12 / 252 * abs(beta) AS cost FROM betas)), b AS (SELECT trade_date, (rm - ar * am) / (mm - am * am + 1e-12) AS beta FROM
+    (SELECT trade_date, count(*) OVER w AS n, avg(r) OVER w AS ar, avg(m) OVER w AS am, avg(r * m) OVER w AS rm, avg(m * m) OVER w AS mm FROM (SELECT trade_date, h.r, m FROM h JOIN index_series USING (trade_date)) WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)) WHERE n = 60),
+    l AS (SELECT beta FROM (SELECT *, row_number() OVER (ORDER BY trade_date) AS i, count(*) OVER () AS n FROM b) WHERE i > n - n // 2)
+    SELECT round(avg(beta), 6) + 0.0 AS residual_beta, abs(avg(beta)) < 0.1 AS passes, round((SELECT avg(cost) * 252 FROM h), 8) AS cost_drag FROM l""")
+def hedge_gate(spark, sf_dir):
+    """The residual beta of the hedged book in the later half, and the hedge's yearly cost."""
+    i = index(spark, sf_dir)
+    h = risk.hedged(series(spark, sf_dir), i).select("trade_date", F.col("hedged").alias("r"), "cost")
+    return risk.hedge_gate(h, i).select(rounded("residual_beta").alias("residual_beta"), "passes", rounded("cost_drag", 8).alias("cost_drag"))
+
+
+TABLES["live_log"] = "SELECT trade_date, 2.5e6 * product(1 + r) OVER (ORDER BY trade_date) AS equity, 2.5e6 * product(1 + r) OVER (ORDER BY trade_date) * (0.05 + 0.01 * (dayofmonth(trade_date) % 7)) AS cash FROM series"
+
+
+def live_log(spark, sf_dir):
+    """A live log as the series would have written it: equity from a capital, and cash of 5 to 11 %."""
+    w = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)  # one row a session
+    e = series(spark, sf_dir).withColumn("equity", 2.5e6 * F.product(1 + F.col("r")).over(w))
+    return e.select("trade_date", "equity", (F.col("equity") * (0.05 + 0.01 * (F.dayofmonth("trade_date") % 7))).alias("cash"))
+
+
+@query("SELECT * FROM (SELECT trade_date, round(equity / lag(equity) OVER (ORDER BY trade_date) - 1, 8) + 0.0 AS r FROM live_log) WHERE r IS NOT NULL")
+def live_returns(spark, sf_dir):
+    return risk.live_returns(live_log(spark, sf_dir)).select("trade_date", rounded("r", 8).alias("r"))
+
+
+@query(f"""WITH r AS (SELECT equity / lag(equity) OVER (ORDER BY trade_date) - 1 AS r FROM live_log), k AS (SELECT count(r)::DOUBLE AS n, stddev_samp(r) * sqrt(252.0) AS vol, count(*) FILTER (WHERE r < -1.645 * 0.135 / sqrt(252.0))::DOUBLE AS x FROM r), l AS (SELECT *, {_lr("n", "x")} AS lr FROM k)
+    SELECT CAST(n AS BIGINT) AS days, round(vol, 8) AS vol, vol BETWEEN 0.10 AND 0.17 AS in_band, round((SELECT min(equity / peak - 1) FROM (SELECT equity, max(equity) OVER (ORDER BY trade_date) AS peak FROM live_log)), 8) + 0.0 AS max_drawdown, CAST(x AS BIGINT) AS exceptions, round(lr, 4) + 0.0 AS lr, round(1 - {_ERF.format(x="sqrt(lr / 2)")}, 8) + 0.0 AS p_value FROM l""")
+def live_risk(spark, sf_dir):
+    v = risk.live_risk(live_log(spark, sf_dir))
+    return v.select("days", rounded("vol", 8).alias("vol"), "in_band", rounded("max_drawdown", 8).alias("max_drawdown"), "exceptions", rounded("lr", 4).alias("lr"), rounded("p_value", 8).alias("p_value"))
+
+
+@query("""WITH b AS (SELECT trade_date, (equity / lag(equity) OVER (ORDER BY trade_date) - 1) / ((equity - cash) / equity) AS r FROM live_log), l AS (SELECT r, row_number() OVER (ORDER BY trade_date DESC) AS b FROM b WHERE r IS NOT NULL)
+    SELECT round(greatest(stddev_samp(r) FILTER (WHERE b <= 21), stddev_samp(r) FILTER (WHERE b <= 63)) * sqrt(252.0), 8) AS vol FROM l""")
+def trailing_book_vol(spark, sf_dir):
+    return risk.trailing_book_vol(live_log(spark, sf_dir)).select(rounded("vol", 8).alias("vol"))
