@@ -10,7 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from tidemark.session import session
 
-    # tiny inputs: compiling stages would take longer than running them
-    s = session(4, **{"spark.sql.shuffle.partitions": "2", "spark.driver.memory": "3g", "spark.sql.codegen.wholeStage": "false"})
+    s = session(4, **{"spark.sql.shuffle.partitions": "2", "spark.driver.memory": "3g"})
     yield s
     s.stop()

@@ -1,8 +1,10 @@
 import math
 import random
 from datetime import date, timedelta
+from itertools import combinations
+from statistics import NormalDist
 
-import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,27 +64,6 @@ def test_costs(spark):
     assert one(cost_rate("buy", F.lit(1e6), F.lit(0.0))) == pytest.approx(base)
 
 
-def test_engine_agrees_with_the_closed_form_without_costs(spark):
-    rows = world(3, 30)
-    targets = pd.DataFrame([(D0 + timedelta(2), s, 0.3) for s in (1, 2, 3)], columns=["rebalance_date", "symbol", "weight"])
-    frame = pd.DataFrame(rows, columns=["symbol", "trade_date", "close", "ret", "traded_value"])
-    eq = engine.simulate(frame, targets, capital=1e6, fractional=True)
-    panel = spark.createDataFrame(rows, "symbol long, trade_date date, close double, ret double, traded_value double")
-    t = spark.createDataFrame([(*x, 1e9) for x in targets.itertuples(index=False)], "rebalance_date date, symbol long, weight double, adv double")
-    daily = {r.trade_date: r.gross_return for r in backtest.run(panel, t).collect()}
-    eq["ret"] = eq["equity"] / eq["equity"].shift(1) - 1
-    gaps = [abs(r.ret - daily[r.trade_date]) for r in eq.itertuples() if r.trade_date in daily and daily[r.trade_date]]
-    assert sum(gaps) / len(gaps) < 2e-4
-
-
-def test_engine_rejects_bands_and_expires_halts():
-    d = [D0 + timedelta(i) for i in range(20)]
-    rows = pd.DataFrame([(x, 1, 100.0 if x < d[3] else 150.0) for x in d] + [(x, 2, 50.0) for x in d[:3]], columns=["trade_date", "symbol", "close"])
-    t = pd.DataFrame([(d[2], 1, 0.5), (d[2], 2, 0.5)], columns=["rebalance_date", "symbol", "weight"])
-    out = engine.simulate(rows, t, capital=1e5)
-    assert out["rejected"].sum() == 1 and out["expired"].sum() == 1 and out["filled"].sum() == 0
-
-
 def series(spark, values):
     return spark.createDataFrame([(D0 + timedelta(i), float(v)) for i, v in enumerate(values)], "trade_date date, r double")
 
@@ -98,9 +79,11 @@ def test_liquidation_days(spark):
     assert risk.days_to_liquidate(h, adv, capital=5e6).first().days == pytest.approx(25)
 
 
-def test_var_needs_60_rows_and_empty_input_is_fine(spark):
-    assert risk.var_report(series(spark, [0.01] * 59)).count() == 0
-    assert risk.var_report(series(spark, [])).count() == 0
+def test_var_needs_60_rows_and_other_reports_none(spark):
+    with pytest.raises(Exception, match="60 observations"):
+        risk.var_report(series(spark, [0.01] * 59)).collect()
+    with pytest.raises(Exception, match="60 observations"):
+        risk.var_report(series(spark, [])).collect()
     assert backtest.summarise(series(spark, []), "r").first().days == 0
 
 
@@ -124,8 +107,6 @@ def test_overfitting_extremes(spark):
 
 
 def test_construction_kernels(spark):
-    import numpy as np
-
     assert portfolio.min_variance(np.diag([0.01, 0.04])) == pytest.approx([0.8, 0.2], rel=1e-6)
     b = spark.createDataFrame([(D0, 1, 0.1), (D0, 2, 0.2)], "rebalance_date date, symbol long, vol double")
     assert sorted(r.weight for r in portfolio.inverse_vol(b).collect()) == pytest.approx([1 / 3, 2 / 3])
@@ -137,8 +118,335 @@ def test_construction_kernels(spark):
     assert portfolio.violations(w, portfolio.Config()).first().constraint == "position_cap"
 
 
-def test_statistics():
-    assert risk.probabilistic_sharpe(2, 1.0, 0.0, 3.0) == 0.5
-    assert risk.probabilistic_sharpe(1000, 0.1, 0.0, 3.0) > 0.99
-    assert risk.min_track_record(0.0, 0.0, 3.0) == math.inf
-    assert risk.deflated_sharpe(1000, 0.1, 0.0, 3.0, 50) < risk.deflated_sharpe(1000, 0.1, 0.0, 3.0, 2)
+def numbers(n=400, seed=5):
+    return np.random.default_rng(seed).normal(0.0005, 0.012, n)
+
+
+def test_var_report_gives_losses(spark):
+    x = numbers()
+    r = risk.var_report(series(spark, x)).first()
+    z, mu, sd = NormalDist().inv_cdf(0.05), x.mean(), x.std(ddof=1)
+    d = (x - mu) / x.std()
+    s, k = (d**3).mean(), (d**4).mean() - 3
+    cf = z + (z**2 - 1) * s / 6 + (z**3 - 3 * z) * k / 24 - (2 * z**3 - 5 * z) * s**2 / 36
+    q = np.quantile(x, 0.05)
+    assert (r.var95, r.cvar95, r.cf_var95) == pytest.approx((-q, -x[x <= q].mean(), -(mu + sd * cf)), rel=1e-9) and r.var99 > r.var95 > 0
+
+
+def test_sortino_is_over_losing_days(spark):
+    x = numbers()
+    r = risk.sortino_calmar(series(spark, x)).first()
+    eq = np.cumprod(1 + x)
+    worst = (eq / np.maximum.accumulate(eq) - 1).min()
+    assert r.sortino == pytest.approx(x.mean() * 252 / np.sqrt((x[x < 0] ** 2).mean() * 252)) and r.calmar == pytest.approx((eq[-1] ** (252 / len(x)) - 1) / -worst)
+    gains = risk.sortino_calmar(series(spark, [0.01] * 5)).first()
+    assert gains.sortino == math.inf and gains.calmar == 0.0
+
+
+def test_normal_distribution(spark):
+    points = [-9.0, -6.5, -3.2, -1.0, -1e-9, 0.0, 0.3, 1.96, 4.0, 8.3, 40.0]
+    df = spark.createDataFrame([(x,) for x in points], "x double")
+    for r in df.select("x", risk.normal_cdf(F.col("x")).alias("p"), risk.erf(F.col("x")).alias("e")).collect():
+        assert r.p == pytest.approx(NormalDist().cdf(r.x), abs=1e-14) and r.e == pytest.approx(math.erf(r.x), abs=1e-14)
+
+
+def test_statistics(spark):
+    lit = lambda *v: [F.lit(float(x)) for x in v]
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(risk.probabilistic_sharpe(*lit(2, 1.0, 0.0, 3.0))) == 0.5
+    z = (0.1 - 0.02) * math.sqrt(999) / math.sqrt(1 + 0.3 * 0.1 + (4 - 1) / 4 * 0.01)
+    assert one(risk.probabilistic_sharpe(*lit(1000, 0.1, -0.3, 4.0), benchmark=0.02)) == pytest.approx(NormalDist().cdf(z), abs=1e-12)
+    assert one(risk.min_track_record(*lit(0.0, 0.0, 3.0))) == math.inf
+    assert one(risk.deflated_sharpe(*lit(1000, 0.1, 0.0, 3.0), 50)) < one(risk.deflated_sharpe(*lit(1000, 0.1, 0.0, 3.0), 2))
+
+
+@pytest.mark.parametrize(("n", "x"), [(0, 0), (250, 0), (250, 12), (250, 40), (20, 20)])
+def test_kupiec(spark, n, x):
+    p, rate = 0.05, x / n if n else 0.0
+    log = lambda a, b: a * math.log(b) if a else 0.0
+    want = max(0.0, -2 * (log(n - x, 1 - p) + log(x, p) - log(n - x, 1 - rate) - log(x, rate))) if n else 0.0
+    lr = risk.kupiec(F.lit(float(n)), F.lit(float(x)), p)
+    got = spark.range(1).select(lr.alias("lr"), risk.kupiec_p(lr).alias("p")).first()
+    assert got.lr == pytest.approx(want, abs=1e-9) and got.p == pytest.approx(math.erfc(math.sqrt(want / 2)), abs=1e-12)
+
+
+def test_live_risk_and_book_vol(spark):
+    x = numbers(120)
+    eq = 1e6 * np.cumprod(1 + np.concatenate([[0.0], x]))
+    cash = eq * np.where(np.arange(121) % 9 == 3, 0.97, 0.2)
+    log = spark.createDataFrame([(D0 + timedelta(i), float(a), float(b)) for i, (a, b) in enumerate(zip(eq, cash, strict=True))], "trade_date date, equity double, cash double")
+    r = risk.live_risk(log).first()
+    limit = 1.645 * 0.135 / math.sqrt(252)
+    assert (r.days, r.exceptions, r.vol) == (120, int((x < -limit).sum()), pytest.approx(x.std(ddof=1) * math.sqrt(252)))
+    assert r.max_drawdown == pytest.approx((eq / np.maximum.accumulate(eq) - 1).min()) and r.in_band == (0.10 <= r.vol <= 0.17)
+    exposure = 1 - cash[1:] / eq[1:]
+    book = (x / exposure)[exposure > 0.05]
+    assert risk.trailing_book_vol(log).first().vol == pytest.approx(max(book[-21:].std(ddof=1), book[-63:].std(ddof=1)) * math.sqrt(252))
+    assert risk.trailing_book_vol(log.limit(10)).first().vol is None and risk.live_risk(log.limit(10)).count() == 0
+
+
+def returns_frame(spark, t=70, n=7, gaps=True, seed=2):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 0.01, (t, n)) + rng.normal(0, 0.005, (t, 1))
+    if gaps:
+        x[rng.random((t, n)) < 0.3] = np.nan
+    rows = [(k, D0 + timedelta(i), float(x[i, k])) for i in range(t) for k in range(n) if not np.isnan(x[i, k])]
+    return x, spark.createDataFrame(rows, "symbol long, trade_date date, ret double")
+
+
+@pytest.mark.parametrize("block", [128, 3])
+def test_covariances_equal_the_matrix_forms(spark, monkeypatch, block):
+    monkeypatch.setattr(portfolio, "NAMES_A_BLOCK", block)
+    x, df = returns_frame(spark)
+    filled = np.where(np.isnan(x), np.nanmean(x, 0), x)
+    d = filled - filled.mean(0)
+    w = 0.94 ** np.arange(len(x) - 1, -1, -1)
+    ewma = (d * (w / w.sum())[:, None]).T @ d
+    wanted = {"ewma": ewma, "shrunk": portfolio.shrunk_covariance(x)}
+    for name, got in (("ewma", portfolio.ewma_moments(df)), ("shrunk", portfolio.ledoit_wolf(df))):
+        found = {(r.a, r.b): r["cov"] for r in got.collect()}
+        assert found == {(i, j): pytest.approx(wanted[name][i, j], abs=1e-15) for i in range(7) for j in range(i, 7)}
+    pairs = {(r.a, r.b): (r.n, r["cov"]) for r in portfolio.pair_moments(df).collect()}
+    for (i, j), (n, c) in pairs.items():
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert n == both.sum() and c == pytest.approx(np.cov(x[both, i], x[both, j], bias=True)[0, 1], abs=1e-15)
+
+
+def slow_shrunk(x):
+    """Ledoit-Wolf by its definition, one day's outer product at a time."""
+    x = np.where(np.isnan(x), np.nanmean(x, 0), x)
+    x = x - x.mean(0)
+    s = x.T @ x / len(x)
+    target = np.trace(s) / len(s) * np.eye(len(s))
+    d2 = ((s - target) ** 2).sum()
+    b2 = min(sum(((np.outer(r, r) - s) ** 2).sum() for r in x) / len(x) ** 2, d2)
+    return b2 / d2 * target + (1 - b2 / d2) * s
+
+
+def test_shrinkage_equals_its_definition(spark):
+    x, _ = returns_frame(spark)
+    assert np.allclose(portfolio.shrunk_covariance(x), slow_shrunk(x), atol=1e-16)
+
+
+def test_construction_equals_a_loop_over_dates(spark):
+    """Base weights, caps, volatility target and trading rules of every scheme against one book after another."""
+    x, df = returns_frame(spark, 90, 6, seed=4)
+    days = [D0 + timedelta(i) for i in (30, 50, 70, 89)]
+    picks = [(d, s, 1e7 * (s + 1), "a" if s < 4 else None) for k, d in enumerate(days) for s in range(6) if (s + k) % 6]
+    cal = df.select("trade_date").distinct().withColumn("idx", F.datediff("trade_date", F.lit(D0)).cast("long"))
+    p = spark.createDataFrame(picks, "rebalance_date date, symbol long, adv double, industry string")
+    rows = portfolio.risk_windows(df, p, cal, window=60, min_obs=25)
+    realised = spark.createDataFrame([(d, v) for d, v in zip(days, (None, 0.1, 0.3, 0.27), strict=True)], "trade_date date, vol double")
+    configs = [portfolio.Config(position_cap=0.22, sector_cap=0.5), portfolio.Config(scheme="ivol", tau=0.5, position_cap=0.22, sector_cap=0.5), portfolio.Config(scheme="minvar", tau=0.25, capital=5e6, position_cap=0.22, sector_cap=0.5)]
+    got = {(r.config, r.rebalance_date, r.symbol): r.weight for r in portfolio.construct(rows, configs, realised).collect()}
+    want = {}
+    for c in configs:
+        book = {}
+        for d, vol in zip(days, (None, 0.1, 0.3, 0.27), strict=True):
+            i = (d - D0).days
+            own = [(s, a, ind) for day, s, a, ind in picks if day == d]
+            hist = {s: x[max(0, i - 59) : i + 1, s] for s, _, _ in own}
+            covered = [s for s, _, _ in own if (~np.isnan(hist[s])).sum() >= 25]
+            w = {s: 1 / len(own) for s, _, _ in own}
+            if c.scheme == "ivol" and covered:
+                inv = {s: 1 / np.nanstd(hist[s], ddof=1) for s in covered}
+                w |= {s: v / sum(inv.values()) * len(covered) / len(own) for s, v in inv.items()}
+            if c.scheme == "minvar" and covered:
+                m = np.array([hist[s] for s in covered]).T
+                solved = portfolio.min_variance(slow_shrunk(m[~np.isnan(m).all(1)]))
+                w |= {s: v * len(covered) / len(own) for s, v in zip(covered, solved, strict=True)}
+            cap = max(c.position_cap, 1 / len(own))
+            for _ in range(4):
+                excess, room = sum(max(v - cap, 0) for v in w.values()), {s: max(cap - v, 0) for s, v in w.items()}
+                total = sum(room.values())
+                w = {s: min(v, cap) + (min(excess, total) * room[s] / total if total else 0) for s, v in w.items()}
+            in_sector = sum(w[s] for s, _, ind in own if ind == "a")
+            w = {s: w[s] * (min(1, c.sector_cap / in_sector) if ind == "a" else 1) * (min(1, c.target_vol / vol) if vol else 1) for s, _, ind in own}
+            new = {}
+            for s in w.keys() | book.keys():
+                to, was = w.get(s, 0.0), book.get(s, 0.0)
+                if c.tau < 1:
+                    to = 0.0 if to <= 1e-12 and was < c.full_exit else was + c.tau * (to - was)
+                elif to > 0 and abs(to - was) < c.band * to:
+                    to = was
+                most = c.adv_limit * 1e7 * (s + 1) / c.capital
+                to = was + max(-most, min(most, to - was))
+                if to > 1e-12:
+                    new[s] = to
+            total = sum(new.values())
+            book = {s: v / max(1.0, total) for s, v in new.items()}
+            want |= {(f"{c.scheme}_tau{c.tau:g}", d, s): v for s, v in book.items()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
+def design(spark, days=80, names=12, seed=9):
+    rng = np.random.default_rng(seed)
+    rows = [(s, D0 + timedelta(i), i, *map(float, rng.normal(size=3)), float(rng.normal())) for i in range(days) for s in range(names)]
+    return rows, spark.createDataFrame(rows, "symbol long, trade_date date, idx long, a double, b double, c double, label double")
+
+
+def ridge(rows, at, features, penalty=1.0):
+    x, y = np.array([[r[3 + f] for f in features] for r in rows if r[2] in at]), np.array([r[6] for r in rows if r[2] in at])
+    m = x.mean(0)
+    w = np.linalg.solve((x - m).T @ (x - m) + penalty * np.eye(len(features)), (x - m).T @ (y - y.mean()))
+    return lambda r: y.mean() + (np.array([r[3 + f] for f in features]) - m) @ w
+
+
+def test_ridge_walk_forward_equals_solving_each_fold(spark):
+    rows, df = design(spark)
+    cal = spark.range(80).select(F.col("id").alias("idx"))
+    folds = validation.walk_forward(cal, test=20, min_train=30, horizon=2, embargo=3)
+    got = {(r.symbol, r.trade_date): (r.fold, r.pred) for r in validation.ridge_walk_forward(df, cal, folds, ["a", "b", "c"]).collect()}
+    want = {}
+    for f in folds.collect():
+        model = ridge(rows, set(range(f.train_end + 1)), [0, 1, 2])
+        want |= {(r[0], r[1]): (f.fold, pytest.approx(model(r), abs=1e-10)) for r in rows if f.test_start <= r[2] <= f.test_end}
+    assert got == want and got
+
+
+def spearman(a, b):
+    rank = lambda v: np.array([(np.array(v) < x).sum() + ((np.array(v) == x).sum() + 1) / 2 for x in v])
+    return np.corrcoef(rank(a), rank(b))[0, 1]
+
+
+def test_cpcv_sweep_equals_solving_each_split(spark):
+    rows, df = design(spark, 40, 8)
+    cal = spark.range(40).select(F.col("id").alias("idx"))
+    got = {(r.combo, r.config): (r.is_score, r.oos_score) for r in validation.cpcv_sweep(df, cal, {"ab": ["a", "b"], "c": ["c"]}, blocks=4, pick=2, gap=2, min_names=5).collect()}
+    assert len(got) == 12
+    for n, blocks in enumerate(combinations(range(4), 2)):
+        out = {i for b in blocks for i in range(b * 10, b * 10 + 10)}
+        near = {i for b in blocks for i in range(b * 10 - 2, b * 10 + 12)}
+        inside = set(range(40)) - near
+        for name, features in (("ab", [0, 1]), ("c", [2])):
+            model = ridge(rows, inside, features)
+            ic = lambda at: np.mean([spearman([model(r) for r in rows if r[2] == i], [r[6] for r in rows if r[2] == i]) for i in at])  # noqa: B023, E731
+            assert got[n, name] == pytest.approx((ic(inside), ic(out)), abs=1e-10)
+
+
+def test_increment_is_over_the_first_set(spark):
+    _, df = design(spark)
+    cal = spark.range(80).select(F.col("id").alias("idx"))
+    folds = validation.walk_forward(cal, test=20, min_train=30, horizon=2, embargo=3)
+    got = {r.config: r for r in validation.increment(df, cal, folds, {"A": ["a"], "B": ["a", "b"], "C": ["b"]}, against=("a",), min_names=5).collect()}
+    assert got["A"].delta_ic == 0 and got["B"].delta_ic == pytest.approx(got["B"].mean_ic - got["A"].mean_ic) and abs(got["A"].with_a) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("window", [None, 60])
+def test_lag_walk_forward_equals_solving_each_retrain(spark, window):
+    rng = np.random.default_rng(3)
+    series_ = {s: rng.normal(0, 0.01, n) for s, n in ((1, 150), (2, 130), (3, 20))}
+    df = spark.createDataFrame([(s, D0 + timedelta(i), float(v)) for s, x in series_.items() for i, v in enumerate(x)], "symbol long, trade_date date, ret double")
+    got = {(r.symbol, r.idx): r.pred for r in validation.lag_walk_forward(df, lags=3, burn_in=60, every=20, embargo=1, window=window, least=30).collect()}
+    want = {}
+    for s, x in series_.items():
+        for t in range(60, len(x)):
+            k = (t - 60) // 20
+            start = 60 + 20 * k
+            first = 2 if window is None else max(2, 60 + 20 * (k - window // 20) - 1)
+            some = range(first, start - 1)
+            if len(some) < 30:
+                continue
+            f, y = np.array([[x[i - j] for j in range(3)] for i in some]), np.array([x[i + 1] for i in some])
+            m = f.mean(0)
+            w = np.linalg.solve((f - m).T @ (f - m) + np.eye(3), (f - m).T @ (y - y.mean()))
+            want[s, t] = pytest.approx(y.mean() + (np.array([x[t - j] for j in range(3)]) - m) @ w, abs=1e-12)
+    assert got == want and want
+
+
+def test_spa_bootstrap_equals_one_loop(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    data = {"good": rng.normal(0.002, 0.01, 90), "bad": rng.normal(-0.001, 0.01, 90)}
+    df = spark.createDataFrame([(c, D0 + timedelta(i), float(v)) for c, x in data.items() for i, v in enumerate(x)], "config string, trade_date date, d double")
+    got = validation.spa_bootstrap(df, draws=250, mean_block=10).first()
+    n, rc, spa, seen_rc, seen_spa = 90, [], [], [], []
+    for x in data.values():
+        m = np.empty(250)
+        for b in range(250):
+            r = np.random.default_rng([7, b])
+            jump = r.random(n) < 0.1
+            jump[0] = True
+            starts, at = r.integers(0, n, n), 0
+            total = 0.0
+            for i in range(n):
+                at = starts[i] if jump[i] else at + 1
+                total += x[at % n]
+            m[b] = total / n
+        sd = np.sqrt(n) * m.std()
+        keep = x.mean() if np.sqrt(n) * x.mean() / sd >= -np.sqrt(2 * np.log(np.log(n))) else 0.0
+        rc.append(np.sqrt(n) * (m - x.mean()))
+        spa.append(np.sqrt(n) * (m - keep) / sd)
+        seen_rc.append(np.sqrt(n) * x.mean())
+        seen_spa.append(np.sqrt(n) * x.mean() / sd)
+    assert got.rc_p == pytest.approx((np.max(rc, 0) >= max(seen_rc)).mean()) and got.spa_p == pytest.approx((np.maximum(np.max(spa, 0), 0) >= max(*seen_spa, 0)).mean())
+
+
+def test_car_bootstrap_is_near_the_normal_p_value(spark):
+    rng = np.random.default_rng(6)
+    rows = [(c, "[0,1]", i, D0, float(v)) for c, m in (("a", 0.0), ("b", 0.004)) for i, v in enumerate(rng.normal(m, 0.02, 300))]
+    df = spark.createDataFrame(rows, "category string, window string, symbol long, knowable_date date, car double")
+    from tidemark.operators import events
+
+    for r in events.car_bootstrap(df, n_boot=1000).collect():
+        x = np.array([v for c, _, _, _, v in rows if c == r.category])
+        z = x.mean() / (x.std() / math.sqrt(300))
+        assert r.mean_car == pytest.approx(x.mean()) and r.p_value == pytest.approx(2 * NormalDist().cdf(-abs(z)), abs=0.05)
+
+
+def test_policies(spark):
+    rewards = [(run, step, 1.0, float(step % 2), 0.1 * step, -0.05 * step, 0.02) for run in (1, 2) for step in range(1, 30)]
+    df = spark.createDataFrame(rewards, "run long, step long, bias double, before double, x double, y double, z double")
+    assert [(r.arm, r.reward) for r in engine.fixed_policy(df.where("run = 1 and step = 3"), "z").collect()] == [("z", 0.02)]
+    got = {(r.run, r.step): (r.arm, r.reward) for r in engine.linucb(df, ["x", "y", "z"], ["bias", "before"]).collect()}
+    for run in (1, 2):
+        a, b = {m: np.eye(2) for m in "xyz"}, {m: np.zeros(2) for m in "xyz"}
+        for _, step, bias, before, *r in [x for x in rewards if x[0] == run]:
+            ctx, reward = np.array([bias, before]), dict(zip("xyz", r, strict=True))
+            score = {m: np.linalg.inv(a[m]) @ b[m] @ ctx + 0.3 * math.sqrt(ctx @ np.linalg.inv(a[m]) @ ctx) for m in "xyz"}
+            arm = max("xyz", key=lambda m: score[m])  # noqa: B023
+            assert got[run, step] == (arm, pytest.approx(reward[arm]))
+            a[arm] += np.outer(ctx, ctx)
+            b[arm] += reward[arm] * ctx
+    daily = spark.createDataFrame([(1, arm, D0 + timedelta(i), v * i) for i in range(6) for arm, v in (("x", 1.0), ("y", 10.0))], "run long, arm string, trade_date date, r double")
+    decided = spark.createDataFrame([(1, D0 + timedelta(1), "x"), (1, D0 + timedelta(3), "y")], "run long, decided_on date, arm string")
+    assert [r.r for r in engine.policy_returns(decided, daily).orderBy("trade_date").collect()] == [0, 0, 2, 3, 40, 50]
+
+
+def test_thompson_draws_by_arm(spark):
+    df = spark.createDataFrame([("a", 100, 0.5, 0.01), ("b", 100, -0.5, 0.01), ("c", 1, 0.0, None)], "arm string, n long, mean double, var double")
+    got = {r.arm: r for r in engine.thompson(df).collect()}
+    assert got["a"].draw == pytest.approx(0.5, abs=0.06) and got["b"].draw == pytest.approx(-0.5, abs=0.06) and sum(r.picked for r in got.values()) == 1
+    assert max(got.values(), key=lambda r: r.draw).picked
+
+
+def slow_haar(x):
+    """Shrinkage by the transform's matrix."""
+    n = len(x)
+    size = 1 << max(1, (n - 1).bit_length())
+    h = np.array([[1.0]])
+    while len(h) < size:
+        h = np.vstack([np.kron(h, [1, 1]), np.kron(np.eye(len(h)), [1, -1])]) / math.sqrt(2)
+    c = h @ np.concatenate([np.full(size - n, x[0]), x])
+    limit = np.median(np.abs(c[size // 2 :])) / 0.6745 * math.sqrt(2 * math.log(max(n, 2)))
+    c[1:] = np.sign(c[1:]) * np.maximum(np.abs(c[1:]) - limit, 0)
+    return (h.T @ c)[size - n :]
+
+
+def test_denoising_is_causal_and_equals_the_matrix_form(spark):
+    x = np.cumsum(np.random.default_rng(2).normal(size=40)) + 100
+    df = spark.createDataFrame([(1, D0 + timedelta(i), float(v)) for i, v in enumerate(x)], "symbol long, trade_date date, close double")
+    got = [r.denoised for r in engine.causal_transform(df, "close", window=12).orderBy("trade_date").collect()]
+    assert got[:11] == [None] * 11 and got[11:] == [pytest.approx(slow_haar(x[i - 11 : i + 1])[-1], abs=1e-9) for i in range(11, 40)]
+    short = [r.denoised for r in engine.causal_transform(df.where("trade_date < date'2020-02-01'"), "close", window=12).orderBy("trade_date").collect()]
+    assert short == got[: len(short)]
+
+
+def test_hedge_gate(spark):
+    rng = np.random.default_rng(0)
+    m = rng.normal(0, 0.01, 300)
+    r = 0.4 * m + rng.normal(0, 0.001, 300)
+    index = spark.createDataFrame([(D0 + timedelta(i), float(v)) for i, v in enumerate(m)], "trade_date date, m double")
+    row = lambda x: spark.createDataFrame([(D0 + timedelta(i), float(v), 0.0001) for i, v in enumerate(x)], "trade_date date, r double, cost double")
+    open_, closed = risk.hedge_gate(row(r), index).first(), risk.hedge_gate(row(r - 0.4 * m), index).first()
+    assert open_.residual_beta == pytest.approx(0.4, abs=0.02) and not open_.passes and closed.passes and closed.cost_drag == pytest.approx(0.0252)
