@@ -7,7 +7,7 @@ and no suffix crosses its document's end.
 
 The longest-common-prefix intervals are then descended from the longest runs to the shortest: an interval is the set of
 positions that share L lines, named by L and its earliest position. In step k, members that share the next 2^k lines as well form a
-deeper interval; all but its earliest member move there, the earliest stays to stand for them. At the end a position's interval
+deeper interval; all but its earliest member move there, the earliest stays and stands for them there too. At the end a position's interval
 tells its longest run that occurs earlier. Runs of at least `min_words` words are maximal repeated runs: their earliest copy
 stays, later copies are deleted.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_intdigest
 
-from .common import Stage, small_batches, table, unused, without
+from .common import Stage, ship, slices, table, unused, without
 
 MIN_WORDS = 25
 LINE_BITS = 28
@@ -38,7 +38,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line, hi, lo, before, upto): each line's 128-bit id and the words before it and up to its end."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             at, line, hi, lo, before, upto = [], [], [], [], [], []
             for k, t in enumerate(b.column(2).to_pylist()):
                 words = 0
@@ -86,26 +86,25 @@ def repeated_runs(lines: DataFrame, stage: Stage) -> DataFrame:
     while True:
         step = 1 << (len(levels) - 1)
         ahead = Window.partitionBy(F.shiftright("pos", LINE_BITS)).orderBy("pos").rangeBetween(step, step)
-        pairs = stage.write(levels[-1].withColumn("next", F.max("rank").over(ahead)).where("next is not null"))
-        found = stage.write(_ranked(pairs.groupBy("rank", "next").count().where("count > 1").select(F.col("rank").alias("one"), "next"), "one", "next"))
+        pairs = levels[-1].withColumn("next", F.max("rank").over(ahead)).where("next is not null").withColumnRenamed("rank", "one")
+        found = stage.write(_ranked(pairs.groupBy("one", "next").count().where("count > 1").drop("count"), "one", "next"))
         if found.isEmpty():
             break
-        pairs = pairs.withColumnRenamed("rank", "one")
         levels.append(stage.write(pairs.join(found, ["one", "next"]).select("pos", "rank")))
         stage.drop(found)
     none = F.lit(-1).cast("long")
     items = base.select(F.lit(0).cast("long").alias("len"), none.alias("head"), "pos")
+    item = lambda length, head: F.struct(length.alias("len"), head.alias("head"), F.col("pos"))
     for k in reversed(range(len(levels))):
         level = levels[k].withColumnRenamed("pos", "there")
-        match = items.join(level, F.col("pos") + F.col("len") == F.col("there")).select("len", "head", "pos", "rank")
-        match = stage.write(match)
-        heads = stage.write(match.groupBy("len", "head", "rank").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-        moved = stage.write(match.join(heads, ["len", "head", "rank"]).where("pos <> first"))
-        deeper = moved.select((F.col("len") + (1 << k)).alias("len"), F.col("first").alias("head"), "pos")
-        anchors = heads.select((F.col("len") + (1 << k)).alias("len"), F.col("first").alias("head"), F.col("first").alias("pos"))
-        stay = items.join(moved.select("len", "head", "pos"), ["len", "head", "pos"], "left_anti")
-        new = stage.write(stay.unionByName(deeper).unionByName(anchors))
-        stage.drop(match, heads, moved, *([items] if hasattr(items, "staged_at") else []))
+        told = items.join(level, F.col("pos") + F.col("len") == F.col("there"), "left").select("len", "head", "pos", "rank")
+        met = told.where("rank is not null")
+        heads = met.groupBy("len", "head", "rank").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        judged = met.join(heads, ["len", "head", "rank"], "left")
+        same, deeper = item(F.col("len"), F.col("head")), item(F.col("len") + (1 << k), F.col("first"))
+        moves = F.when(F.col("first").isNull(), F.array(same)).when(F.col("pos") != F.col("first"), F.array(deeper)).otherwise(F.array(same, deeper))
+        new = stage.write(told.where("rank is null").drop("rank").unionByName(judged.select(F.explode(moves).alias("i")).select("i.*")))
+        stage.drop(*([items] if hasattr(items, "staged_at") else []), *([levels[k]] if k else []))
         items = new
     runs = items.where("len > 0 and pos <> head").select("pos", "len")
     ends = base.select(F.col("pos").alias("end"), "upto")
@@ -117,7 +116,7 @@ def repeated_runs(lines: DataFrame, stage: Stage) -> DataFrame:
 def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with later copies of repeated runs cut out, and n_lines, removed_lines, removed (runs as start, length)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     stage = Stage(spark, "linededup")
     docs = without(docs, "removed", "n_lines", "removed_lines")
     id_, key, at_key = unused(docs, "id", "key", "text_key")
@@ -134,7 +133,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     at = own.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             text, n_lines, gone = [], [], []
             for t, cut in zip(b.column(at).to_pylist(), b.column(len(own)).to_pylist(), strict=True):
                 lines = t.split("\n") if t else []
