@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table
+from .common import ship, slices, table
 
 CACHE_ENTRIES = 800_000
 WORD_ENTRIES = 300_000
@@ -153,11 +153,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
 
     def run(batches):
         enc = encoder(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             ids = [enc.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(enc.decode, ids), pa.binary())], [id_col, "ids", "decoded"])
 
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>, decoded binary")
 
@@ -169,7 +169,7 @@ def digest_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
     def run(batches):
         enc = encoder(path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
+        for b in slices(batches):
             n, a, d = [], [], []
             for t in b.column(1).to_pylist():
                 ids = enc.encode(t or "")
@@ -178,7 +178,7 @@ def digest_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
                 d.append(sha(enc.decode(ids)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import ship, slices, table
 
 HEAD, MIDDLE, TAIL = "### ", ": ", "</turn>\n"
 _CONTROL, _ESCAPED = re.compile(r"[\\#<]"), re.compile(r"\\(.)", re.S)
@@ -75,7 +75,7 @@ def format_log(log: DataFrame) -> DataFrame:
                 loss = role == "assistant"
                 out.append((key[0], text, a if loss else None, b if loss else None))
 
-        for b in batches:
+        for b in slices(batches):
             out = []
             for conv, message, kind, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (conv, message) != key:
@@ -93,7 +93,7 @@ def format_log(log: DataFrame) -> DataFrame:
             done(out)
             yield _batch(out, b.schema.field(0).type)
 
-    small_batches(log.sparkSession)
+    ship(log.sparkSession)
     kind = log.schema["conv_id"].dataType.simpleString()
     dealt = log.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "message", "seq")
     rows = dealt.select("conv_id", F.concat_ws("/", F.coalesce(F.col("turn").cast("string"), F.lit("")), "message.role", F.col("message.text").cast("string"), F.col("message.row").cast("string")).alias("message"), "kind", F.coalesce("value", F.lit("")).alias("value"))
@@ -118,7 +118,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
         close = lambda: (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
-        for b in batches:
+        for b in slices(batches):
             found = []
             for conv, text, start, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if state is None or conv != now:

@@ -1,47 +1,26 @@
-"""What the training-data operators share: reading tables and cutting lineage."""
+"""What the training-data operators share: reading tables, cutting lineage, names that do not clash, and joins on keys with very many rows."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..stages import Stage
 from ..workers import ship
 
+__all__ = ["Stage", "hot_keys", "ship", "slices", "split_join", "table", "unused", "without"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one input table; further columns are never read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows that one Arrow batch carries to a Python worker, as whole texts can be long."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-class Stage:
-    """Written tables in the shared folder that cut lineage, so that a lost executor costs a reread and no recomputation."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}", 0
-
-    def write(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.staged_at = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for x in tables:
-            path = jvm.org.apache.hadoop.fs.Path(x.staged_at)
-            path.getFileSystem(conf).delete(path, True)
+def slices(batches, rows: int = 500):
+    """Arrow batches, which Spark bounds by bytes, cut to few rows: what a worker unpacks at once stays small however long texts are."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

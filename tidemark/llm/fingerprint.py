@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import small_batches, table
+from .common import ship, slices, table
 
 CELLS = 24
 LONG_SENTENCE = 600
@@ -222,12 +222,12 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, its edited text's, and the likeness to that and to the next document by descending id."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    ship(spark)
     docs = docs.select("doc_id", "text")
 
     def run(batches):
         before = None
-        for b in batches:
+        for b in slices(batches):
             found = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 now = Print(text or "")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, small_batches, table, without
+from .common import Stage, ship, slices, table, without
 
 BITS = 16
 MAX_FIT = 6000
@@ -116,7 +116,7 @@ class Model:
 def train(docs: DataFrame, learnable: Column, *, text: str = "text", lang: str = "lang", max_fit: int = MAX_FIT) -> Model:
     """Learns from the text and language of the learnable documents. max_fit bounds the sample that the weights are fitted on."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     stage = Stage(spark, "langid")
     known = docs.where(learnable & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     size = known.count()
@@ -124,7 +124,7 @@ def train(docs: DataFrame, learnable: Column, *, text: str = "text", lang: str =
 
     def document_frequencies(batches):
         total, docs_seen = np.zeros(1 << BITS, np.int64), 0
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 at, _ = counts(t)
                 total[at] += 1
@@ -141,7 +141,7 @@ def train(docs: DataFrame, learnable: Column, *, text: str = "text", lang: str =
     idf = np.log((1 + seen) / (1 + idf)) + 1
 
     def featurize(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = [(*counts(t), y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             rows = [r for r in rows if len(r[0])]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.string())], ["at", "n", "lang"])
@@ -155,7 +155,7 @@ def train(docs: DataFrame, learnable: Column, *, text: str = "text", lang: str =
 
     def fitted(batches):
         rows = []
-        for b in batches:
+        for b in slices(batches):
             for at, n, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 at = np.array(at)
                 rows.append((at, weights(at, np.array(n), idf), number[y]))
@@ -177,11 +177,11 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             found = [m.predict(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
 

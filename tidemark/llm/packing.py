@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks
-from .common import Stage, small_batches, table
+from .common import Stage, ship, slices, table
 
 WINDOW = 2048
 END_ID = 1
@@ -89,7 +89,7 @@ def pieces(docs: DataFrame, vocabulary: Vocabulary, window: int) -> DataFrame:
         from pyspark import TaskContext
 
         task, enc = TaskContext.get().partitionId(), tokens(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             rows = [], [], [], [], []
             for k, ids in enumerate(map(enc.encode, b.column(1).to_pylist())):
                 ids += end
@@ -238,7 +238,7 @@ def place(numbered: DataFrame, histogram: np.ndarray, window: int) -> DataFrame:
         rows, taken, base, first = shared.value
         big = 1 << 40
         keys = rows[:, 0] * big + rows[:, 1]
-        for b in batches:
+        for b in slices(batches):
             length, number = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "number"))
             start, doc = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("start", "doc_tokens"))
             crc = b.column(b.schema.get_field_index("ids_crc32")).to_numpy()
@@ -272,7 +272,7 @@ def slice_checksums(docs: DataFrame, cuts: DataFrame, vocabulary: Vocabulary) ->
 
     def run(batches):
         enc = tokens(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             start, length = b.column(2).to_pylist(), b.column(3).to_pylist()
             crc = [crc32((ids + end)[4 * s : 4 * (s + n)]) for ids, s, n in zip(map(enc.encode, b.column(1).to_pylist()), start, length, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(crc, pa.int64())], ["row_key", "start", "length", "ids_crc32"])
@@ -288,7 +288,7 @@ def slice_checksums(docs: DataFrame, cuts: DataFrame, vocabulary: Vocabulary) ->
 def pack_documents(docs: DataFrame, vocabulary: Vocabulary, *, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    ship(spark)
     docs = docs.select("doc_id", "text")
     stage = Stage(spark, "packing")
     cut = stage.write(pieces(docs, vocabulary, window))

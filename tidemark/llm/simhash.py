@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Stage, hot_keys, small_batches, split_join, table
+from .common import Stage, hot_keys, ship, slices, split_join, table
 
 SEGMENTS = 5
 DISTANCE = 4
@@ -57,11 +57,11 @@ def fingerprints(docs: DataFrame, *, words: int = 4, id_col: str = "doc_id", tex
     """(id, fp long): the fingerprint's bits as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.fromiter((fingerprint(t, words) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], [id_col, "fp"])
 
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fp long")
 
@@ -134,7 +134,7 @@ def links(fps: DataFrame) -> DataFrame:
             return _forest(key >> 26, left, right) if len(left) else []
 
         now, found, out = None, {}, []
-        for b in batches:
+        for b in slices(batches):
             for key, lo, hi, block, fp in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (key, lo, hi) != now:
                     if now:

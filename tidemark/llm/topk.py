@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, small_batches, table
+from .common import Stage, ship, slices, table
 
 ROWS = 4096
 QUERIES = 512
@@ -108,7 +108,7 @@ def _packed(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Dat
     whole = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).where(F.size("x") > 0).where(~F.exists("x", bad))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             x = b.column(1)
             flat, ends = x.flatten().to_numpy(), np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())])
             whole, v, large = np.floor(flat * scale), [], []
@@ -150,7 +150,7 @@ def _search(pairs: DataFrame, k: int, scale: int) -> DataFrame:
 
 def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for the queries, the rows whose id is divisible by `every`."""
-    small_batches(vectors.sparkSession)
+    ship(vectors.sparkSession)
     stage = Stage(vectors.sparkSession, "topk")
     packed = stage.write(_packed(vectors, id_col, vector_col, scale))
     n = packed.count()
