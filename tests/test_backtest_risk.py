@@ -450,3 +450,24 @@ def test_hedge_gate(spark):
     row = lambda x: spark.createDataFrame([(D0 + timedelta(i), float(v), 0.0001) for i, v in enumerate(x)], "trade_date date, r double, cost double")
     open_, closed = risk.hedge_gate(row(r), index).first(), risk.hedge_gate(row(r - 0.4 * m), index).first()
     assert open_.residual_beta == pytest.approx(0.4, abs=0.02) and not open_.passes and closed.passes and closed.cost_drag == pytest.approx(0.0252)
+
+
+def test_price_benchmark(spark):
+    rows = [("OLD", D0, 90.0), ("OLD", D0 + timedelta(1), 100.0), ("NEW", D0 + timedelta(1), 101.0), ("NEW", D0 + timedelta(2), 111.1), ("OTHER", D0, 5.0)]
+    i = spark.createDataFrame(rows, "index_name string, trade_date date, close double")
+    got = backtest.benchmark_returns(i, ["NEW", "OLD"], D0)
+    assert [r.net_return for r in got.orderBy("trade_date").collect()] == pytest.approx([101 / 90 - 1, 0.1])
+    assert [r.net_return for r in backtest.benchmark_returns(i, ["NEW", "OLD"], D0 + timedelta(1)).collect()] == pytest.approx([0.1])
+    assert backtest.summarise(got).first().days == 2
+
+
+def test_stateless_stages(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    lit = lambda x: F.lit(x).cast("double")
+    assert one(portfolio.vol_target(lit(0.1), lit(0.27), 0.135)) == pytest.approx(0.05) and one(portfolio.vol_target(lit(0.1), lit(0.05), 0.135)) == 0.1 and one(portfolio.vol_target(lit(0.1), lit(None), 0.135)) == 0.1
+    cap = lambda t, p, a: one(portfolio.participation_cap(lit(t), lit(p), lit(a), limit=0.02, capital=1e6))
+    assert cap(0.5, 0.0, 1e7) == pytest.approx(0.2) and cap(0.0, 0.5, 1e7) == pytest.approx(0.3) and cap(0.5, 0.0, None) == 0.5 and cap(0.01, 0.0, 1e7) == 0.01
+    orders = spark.createDataFrame([("a", "ok", "buy"), ("b", "over_cap", "buy"), ("c", "ok", "sell")], "client_order_id string, verdict string, side string")
+    sent = orders.where("client_order_id = 'a'")
+    assert [r.client_order_id for r in risk.to_send(orders, sent).collect()] == ["c"]
+    assert [r.client_order_id for r in risk.to_send(orders, sent.limit(0), killed=True).collect()] == ["c"]

@@ -167,3 +167,29 @@ def test_screen_gives_reasons_and_deltas(spark):
     got = {r.name: r for r in proposal.screen(p, rows, cal, folds, ["ret_21d"], some, min_names=3).collect()}
     assert got["dret_two"].status == "ok" and got["dret_two"].delta_ic is not None
     assert got["ret_21d"].detail.startswith("name collides") and got["open_one"].detail.startswith("sandbox")
+
+
+def test_events_beyond_the_calendar_raise_when_asked(spark):
+    cal = sessions(spark.createDataFrame([(date(2024, 1, d),) for d in (1, 2)], "trade_date date"))
+    e = spark.sql("select * from values (1, timestamp_ntz'2024-01-01 09:00:00'), (2, timestamp_ntz'2024-01-02 16:00:00') as t(id, announced_at)")
+    assert knowable_dates(e, cal).count() == 1
+    with pytest.raises(Exception, match="no session at or after 2024-01-03"):
+        knowable_dates(e, cal, beyond="raise").collect()
+
+
+def test_news_in_utc_rolls_by_local_time(spark):
+    from tidemark.operators import events
+
+    cal = sessions(spark.createDataFrame([(date(2024, 1, d),) for d in (2, 3)], "trade_date date"))
+    e = spark.sql("select * from values ('win', timestamp'2024-01-02 09:59:00'), ('loss', timestamp'2024-01-02 10:00:00') as t(subject, announced_at)")
+    got = {r.trade_date.day: (r.sentiment, r.n) for r in events.daily_sentiment(e, cal, zone="Asia/Kolkata").collect()}
+    assert got == {2: (1.0, 1), 3: (-1.0, 1)}  # 15:29 and 15:30
+
+
+def test_markets(spark):
+    from tidemark.functions.expr import market
+
+    m = market("overseas")
+    assert m.settlement_days == 1 and spark.range(1).select(m.cost("buy", F.lit(1e6), F.lit(1e8))).first()[0] == pytest.approx(1.8e-4)
+    with pytest.raises(ValueError, match="no market"):
+        market("moon")

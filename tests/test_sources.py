@@ -85,7 +85,7 @@ def test_stores(spark, tmp_path):
     stores.append_log(days, str(tmp_path / "log"))
     stores.append_log(days, str(tmp_path / "log"))
     assert m.log_rows(spark, str(tmp_path / "log"), "trade_date date").count() == 6
-    with pytest.raises(Exception, match="already exists"):
+    with pytest.raises(stores.ImmutableError, match="already exists"):
         stores.write_raw(days, path)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -105,3 +107,24 @@ def cost_rate(side: str, order: Column, adv: Column, *, market: str = "delivery"
         charges, base, slope = F.lit(2.78e-5 if side == "sell" else 0.0), 1.0, 8.0
     impact = F.when((order > 0) & (adv > 0), (base + slope * F.sqrt(safe_div(order, adv))) * impact_multiplier / 1e4).otherwise(0.0)
     return charges + impact
+
+
+@dataclass(frozen=True)
+class Market:
+    """What a backtest needs of a market: its sessions are those observed in its panel."""
+
+    name: str
+    settlement_days: int
+    costs: str
+
+    def cost(self, side: str, order: Column, adv: Column, **more) -> Column:
+        return cost_rate(side, order, adv, market=self.costs, **more)
+
+
+MARKETS = {m.name: m for m in (Market("delivery", 1, "delivery"), Market("overseas", 1, "overseas"))}
+
+
+def market(name: str) -> Market:
+    if name not in MARKETS:
+        raise ValueError(f"no market {name}; there are {sorted(MARKETS)}")
+    return MARKETS[name]

@@ -46,15 +46,18 @@ def asof_forward(left, right, keys, left_time, right_time, columns):
     return _asof(left, right, keys, left_time, right_time, columns, forward=True)
 
 
-def knowable_dates(events: DataFrame, calendar: DataFrame, announced_at: str = "announced_at", date: str = "trade_date") -> DataFrame:
+def knowable_dates(events: DataFrame, calendar: DataFrame, announced_at: str = "announced_at", date: str = "trade_date", *, beyond: str = "drop") -> DataFrame:
     """Events with knowable_date: their own day if it is a session and they came before the close, else the next session.
 
-    Events beyond the calendar drop. The calendar is one short row a session, so its snap table is joined by day."""
+    Events beyond the calendar drop, or raise with beyond="raise". The calendar is one short row a session, so its snap table is joined by day."""
     day = F.to_date(announced_at)
     minute = F.hour(announced_at) * 60 + F.minute(announced_at)
     start = F.when(minute < CLOSE_MINUTE, day).otherwise(F.date_add(day, 1))
     nearest = next_session_of(events.select(start.alias("_start")).distinct(), calendar, "_start", date)
-    return events.withColumn("_start", start).join(nearest, "_start").drop("_start").withColumnRenamed("_next", "knowable_date")
+    known = events.withColumn("_start", start).join(nearest, "_start", "left" if beyond == "raise" else "inner")
+    if beyond == "raise":
+        known = known.withColumn("_next", F.when(F.col("_next").isNull() & F.col("_start").isNotNull(), F.raise_error(F.concat(F.lit("no session at or after "), F.col("_start").cast("string"))).cast("date")).otherwise(F.col("_next")))
+    return known.drop("_start").withColumnRenamed("_next", "knowable_date")
 
 
 def next_session_of(days: DataFrame, calendar: DataFrame, day: str, date: str = "trade_date") -> DataFrame:

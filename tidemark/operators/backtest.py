@@ -6,12 +6,15 @@ book with the new target."""
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import TRADING_DAYS, cost_rate, rolling, safe_div
 from ..functions.temporal import sessions
 from ..stages import Stage
+from .actions import alias_series
 
 
 def average_volume(panel: DataFrame) -> DataFrame:
@@ -91,6 +94,13 @@ def summarise(daily: DataFrame, column: str = "net_return") -> DataFrame:
     )
 
 
+def benchmark_returns(indices: DataFrame, aliases: list[str], start: date) -> DataFrame:
+    """(trade_date, net_return) of a price index under any of its names, from its level; the first day from `start` on has none and drops.
+    summarise gives its metrics."""
+    level = alias_series(indices, aliases).where(F.col("trade_date") >= F.lit(start))
+    return level.select("trade_date", (safe_div("close", F.lag("close").over(Window.orderBy("trade_date"))) - 1).alias("net_return")).where("net_return is not null")  # one row a session
+
+
 def long_flat(preds: DataFrame, *, buy: float, sell: float) -> DataFrame:
     """Costed long/flat returns of a single name: (trade_date, pred, target) -> position, net. Costs fall on each change of position."""
     by = Window.orderBy("trade_date")  # one row a session of one name

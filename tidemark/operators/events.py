@@ -162,10 +162,11 @@ def sentiment(subject: Column, lexicon: dict[float, str] = LEXICON) -> Column:
     return F.coalesce(safe_div(total, F.size(words)), F.lit(0.0))
 
 
-def daily_sentiment(announcements: DataFrame, calendar: DataFrame) -> DataFrame:
+def daily_sentiment(announcements: DataFrame, calendar: DataFrame, *, zone: str | None = None) -> DataFrame:
     """(trade_date, sentiment, n): texts after the cutoff count for the next day, and each day's mean for the next session; sessions
-    that several days roll to get the mean of their means. Days beyond the calendar drop."""
-    at = F.col("announced_at")
+    that several days roll to get the mean of their means. Days beyond the calendar drop. Times are local, or UTC if `zone` names where
+    the cutoff holds."""
+    at = F.col("announced_at") if zone is None else F.from_utc_timestamp("announced_at", zone)
     day = F.date_add(F.to_date(at), F.when(F.hour(at) * 60 + F.minute(at) >= NEWS_CUTOFF_MINUTE, 1).otherwise(0))
     daily = announcements.groupBy(day.alias("day")).agg(F.avg(sentiment(F.col("subject"))).alias("sentiment"), F.count(F.lit(1)).alias("n"))
     rolled = daily.join(next_session_of(daily.select("day"), calendar, "day"), "day")

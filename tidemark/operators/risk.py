@@ -211,6 +211,13 @@ def plan_orders(targets: DataFrame, positions: DataFrame, quotes: DataFrame, equ
     return o.select("symbol", "side", "quantity", "price", key.alias("client_order_id"), bad.alias("verdict"), F.when(F.col("side") == "sell", 0).otherwise(1).alias("stage"))
 
 
+def to_send(orders: DataFrame, history: DataFrame, *, killed: bool = False) -> DataFrame:
+    """The orders that passed their checks and that the history (client_order_id) does not hold, so that a rerun sends nothing twice; none
+    but sells while the kill switch is on."""
+    fit = orders.where("verdict = 'ok'").join(history.select("client_order_id"), "client_order_id", "left_anti")
+    return fit.where("side = 'sell'") if killed else fit
+
+
 def sharpe_moments(daily: DataFrame) -> DataFrame:
     """n, mean, per-period Sharpe (n - 1 under the root), population skew and kurtosis."""
     return daily.agg(F.count("r").alias("n"), F.avg("r").alias("mean"), safe_div(F.avg("r"), F.stddev_samp("r")).alias("sr"), skew("r").alias("skew"), (excess_kurtosis("r") + 3).alias("kurtosis"))

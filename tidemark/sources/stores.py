@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 MAGIC = {"zip": ["504B0304"], "json": ["7B", "5B"], "parquet": ["50415231"]}
 
 
+class ImmutableError(FileExistsError):
+    """A raw path is written once."""
+
+
 def write_raw(df: DataFrame, path: str) -> None:
     """Writes once; an existing path is refused."""
-    df.write.mode("errorifexists").parquet(path)
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    except AnalysisException as e:
+        if "PATH_ALREADY_EXISTS" in str(e):
+            raise ImmutableError(f"{path} already exists") from e
+        raise
 
 
 def manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
