@@ -7,8 +7,8 @@
    is a column; multiplicative updates solve min |Ax - h| with x >= 0 for the repeat counts; the counts are rounded down and a
    sweep over the columns places what still fits exactly.
 3. The residual lengths are packed greedily: from the longest on, a window takes what is longest and fits until it is full, and is
-   repeated as often as the residual counts allow, so that few pieces are left however many documents there are. Those are
-   laid end to end, longest first, and cut at window boundaries, so only the last sequence can be short.
+   repeated as often as the residual counts allow. The pieces that fill no window (few, unless some length is far commoner than
+   what complements it) are laid end to end, longest first, and cut at window boundaries, so only the last sequence can be short.
 4. Each piece gets its number among the pieces of its length from counts per (task, length), so neither a common length nor a
    common source meets in one task, and looks up its place in the plan, whose size is bounded by the window.
 5. Documents whose remainder was cut are tokenized once more for the checksums of the two parts. Up to FEW_CUTS of them are
