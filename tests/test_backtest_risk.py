@@ -219,6 +219,8 @@ def slow_shrunk(x):
     s = x.T @ x / len(x)
     target = np.trace(s) / len(s) * np.eye(len(s))
     d2 = ((s - target) ** 2).sum()
+    if d2 <= 0:
+        return s
     b2 = min(sum(((np.outer(r, r) - s) ** 2).sum() for r in x) / len(x) ** 2, d2)
     return b2 / d2 * target + (1 - b2 / d2) * s
 
