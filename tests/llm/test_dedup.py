@@ -40,6 +40,15 @@ def test_line_dedup_equals_brute_force(spark, docs, seed):
     assert got == {k: v if k != 92 else (None, 0) for k, v in want.items()}
 
 
+def test_line_dedup_splits_runs_that_very_many_hold(spark, docs, monkeypatch):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    rows = [(i, f"own {i}\na b c d\ncommon line here\nx{i % 3} y z w") for i in range(60)]
+    got = {r.doc_id: (r.text, r.removed_lines) for r in linededup.dedup_lines(docs(*rows), min_words=4).collect()}
+    assert got == brute_lines(rows, 4)
+
+
 def test_line_dedup_odd_rows(spark, docs):
     got = linededup.dedup_lines(docs(*ODD_TEXTS), min_words=3).collect()
     assert sorted((r.doc_id, r.text or "") for r in got if r.doc_id < 10) == [(i, t or "") for i, t in enumerate(ODD_TEXTS[:10])]

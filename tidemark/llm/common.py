@@ -43,18 +43,25 @@ HOT_SHARE = 64
 HOT_LEAST = 256
 
 
-def hot_keys(counted: DataFrame, key: str, rows: int) -> list:
-    """The keys that hold more than a HOT_SHARE-th of `rows` rows: fewer than HOT_SHARE, so they may go to the driver. counted: (key, n)."""
-    return [r[0] for r in counted.where(F.col("n") > max(HOT_LEAST, rows // HOT_SHARE)).select(key).collect()]
+def _one(keys: list[str]) -> Column:
+    """What tells a key: its column, or a hash of its columns."""
+    return F.col(keys[0]) if len(keys) == 1 else F.xxhash64(*keys)
 
 
-def split_join(rows: DataFrame, facts: DataFrame, key: str, hot: list, spread: Column | str, how: str = "inner") -> DataFrame:
+def hot_keys(counted: DataFrame, key: str | list[str], rows: int) -> list:
+    """The keys that hold more than a HOT_SHARE-th of `rows` rows: fewer than HOT_SHARE, so they may go to the driver. counted: key columns, n."""
+    keys = [key] if isinstance(key, str) else key
+    return [r[0] for r in counted.where(F.col("n") > max(HOT_LEAST, rows // HOT_SHARE)).select(_one(keys)).collect()]
+
+
+def split_join(rows: DataFrame, facts: DataFrame, key: str | list[str], hot: list, spread: Column | str, how: str = "inner") -> DataFrame:
     """rows joined with facts, which has few rows of each key, on key ("inner" or "left"). The rows of a hot key are dealt over
     HOT_SHARE tasks by `spread`, and only that key's facts are repeated for them."""
+    keys = [key] if isinstance(key, str) else key
     if not hot:
-        return rows.join(facts, key, how)
-    is_hot = F.col(key).isin(hot)
+        return rows.join(facts, keys, how)
+    is_hot = _one(keys).isin(hot)
     salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(HOT_SHARE))).otherwise(F.lit(0).cast("long")))
     every = F.sequence(F.lit(0).cast("long"), F.lit(HOT_SHARE - 1).cast("long"))
     repeated = facts.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0).cast("long")))))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -11,7 +11,7 @@ deeper interval; all but its earliest member move there, the earliest stays and
 tells its longest run that occurs earlier. Runs of at least `min_words` words are maximal repeated runs: their earliest copy
 stays, later copies are deleted.
 
-A line that very many documents hold is only ever aggregated and joined (skewed joins are split), never gathered.
+A line that very many documents hold is only ever aggregated and joined, in joins that deal its rows over many tasks, never gathered.
 
 Order of copies: by doc_id (null first), then by text digest, then by line. Defined results: null text stays null, and empty text
 empty; rows that repeat both id and text are one document and are cut alike; a document whose every line goes keeps an empty
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_intdigest
 
-from .common import Stage, ship, slices, table, unused, without
+from .common import Stage, hot_keys, ship, slices, split_join, table, unused, without
 
 MIN_WORDS = 25
 LINE_BITS = 28
@@ -82,7 +82,7 @@ def repeated_runs(lines: DataFrame, stage: Stage) -> DataFrame:
     numbers = stage.write(_numbered(stage, kept.select("doc_id", "text_key")))
     at = kept.join(numbers, kept["doc_id"].eqNullSafe(numbers["doc_id"]) & (kept["text_key"] == numbers["text_key"]))
     base = stage.write(at.select((F.shiftleft("doc", LINE_BITS) + F.col("line")).alias("pos"), "rank", "before", "upto").distinct())
-    levels = [base.select("pos", "rank")]
+    levels, total = [base.select("pos", "rank")], base.count()
     while True:
         step = 1 << (len(levels) - 1)
         ahead = Window.partitionBy(F.shiftright("pos", LINE_BITS)).orderBy("pos").rangeBetween(step, step)
@@ -99,12 +99,13 @@ def repeated_runs(lines: DataFrame, stage: Stage) -> DataFrame:
         level = levels[k].withColumnRenamed("pos", "there")
         told = items.join(level, F.col("pos") + F.col("len") == F.col("there"), "left").select("len", "head", "pos", "rank")
         met = told.where("rank is not null")
-        heads = met.groupBy("len", "head", "rank").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        judged = met.join(heads, ["len", "head", "rank"], "left")
+        run = ["len", "head", "rank"]
+        heads = stage.write(met.groupBy(*run).agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+        judged = split_join(met, heads.drop("n"), run, hot_keys(heads, run, total), "pos", "left")
         same, deeper = item(F.col("len"), F.col("head")), item(F.col("len") + (1 << k), F.col("first"))
         moves = F.when(F.col("first").isNull(), F.array(same)).when(F.col("pos") != F.col("first"), F.array(deeper)).otherwise(F.array(same, deeper))
         new = stage.write(told.where("rank is null").drop("rank").unionByName(judged.select(F.explode(moves).alias("i")).select("i.*")))
-        stage.drop(*([items] if hasattr(items, "staged_at") else []), *([levels[k]] if k else []))
+        stage.drop(heads, *([items] if hasattr(items, "staged_at") else []), *([levels[k]] if k else []))
         items = new
     runs = items.where("len > 0 and pos <> head").select("pos", "len")
     ends = base.select(F.col("pos").alias("end"), "upto")
