@@ -13,6 +13,7 @@ from .pii import op2_pii
 from .simhash import op9_simhash
 from .topk import op6_topk
 from .urlfilter import op5_url_filter
+from .whitening import op13_whitening
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_language_id, op4_byte_bpe, op5_url_filter, op6_topk, op7_fingerprint, op8_chat, op9_simhash, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_language_id, op4_byte_bpe, op5_url_filter, op6_topk, op7_fingerprint, op8_chat, op9_simhash, op10_line_dedup, op13_whitening)}
 ORACLE_SQL = {"op5_url_filter": urlfilter.ORACLE, "op6_topk": topk.ORACLE}
