@@ -8,7 +8,8 @@ edge is verified on whole sets, so that no pair below the threshold is linked.
 
 First each node is compared with one representative, the least node of its buckets, which is linear work and joins what large groups of
 near copies hold. Only buckets that still hold several parts are then searched pair by pair, but for pairs of one part; buckets
-over BLOCK nodes are cut into pairs of blocks that other tasks take.
+over BLOCK nodes or BLOCK_BYTES of sets are cut into pairs of blocks that other tasks take, so a task holds two blocks however long texts are.
+Bucket keys and nodes that hold very many rows are dealt over many tasks wherever their rows are joined.
 
 Defined results: null and empty texts, and texts without words, have the empty set and are one group; fewer words than a shingle
 form one shingle.
@@ -28,6 +29,7 @@ from .simhash import _LOWER, components
 ROWS = 3
 BANDS = 20
 BLOCK = 256
+BLOCK_BYTES = 16 << 20
 _A = np.array([xxh64_intdigest(b"a%d" % i) & 0xFFFFFFFF | 1 for i in range(BANDS * ROWS)], np.uint32)[:, None]
 _B = np.array([xxh64_intdigest(b"b%d" % i) & 0xFFFFFFFF for i in range(BANDS * ROWS)], np.uint32)[:, None]
 
@@ -65,17 +67,18 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (small + large - both)
 
 
-def signatures(docs: DataFrame, *, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_md5, node, keys) of every row."""
+def signatures(docs: DataFrame, *, words: int, id_col: str = "doc_id", text_col: str = "text", keys=bands) -> DataFrame:
+    """(id, text_md5, node, size, keys) of every row. keys: the bucket keys of a set, signed longs."""
 
     def run(batches):
         for b in slices(batches):
             sets = [shingles(t, words) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], [id_col, "text_md5", "node", "keys"])
+            node, size = pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(map(len, sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, size, pa.array(map(keys, sets), pa.list_(pa.int64()))], [id_col, "text_md5", "node", "size", "keys"])
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.md5(text_col).alias("text_md5"), text_col).mapInArrow(run, f"{id_col} {kind}, text_md5 string, node binary, keys array<long>")
+    return docs.select(id_col, F.md5(text_col).alias("text_md5"), text_col).mapInArrow(run, f"{id_col} {kind}, text_md5 string, node binary, size long, keys array<long>")
 
 
 def _forest(left: list, right: list | None, percent: int) -> list[tuple[bytes, bytes]]:
@@ -110,10 +113,12 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def links(nodes: DataFrame, docs: DataFrame, stage: Stage, *, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b): verified edges that connect whatever candidates reach the similarity. nodes: (node, row, keys), with one row of each node."""
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("rep")).where("n > 1")
-    rows = stage.write(keyed.join(sizes, "key"))
+    """(a, b): verified edges that connect whatever candidates reach the similarity. nodes: (node, row, size, keys), with one row of each node."""
+    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+    sizes = stage.write(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("node").alias("rep")).where("n > 1"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(8 * F.col("bytes") / BLOCK_BYTES)).cast("int")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    rows = stage.write(split_join(keyed.drop("size"), sizes.select("key", "rep", blocks.alias("blocks")), "key", hot_keys(sizes, "key", total), "node"))
     wanted = stage.write(nodes.select("node", "row").join(rows.select("node").distinct(), "node"))
     texts = docs.select(F.struct(id_col, F.md5(text_col).alias("text_md5")).alias("row"), text_col).join(wanted, "row").select("node", text_col)
 
@@ -130,13 +135,16 @@ def links(nodes: DataFrame, docs: DataFrame, stage: Stage, *, words: int, percen
     # each node's representative, or that one's own, names its part: nodes of one part are linked, be it that some parts are linked as well
     up = first.select(F.col("b").alias("node"), F.col("a").alias("rep"))
     parts = split_join(up, up.select(F.col("node").alias("rep"), F.col("rep").alias("top")), "rep", hot, "node", "left").select("node", F.coalesce("top", "rep").alias("part"))
-    members = stage.write(rows.join(parts, "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part")))
+    members = stage.write(rows.join(parts, "node", "left").select("key", "node", "blocks", F.coalesce("part", "node").alias("part")))
     open_ = members.groupBy("key").agg((F.min("part") != F.max("part")).alias("open")).where("open").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = stage.write(members.join(open_, "key", "left_semi").select("key", "node", "part", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
-    stage.drop(rows, wanted, stars, members)
+    hot = hot_keys(sizes, "key", total)
+    left = stage.write(split_join(members, open_, "key", hot, "node").select("key", "node", "part", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    stage.drop(sizes, rows, wanted, stars, members)
     ends = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("lo"), F.greatest(j, F.col("block")).alias("hi")))
-    asked = left.select("key", "node", "part", "block", F.explode(ends).alias("pair")).join(sets, "node").select("key", "pair.lo", "pair.hi", "block", "node", "part", "grams")
+    often = left.groupBy("node").agg(F.sum("blocks").alias("n"))
+    hot = hot_keys(often, "node", left.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("n")).first()["n"])
+    pairs = left.select("key", "node", "part", "block", F.explode(ends).alias("pair"))
+    asked = split_join(pairs, sets, "node", hot, F.struct("key", "pair")).select("key", "pair.lo", "pair.hi", "block", "node", "part", "grams")
 
     def run(batches):
         now, found = None, {}
