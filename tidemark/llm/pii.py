@@ -4,7 +4,8 @@ Texts are cut at candidate values; each candidate that validates is replaced and
 
 - card numbers (13 to 19 digits, single spaces or dashes allowed, Luhn checksum holds): all digits but the last are permuted and
   the check digit is made anew, so the result validates too; in a run of digit groups, which may hold other numbers beside a card,
-  the longest valid number from each group on counts, from left to right, after the other formats' values are cut out;
+  the longest valid number from each group on counts, from left to right, after the other formats' values are cut out; the checksums of
+  all numbers from a group on are one running sum, and runs are worked on in blocks of groups, so work is linear in a run's length;
 - phone numbers (10 digits in the groups 3-3-4 that punctuation or a country code marks) and 3-2-4 digit identity numbers: the digits
   are permuted, the country code stays, and a number has one pseudonym with and without it;
 - account numbers (IBAN, checksum holds): the digits behind the check digits are permuted and those made anew; letters stay;
@@ -16,6 +17,9 @@ Texts are cut at candidate values; each candidate that validates is replaced and
 A permutation is a Feistel network of ROUNDS rounds over two mixed-radix halves with keyed SHA-256 as the round function, so distinct
 values of a format keep distinct pseudonyms, and equal values (in any punctuation) the same one in every document.
 
+No pattern repeats a group without a bound, as the JVM's matcher takes a stack frame for each repeat: a mail address's domain is one run of
+its characters, and its labels are looked at afterwards.
+
 Defined results: null text stays null and empty text empty; repeated rows are treated alike; invalid candidates (failed checksum,
 octet over 255, 31 February) stay; counts of replaced values are returned; other columns are carried along, but for one named
 n_replaced, whose place the count takes; an empty table gives an empty result.
@@ -34,7 +38,8 @@ FIRST_DAY = "1800-01-01"
 TEST_KEY = "tidemark test key"
 KEY_SETTING = "spark.tidemark.pii.key"
 
-_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_DOMAIN = r"@[A-Za-z0-9-][A-Za-z0-9.-]*(?<=\.[A-Za-z]{2,63})(?![A-Za-z])"
+_MAIL = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_DOMAIN}"
 _SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z])(?:password|passwd|secret|token|api_key)\s?[=:]\s?\"?[0-9A-Za-z+/_-]{12,}\"?"
 _DATE = r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./])\d{2}([/.])\d{2}\1\d{4}(?!\d)"
 _IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
@@ -108,33 +113,74 @@ def _card(x: Column, key: Column) -> Column:
     return _let(F.regexp_replace(x, "[^0-9]", ""), of)
 
 
+def _card_ends(groups: Column, i: Column) -> Column:
+    """How many of the groups from the i-th on make the longest valid card number; null if none does.
+
+    groups: struct(digits, gap, odd, even), the digits' Luhn sums with those in odd and in even places doubled. Over a number so far, the sums for an even
+    and an odd count of digits are kept; a group behind an even count adds its own sums as they are, one behind an odd count crosswise."""
+    zero = F.lit(0)
+    start = F.struct(zero.alias("count"), zero.alias("odd"), zero.alias("even"), zero.alias("seen"), F.lit(None).cast("int").alias("best"), F.lit(True).alias("open"))
+
+    def step(s: Column, g: Column) -> Column:
+        n = F.length(g["digits"])
+        fits = s["open"] & (s["count"] + n <= 19)
+        straight = s["count"] % 2 == 0
+        odd, even = (s["odd"] + F.when(straight, g["odd"]).otherwise(g["even"])), (s["even"] + F.when(straight, g["even"]).otherwise(g["odd"]))
+        count, seen = s["count"] + n, s["seen"] + 1
+        valid = (count >= 13) & (F.when(count % 2 == 0, odd).otherwise(even) % 10 == 0)
+        more = F.struct(count.alias("count"), odd.alias("odd"), even.alias("even"), seen.alias("seen"), F.when(valid, seen).otherwise(s["best"]).alias("best"), (F.length(g["gap"]) == 1).alias("open"))
+        over = F.struct(s["count"].alias("count"), s["odd"].alias("odd"), s["even"].alias("even"), s["seen"].alias("seen"), s["best"].alias("best"), F.lit(False).alias("open"))
+        return F.when(fits, more).otherwise(over)
+
+    return F.aggregate(F.slice(groups, i, F.lit(19)), start, step, lambda s: s["best"])
+
+
+def _group(said: Column) -> Column:
+    """struct(digits, gap, odd, even) of digits and the spaces and dashes behind them."""
+
+    def of(digits: Column) -> Column:
+        def total(doubled: int) -> Column:
+            worth = lambda i: F.when(i % 2 == doubled, F.translate(F.substring(digits, i, F.lit(1)), "123456789", "246813579")).otherwise(F.substring(digits, i, F.lit(1))).cast("int")
+            return F.when(F.length(digits) <= 19, F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda t, i: t + worth(i))).otherwise(0)
+
+        return F.struct(digits.alias("digits"), F.substring(said, F.length(digits) + 1, F.length(said)).alias("gap"), total(1).alias("odd"), total(0).alias("even"))
+
+    return _let(F.regexp_extract(said, "^[0-9]++", 0), of)
+
+
+GROUPS = 512
+
+
 def _cards(t: Column, key: Column) -> Column:
     """struct(out, n): the text with the card numbers in its runs of digit groups replaced, and their count."""
 
     def run(x: Column) -> Column:
         def of(groups: Column) -> Column:
             n = F.size(groups)
-            number = lambda i, j: F.regexp_replace(F.array_join(F.slice(groups, i, j - i + 1), ""), "[ -]+$", "")
-
-            def valid(w: Column) -> Column:
-                return _let(F.regexp_replace(w, "[^0-9]", ""), lambda d: F.when(F.length(d).between(13, 19) & ~w.rlike("[ -]{2}"), luhn_sum(d) % 10 == 0).otherwise(False))
 
             def step(s: Column, i: Column) -> Column:
                 group = F.element_at(groups, i)
-                same = F.struct(F.concat(s["out"], group).alias("out"), s["next"].alias("next"), s["n"].alias("n"))
+                whole = lambda g: F.concat(g["digits"], g["gap"])
+                same = F.struct(F.concat(s["out"], whole(group)).alias("out"), s["next"].alias("next"), s["n"].alias("n"))
+
+                def take(k: Column) -> Column:
+                    last = F.element_at(groups, i + k - 1)
+                    old = F.concat(F.array_join(F.transform(F.slice(groups, i, k - 1), whole), ""), last["digits"])
+                    new = _let(_card(old, key), lambda c: F.struct(F.concat(s["out"], c, last["gap"]).alias("out"), (i + k).alias("next"), (s["n"] + (c != old).cast("int")).alias("n")))
+                    return F.when(k.isNull(), same).otherwise(new)
 
-                def to(j: Column) -> Column:
-                    old, gap = number(i, j), F.regexp_extract(F.element_at(groups, j), "[ -]*$", 0)
-                    new = _let(_card(old, key), lambda c: F.struct(F.concat(s["out"], c, gap).alias("out"), (j + 1).alias("next"), (s["n"] + (c != old).cast("int")).alias("n")))
-                    return F.when(j.isNull(), same).otherwise(new)
+                return F.when(i < s["next"], s).otherwise(_let(_card_ends(groups, i), take))
 
-                last = F.array_max(F.filter(F.sequence(i, F.least(i + 18, n)), lambda j: valid(number(i, j))))
-                return F.when(i < s["next"], s).otherwise(_let(last, to))
+            def block(s: Column, b: Column) -> Column:
+                """GROUPS groups into one string, so that no string grows with the run."""
+                start = F.struct(F.lit("").alias("out"), s["next"].alias("next"), s["n"].alias("n"))
+                done = F.aggregate(F.sequence(b, F.least(b + (GROUPS - 1), n)), start, step)
+                return _let(done, lambda d: F.struct(F.concat(s["out"], F.array(d["out"])).alias("out"), d["next"].alias("next"), d["n"].alias("n")))
 
-            start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"), F.lit(0).alias("n"))
-            return F.aggregate(F.sequence(F.lit(1), n), start, step)
+            start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("next"), F.lit(0).alias("n"))
+            return F.aggregate(F.sequence(F.lit(1), n, F.lit(GROUPS)), start, block, lambda s: F.struct(F.array_join(s["out"], "").alias("out"), s["n"].alias("n")))
 
-        return _let(F.regexp_extract_all(x, F.lit("[0-9]+[ -]*"), F.lit(0)), of)
+        return _let(F.transform(F.regexp_extract_all(x, F.lit("[0-9]+[ -]*"), F.lit(0)), _group), of)
 
     runs = F.transform(F.regexp_extract_all(t, F.lit(_RUN), F.lit(0)), run)
     pieces = F.split(t, _RUN, -1)
@@ -230,7 +276,15 @@ def _date(x: Column, key: Column) -> Column:
 
 
 def _mail(x: Column, key: Column) -> Column:
-    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", key, F.lit("mail"), F.lower(x)), 256), 1, 12), F.lit("@mail.invalid"))
+    """An address ends before an empty label; what follows stays."""
+
+    def of(address: Column) -> Column:
+        new = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", key, F.lit("mail"), F.lower(address)), 256), 1, 12), F.lit("@mail.invalid"))
+        return F.when(address == "", x).otherwise(F.concat(new, F.substring(x, F.length(address) + 1, F.length(x))))
+
+    local = F.substring_index(x, "@", 1)
+    domain = F.substring_index(F.substring_index(x, "@", -1), "..", 1)
+    return _let(F.when(F.contains(x, F.lit("..")) & ~F.contains(local, F.lit("..")), F.regexp_extract(F.concat_ws("@", local, domain), rf"^[^@]++{_DOMAIN}", 0)).otherwise(x), of)
 
 
 def _secret(x: Column, key: Column) -> Column:
