@@ -9,18 +9,21 @@ The longest-common-prefix intervals are then descended from the longest runs to
 positions that share L lines, named by L and its earliest position. In step k, members that share the next 2^k lines as well form a
 deeper interval; all but its earliest member move there, the earliest stays and stands for them there too. At the end a position's interval
 tells its longest run that occurs earlier. Runs of at least `min_words` words are maximal repeated runs: their earliest copy
-stays, later copies are deleted.
+stays, later copies are deleted. What shorter runs leave is the caller's choice, so min_words has no default, and `effect` measures it.
 
-A line that very many documents hold is only ever aggregated and joined, in joins that deal its rows over many tasks, never gathered.
+A line, a pair of runs or a run that very many documents hold is only ever aggregated and joined, in joins that count its rows first and
+deal them over many tasks, never gathered.
 
 Order of copies: by doc_id (null first), then by text digest, then by line. Defined results: null text stays null, and empty text
 empty; rows that repeat both id and text are one document and are cut alike; a document whose every line goes keeps an empty
-text (removed_lines = n_lines tells it); an empty table gives an empty result; other columns are carried along, but for those named
-removed, n_lines or removed_lines, whose place the results take.
+text (removed_lines = n_lines tells it); an empty table gives an empty result; a text of 2^28 lines or more than 2^35 documents that repeat lines
+raise an error; other columns are carried along, but for those named removed, n_lines or removed_lines, whose place the results take.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,6 +45,8 @@ def line_rows(docs: DataFrame) -> DataFrame:
             at, line, hi, lo, before, upto = [], [], [], [], [], []
             for k, t in enumerate(b.column(2).to_pylist()):
                 words = 0
+                if t and t.count("\n") >= 1 << LINE_BITS:
+                    raise ValueError(f"a text has more than {1 << LINE_BITS} lines")
                 for n, x in enumerate(t.split("\n") if t else ()):
                     h = xxh3_128_intdigest(x)
                     at.append(k)
@@ -72,13 +77,16 @@ def _numbered(stage: Stage, ids: DataFrame) -> DataFrame:
     part = F.shiftright("at", 33)
     sizes = parts.groupBy(part.alias("part")).count()
     first = sizes.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    return parts.withColumn("part", part).join(F.broadcast(first), "part").select("doc_id", "text_key", (F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("doc"))
+    doc = F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)
+    too_many = F.raise_error(F.lit(f"more than {1 << (63 - LINE_BITS)} documents repeat lines")).cast("long")
+    return parts.withColumn("part", part).join(F.broadcast(first), "part").select("doc_id", "text_key", F.when(doc < 1 << (63 - LINE_BITS), doc).otherwise(too_many).alias("doc"))
 
 
 def repeated_runs(lines: DataFrame, stage: Stage) -> DataFrame:
     """(doc_id, text_key, line, length, words): for each position with an earlier copy its longest run that occurs earlier."""
-    shared = _ranked(lines.groupBy("hi", "lo").count().where("count > 1").drop("count"), "hi", "lo")
-    kept = stage.write(lines.join(stage.write(shared), ["hi", "lo"]).drop("hi", "lo"))
+    shared = stage.write(_ranked(lines.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "hi", "lo"))
+    lines_of = ["hi", "lo"]
+    kept = stage.write(split_join(lines, shared.drop("n"), lines_of, hot_keys(shared, lines_of, lines.count()), F.struct("doc_id", "line")).drop(*lines_of))
     numbers = stage.write(_numbered(stage, kept.select("doc_id", "text_key")))
     at = kept.join(numbers, kept["doc_id"].eqNullSafe(numbers["doc_id"]) & (kept["text_key"] == numbers["text_key"]))
     base = stage.write(at.select((F.shiftleft("doc", LINE_BITS) + F.col("line")).alias("pos"), "rank", "before", "upto").distinct())
@@ -87,10 +95,11 @@ def repeated_runs(lines: DataFrame, stage: Stage) -> DataFrame:
         step = 1 << (len(levels) - 1)
         ahead = Window.partitionBy(F.shiftright("pos", LINE_BITS)).orderBy("pos").rangeBetween(step, step)
         pairs = levels[-1].withColumn("next", F.max("rank").over(ahead)).where("next is not null").withColumnRenamed("rank", "one")
-        found = stage.write(_ranked(pairs.groupBy("one", "next").count().where("count > 1").drop("count"), "one", "next"))
+        found = stage.write(_ranked(pairs.groupBy("one", "next").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "one", "next"))
         if found.isEmpty():
             break
-        levels.append(stage.write(pairs.join(found, ["one", "next"]).select("pos", "rank")))
+        two = ["one", "next"]
+        levels.append(stage.write(split_join(pairs, found.drop("n"), two, hot_keys(found, two, total), "pos").select("pos", "rank")))
         stage.drop(found)
     none = F.lit(-1).cast("long")
     items = base.select(F.lit(0).cast("long").alias("len"), none.alias("head"), "pos")
@@ -114,7 +123,7 @@ def repeated_runs(lines: DataFrame, stage: Stage) -> DataFrame:
     return runs.join(numbers, "doc").drop("doc")
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_words: int) -> DataFrame:
     """The documents with later copies of repeated runs cut out, and n_lines, removed_lines, removed (runs as start, length)."""
     spark = docs.sparkSession
     ship(spark)
@@ -152,5 +161,13 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     return out.mapInArrow(run, schema)
 
 
+def effect(docs: DataFrame, *min_words: int) -> DataFrame:
+    """(min_words, n_lines, n_chars, removed_lines, removed_chars) of each choice: what it deletes of the whole table."""
+    texts = docs.select("doc_id", "text", F.length("text").alias("n_chars"))
+    cut = [dedup_lines(texts, min_words=m).withColumn("removed_chars", F.col("n_chars") - F.length("text")).withColumn("min_words", F.lit(m)) for m in min_words]
+    rows = reduce(DataFrame.unionByName, cut)
+    return rows.groupBy("min_words").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_lines", "n_chars", "removed_lines", "removed_chars")])
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"), min_words=MIN_WORDS)
