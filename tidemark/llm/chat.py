@@ -18,7 +18,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ship, slices, table
@@ -58,13 +58,14 @@ def conversation_log(rows: DataFrame) -> DataFrame:
     deltas = [event(4, "delta", F.substring(text, F.lit(1), half)), event(5, "delta", F.substring(text, half + 1, F.length(text)))]
     start, which = event(0, "open", role), F.coalesce(F.pmod("turn", F.lit(3)), F.lit(0))
     log = F.when(which == 1, F.array(start, event(1, "delta", F.substring(text, F.lit(1), half + 1)), event(2, "regenerate", F.lit("")), *deltas)).when(which == 2, F.array(start, event(1, "delta", F.lit("draft")), event(3, "edit", text))).otherwise(F.array(start, *deltas))
-    keyed = rows.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("row"))
-    return keyed.select("conv_id", "turn", F.struct(role.alias("role"), F.xxhash64(text).alias("text"), "row").alias("message"), F.explode(log).alias("e")).select("conv_id", "turn", "message", "e.*")
+    tied = Window.partitionBy("conv_id", "turn").orderBy(role, text)
+    ranked = rows.select("conv_id", "turn", "role", "text").repartition("conv_id").withColumn("message", F.row_number().over(tied))
+    return ranked.select("conv_id", "turn", "message", F.explode(log).alias("e")).select("conv_id", "turn", "message", "e.*")
 
 
 def format_log(log: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_start, loss_end) per message, in order within each partition; loss bounds are null for messages
-    that carry no loss. log: conv_id, turn, message (its key within the turn), seq, kind, value."""
+    that carry no loss. log: conv_id, turn, message (its number within the turn), seq, kind, value."""
 
     def run(batches):
         key, role, parts = None, "", []
@@ -96,7 +97,7 @@ def format_log(log: DataFrame) -> DataFrame:
     ship(log.sparkSession)
     kind = log.schema["conv_id"].dataType.simpleString()
     dealt = log.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "message", "seq")
-    rows = dealt.select("conv_id", F.concat_ws("/", F.coalesce(F.col("turn").cast("string"), F.lit("")), "message.role", F.col("message.text").cast("string"), F.col("message.row").cast("string")).alias("message"), "kind", F.coalesce("value", F.lit("")).alias("value"))
+    rows = dealt.select("conv_id", F.concat_ws("/", F.coalesce(F.col("turn").cast("string"), F.lit("")), F.col("message").cast("string")).alias("message"), "kind", F.coalesce("value", F.lit("")).alias("value"))
     return rows.mapInArrow(run, f"conv_id {kind}, formatted string, loss_start long, loss_end long")
 
 
