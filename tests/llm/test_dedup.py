@@ -102,7 +102,7 @@ def test_links_connect_all_within_four_bits(spark, monkeypatch, block):
     values = near_values(random.Random(block), 150) + [1, 2, 3, 7, 15, 31, 63, 127]
     values = sorted(set(values))
     df = spark.createDataFrame([(signed(v),) for v in values], "fp long")
-    edges = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in simhash.links(df).collect()]
+    edges = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in simhash.links(df, Stage(spark, "t")).collect()]
     assert all((a ^ b).bit_count() <= 4 for a, b in edges)
     full = [(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= 4]
     assert roots(values, edges) == roots(values, full)

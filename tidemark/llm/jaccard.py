@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     """(id, text_md5, root) of every row: rows share a root where a chain of similarities of percent / 100 or more links their texts."""
     stage = Stage(docs.sparkSession, "jaccard")
     signed = stage.write(signatures(docs, words=words, id_col=id_col, text_col=text_col))
-    nodes = stage.write(signed.groupBy("node").agg(F.min(F.struct(id_col, "text_md5")).alias("row"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")))
+    nodes = stage.write(signed.groupBy("node").agg(F.min(F.struct(id_col, "text_md5")).alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")))
     keyed = nodes.where(F.size("keys") > 0).drop("n")
     roots = components(links(keyed, docs, stage, words=words, percent=percent, id_col=id_col, text_col=text_col), stage).withColumnRenamed("root", "_root")
     copies = hot_keys(nodes, "node", signed.count())

@@ -119,11 +119,12 @@ def _forest(tag: int, left: np.ndarray, right: np.ndarray | None) -> list[tuple[
     return edges
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, stage: Stage) -> DataFrame:
     """(a, b): edges between distinct fingerprints that connect whatever lies within DISTANCE bits."""
     keyed = fps.select("fp", F.explode(_keys()).alias("key"))
-    sizes = keyed.groupBy("key").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
-    rows = keyed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    sizes = stage.write(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    hot = hot_keys(sizes, "key", sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+    rows = split_join(keyed, sizes.drop("n"), "key", hot, "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     pairs = rows.select("key", "fp", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("lo"), F.greatest(j, F.col("block")).alias("hi")))).alias("pair"))
     pairs = pairs.select("key", "pair.lo", "pair.hi", "block", "fp")
 
@@ -187,7 +188,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, id_col: str = "doc_id",
     stage = Stage(docs.sparkSession, "simhash")
     fps = stage.write(fingerprints(docs, words=words, id_col=id_col, text_col=text_col))
     distinct = stage.write(fps.groupBy("fp").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")))
-    roots = components(links(distinct.select("fp")), stage)
+    roots = components(links(distinct.select("fp"), stage), stage)
     rooted = stage.write(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = stage.write(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")))
     named = stage.write(split_join(rooted, least.drop("n"), "root", hot_keys(least, "root", rooted.count()), "fp").select("fp", "component_id"))

@@ -45,7 +45,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, url: str = "url", da
     own = without(captures, "decision", "matched_key")
     names = unused(own, "host", "segment", "at", "match")
     keyed = own.withColumns(dict(zip(names[:3], (host(F.col(url)), segment(F.col(url)), F.col(day)), strict=True)))
-    distinct = keyed.select(*[F.col(n).alias(a) for n, a in zip(names[:3], ("host", "segment", "at"), strict=True)]).where("host is not null and at is not null").distinct()
+    three = ["host", "segment", "at"]
+    times = keyed.select(*[F.col(n).alias(a) for n, a in zip(names[:3], three, strict=True)]).where("host is not null and at is not null").groupBy(*three).agg(F.count(F.lit(1)).alias("n"))
+    often, distinct = hot_keys(times, three, times.agg(F.sum("n")).first()[0] or 0), times.drop("n")
     parts = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     keys = F.array_distinct(F.concat(parents, F.array(F.concat("host", "segment"))))
@@ -59,7 +61,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, url: str = "url", da
         asked, hot = asked.where(~F.col("key").isin([k for k in hot if k not in met])), met
     active = split_join(asked, listed, "key", hot, F.hash("host", "segment", "at").cast("long")).where("valid_from <= at and (valid_to is null or at < valid_to)")
     decided = active.groupBy("host", "segment", "at").agg(F.max(F.struct(F.length("key").alias("n"), "key", "action")).alias("m"))
-    out = keyed.join(decided.toDF(*names), names[:3], "left")
+    out = split_join(keyed, decided.toDF(*names), names[:3], often, F.monotonically_increasing_id(), "left")
     return out.select(*[F.col(f"`{c}`") for c in own.columns], F.coalesce(F.col(names[3])["action"], F.lit("allow")).alias("decision"), F.col(names[3])["key"].alias("matched_key"))
 
 
