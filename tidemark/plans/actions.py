@@ -7,8 +7,9 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
-from ..operators import actions
+from ..operators import actions, incremental
 from ..sources import views
+from ..stages import Stage
 from .registry import TABLES, query
 
 TABLES["ca"] = """SELECT symbol, CAST(o_orderdate AS DATE) AS ex_date, CASE o_orderkey % 40
@@ -74,9 +75,12 @@ def ca_plausibility_rejects(spark, sf_dir):
     return actions.gate(b, actions.snap(b, e)).where("rejected").select("symbol", "trade_date", rounded("factor", 8).alias("factor"), rounded("ratio").alias("ratio"))
 
 
-@query("""WITH j AS (SELECT b.*, coalesce(g.factor, 1.0) AS f FROM bars b LEFT JOIN ca_gated g ON g.symbol = b.symbol AND g.trade_date = b.trade_date AND NOT g.rejected),
+_ADJUSTED = """WITH j AS (SELECT b.*, coalesce(g.factor, 1.0) AS f FROM bars b LEFT JOIN ca_gated g ON g.symbol = b.symbol AND g.trade_date = b.trade_date AND NOT g.rejected),
     c AS (SELECT *, coalesce(exp(sum(ln(f)) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)), 1.0) AS cum FROM j)
-    SELECT symbol, trade_date, round(ln(cum), 6) + 0.0 AS log_factor, round(ln(close * cum), 6) + 0.0 AS log_adj_close, round(ln(volume / cum), 6) + 0.0 AS log_adj_volume FROM c""")
+    SELECT symbol, trade_date, round(ln(cum), 6) + 0.0 AS log_factor, round(ln(close * cum), 6) + 0.0 AS log_adj_close, round(ln(volume / cum), 6) + 0.0 AS log_adj_volume FROM c"""
+
+
+@query(_ADJUSTED)
 def adjusted_panel(spark, sf_dir):
     """Backward-adjusted bars, as logarithms since products of many factors span magnitudes."""
     a = actions.adjust(views.bars(spark, sf_dir), declared(spark, sf_dir))
@@ -114,3 +118,18 @@ def front_month_roll(spark, sf_dir):
     s = sessions(views.bars(spark, sf_dir)).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     f = s.select("trade_date", F.last_day(F.add_months("trade_date", F.col("k"))).alias("expiry"), (1000 * (1 + 0.01 * F.col("k")) + F.col("idx")).alias("settle"))
     return actions.front_month(f).select("trade_date", "expiry", rounded("settle", 4).alias("settle"), rounded("ret", 8).alias("ret"))
+
+
+@query(_ADJUSTED)
+def incremental_rebuild(spark, sf_dir):
+    """The adjusted panel of a store that was filled in three batches: history, later sessions, and late bars of both."""
+    b, ca = views.bars(spark, sf_dir), declared(spark, sf_dir)
+    late = F.pmod(F.xxhash64("symbol", "trade_date"), F.lit(50)) == 0
+    store = incremental.AdjustedStore(spark, f"{Stage(spark, 'adjusted-store').root}", buckets=2)
+    edge = F.lit("1997-06-30").cast("date")
+    spans = [lambda d: F.col(d) <= edge, lambda d: F.col(d) > edge]
+    for within in spans:
+        store.append(b.where(within("trade_date") & ~late), ca.where(within("ex_date")))
+    store.append(b.where(late), ca.limit(0))
+    a = store.read()
+    return a.select("symbol", "trade_date", rounded(F.log("cum_adj_factor")).alias("log_factor"), rounded(F.log("adj_close")).alias("log_adj_close"), rounded(F.log("adj_volume")).alias("log_adj_volume"))

@@ -55,7 +55,7 @@ def sql(body: str) -> str:
                     used.append(name)
 
     add(body)
-    heads = [f"{n} AS ({TABLES[n]})" for n in used]
+    heads = [f"{n} AS MATERIALIZED ({TABLES[n]})" for n in used]  # each is computed once, however often it is named
     body = body.strip()
     if re.match(r"WITH\s+RECURSIVE\b", body):
         return "WITH RECURSIVE " + ", ".join([*heads, body[len("WITH RECURSIVE") :].strip()])
