@@ -60,7 +60,9 @@ def by_memory(proposals: DataFrame, memory: DataFrame) -> DataFrame:
 
 
 def screen(panel: DataFrame, rows: DataFrame, calendar: DataFrame, folds: DataFrame, library: list[str], proposals: list[Proposal], *, min_names: int = 20) -> DataFrame:
-    """Per proposal: status, detail, mean_ic, t and delta_ic, the ridge's mean rank correlation with the feature less that without."""
+    """Per proposal: status, detail, mean_ic, t and delta_ic, the ridge's mean rank correlation with the feature less that without.
+
+    All candidates are computed in one frame and screened in one pass."""
     spark = rows.sparkSession
     found, refused, names = {}, [], set(library) | set(rows.columns)
     for p in proposals:
@@ -76,6 +78,6 @@ def screen(panel: DataFrame, rows: DataFrame, calendar: DataFrame, folds: DataFr
     raw = panel.select("symbol", "trade_date", *[x.alias(n) for n, x in found.items()])
     scored = raw.select("symbol", "trade_date", *[F.coalesce(zscore(n), F.lit(0.0)).alias(n) for n in found])
     both = Stage(spark, "screen").write(rows.join(scored, ["symbol", "trade_date"], "left").fillna(0.0, list(found)))
-    done = validation.increment(both, calendar, folds, {"": library, **{n: [*library, n] for n in found}}, min_names=min_names)
+    done = validation.candidates(both, calendar, folds, library, list(found), min_names=min_names)
     ok = done.where("config <> ''").select(F.col("config").alias("name"), F.lit("ok").alias("status"), F.lit("screened").alias("detail"), "mean_ic", "t", "delta_ic")
     return ok.unionByName(out)

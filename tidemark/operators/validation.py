@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import safe_div
 from ..stages import Stage
 from ..workers import ship
+from . import gram
 
 
 def walk_forward(calendar: DataFrame, *, test: int = 63, min_train: int = 756, horizon: int = 5, embargo: int = 21) -> DataFrame:
@@ -165,30 +166,43 @@ def cpcv_sweep(rows: DataFrame, calendar: DataFrame, models: dict[str, list[str]
     stage = Stage(rows.sparkSession, "cpcv")
     inside = stage.write(inside)
     kinds = stage.write(inside.withColumn("part", F.lit("is_score")).unionByName(out_of.withColumn("part", F.lit("oos_score"))))
-    found = None
-    for name, features in models.items():
-        w = stage.write(ridge_weights(session_sums(rows, features), inside, features, penalty=penalty))
-        at = kinds.join(w, "fold")
-        pred = sum((F.col(f) * F.col("w")[i] for i, f in enumerate(features)), F.col("w")[len(features)])
-        scored = rows.join(at, "idx").select("symbol", "trade_date", "fold", "part", pred.alias("pred"), "label")
-        ic = mean_rank_ic(scored, "fold", "part", min_names=min_names).groupBy(F.col("fold").alias("combo")).pivot("part", ["is_score", "oos_score"]).agg(F.first("mean_ic")).withColumn("config", F.lit(name))
-        found = ic if found is None else found.unionByName(ic)
-    return found.select("combo", "config", "is_score", "oos_score")
-
-
-def increment(rows: DataFrame, calendar: DataFrame, folds: DataFrame, sets: dict[str, list[str]], *, against: tuple[str, ...] = (), min_names: int = 20) -> DataFrame:
+    features = list(dict.fromkeys(f for some in models.values() for f in some))
+    solve = gram.by_sets([[features.index(f) for f in some] for some in models.values()], len(features), 0, penalty)
+    weights = stage.write(gram.fold_weights(stage.write(gram.session_grams(rows, features, [], full=True)), inside, solve))
+    ics = gram.session_ics(rows, weights, kinds, features, list(models), min_names=min_names)
+    return ics.groupBy(F.col("fold").alias("combo"), "config").pivot("part", ["is_score", "oos_score"]).agg(F.avg("ic"))
+
+
+def summary(ics: DataFrame, base: str, label: str = "label", against: tuple[str, ...] = ()) -> DataFrame:
+    """Per config: days, mean rank correlation with the label, t, the mean correlation with each feature in `against`, and the excess over the mean of
+    the config `base`."""
+    own = F.when(F.col("target") == label, F.col("ic"))
+    t = safe_div(F.avg(own), F.nullif(F.stddev_samp(own), F.lit(0.0)) / F.sqrt(F.count(own)))
+    told = ics.groupBy("config").agg(F.count(own).alias("days"), F.avg(own).alias("mean_ic"), F.coalesce(t, F.lit(0.0)).alias("t"), *[F.avg(F.when(F.col("target") == f, F.col("ic"))).alias(f"with_{f}") for f in against])
+    first = F.max(F.when(F.col("config") == base, F.col("mean_ic"))).over(Window.partitionBy(F.lit(1)))  # one row a config
+    return told.withColumn("delta_ic", F.col("mean_ic") - first)
+
+
+def increment(rows: DataFrame, calendar: DataFrame, folds: DataFrame, sets: dict[str, list[str]], *, against: tuple[str, ...] = (), penalty: float = 1.0, min_names: int = 20) -> DataFrame:
     """Per feature set of the walk-forward ridge: days, mean rank correlation, t, its excess over the first set's mean, and the mean rank
-    correlation of its predictions with each feature in `against`."""
-    base, out, stage = None, None, Stage(rows.sparkSession, "increment")
-    for name, features in sets.items():
-        p = stage.write(ridge_walk_forward(rows, calendar, folds, features))
-        one = mean_rank_ic(p.withColumn("config", F.lit(name)), "config", min_names=min_names)
-        for f in against:
-            other = p.select("symbol", "trade_date", "pred").join(rows.select("symbol", "trade_date", F.col(f).alias("label")), ["symbol", "trade_date"]).withColumn("config", F.lit(name))
-            one = one.join(mean_rank_ic(other, "config", min_names=min_names).select("config", F.col("mean_ic").alias(f"with_{f}")), "config", "left")
-        base = base if base is not None else one.select(F.col("mean_ic").alias("_base"))
-        out = one if out is None else out.unionByName(one)
-    return out.join(F.broadcast(base)).withColumn("delta_ic", F.col("mean_ic") - F.col("_base")).drop("_base")  # one row
+    correlation of its predictions with each feature in `against`. All sets share the sessions' sums and one pass of predictions."""
+    stage = Stage(rows.sparkSession, "increment")
+    folds = stage.write(folds)
+    features = list(dict.fromkeys(f for some in sets.values() for f in some))
+    solve = gram.by_sets([[features.index(f) for f in some] for some in sets.values()], len(features), 0, penalty)
+    weights = stage.write(gram.fold_weights(gram.session_grams(rows, features, [], full=True), expanding_sessions(calendar, folds), solve))
+    tests = test_sessions(calendar, folds).withColumn("part", F.lit("test"))
+    return summary(gram.session_ics(rows, weights, tests, features, list(sets), against=against, min_names=min_names), next(iter(sets)), against=against)
+
+
+def candidates(rows: DataFrame, calendar: DataFrame, folds: DataFrame, library: list[str], names: list[str], *, penalty: float = 1.0, min_names: int = 20) -> DataFrame:
+    """Per candidate, a column of rows: days, mean rank correlation of the walk-forward ridge on the library with it, t, and its excess over the library's
+    alone (config ""). Any number of candidates are borders of one Gram matrix a session."""
+    stage = Stage(rows.sparkSession, "candidates")
+    folds = stage.write(folds)
+    weights = stage.write(gram.fold_weights(gram.session_grams(rows, library, names), expanding_sessions(calendar, folds), gram.by_borders(len(library), len(names), penalty)))
+    tests = test_sessions(calendar, folds).withColumn("part", F.lit("test"))
+    return summary(gram.session_ics(rows, weights, tests, [*library, *names], ["", *names], min_names=min_names), "")
 
 
 def lagged(series: DataFrame, lags: int, value: str = "ret") -> DataFrame:
