@@ -422,28 +422,6 @@ def test_thompson_draws_by_arm(spark):
     assert max(got.values(), key=lambda r: r.draw).picked
 
 
-def slow_haar(x):
-    """Shrinkage by the transform's matrix."""
-    n = len(x)
-    size = 1 << max(1, (n - 1).bit_length())
-    h = np.array([[1.0]])
-    while len(h) < size:
-        h = np.vstack([np.kron(h, [1, 1]), np.kron(np.eye(len(h)), [1, -1])]) / math.sqrt(2)
-    c = h @ np.concatenate([np.full(size - n, x[0]), x])
-    limit = np.median(np.abs(c[size // 2 :])) / 0.6745 * math.sqrt(2 * math.log(max(n, 2)))
-    c[1:] = np.sign(c[1:]) * np.maximum(np.abs(c[1:]) - limit, 0)
-    return (h.T @ c)[size - n :]
-
-
-def test_denoising_is_causal_and_equals_the_matrix_form(spark):
-    x = np.cumsum(np.random.default_rng(2).normal(size=40)) + 100
-    df = spark.createDataFrame([(1, D0 + timedelta(i), float(v)) for i, v in enumerate(x)], "symbol long, trade_date date, close double")
-    got = [r.denoised for r in engine.causal_transform(df, "close", window=12).orderBy("trade_date").collect()]
-    assert got[:11] == [None] * 11 and got[11:] == [pytest.approx(slow_haar(x[i - 11 : i + 1])[-1], abs=1e-9) for i in range(11, 40)]
-    short = [r.denoised for r in engine.causal_transform(df.where("trade_date < date'2020-02-01'"), "close", window=12).orderBy("trade_date").collect()]
-    assert short == got[: len(short)]
-
-
 def test_hedge_gate(spark):
     rng = np.random.default_rng(0)
     m = rng.normal(0, 0.01, 300)

@@ -1,4 +1,4 @@
-"""Single-name tools: causal denoising, contextual bandits and policies."""
+"""Single-name tools: contextual bandits and policies."""
 
 from __future__ import annotations
 
@@ -11,35 +11,6 @@ from ..functions.temporal import asof_backward
 from ..workers import ship
 
 
-def haar_denoise(x: np.ndarray) -> np.ndarray:
-    """Soft-threshold shrinkage of Haar details with the universal threshold."""
-    n = len(x)
-    size = 1 << max(1, (n - 1).bit_length())
-    a = np.concatenate([np.full(size - n, x[0]), x])
-    details = []
-    while len(a) > 1:
-        details.append((a[0::2] - a[1::2]) / np.sqrt(2))
-        a = (a[0::2] + a[1::2]) / np.sqrt(2)
-    limit = np.median(np.abs(details[0])) / 0.6745 * np.sqrt(2 * np.log(max(n, 2)))
-    for d in reversed(details):
-        d = np.sign(d) * np.maximum(np.abs(d) - limit, 0)
-        a = np.stack([(a + d) / np.sqrt(2), (a - d) / np.sqrt(2)], 1).ravel()
-    return a[size - n :]
-
-
-def causal_transform(panel: DataFrame, column: str, *, window: int = 64) -> DataFrame:
-    """out[t] is the last value of the denoised window that ends at t, so the future cannot change it; null until the window is full."""
-    ship(panel.sparkSession)
-    by = Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(-window + 1, 0)
-    held = panel.select("symbol", "trade_date", column, F.collect_list(column).over(by).alias("_w"))
-
-    @F.pandas_udf("double")
-    def last(windows: pd.Series) -> pd.Series:
-        return pd.Series([haar_denoise(np.asarray(w, float))[-1] if len(w) == window else None for w in windows], dtype="float64")
-
-    return held.select("symbol", "trade_date", column, last("_w").alias("denoised"))
-
-
 def fixed_policy(rewards: DataFrame, arm: str) -> DataFrame:
     """The policy that always picks one arm: (run, step, arm, reward) of a reward table."""
     return rewards.select("run", "step", F.lit(arm).alias("arm"), F.col(arm).alias("reward"))

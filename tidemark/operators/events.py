@@ -12,6 +12,7 @@ from ..functions.ranking import global_rank
 from ..functions.temporal import next_session_of
 from ..workers import ship
 from .backtest import long_flat
+from .sliding import quantile, slide
 
 #: Fixed values: (pattern, category, direction, materiality) of subjects in any case; the first match wins.
 RULES = [
@@ -179,10 +180,9 @@ def sentiment_gate(prices: DataFrame, index: DataFrame, *, short: int = 5, long:
     prices: trade_date, ret, level. sent_5d is the mean of the last `short` sessions, 0 where there was no text; sent_med its median over
     `long` sessions, all of them there; of an even number the upper middle value."""
     by = Window.orderBy("trade_date")  # one row a session
-    frame = by.rowsBetween(-long + 1, 0)
     j = prices.join(index, "trade_date", "left").withColumn("sent_5d", rolling(F.coalesce("sentiment", F.lit(0.0)), short, "mean", by=by))
-    middle = F.element_at(F.sort_array(F.collect_list("sent_5d").over(frame)), long // 2 + 1)
-    j = j.withColumns({"sent_med": F.when(F.count("sent_5d").over(frame) == long, middle), "fwd1": F.lead("ret").over(by), "fwd5": safe_div(F.lead("level", 5).over(by), "level") - 1})
+    j = slide(j, {"sent_med": ("sent_5d", quantile(long, upper=True))}, keys=())
+    j = j.withColumns({"fwd1": F.lead("ret").over(by), "fwd5": safe_div(F.lead("level", 5).over(by), "level") - 1})
     return j.where("sent_5d is not null and sent_med is not null and fwd1 is not null").withColumn("risk_on", F.col("sent_5d") > F.col("sent_med"))
 
 

@@ -134,18 +134,16 @@ def session_ics(rows: DataFrame, weights: DataFrame, sessions: DataFrame, featur
     """(fold, part, config, target, idx, ic): rank correlations of every model's predictions with the label, and with the features in `against`.
 
     sessions (fold, idx, part) says where which fold's models predict."""
-    targets, m = [label, *against], len(configs)
+    targets, m, names = [label, *against], len(configs), ["fold", "part", "config", "target", "idx", "ic"]
 
     def run(own: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-        out = []
         own = own[own[label].notna()]
-        if len(own) >= min_names:
-            x = np.column_stack([own[features].to_numpy(float), np.ones(len(own))])
-            for fold, part, w, idx in zip(models["fold"], models["part"], models["w"], models["idx"], strict=True):
-                pred = x @ np.asarray(w, float).reshape(m, -1).T
-                for t in targets:
-                    out += [(fold, part, c, t, idx, None if np.isnan(v) else float(v)) for c, v in zip(configs, correlations(pred, own[[t]].to_numpy(float)), strict=True)]
-        return pd.DataFrame(out, columns=["fold", "part", "config", "target", "idx", "ic"])
+        if len(own) < min_names or not len(models):
+            return pd.DataFrame(columns=names)
+        x, n = np.column_stack([own[features].to_numpy(float), np.ones(len(own))]), len(models)
+        pred = x @ np.concatenate([np.asarray(w, float).reshape(m, -1) for w in models["w"]]).T  # a column for each fold and model
+        each = {c: np.repeat(models[c].to_numpy(), m) for c in ("fold", "part", "idx")} | {"config": np.tile(np.array(configs, object), n)}
+        return pd.concat([pd.DataFrame(each | {"target": t, "ic": pd.Series(correlations(pred, own[[t]].to_numpy(float))).astype(object).where(lambda v: v.notna(), None)}) for t in targets])[names]
 
     ship(rows.sparkSession)
     at = sessions.select(F.col("fold").cast("long").alias("fold"), F.col("idx").cast("long").alias("idx"), "part").join(weights, "fold")

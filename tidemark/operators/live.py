@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.expr import average_rank, correlation, rolling, safe_div
 from ..functions.temporal import asof_forward
 from .risk import days, so_far
+from .sliding import quantile as sliding_quantile
+from .sliding import slide
 
 
 def month_spine(bounds: DataFrame, first: str, last: str) -> DataFrame:
@@ -84,9 +86,8 @@ def illiquidity(panel_returns: DataFrame, *, window: int = 21, quantile_rows: in
     """Days on which the median name's trailing price impact is at or over its rolling quantile."""
     impact = panel_returns.select("trade_date", (F.abs("ret") / (F.col("traded_value") + 1.0)).alias("x")).where("x is not null")
     daily = impact.groupBy("trade_date").agg(F.percentile("x", F.lit(0.5)).alias("median")).withColumn("level", rolling("median", window, "mean", by=days()))
-    span = days().rowsBetween(-quantile_rows + 1, 0)
-    limit = F.when(F.count("level").over(span) >= quantile_rows, F.percentile("level", F.lit(quantile)).over(span))
-    return daily.select("trade_date", "level", F.coalesce(F.col("level") >= limit, F.lit(False)).alias("illiquid"))
+    told = slide(daily, {"_limit": ("level", sliding_quantile(quantile_rows, quantile))}, keys=())
+    return told.select("trade_date", "level", F.coalesce(F.col("level") >= F.col("_limit"), F.lit(False)).alias("illiquid"))
 
 
 def month_ends(daily: DataFrame) -> DataFrame:

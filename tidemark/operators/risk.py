@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import EPS, average_rank, correlation, excess_kurtosis, rolling, safe_div, skew
 from ..functions.temporal import fiscal_year
+from .sliding import quantile as sliding_quantile
+from .sliding import slide
 
 
 
@@ -113,9 +115,9 @@ def underwater(daily: DataFrame) -> DataFrame:
 def regimes(market: DataFrame, *, bear_rows: int = 504, vol_rows: int = 63, quantile_rows: int = 756, quantile: float = 0.8) -> DataFrame:
     """bear: the level is at or under that of bear_rows ago; stress: volatility is at or over its rolling quantile."""
     c = market.withColumn("level", F.sum(F.log1p("m")).over(so_far())).withColumn("vol", rolling("m", vol_rows, "std", by=days()))
-    span = days().rowsBetween(-quantile_rows + 1, 0)
-    limit = F.when(F.count("vol").over(span) >= quantile_rows, F.percentile("vol", F.lit(quantile)).over(span))
-    return c.withColumn("bear", F.coalesce(F.col("level") <= F.lag("level", bear_rows).over(days()), F.lit(False))).withColumn("stress", F.coalesce(F.col("vol") >= limit, F.lit(False)))
+    c = slide(c, {"_limit": ("vol", sliding_quantile(quantile_rows, quantile))}, keys=())
+    limit = F.col("_limit")
+    return c.withColumn("bear", F.coalesce(F.col("level") <= F.lag("level", bear_rows).over(days()), F.lit(False))).withColumn("stress", F.coalesce(F.col("vol") >= limit, F.lit(False))).drop("_limit")
 
 
 def regime_gate(flags: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import by_symbol, average_rank, change, rolling
+from ..functions.expr import average_rank, change
+from .sliding import Row, quantile, slide
 
 
 def pit_universe(panel: DataFrame, *, min_traded_value: float = 5e7, min_price: float = 20.0, min_listed_days: int = 126, liquidity_window: int = 63, top_n: int = 500) -> DataFrame:
@@ -13,7 +14,8 @@ def pit_universe(panel: DataFrame, *, min_traded_value: float = 5e7, min_price:
 
     The rank is taken among eligible names only; equal medians go by symbol."""
     w = Window.partitionBy("trade_date", "eligible").orderBy(F.desc("median_traded_value"), "symbol")
-    base = panel.withColumns({"median_traded_value": rolling("traded_value", liquidity_window, "median"), "listed_days": F.row_number().over(by_symbol())})
+    told = slide(panel, {"median_traded_value": ("traded_value", quantile(liquidity_window)), "listed_days": ("traded_value", Row)})
+    base = told.withColumn("listed_days", F.col("listed_days").cast("int"))
     ok = (F.col("median_traded_value") >= min_traded_value) & (F.col("listed_days") >= min_listed_days) & (F.col("close") >= min_price)
     ranked = base.withColumn("eligible", F.coalesce(ok, F.lit(False))).withColumn("liquidity_rank", F.when(F.col("eligible"), F.row_number().over(w)))
     return ranked.withColumn("in_universe", F.coalesce(F.col("liquidity_rank") <= top_n, F.lit(False))).drop("eligible")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dsl
 from ..functions.expr import rolling, rounded, zscore
 from ..functions.temporal import sessions
-from ..operators import backtest, engine, portfolio, risk, universe
+from ..operators import backtest, emd, engine, portfolio, risk, sliding, universe, wavelet
 from ..sources import views
 from . import backtests
 from .panel import SCALED
@@ -145,7 +145,27 @@ def dsl_candidate(spark, sf_dir):
 
 @query()
 def causal_denoise(spark, sf_dir):
-    return engine.causal_transform(views.bars(spark, sf_dir).select("symbol", "trade_date", "close"), "close")
+    return wavelet.causal_denoise(views.bars(spark, sf_dir).select("symbol", "trade_date", "close"), "close")
+
+
+@query()
+def emd_denoise(spark, sf_dir):
+    """Closes without the first mode of each whole series; it looks ahead."""
+    return emd.emd_denoise(views.bars(spark, sf_dir), "close")
+
+
+@query()
+def ceemdan_denoise(spark, sf_dir):
+    """Closes without the first mode of the complete ensemble."""
+    return emd.ceemdan_denoise(views.bars(spark, sf_dir), "close", trials=20)
+
+
+@query("""SELECT symbol, trade_date, round(ln(quantile_cont(close, 0.5) OVER w), 6) AS log_median_252, round(ln(quantile_cont(close, 0.9) OVER w), 6) AS log_q90_252, round(max(close) OVER v, 6) AS max_63, round(min(close) OVER v, 6) AS min_63
+    FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW), v AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)""")
+def sliding_order_statistics(spark, sf_dir):
+    """Medians, a quantile and extremes of closes over sliding rows, by kernels that move one step a row."""
+    k = {"median_252": ("close", sliding.quantile(252, min_rows=1)), "q90_252": ("close", sliding.quantile(252, 0.9, min_rows=1)), "max_63": ("close", sliding.extreme("max", 63, min_rows=1)), "min_63": ("close", sliding.extreme("min", 63, min_rows=1))}
+    return sliding.slide(views.bars(spark, sf_dir).select("symbol", "trade_date", "close"), k).select("symbol", "trade_date", *[rounded(F.log(n)).alias(f"log_{n}") if n.endswith("252") else rounded(n).alias(n) for n in k])
 
 
 @query("""WITH p AS (SELECT trade_date, lag(ret) OVER w AS pred, ret * 0.01 AS target FROM rets WHERE symbol = 1 WINDOW w AS (ORDER BY trade_date)), q AS (SELECT *, CASE WHEN pred > 0 THEN 1.0 ELSE 0.0 END AS pos FROM p WHERE target IS NOT NULL)
