@@ -92,20 +92,31 @@ def excess_kurtosis(x: Column | str) -> Column:
     return F.when(F.var_pop(x) > 0, fourth / F.pow(F.var_pop(x), F.lit(2.0)) - 3)
 
 
+@dataclass(frozen=True)
+class Costs:
+    """A market's charges as fractions of an order's value, its flat charge on a sell order, and its impact in basis points: base + slope *
+    sqrt(order / adv)."""
+
+    buy: float
+    sell: float
+    flat_sell: float
+    base: float
+    slope: float
+
+
+#: A transaction tax of .001, exchange fees (3.07e-5 + 1e-6) with 18 % tax on them, a stamp duty of 1.5e-4 on buys, a flat
+#: depository charge of 15.34 on sells; overseas a sell fee of 2.78e-5 only.
+DELIVERY = Costs(0.001 + (3.07e-5 + 1e-6) * 1.18 + 1.5e-4, 0.001 + (3.07e-5 + 1e-6) * 1.18, 15.34, 3.0, 10.0)
+OVERSEAS = Costs(0.0, 2.78e-5, 0.0, 1.0, 8.0)
+
+
 def cost_rate(side: str, order: Column, adv: Column, *, market: str = "delivery", impact_multiplier: float = 1.0, dp_order_value: Column | None = None) -> Column:
-    """Cost of an order as a fraction of its value: charges and square-root impact.
-
-    Fixed values: delivery has a transaction tax of .001, exchange fees (3.07e-5 + 1e-6) with 18 % tax on them, a stamp duty of 1.5e-4
-    on buys, a flat depository charge of 15.34 on sells, and impact of 3 + 10 sqrt(order / adv) bps; the overseas market has a sell fee of
-    2.78e-5 and impact of 1 + 8 sqrt(order / adv) bps. Without order or volume there is no impact."""
-    if market == "delivery":
-        charges = F.lit(0.001 + (3.07e-5 + 1e-6) * 1.18 + (1.5e-4 if side == "buy" else 0.0))
-        if side == "sell" and dp_order_value is not None:
-            charges = charges + F.when(dp_order_value > 0, F.lit(15.34) / dp_order_value).otherwise(0.0)
-        base, slope = 3.0, 10.0
-    else:
-        charges, base, slope = F.lit(2.78e-5 if side == "sell" else 0.0), 1.0, 8.0
-    impact = F.when((order > 0) & (adv > 0), (base + slope * F.sqrt(safe_div(order, adv))) * impact_multiplier / 1e4).otherwise(0.0)
+    """Cost of an order as a fraction of its value: charges and square-root impact. Without order or volume there is no impact."""
+    costs = DELIVERY if market == "delivery" else OVERSEAS
+    charges = F.lit(costs.buy if side == "buy" else costs.sell)
+    if side == "sell" and dp_order_value is not None and costs.flat_sell:
+        charges = charges + F.when(dp_order_value > 0, F.lit(costs.flat_sell) / dp_order_value).otherwise(0.0)
+    impact = F.when((order > 0) & (adv > 0), (costs.base + costs.slope * F.sqrt(safe_div(order, adv))) * impact_multiplier / 1e4).otherwise(0.0)
     return charges + impact
 
 

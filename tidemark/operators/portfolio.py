@@ -197,19 +197,36 @@ def risk_windows(panel: DataFrame, picks: DataFrame, calendar: DataFrame, *, win
     """picks (rebalance_date, symbol, ...) with obs, vol and hist over the `window` sessions that end at the rebalance: hist holds (session,
     ret) of the name's returns there; vol and hist are null under min_obs of them, for that name alone."""
     at = calendar.select("trade_date", "idx")
-    back = Window.partitionBy("symbol").orderBy("idx").rangeBetween(-window + 1, 0)
-    rows = panel.where("ret is not null").select("symbol", "trade_date", "ret").join(at, "trade_date")
-    asked = picks.select("symbol", F.col("rebalance_date").alias("trade_date")).join(at, "trade_date").withColumn("_asked", F.lit(True))
-    both = rows.join(asked, ["symbol", "trade_date", "idx"], "full_outer")
-    obs = F.count("ret").over(back)
-    held = F.collect_list(F.when(F.col("ret").isNotNull(), F.struct("idx", "ret"))).over(back)
-    found = both.select("symbol", F.col("trade_date").alias("rebalance_date"), "_asked", obs.alias("obs"), F.when(obs >= min_obs, F.stddev_samp("ret").over(back) * F.sqrt(F.lit(252.0))).alias("vol"), F.when(obs >= min_obs, held).alias("hist"))
-    return picks.join(found.where("_asked").drop("_asked"), ["symbol", "rebalance_date"])
+    rows = panel.where("ret is not null").select("symbol", "trade_date", "ret").join(at, "trade_date").select("symbol", F.floor(F.col("idx") / window).alias("_block"), "idx", "ret")
+    asked = picks.select("symbol", F.col("rebalance_date").alias("trade_date")).distinct().join(at, "trade_date").select("symbol", F.col("trade_date").alias("rebalance_date"), F.col("idx").alias("_to"))
+    # a window lies in two blocks of sessions at most, so only rows of names and times that are asked for are gathered
+    two = asked.withColumn("_block", F.explode(F.array(F.floor(F.col("_to") / window), F.floor(F.col("_to") / window) - 1)))
+    met = two.join(rows, ["symbol", "_block"]).where((F.col("idx") <= F.col("_to")) & (F.col("idx") > F.col("_to") - window))
+    enough = F.count("ret") >= min_obs
+    found = met.groupBy("symbol", "rebalance_date").agg(F.count("ret").alias("_obs"), F.when(enough, F.stddev_samp("ret") * F.sqrt(F.lit(252.0))).alias("vol"), F.when(enough, F.sort_array(F.collect_list(F.struct("idx", "ret")))).alias("hist"))
+    return picks.join(found, ["symbol", "rebalance_date"], "left").withColumn("obs", F.coalesce("_obs", F.lit(0).cast("long"))).drop("_obs")
+
+
+CAP_ROUNDS = 4
+
+
+def under_caps(w: np.ndarray, sectors: list[str | None], position: float, sector: float) -> np.ndarray:
+    """Weights clipped at the position cap (an equal part at least) with the excess given to the others by their headroom, then sectors scaled
+    down to their cap; names without a sector are exempt."""
+    cap = max(position, 1 / len(w))
+    for _ in range(CAP_ROUNDS):
+        room, excess = np.maximum(cap - w, 0), np.maximum(w - cap, 0).sum()
+        w = np.minimum(w, cap) + (min(excess, room.sum()) * room / room.sum() if room.sum() > 0 else 0)
+    total: dict[str, float] = {}
+    for s, v in zip(sectors, w, strict=True):
+        if s is not None:
+            total[s] = total.get(s, 0.0) + v
+    return np.array([v * min(1.0, sector / total[s]) if s is not None and total[s] > 0 else v for s, v in zip(sectors, w, strict=True)])
 
 
 def base_weights(rows: DataFrame, configs: list[Config], names: list[str]) -> DataFrame:
-    """rows, once for each configuration, with weight before any cap. Books of a date are weighted apart, so all dates go side by side;
-    a book holds top_n names at most. Names without enough history share an equal part, the others the risk model's."""
+    """rows, once for each configuration, with weight under the position and sector caps. Books of a date are weighted apart, so all dates go side
+    by side; a book holds top_n names at most. Names without enough history share an equal part, the others the risk model's."""
     ship(rows.sparkSession)
     each = rows.withColumn("config", F.explode(F.array(*map(F.lit, names))))
     by_name = dict(zip(names, configs, strict=True))
@@ -234,10 +251,11 @@ def base_weights(rows: DataFrame, configs: list[Config], names: list[str]) -> Da
                             x[at, k] = r["ret"]
                 part = min_variance(shrunk_covariance(x[~np.isnan(x).all(1)]))
             w[covered] = part * covered.sum() / n
+        w = under_caps(w, [x if isinstance(x, str) else None for x in g["industry"]], c.position_cap, c.sector_cap)
         return pd.DataFrame({"config": g["config"].iloc[0], "rebalance_date": g["rebalance_date"].iloc[0], "symbol": g["symbol"], "weight": w})
 
     shape = f"config string, rebalance_date date, symbol {kind}, weight double"
-    w = each.select("config", "rebalance_date", "symbol", "vol", "hist").groupBy("config", "rebalance_date").applyInPandas(run, shape)
+    w = each.select("config", "rebalance_date", "symbol", "vol", "industry", "hist").groupBy("config", "rebalance_date").applyInPandas(run, shape)
     return each.drop("hist", "vol").join(w, ["config", "rebalance_date", "symbol"])
 
 
@@ -245,29 +263,41 @@ def targets(rows: DataFrame, configs: list[Config], names: list[str], realised:
     """Base weights under the position cap, the sector cap and the volatility target: (config, rebalance_date, symbol, industry, adv, weight).
     realised: trade_date, vol of the fully invested book."""
     book = base_weights(rows.select("rebalance_date", "symbol", "vol", "adv", "industry", "hist"), configs, names)
-    n = F.count(F.lit(1)).over(Window.partitionBy("config", "rebalance_date"))
-    limit = lambda field: F.element_at(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.lit(getattr(c, field)) for c in configs])), F.col("config"))
-    book = book.withColumn("_cap", F.greatest(limit("position_cap"), 1 / n))
-    one = Window.partitionBy("config", "rebalance_date")
-    for _ in range(4):
-        room = F.greatest(F.col("_cap") - F.col("weight"), F.lit(0.0))
-        excess = F.sum(F.greatest(F.col("weight") - F.col("_cap"), F.lit(0.0))).over(one)
-        total = F.sum(room).over(one)
-        book = book.withColumn("weight", F.least(F.col("weight"), F.col("_cap")) + F.least(excess, total) * F.coalesce(safe_div(room, F.nullif(total, F.lit(0.0))), F.lit(0.0)))
-    sector = F.sum("weight").over(Window.partitionBy("config", "rebalance_date", "industry"))
-    book = book.withColumn("weight", F.when(F.col("industry").isNull(), F.col("weight")).otherwise(F.col("weight") * F.least(F.lit(1.0), safe_div(limit("sector_cap"), sector))))
+    limit = F.element_at(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.lit(c.target_vol) for c in configs])), F.col("config"))
     seen = book.join(realised.select(F.col("trade_date").alias("rebalance_date"), F.col("vol").alias("_vol")), "rebalance_date", "left")
-    gross = F.coalesce(F.least(F.lit(1.0), safe_div(limit("target_vol"), F.nullif(F.col("_vol"), F.lit(0.0)))), F.lit(1.0))
+    gross = F.coalesce(F.least(F.lit(1.0), safe_div(limit, F.nullif(F.col("_vol"), F.lit(0.0)))), F.lit(1.0))
     return seen.select("config", "rebalance_date", "symbol", "industry", "adv", (F.col("weight") * gross).alias("weight"))
 
 
+def config_name(c: Config) -> str:
+    return f"{c.scheme}_tau{c.tau:g}"
+
+
+def traded(c: Config, target: dict, book: dict, adv: dict) -> dict:
+    """The next book: the trading rule and the participation cap by name, and a gross of 1 at most."""
+    new = {}
+    for s in sorted(target.keys() | book.keys()):
+        to, was = target.get(s, 0.0), book.get(s, 0.0)
+        if c.tau < 1:
+            to = 0.0 if to <= 1e-12 and was < c.full_exit else was + c.tau * (to - was)
+        elif to > 0 and abs(to - was) < c.band * to:
+            to = was
+        if c.capital > 0 and adv.get(s) is not None and not np.isnan(adv[s]):
+            most = c.adv_limit * adv[s] / c.capital
+            to = was + max(-most, min(most, to - was))
+        if to > 1e-12:
+            new[s] = to
+    total = sum(new.values())
+    return {s: v / total for s, v in new.items()} if total > 1 + 1e-12 else new
+
+
 def construct(rows: DataFrame, configs: list[Config], realised: DataFrame) -> DataFrame:
     """Books (config, rebalance_date, symbol, weight, prior) from targets by the trading rule, the participation cap and a gross of 1 at most.
 
     rows: rebalance_date, symbol, vol, adv, industry and hist of the names picked on each date (risk_windows). All that does not depend on
     the last book is worked out by date in parallel; what carries over, a configuration's bands or partial moves, folds its targets
     in order: top_n short rows a rebalance, however many names there are. Prior weights are the last book's, without drift."""
-    names = [f"{c.scheme}_tau{c.tau:g}" for c in configs]
+    names = [config_name(c) for c in configs]
     by_name = dict(zip(names, configs, strict=True))
     kind = rows.schema["symbol"].dataType.simpleString()
 
@@ -275,22 +305,8 @@ def construct(rows: DataFrame, configs: list[Config], realised: DataFrame) -> Da
         name = g["config"].iloc[0]
         c, book, adv, out = by_name[name], {}, {}, []
         for day, d in g.sort_values(["rebalance_date", "symbol"]).groupby("rebalance_date"):
-            target = dict(zip(d["symbol"], d["weight"], strict=True))
             adv |= dict(zip(d["symbol"], d["adv"], strict=True))
-            new = {}
-            for s in sorted(target.keys() | book.keys()):
-                to, was = target.get(s, 0.0), book.get(s, 0.0)
-                if c.tau < 1:
-                    to = 0.0 if to <= 1e-12 and was < c.full_exit else was + c.tau * (to - was)
-                elif to > 0 and abs(to - was) < c.band * to:
-                    to = was
-                if c.capital > 0 and adv.get(s) is not None and not np.isnan(adv[s]):
-                    most = c.adv_limit * adv[s] / c.capital
-                    to = was + max(-most, min(most, to - was))
-                if to > 1e-12:
-                    new[s] = to
-            total = sum(new.values())
-            new = {s: v / total for s, v in new.items()} if total > 1 + 1e-12 else new
+            new = traded(c, dict(zip(d["symbol"], d["weight"], strict=True)), book, adv)
             out += [(name, day, s, v, book.get(s, 0.0)) for s, v in new.items()]
             book = new
         return pd.DataFrame(out, columns=["config", "rebalance_date", "symbol", "weight", "prior"])

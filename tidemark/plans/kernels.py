@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import dsl
 from ..functions.expr import rolling, rounded, zscore
 from ..functions.temporal import sessions
-from ..operators import backtest, emd, engine, portfolio, risk, sliding, universe, wavelet
+from ..operators import backtest, books, emd, engine, portfolio, risk, sliding, universe, wavelet
 from ..sources import views
+from ..stages import Stage
 from . import backtests
 from .panel import SCALED
 from .registry import TABLES, query
@@ -115,6 +116,25 @@ def construct_books(spark, sf_dir):
     return portfolio.construct(rows, CONFIGS, _realised(panel))
 
 
+@query()
+def construction_study(spark, sf_dir):
+    """The eight configurations as daily books with drift, trading rules, costs and their own volatility target."""
+    rows, panel = picked(spark, sf_dir)
+    daily = Stage(spark, "study").write(books.run_books(panel, rows, sessions(panel), books.study(capital=2500.0)))
+    r = F.col("net_return")
+    return daily.groupBy("config").agg(F.count(F.lit(1)).alias("days"), (F.avg(r) / F.stddev_samp(r) * F.sqrt(F.lit(252.0))).alias("sharpe"), (F.stddev_samp(r) * F.sqrt(F.lit(252.0))).alias("vol"), (F.product(1 + r) - 1).alias("total"), F.sum("cost").alias("cost"), (F.sum("turnover") / (F.count(F.lit(1)) / 252.0)).alias("turnover_a_year"), F.avg("target_gross").alias("gross"))
+
+
+@query(f"SELECT trade_date, round(gross_return, 8) + 0.0 AS gross_return, round(cost, 8) + 0.0 AS cost, round(turnover, 8) + 0.0 AS turnover FROM ({backtests.daily_sql()})")
+def book_fold_daily(spark, sf_dir):
+    """The equal-weight book by the fold: without caps, bands and volatility target it is the closed form's."""
+    rows, panel = picked(spark, sf_dir)
+    free = portfolio.Config(position_cap=1.0, sector_cap=1.0, adv_limit=1e9, band=0.0, target_vol=1e9)
+    d = books.run_books(panel, rows, sessions(panel), [free])
+    first = d.where("turnover > 0").agg(F.min("idx").alias("first"))
+    return d.join(F.broadcast(first)).where("idx >= first").select("trade_date", *[rounded(c, 8).alias(c) for c in ("gross_return", "cost", "turnover")])  # one row
+
+
 def _dsl_sql() -> str:
     d = "ret"
     body = {
@@ -160,12 +180,12 @@ def ceemdan_denoise(spark, sf_dir):
     return emd.ceemdan_denoise(views.bars(spark, sf_dir), "close", trials=20)
 
 
-@query("""SELECT symbol, trade_date, round(ln(quantile_cont(close, 0.5) OVER w), 6) AS log_median_252, round(ln(quantile_cont(close, 0.9) OVER w), 6) AS log_q90_252, round(max(close) OVER v, 6) AS max_63, round(min(close) OVER v, 6) AS min_63
+@query("""SELECT symbol, trade_date, round(ln(quantile_cont(close, 0.5) OVER w), 6) AS log_median_252, round(ln(quantile_cont(close, 0.9) OVER w), 6) AS log_q90_252, round(max(close) OVER v, 8) AS max_63, round(min(close) OVER v, 8) AS min_63
     FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW), v AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)""")
 def sliding_order_statistics(spark, sf_dir):
     """Medians, a quantile and extremes of closes over sliding rows, by kernels that move one step a row."""
     k = {"median_252": ("close", sliding.quantile(252, min_rows=1)), "q90_252": ("close", sliding.quantile(252, 0.9, min_rows=1)), "max_63": ("close", sliding.extreme("max", 63, min_rows=1)), "min_63": ("close", sliding.extreme("min", 63, min_rows=1))}
-    return sliding.slide(views.bars(spark, sf_dir).select("symbol", "trade_date", "close"), k).select("symbol", "trade_date", *[rounded(F.log(n)).alias(f"log_{n}") if n.endswith("252") else rounded(n).alias(n) for n in k])
+    return sliding.slide(views.bars(spark, sf_dir).select("symbol", "trade_date", "close"), k).select("symbol", "trade_date", *[rounded(F.log(n)).alias(f"log_{n}") if n.endswith("252") else rounded(n, 8).alias(n) for n in k])
 
 
 @query("""WITH p AS (SELECT trade_date, lag(ret) OVER w AS pred, ret * 0.01 AS target FROM rets WHERE symbol = 1 WINDOW w AS (ORDER BY trade_date)), q AS (SELECT *, CASE WHEN pred > 0 THEN 1.0 ELSE 0.0 END AS pos FROM p WHERE target IS NOT NULL)
