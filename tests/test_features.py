@@ -183,7 +183,8 @@ def test_news_in_utc_rolls_by_local_time(spark):
     cal = sessions(spark.createDataFrame([(date(2024, 1, d),) for d in (2, 3)], "trade_date date"))
     e = spark.sql("select * from values ('win', timestamp'2024-01-02 09:59:00'), ('loss', timestamp'2024-01-02 10:00:00') as t(subject, announced_at)")
     got = {r.trade_date.day: (r.sentiment, r.n) for r in events.daily_sentiment(e, cal, zone="Asia/Kolkata").collect()}
-    assert got == {2: (1.0, 1), 3: (-1.0, 1)}  # 15:29 and 15:30
+    score = 2 / (4 + 15) ** 0.5
+    assert got == {2: (pytest.approx(score), 1), 3: (pytest.approx(-score), 1)}  # 15:29 and 15:30
 
 
 def test_markets(spark):

@@ -13,6 +13,7 @@ from ..functions.temporal import next_session_of
 from ..workers import ship
 from .backtest import long_flat
 from .sliding import quantile, slide
+from .valence import valence
 
 #: Fixed values: (pattern, category, direction, materiality) of subjects in any case; the first match wins.
 RULES = [
@@ -145,31 +146,30 @@ def normalise(features: DataFrame) -> DataFrame:
     return features.select("symbol", "trade_date", *[F.coalesce(zscore(F.col(n).cast("double")), F.lit(0.0)).alias(n) for n in names])
 
 
-#: Words with the sentiment that a text gets from each.
+#: Words with their valence. A short list for corporate news of our own; a longer one, as graded lists of thousands of words, is a parameter.
 LEXICON = {
-    1.0: "approval approved award awarded awards bagged bags benefit best bonus buy-back completed completes completion dividend gain gains growth higher improved improvement increase increased launch launches new "
+    2.0: "approval approved award awarded awards bagged bags benefit best bonus buy-back completed completes completion dividend gain gains growth higher improved improvement increase increased launch launches new "
     "opens partnership profit profits record reaffirmed recovery rise rises secures strong success successful surplus upgrade upgraded win wins won",
-    -1.0: "breach cancellation cancelled cessation charge closed closure decline declined decrease default defaults delay delayed demand deficit downgrade downgraded dispute fall falls fine fined fraud insolvency investigation "
+    -2.0: "breach cancellation cancelled cessation charge closed closure decline declined decrease default defaults delay delayed demand deficit downgrade downgraded dispute fall falls fine fined fraud insolvency investigation "
     "litigation loss losses lower notice penalty petition pledge resignation resigned seizure shortage strike suspended suspension terminated termination violation weak withdrawal withdrawn",
 }
 NEWS_CUTOFF_MINUTE = 15 * 60 + 30
 
 
 def sentiment(subject: Column, lexicon: dict[float, str] = LEXICON) -> Column:
-    """The mean of the words' values in a text, without its punctuation; 0 for a missing or empty text."""
-    words = F.filter(F.split(F.lower(subject), r"[^a-z-]+"), lambda w: w != "")
-    values = F.map_from_arrays(F.array(*[F.lit(w) for v in lexicon.values() for w in v.split()]), F.array(*[F.lit(k) for k, v in lexicon.items() for _ in v.split()]))
-    total = F.aggregate(words, F.lit(0.0), lambda t, w: t + F.coalesce(F.element_at(values, w), F.lit(0.0)))
-    return F.coalesce(safe_div(total, F.size(words)), F.lit(0.0))
+    """A text's compound score by valence rules with the lexicon's words; 0 for a missing or empty text."""
+    return F.coalesce(valence(subject, {w: v for v, words in lexicon.items() for w in words.split()}), F.lit(0.0))
 
 
-def daily_sentiment(announcements: DataFrame, calendar: DataFrame, *, zone: str | None = None) -> DataFrame:
+def daily_sentiment(announcements: DataFrame, calendar: DataFrame, *, zone: str | None = None, lexicon: dict[float, str] = LEXICON) -> DataFrame:
     """(trade_date, sentiment, n): texts after the cutoff count for the next day, and each day's mean for the next session; sessions
     that several days roll to get the mean of their means. Days beyond the calendar drop. Times are local, or UTC if `zone` names where
     the cutoff holds."""
+    ship(announcements.sparkSession)
     at = F.col("announced_at") if zone is None else F.from_utc_timestamp("announced_at", zone)
     day = F.date_add(F.to_date(at), F.when(F.hour(at) * 60 + F.minute(at) >= NEWS_CUTOFF_MINUTE, 1).otherwise(0))
-    daily = announcements.groupBy(day.alias("day")).agg(F.avg(sentiment(F.col("subject"))).alias("sentiment"), F.count(F.lit(1)).alias("n"))
+    scored = announcements.select(day.alias("day"), sentiment(F.col("subject"), lexicon).alias("s"))
+    daily = scored.groupBy("day").agg(F.avg("s").alias("sentiment"), F.count(F.lit(1)).alias("n"))
     rolled = daily.join(next_session_of(daily.select("day"), calendar, "day"), "day")
     return rolled.groupBy(F.col("_next").alias("trade_date")).agg(F.avg("sentiment").alias("sentiment"), F.sum("n").alias("n"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
 from ..functions.temporal import fiscal_year, knowable_dates, sessions
-from ..operators import events, universe
+from ..operators import events, universe, valence
 from ..sources import views
 from .panel import SCALED
 from .registry import TABLES, query
@@ -138,11 +138,24 @@ def fiscal_years(spark, sf_dir):
     return views.read(spark, sf_dir, "orders").groupBy(fiscal_year("o_orderdate").alias("fy")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_LEXICON = "MAP {" + ", ".join(f"'{w}': {v}" for v, words in events.LEXICON.items() for w in words.split()) + "}"
-TABLES["sentiment_index"] = f"""WITH w AS (SELECT announced_at, list_filter(string_split_regex(lower(coalesce(subject, '')), '[^a-z-]+'), lambda x: x <> '') AS words FROM order_announcements),
-    v AS (SELECT CAST(announced_at AS DATE) + CASE WHEN hour(announced_at) * 60 + minute(announced_at) >= 930 THEN 1 ELSE 0 END AS day, CASE WHEN len(words) = 0 THEN 0.0 ELSE list_sum(list_transform(words, lambda x: coalesce({_LEXICON}[x], 0.0))) / len(words) END AS s FROM w),
-    d AS (SELECT day, avg(s) AS sentiment, count(*) AS n FROM v GROUP BY day)
-    SELECT x.trade_date, avg(sentiment) AS sentiment, CAST(sum(n) AS BIGINT) AS n FROM d ASOF JOIN sessions x ON d.day <= x.trade_date GROUP BY x.trade_date"""
+_words = lambda text: ", ".join("'" + w + "'" for w in text.split())
+_STEP = """SELECT * REPLACE ((s + CASE WHEN active{k} AND b{k} <> 0 THEN {share} * sign(s) * (b{k} + CASE WHEN up{k} AND mixed THEN 0.733 ELSE 0 END) ELSE 0 END) * CASE WHEN active{k} AND not{k} THEN -0.74 ELSE 1 END AS s) FROM ({rows})"""
+TABLES["subject_words"] = r"""SELECT subject, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS w FROM (SELECT subject, list_transform(list_filter(string_split_regex(subject, '\s+'), lambda x: x <> ''),
+    lambda x: CASE WHEN len(regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')) > 2 THEN regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g') ELSE x END) AS t FROM (SELECT DISTINCT subject FROM order_announcements WHERE subject IS NOT NULL))"""
+TABLES["subject_facts"] = f"""SELECT subject, i, lower(w) AS l, x.v, CASE WHEN lower(w) IN ({_words(valence.MORE)}) THEN 0.293 WHEN lower(w) IN ({_words(valence.LESS)}) THEN -0.293 ELSE 0 END AS b, lower(w) IN ({_words(valence.NOT)}) OR lower(w) LIKE '%n''t' AS neg,
+    w = upper(w) AND w <> lower(w) AS up, avg(CASE WHEN w = upper(w) AND w <> lower(w) THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY subject) AS share, min(CASE WHEN lower(w) = 'but' THEN i END) OVER (PARTITION BY subject) AS turn
+    FROM subject_words LEFT JOIN (VALUES {", ".join(f"('{w}', {v}::DOUBLE)" for v, words in events.LEXICON.items() for w in words.split())}) x(word, v) ON x.word = lower(w)"""
+TABLES["subject_near"] = """SELECT subject, i, turn, share > 0 AND share < 1 AS mixed, v + CASE WHEN up AND share < 1 THEN 0.733 * sign(v) ELSE 0 END AS s, v, b, """ + ", ".join(
+    f"lag(v, {k}) OVER o IS NULL AND i > {k} AS active{k}, lag(b, {k}) OVER o AS b{k}, lag(neg, {k}) OVER o AS not{k}, lag(up, {k}) OVER o AS up{k}" for k in (1, 2, 3)) + """,
+    coalesce(lag(l) OVER o = 'least' AND lag(v) OVER o IS NULL AND NOT coalesce(lag(l, 2) OVER o IN ('at', 'very'), false), false) AS least FROM subject_facts WINDOW o AS (PARTITION BY subject ORDER BY i)"""
+_steps = "SELECT * FROM subject_near"
+for _k, _share in ((1, "1.0"), (2, "0.95"), (3, "0.9")):
+    _steps = _STEP.format(k=_k, share=_share, rows=_steps)
+TABLES["subject_scores"] = f"""SELECT subject, t / sqrt(t * t + 15) AS score FROM (SELECT subject, s + sign(s) * CASE WHEN s = 0 THEN 0 ELSE 0.292 * least(len(subject) - len(replace(subject, '!', '')), 4) + CASE WHEN q < 2 THEN 0 WHEN q <= 3 THEN 0.18 * q ELSE 0.96 END END AS t FROM
+    (SELECT subject, len(subject) - len(replace(subject, '?', '')) AS q, sum(CASE WHEN least THEN s * -0.74 ELSE s END * CASE WHEN turn IS NULL THEN 1 WHEN i < turn THEN 0.5 ELSE 1.5 END) AS s FROM ({_steps}) WHERE v IS NOT NULL AND b = 0 GROUP BY subject))"""
+TABLES["sentiment_index"] = """SELECT x.trade_date, avg(sentiment) AS sentiment, CAST(sum(n) AS BIGINT) AS n FROM
+    (SELECT CAST(announced_at AS DATE) + CASE WHEN hour(announced_at) * 60 + minute(announced_at) >= 930 THEN 1 ELSE 0 END AS day, avg(coalesce(score, 0.0)) AS sentiment, count(*) AS n FROM order_announcements LEFT JOIN subject_scores USING (subject) GROUP BY 1) d
+    ASOF JOIN sessions x ON d.day <= x.trade_date GROUP BY x.trade_date"""
 TABLES["sentiment_rows"] = """SELECT trade_date, n, sentiment, sent_5d, sent_med, fwd1, fwd5, sent_5d > sent_med AS risk_on FROM (
     SELECT *, CASE WHEN count(sent_5d) OVER w = 252 THEN list_sort(list(sent_5d) OVER w)[127] END AS sent_med, lead(mret) OVER o AS fwd1, lead(level, 5) OVER o / level - 1 AS fwd5 FROM (
     SELECT *, CASE WHEN count(*) OVER w5 = 5 THEN avg(coalesce(sentiment, 0.0)) OVER w5 END AS sent_5d FROM (SELECT trade_date, mret, product(1 + mret) OVER (ORDER BY trade_date) AS level FROM (SELECT trade_date, mret * 0.01 AS mret FROM market)) LEFT JOIN sentiment_index USING (trade_date)
