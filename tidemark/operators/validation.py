@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import safe_div
 from ..stages import Stage
 from ..workers import ship
-from . import gram
+from . import boost, gram
 
 
 def walk_forward(calendar: DataFrame, *, test: int = 63, min_train: int = 756, horizon: int = 5, embargo: int = 21) -> DataFrame:
@@ -156,16 +156,21 @@ def mean_rank_ic(scored: DataFrame, *keys: str, min_names: int = 20) -> DataFram
     return daily.groupBy(*keys).agg(F.count("ic").alias("days"), F.avg("ic").alias("mean_ic"), F.coalesce(t, F.lit(0.0)).alias("t"))
 
 
-def cpcv_sweep(rows: DataFrame, calendar: DataFrame, models: dict[str, list[str]], *, blocks: int = 8, pick: int = 2, gap: int = 5, penalty: float = 1.0, min_names: int = 20) -> DataFrame:
-    """(combo, config, is_score, oos_score): mean rank correlations in and out of sample of each model, a list of features, over all
-    combinatorial purged splits. A split trains on the sessions outside its blocks and their gaps."""
+def cpcv_sessions(calendar: DataFrame, stage: Stage, *, blocks: int, pick: int, gap: int) -> tuple[DataFrame, DataFrame]:
+    """(fold, idx) of every split's training sessions, those outside its blocks and their gaps, and (fold, idx, part) of what it is scored on."""
     spans = combinatorial(calendar, blocks=blocks, pick=pick, gap=gap).withColumnRenamed("combo", "fold")
     out_of = calendar.select("idx").join(spans, F.col("idx").between(F.col("first"), F.col("last"))).select("fold", "idx").distinct()
     banned = calendar.select("idx").join(spans, F.col("idx").between(F.col("banned_from"), F.col("banned_to"))).select("fold", "idx").distinct()
     inside = spans.select("fold").distinct().crossJoin(calendar.select("idx")).join(banned, ["fold", "idx"], "left_anti")  # a row for each split and session
-    stage = Stage(rows.sparkSession, "cpcv")
     inside = stage.write(inside)
-    kinds = stage.write(inside.withColumn("part", F.lit("is_score")).unionByName(out_of.withColumn("part", F.lit("oos_score"))))
+    return inside, stage.write(inside.withColumn("part", F.lit("is_score")).unionByName(out_of.withColumn("part", F.lit("oos_score"))))
+
+
+def cpcv_sweep(rows: DataFrame, calendar: DataFrame, models: dict[str, list[str]], *, blocks: int = 8, pick: int = 2, gap: int = 5, penalty: float = 1.0, min_names: int = 20) -> DataFrame:
+    """(combo, config, is_score, oos_score): mean rank correlations in and out of sample of each model, a list of features, over all
+    combinatorial purged splits."""
+    stage = Stage(rows.sparkSession, "cpcv")
+    inside, kinds = cpcv_sessions(calendar, stage, blocks=blocks, pick=pick, gap=gap)
     features = list(dict.fromkeys(f for some in models.values() for f in some))
     solve = gram.by_sets([[features.index(f) for f in some] for some in models.values()], len(features), 0, penalty)
     weights = stage.write(gram.fold_weights(stage.write(gram.session_grams(rows, features, [], full=True)), inside, solve))
@@ -173,6 +178,16 @@ def cpcv_sweep(rows: DataFrame, calendar: DataFrame, models: dict[str, list[str]
     return ics.groupBy(F.col("fold").alias("combo"), "config").pivot("part", ["is_score", "oos_score"]).agg(F.avg("ic"))
 
 
+def cpcv_boosted(rows: DataFrame, calendar: DataFrame, name: str, features: list[str], options: boost.Options, *, blocks: int = 8, pick: int = 2, gap: int = 5, min_names: int = 20) -> DataFrame:
+    """As cpcv_sweep, of boosted trees under the config `name`: the trees of all splits grow in the same passes."""
+    stage = Stage(rows.sparkSession, "cpcv")
+    inside, kinds = cpcv_sessions(calendar, stage, blocks=blocks, pick=pick, gap=gap)
+    model = boost.fit(rows, inside, features, options=options)
+    scored = boost.predict(rows, model, kinds.select("fold", "idx", "part"), keep=("part",))
+    ic = mean_rank_ic(scored, "fold", "part", min_names=min_names)
+    return ic.groupBy(F.col("fold").alias("combo")).pivot("part", ["is_score", "oos_score"]).agg(F.first("mean_ic")).select("combo", F.lit(name).alias("config"), "is_score", "oos_score")
+
+
 def summary(ics: DataFrame, base: str, label: str = "label", against: tuple[str, ...] = ()) -> DataFrame:
     """Per config: days, mean rank correlation with the label, t, the mean correlation with each feature in `against`, and the excess over the mean of
     the config `base`."""

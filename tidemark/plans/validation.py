@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dsl
 from ..functions.expr import rounded
 from ..functions.temporal import sessions, weekly_grid
-from ..operators import events, features, proposal, risk, validation
+from ..operators import boost, events, features, proposal, risk, validation
 from ..sources import views
 from ..stages import Stage
 from .registry import TABLES, query
@@ -114,9 +114,17 @@ MODELS = {"trend": ["ret_21d", "mom_12_1"], "risk": ["vol_63d", "dist_52w_high"]
 
 @query()
 def cpcv_model_sweep(spark, sf_dir):
-    """In- and out-of-sample rank correlations of four ridge models over all combinatorial splits of the sessions."""
+    """In- and out-of-sample rank correlations of four ridge models and boosted trees over all combinatorial splits of the sessions."""
     rows, cal = design(spark, sf_dir)
-    return validation.cpcv_sweep(rows, cal, MODELS, min_names=10)
+    trees = boost.Options(trees=4, depth=2, bins=32)
+    return validation.cpcv_sweep(rows, cal, MODELS, min_names=10).unionByName(validation.cpcv_boosted(rows, cal, "boosted", _FEATURES, trees, min_names=10))
+
+
+@query()
+def boosted_walk_forward(spark, sf_dir):
+    """Out-of-sample predictions of boosted trees."""
+    rows, cal = design(spark, sf_dir)
+    return boost.walk_forward(rows, cal, validation.walk_forward(cal, **_FOLDS), _FEATURES, options=boost.Options(trees=8, depth=3, bins=32))
 
 
 @query()
