@@ -12,7 +12,7 @@ from ..session import shared_dir
 from ..sources import views
 from ..streaming import jobs
 from .events import event_calendar
-from .registry import query
+from .registry import TABLES, query
 
 
 def _drained(spark, sf_dir, build, mode):
@@ -62,3 +62,25 @@ def stream_heartbeat(spark, sf_dir):
     ship(spark)
     out = _drained(spark, sf_dir, jobs.heartbeat, "update")
     return out.groupBy("user_id").agg(F.max("n").alias("n"), rounded(F.max("longest_gap_s"), 2).alias("longest_gap_s"))
+
+
+TABLES["stream_orders"] = "SELECT event_id AS order_id, ts AS ordered_at, 1 + event_id % 9 AS quantity, value AS price FROM events WHERE event_id % 2 = 0"
+TABLES["stream_fills"] = """SELECT order_id, ordered_at + to_minutes(CAST(order_id * 37 % 180 AS INTEGER)) AS filled_at, quantity AS fill_quantity, price * (1 + (order_id % 11 - 5) / 1000.0) AS fill_price FROM stream_orders WHERE order_id % 10 <> 0"""
+
+
+@query("""SELECT o.order_id, CAST(count(f.order_id) AS BIGINT) AS n_fills, round(coalesce(max(epoch(f.filled_at) - epoch(o.ordered_at)), -1), 2) AS delay_s, round(avg((f.fill_price / o.price - 1) * 1e4), 4) + 0.0 AS slippage_bps
+    FROM stream_orders o LEFT JOIN stream_fills f ON f.order_id = o.order_id AND f.filled_at BETWEEN o.ordered_at AND o.ordered_at + INTERVAL 2 HOURS GROUP BY o.order_id""")
+def stream_order_fills(spark, sf_dir):
+    """Orders and fills, two streams of the events table, joined as they come: fills of more than two hours later do not count. Orders that are open when
+    the streams are drained are told as unfilled."""
+
+    def build(rows):
+        orders = rows.where("event_id % 2 = 0").select(F.col("event_id").alias("order_id"), F.col("ts").alias("ordered_at"), (1 + F.col("event_id") % 9).alias("quantity"), F.col("value").alias("price"))
+        fills = orders.where("order_id % 10 <> 0").select("order_id", (F.col("ordered_at") + F.make_dt_interval(mins=(F.col("order_id") * 37 % 180).cast("int"))).alias("filled_at"), F.col("quantity").alias("fill_quantity"), (F.col("price") * (1 + (F.col("order_id") % 11 - 5) / 1000.0)).alias("fill_price"))
+        return jobs.order_fills(orders, fills)
+
+    told = _drained(spark, sf_dir, build, "append")
+    every = views.read(spark, sf_dir, "events").where("event_id % 2 = 0").select(F.col("event_id").alias("order_id"))
+    delay = F.unix_micros(F.col("filled_at")) / 1e6 - F.unix_micros(F.col("ordered_at")) / 1e6
+    filled = told.where("filled_at is not null").groupBy("order_id").agg(F.count(F.lit(1)).alias("n"), F.max(delay).alias("d"), F.avg((F.col("fill_price") / F.col("price") - 1) * 1e4).alias("s"))
+    return every.join(filled, "order_id", "left").select("order_id", F.coalesce("n", F.lit(0)).alias("n_fills"), rounded(F.coalesce("d", F.lit(-1.0)), 2).alias("delay_s"), rounded("s", 4).alias("slippage_bps"))

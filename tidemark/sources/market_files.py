@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 CUTOVER = date(2024, 7, 1)
 BAR_COLUMNS = ["trade_date", "symbol", "series", "isin", "open", "high", "low", "close", "last", "prev_close", "volume", "traded_value", "trades"]
-_OLD = {"symbol": "SYMBOL", "series": "SERIES", "isin": "ISIN", "open": "OPEN", "high": "HIGH", "low": "LOW", "close": "CLOSE", "last": "LAST", "prev_close": "PREVCLOSE", "volume": "TOTTRDQTY", "traded_value": "TOTTRDVAL", "trades": "TOTALTRADES", "trade_date": "TIMESTAMP"}
-_NEW = {"symbol": "TckrSymb", "series": "SctySrs", "isin": "ISIN", "open": "OpnPric", "high": "HghPric", "low": "LwPric", "close": "ClsPric", "last": "LastPric", "prev_close": "PrvsClsgPric", "volume": "TtlTradgVol", "traded_value": "TtlTrfVal", "trades": "TtlNbOfTxsExctd", "trade_date": "TradDt"}
+OLD_NAMES = {"symbol": "SYMBOL", "series": "SERIES", "isin": "ISIN", "open": "OPEN", "high": "HIGH", "low": "LOW", "close": "CLOSE", "last": "LAST", "prev_close": "PREVCLOSE", "volume": "TOTTRDQTY", "traded_value": "TOTTRDVAL", "trades": "TOTALTRADES", "trade_date": "TIMESTAMP"}
+NEW_NAMES = {"symbol": "TckrSymb", "series": "SctySrs", "isin": "ISIN", "open": "OpnPric", "high": "HghPric", "low": "LwPric", "close": "ClsPric", "last": "LastPric", "prev_close": "PrvsClsgPric", "volume": "TtlTradgVol", "traded_value": "TtlTrfVal", "trades": "TtlNbOfTxsExctd", "trade_date": "TradDt"}
 
 
 class FormatError(ValueError):
@@ -104,12 +104,12 @@ def daily_bars(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Daily equity files of one format: the 13 canonical columns. Columns that old files lack (isin, trades) are null."""
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(paths)
     raw = raw.toDF(*[c.strip().lstrip("﻿") for c in raw.columns])
-    names = _NEW if "TradDt" in raw.columns else _OLD
+    names = NEW_NAMES if "TradDt" in raw.columns else OLD_NAMES
     require(raw, [v for k, v in names.items() if k not in ("isin", "trades")], "daily file")
     have = {k: _text(v) if v in raw.columns else F.lit(None).cast("string") for k, v in names.items()}
     numbers = {k: F.expr(f"try_cast({'`' + k + '`'} as {'bigint' if k in ('volume', 'trades') else 'double'})") for k in BAR_COLUMNS[4:]}
     # four-digit years are tried first: their pattern refuses two digits
-    day = F.try_to_date(F.col("trade_date"), "yyyy-MM-dd") if names is _NEW else lenient_date(F.col("trade_date"), "d-MMM-yyyy", "d-MMM-yy")
+    day = F.try_to_date(F.col("trade_date"), "yyyy-MM-dd") if names is NEW_NAMES else lenient_date(F.col("trade_date"), "d-MMM-yyyy", "d-MMM-yy")
     typed = raw.select(*[c.alias(k) for k, c in have.items()], F.input_file_name().alias("_file")).withColumns(numbers).withColumn("trade_date", day)
     wrong = F.coalesce(F.col("trade_date") != date_of(F.col("_file")), F.col("trade_date").isNull())
     checked = F.when(wrong, F.raise_error(F.concat(F.lit("rows are not dated as their file: "), "_file")).cast("date")).otherwise(F.col("trade_date"))

@@ -62,6 +62,18 @@ def heartbeat(rows: DataFrame, *, key: str = "user_id", time: str = "ts") -> Dat
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, longest_gap_s double", "n long, last double, longest double", "update", GroupStateTimeout.NoTimeout)
 
 
+def order_fills(orders: DataFrame, fills: DataFrame, *, within: str = "2 hours", late: str = "1 hour") -> DataFrame:
+    """Each order with its fills of at most `within` after it: (order_id, ordered_at, quantity, price, filled_at, fill_quantity, fill_price), fills null for
+    an order that none came for in time.
+
+    orders: order_id, ordered_at, quantity, price; fills: order_id, filled_at, fill_quantity, fill_price. Both are watermarked by `late`: a fill that
+    arrives later than that is not taken, and state is kept for within + late only. An unfilled order is told once no fill can come any more."""
+    o = orders.withWatermark("ordered_at", late)
+    f = fills.select(F.col("order_id").alias("_of"), "filled_at", "fill_quantity", "fill_price").withWatermark("filled_at", late)
+    near = (F.col("order_id") == F.col("_of")) & (F.col("filled_at") >= F.col("ordered_at")) & (F.col("filled_at") <= F.col("ordered_at") + F.expr(f"INTERVAL {within}"))
+    return o.join(f, near, "left_outer").drop("_of")
+
+
 def drain(stream: DataFrame, out: str, checkpoint: str, *, mode: str = "append") -> None:
     """Runs the stream over what is there and stops; the sink is a folder of Parquet files, batch by batch."""
     def save(batch: DataFrame, number: int) -> None:
