@@ -406,7 +406,7 @@ def test_oracles(spark):
     from tidemark.llm.queries import ORACLE_SQL, QUERIES
 
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("embeddings", "pages"):
+    for t in ("embeddings", "pages", "documents", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, text in ORACLE_SQL.items():
         df = QUERIES[name](spark, sf)
