@@ -101,9 +101,10 @@ def benchmark_returns(indices: DataFrame, aliases: list[str], start: date) -> Da
     return level.select("trade_date", (safe_div("close", F.lag("close").over(Window.orderBy("trade_date"))) - 1).alias("net_return")).where("net_return is not null")  # one row a session
 
 
-def long_flat(preds: DataFrame, *, buy: float, sell: float) -> DataFrame:
-    """Costed long/flat returns of a single name: (trade_date, pred, target) -> position, net. Costs fall on each change of position."""
-    by = Window.orderBy("trade_date")  # one row a session of one name
+def long_flat(preds: DataFrame, *, buy: float, sell: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Costed long/flat returns of single names: (keys, trade_date, pred, target) -> position, net. Costs fall on each change of position. Without keys
+    there is one name, with one row a session."""
+    by = Window.partitionBy(*keys).orderBy("trade_date")
     pos = F.when(F.col("pred") > 0, 1.0).otherwise(0.0)
     p = preds.withColumn("position", pos).withColumn("before", F.coalesce(F.lag("position").over(by), F.lit(0.0)))
     cost = F.when(F.col("position") > F.col("before"), buy).when(F.col("position") < F.col("before"), sell).otherwise(0.0)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dsl
-from ..functions.expr import rolling, rounded, zscore
+from ..functions.expr import by_symbol, rolling, rounded, zscore
 from ..functions.temporal import sessions
 from ..operators import backtest, books, emd, engine, portfolio, risk, sliding, universe, wavelet
 from ..sources import views
@@ -188,11 +188,12 @@ def sliding_order_statistics(spark, sf_dir):
     return sliding.slide(views.bars(spark, sf_dir).select("symbol", "trade_date", "close"), k).select("symbol", "trade_date", *[rounded(F.log(n)).alias(f"log_{n}") if n.endswith("252") else rounded(n, 8).alias(n) for n in k])
 
 
-@query("""WITH p AS (SELECT trade_date, lag(ret) OVER w AS pred, ret * 0.01 AS target FROM rets WHERE symbol = 1 WINDOW w AS (ORDER BY trade_date)), q AS (SELECT *, CASE WHEN pred > 0 THEN 1.0 ELSE 0.0 END AS pos FROM p WHERE target IS NOT NULL)
-    SELECT trade_date, pos::DOUBLE AS position, round(pos * target - CASE WHEN pos > b THEN 0.0012 WHEN pos < b THEN 0.001 ELSE 0 END, 8) + 0.0 AS net FROM (SELECT *, coalesce(lag(pos) OVER (ORDER BY trade_date), 0) AS b FROM q)""")
+@query("""WITH p AS (SELECT symbol, trade_date, lag(ret) OVER w AS pred, ret * 0.01 AS target FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)), q AS (SELECT *, CASE WHEN pred > 0 THEN 1.0 ELSE 0.0 END AS pos FROM p WHERE target IS NOT NULL)
+    SELECT symbol, trade_date, pos::DOUBLE AS position, round(pos * target - CASE WHEN pos > b THEN 0.0012 WHEN pos < b THEN 0.001 ELSE 0 END, 8) + 0.0 AS net FROM (SELECT *, coalesce(lag(pos) OVER (PARTITION BY symbol ORDER BY trade_date), 0) AS b FROM q)""")
 def long_flat_single_name(spark, sf_dir):
-    p = views.returns(views.bars(spark, sf_dir)).where("symbol = 1").select("trade_date", F.lag("ret").over(Window.orderBy("trade_date")).alias("pred"), (F.col("ret") * 0.01).alias("target")).where("target is not null")
-    return backtest.long_flat(p, buy=0.0012, sell=0.001).select("trade_date", "position", rounded("net", 8).alias("net"))
+    """Long or flat by the sign of the last return, each name by itself."""
+    p = views.returns(views.bars(spark, sf_dir)).select("symbol", "trade_date", F.lag("ret").over(by_symbol()).alias("pred"), (F.col("ret") * 0.01).alias("target")).where("target is not null")
+    return backtest.long_flat(p, buy=0.0012, sell=0.001, keys=("symbol",)).select("symbol", "trade_date", "position", rounded("net", 8).alias("net"))
 
 
 ARMS = {"quarter": 0.25, "half": 0.5, "full": 1.0}
