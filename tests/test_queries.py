@@ -42,7 +42,7 @@ def test_oracle(spark, name):
 #: Columns that must hold values in the queries that SQL does not express; other tests compare their operators with brute force.
 FILLED = {
     "approx_distinct_parts": ["parts"], "boosted_walk_forward": [], "ceemdan_denoise": ["denoised"], "construction_study": [], "emd_denoise": ["denoised"], "car_bootstrap": ["mean_car", "p_value"], "causal_denoise": ["denoised"], "construct_books": ["weight"], "cpcv_model_pbo": [], "cpcv_model_sweep": [], "increment_test": [], "lag_ridge_single_names": ["pred"],
-    "linucb_policy": ["arm", "reward"], "ridge_fold_ic": [], "ridge_walk_forward": ["pred"], "screen_increment": ["status"], "spa_bootstrap": ["rc_p", "spa_p"], "thompson_memory": ["draw"],
+    "learner_ensemble": [], "linucb_policy": ["arm", "reward"], "ridge_fold_ic": [], "ridge_walk_forward": ["pred"], "screen_increment": ["status"], "sequence_walk_forward": ["pred"], "spa_bootstrap": ["rc_p", "spa_p"], "thompson_memory": ["draw"],
 }
 
 

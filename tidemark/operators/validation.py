@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import safe_div
 from ..stages import Stage
 from ..workers import ship
-from . import boost, gram
+from . import boost, gram, network
 
 
 def walk_forward(calendar: DataFrame, *, test: int = 63, min_train: int = 756, horizon: int = 5, embargo: int = 21) -> DataFrame:
@@ -178,12 +179,12 @@ def cpcv_sweep(rows: DataFrame, calendar: DataFrame, models: dict[str, list[str]
     return ics.groupBy(F.col("fold").alias("combo"), "config").pivot("part", ["is_score", "oos_score"]).agg(F.avg("ic"))
 
 
-def cpcv_boosted(rows: DataFrame, calendar: DataFrame, name: str, features: list[str], options: boost.Options, *, blocks: int = 8, pick: int = 2, gap: int = 5, min_names: int = 20) -> DataFrame:
-    """As cpcv_sweep, of boosted trees under the config `name`: the trees of all splits grow in the same passes."""
+def cpcv_learner(rows: DataFrame, calendar: DataFrame, name: str, features: list[str], learner: ModuleType, options: boost.Options | network.Options, *, blocks: int = 8, pick: int = 2, gap: int = 5, min_names: int = 20) -> DataFrame:
+    """As cpcv_sweep, of a learner (the module boost or network) under the config `name`: the models of all splits grow in the same passes."""
     stage = Stage(rows.sparkSession, "cpcv")
     inside, kinds = cpcv_sessions(calendar, stage, blocks=blocks, pick=pick, gap=gap)
-    model = boost.fit(rows, inside, features, options=options)
-    scored = boost.predict(rows, model, kinds.select("fold", "idx", "part"), keep=("part",))
+    model = learner.fit(rows, inside, features, options=options)
+    scored = learner.predict(rows, model, kinds.select("fold", "idx", "part"), keep=("part",))
     ic = mean_rank_ic(scored, "fold", "part", min_names=min_names)
     return ic.groupBy(F.col("fold").alias("combo")).pivot("part", ["is_score", "oos_score"]).agg(F.first("mean_ic")).select("combo", F.lit(name).alias("config"), "is_score", "oos_score")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dsl
 from ..functions.expr import rounded
 from ..functions.temporal import sessions, weekly_grid
-from ..operators import boost, events, features, proposal, risk, validation
+from ..operators import boost, events, features, network, proposal, risk, validation
 from ..sources import views
 from ..stages import Stage
 from .registry import TABLES, query
@@ -114,10 +114,12 @@ MODELS = {"trend": ["ret_21d", "mom_12_1"], "risk": ["vol_63d", "dist_52w_high"]
 
 @query()
 def cpcv_model_sweep(spark, sf_dir):
-    """In- and out-of-sample rank correlations of four ridge models and boosted trees over all combinatorial splits of the sessions."""
+    """In- and out-of-sample rank correlations of four ridge models, boosted trees and a network over all combinatorial splits of the sessions."""
     rows, cal = design(spark, sf_dir)
-    trees = boost.Options(trees=4, depth=2, bins=32)
-    return validation.cpcv_sweep(rows, cal, MODELS, min_names=10).unionByName(validation.cpcv_boosted(rows, cal, "boosted", _FEATURES, trees, min_names=10))
+    sweep = validation.cpcv_sweep(rows, cal, MODELS, min_names=10)
+    for name, learner, options in (("boosted", boost, boost.Options(trees=4, depth=2, bins=32)), ("network", network, network.Options(hidden=8, epochs=8, rate=0.02))):
+        sweep = sweep.unionByName(validation.cpcv_learner(rows, cal, name, _FEATURES, learner, options, min_names=10))
+    return sweep
 
 
 @query()
@@ -127,6 +129,33 @@ def boosted_walk_forward(spark, sf_dir):
     return boost.walk_forward(rows, cal, validation.walk_forward(cal, **_FOLDS), _FEATURES, options=boost.Options(trees=8, depth=3, bins=32))
 
 
+@query()
+def learner_ensemble(spark, sf_dir):
+    """Rank correlations of the walk-forward predictions of ridge, boosted trees and a network, and of their mean."""
+    rows, cal = design(spark, sf_dir)
+    folds = validation.walk_forward(cal, **_FOLDS)
+    learners = {
+        "ridge": validation.ridge_walk_forward(rows, cal, folds, _FEATURES),
+        "boosted": boost.walk_forward(rows, cal, folds, _FEATURES, options=boost.Options(trees=8, depth=3, bins=32)),
+        "network": network.walk_forward(rows, cal, folds, _FEATURES, options=network.Options(hidden=8, epochs=20, rate=0.02)),
+    }
+    return validation.mean_rank_ic(network.ensemble(learners), "learner", min_names=10)
+
+
+@query()
+def sequence_walk_forward(spark, sf_dir):
+    """Walk-forward predictions of all names' next returns by recurrent networks over the last five, by kind of cell."""
+    stage = Stage(spark, "sequences")
+    b = stage.write(views.bars(spark, sf_dir))
+    cal = stage.write(sessions(b))
+    lags = validation.lagged(views.returns(b).where("ret is not null").select("symbol", "trade_date", (F.col("ret") * 0.01).alias("ret")), 5)
+    rows = stage.write(lags.drop("idx").join(cal, "trade_date"))
+    folds = validation.walk_forward(cal, test=504, min_train=1000)
+    names = [f"lag_{k}" for k in reversed(range(5))]  # oldest first
+    kinds = {k: network.walk_forward(rows, cal, folds, names, options=network.Options(k, hidden=8, epochs=8, rate=0.02)) for k in ("gru", "lstm")}
+    return network.ensemble(kinds)
+
+
 @query()
 def cpcv_model_pbo(spark, sf_dir):
     """The probability of overfitting of choosing among the models of the sweep."""
