@@ -309,6 +309,18 @@ def test_features_are_character_ngrams_by_tfidf():
     assert np.linalg.norm(x) == pytest.approx(1) and np.allclose(x / x[0], (1 + np.log(n)) * idf[at] / ((1 + np.log(n[0])) * idf[at[0]]))
 
 
+def test_rare_languages_keep_a_floor_of_the_sample(spark):
+    """Of 4,000 rows 12 are of a rare language; an even share of 100 rows would hold a third of one."""
+    common = [(i, f"the quick river number{i} runs along the green hills", "en") for i in range(3988)]
+    rare = [(5000 + i, f"zażółć gęślą jaźń żółw{i} źdźbło trawy", "pl") for i in range(12)]
+    docs = spark.createDataFrame(common + rare, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True), max_fit=100)
+    assert model.languages == ["en", "pl"]
+    assert model.predict("gęś żółta jaźń źdźbło")[0] == "pl" and model.predict("the green river runs")[0] == "en"
+    many = spark.createDataFrame([(i, f"words of {i}", f"l{i}") for i in range(300)], "doc_id long, text string, lang string")
+    assert 0 < len(langid.train(many, F.lit(True), max_fit=100).languages) <= 100
+
+
 def test_language_id_without_labels_or_rows(spark):
     df = language_docs(spark)
     nothing = langid.train(df.withColumn("lang", F.lit(None).cast("string")), F.lit(True))

@@ -22,6 +22,8 @@ from .common import Stage, ship, slices, table, without
 
 BITS = 16
 MAX_FIT = 6000
+#: How many different texts of a language the sample holds about, where an even share would hold fewer; a tenth of the sample goes to all such floors.
+FLOOR = 50
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 2e-4, 1e-4
 UNKNOWN = "und"
@@ -114,13 +116,16 @@ class Model:
 
 
 def train(docs: DataFrame, learnable: Column, *, text: str = "text", lang: str = "lang", max_fit: int = MAX_FIT) -> Model:
-    """Learns from the text and language of the learnable documents. max_fit bounds the sample that the weights are fitted on."""
+    """Learns from the text and language of the learnable documents. max_fit bounds the sample that the weights are fitted on: an even share of the rows, and of
+    rare languages some FLOOR texts, all if they have fewer. With more than max_fit / 10 languages there are no floors."""
     spark = docs.sparkSession
     ship(spark)
     stage = Stage(spark, "langid")
     known = docs.where(learnable & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    size = known.count()
+    by_lang = stage.write(known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64("text")).alias("texts")))
+    size, n_langs = by_lang.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
     share = min(1.0, max_fit * 0.9 / max(size, 1))
+    floor = min(FLOOR, int(max_fit * 0.1 / max(n_langs, 1)))
 
     def document_frequencies(batches):
         total, docs_seen = np.zeros(1 << BITS, np.int64), 0
@@ -146,7 +151,9 @@ def train(docs: DataFrame, learnable: Column, *, text: str = "text", lang: str =
             rows = [r for r in rows if len(r[0])]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.string())], ["at", "n", "lang"])
 
-    picked = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(share * 1_000_000)).dropDuplicates(["text", "lang"]).limit(max_fit)  # a group of copies counts once
+    own = by_lang.where(F.col("texts") * share < floor).select("lang", (F.lit(float(floor)) / F.col("texts")).alias("own_share"))  # at most max_fit / 10 rows, or none
+    drawn = F.pmod(F.xxhash64("text"), F.lit(10**12)) < F.coalesce("own_share", F.lit(share)) * 10**12
+    picked = known.join(F.broadcast(own), "lang", "left").where(drawn).select("text", "lang").dropDuplicates().limit(max_fit)  # a group of copies counts once
     sample = stage.write(picked.mapInArrow(featurize, "at array<long>, n array<long>, lang string"))
     languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
     if not languages:
@@ -165,7 +172,7 @@ def train(docs: DataFrame, learnable: Column, *, text: str = "text", lang: str =
             yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()]), pa.array([bias.astype("<f8").tobytes()]), pa.array([t])], ["w", "bias", "t"])
 
     r = sample.coalesce(1).mapInArrow(fitted, "w binary, bias binary, t double").first()
-    stage.drop(sample)
+    stage.drop(sample, by_lang)
     return Model(languages, idf, np.frombuffer(r["w"], "<f4").reshape(1 << BITS, -1).astype(np.float64), np.frombuffer(r["bias"], "<f8"), r["t"])
 
 
