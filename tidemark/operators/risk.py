@@ -56,9 +56,10 @@ def rolling_sharpe(daily: DataFrame, window: int = 252) -> DataFrame:
     return daily.select("trade_date", s.alias("sharpe")).where("sharpe is not null")
 
 
-def drawdown_state(daily: DataFrame, half: float = -0.10, flat: float = -0.15) -> DataFrame:
-    """equity, peak, drawdown and the action that its rails call for."""
-    c = daily.withColumn("equity", F.product(1 + F.col("r")).over(so_far())).withColumn("peak", F.max("equity").over(so_far())).withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
+def drawdown_state(daily: DataFrame, half: float = -0.10, flat: float = -0.15, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """equity, peak, drawdown and the action that its rails call for; with keys `by`, of each key's own series."""
+    past = Window.partitionBy(*by).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0) if by else so_far()
+    c = daily.withColumn("equity", F.product(1 + F.col("r")).over(past)).withColumn("peak", F.max("equity").over(past)).withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
     return c.withColumn("state", F.when(F.col("drawdown") <= flat, "flat").when(F.col("drawdown") <= half, "half_gross").otherwise("normal"))
 
 

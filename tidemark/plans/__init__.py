@@ -1,3 +1,3 @@
 """Registered queries, with DuckDB SQL where it can express them."""
 
-from . import actions, backtests, events, extras, factors, kernels, live, panel, risk, streams, validation  # noqa: F401
+from . import actions, backtests, events, extras, factors, kernels, live, panel, risk, safety, streams, validation  # noqa: F401

@@ -9,6 +9,7 @@ from ..functions.expr import rounded
 from ..functions.temporal import fiscal_year, knowable_dates, sessions
 from ..operators import events, universe, valence
 from ..sources import views
+from ..stages import Stage
 from .panel import SCALED
 from .registry import TABLES, query
 
@@ -43,8 +44,8 @@ def _known(spark, sf_dir):
     return knowable_dates(events.classify(views.announcements(spark, sf_dir)), event_calendar(spark, sf_dir))
 
 
-def _abnormal(spark, sf_dir):
-    r = views.returns(views.bars(spark, sf_dir))
+def _abnormal(spark, sf_dir, bars=None):
+    r = views.returns(views.bars(spark, sf_dir) if bars is None else bars)
     return events.market_model(r, views.market(r))
 
 
@@ -119,11 +120,11 @@ _FEATURES = """WITH ev AS (SELECT symbol, knowable_date, category, direction, ma
 def event_features_full(spark, sf_dir):
     from ..functions.temporal import weekly_grid
 
-    b = views.bars(spark, sf_dir)
+    b = Stage(spark, "events").write(views.bars(spark, sf_dir))  # read for the grid, the calendar, the market and the names
     grid = b.select("symbol", "trade_date").join(weekly_grid(sessions(b)), "trade_date", "left_semi")
     e = study_events(spark, sf_dir)
     m = e.where("category = 'earnings_result'").select("symbol", F.date_add("knowable_date", 14).alias("meeting_date"), F.col("knowable_date").alias("known_date")).distinct()
-    f = events.event_features(grid, e, m, _abnormal(spark, sf_dir))
+    f = events.event_features(grid, e, m, _abnormal(spark, sf_dir, b))
     logs = ("days_since_event", "days_since_earnings", "last_event_ar", "days_to_board_meeting")
     return f.select(*[rounded(c).alias(c) if c in logs else F.col(c) for c in f.columns])
 
