@@ -125,3 +125,20 @@ def test_late_and_missing_fills(spark, tmp_path):
     told += feed(4, [order(7, 900)], [fill(4, 20), fill(7, 905)])  # order 4's fill is hours late
     told += feed(5, [order(8, 1500)], [fill(8, 1500)])
     assert sorted(told) == [(3, None, None), (4, None, None), (5, None, None), (6, 601, 10), (7, 905, 10), (8, 1500, 10)]
+
+
+def test_fills_of_orders_at_price_zero(spark, tmp_path):
+    """An order at price 0 has no finite slippage: the query goes on and tells what its SQL tells."""
+    import math
+
+    import duckdb
+    from tidemark.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.sql(f"""COPY (SELECT k AS event_id, TIMESTAMP '2024-01-01 10:00:00' + to_minutes(CAST(k AS INTEGER)) AS ts, k % 5 AS user_id, 'view' AS event_type, CASE k WHEN 2 THEN 0.0 WHEN 6 THEN NULL ELSE 10.0 + k END::DOUBLE AS value, '' AS props
+        FROM range(40) r(k)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    told = lambda rows: sorted(tuple("nan" if isinstance(v, float) and math.isnan(v) else v for v in r) for r in rows)
+    got = told(QUERIES["stream_order_fills"](spark, str(tmp_path)).select("order_id", "n_fills", "delay_s", "slippage_bps").collect())
+    assert got == told(con.sql(ORACLE_SQL["stream_order_fills"]).fetchall())
+    assert [r[3] for r in got if r[0] == 2] == ["nan"]

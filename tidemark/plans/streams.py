@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import rounded
+from ..functions.expr import rounded, safe_div
 from ..functions.temporal import next_session_of
 from ..session import shared_dir
 from ..sources import views
@@ -82,5 +82,6 @@ def stream_order_fills(spark, sf_dir):
     told = _drained(spark, sf_dir, build, "append")
     every = views.read(spark, sf_dir, "events").where("event_id % 2 = 0").select(F.col("event_id").alias("order_id"))
     delay = F.unix_micros(F.col("filled_at")) / 1e6 - F.unix_micros(F.col("ordered_at")) / 1e6
-    filled = told.where("filled_at is not null").groupBy("order_id").agg(F.count(F.lit(1)).alias("n"), F.max(delay).alias("d"), F.avg((F.col("fill_price") / F.col("price") - 1) * 1e4).alias("s"))
+    ratio = F.coalesce(safe_div("fill_price", "price"), F.col("fill_price") * float("inf"))  # as in SQL, NaN for an order at price 0 that fills at 0
+    filled = told.where("filled_at is not null").groupBy("order_id").agg(F.count(F.lit(1)).alias("n"), F.max(delay).alias("d"), F.avg((ratio - 1) * 1e4).alias("s"))
     return every.join(filled, "order_id", "left").select("order_id", F.coalesce("n", F.lit(0)).alias("n_fills"), rounded(F.coalesce("d", F.lit(-1.0)), 2).alias("delay_s"), rounded("s", 4).alias("slippage_bps"))
