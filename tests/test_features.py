@@ -60,6 +60,17 @@ def test_universe_ranks_only_eligible_names(spark):
     assert u.where("trade_date < date'2020-01-03' and in_universe").count() == 0
 
 
+def test_equal_trades_in_another_order_make_equal_bars(spark, tmp_path):
+    """Names with the same trades tie in the universe's ranks, whatever order their rows come in."""
+    from tidemark.sources import views
+
+    rows = [(k, 1, s, k, 1.0, p, D0) for s, prices in ((1, (0.1, 0.2, 0.3)), (2, (0.3, 0.2, 0.1)), (3, (float("inf"), 1.0)), (4, (1e300, 1.0))) for k, p in enumerate(prices)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate date"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.symbol: r.traded_value for r in views.bars(spark, str(tmp_path)).collect()}
+    assert got[1] == got[2] == 0.6 and got[3] == float("inf") and got[4] == 1e300
+
+
 def test_weekly_grid_with_holiday(spark):
     days = [date(2024, 1, d) for d in (1, 2, 4, 5, 8, 9, 10, 11, 12)]
     cal = sessions(spark.createDataFrame([(d,) for d in days], "trade_date date"))
