@@ -151,3 +151,38 @@ def test_decompositions_by_name(spark):
     assert ensemble[1] == approx(x - np.mean(modes, 0)) and len(ensemble[2]) == 3
     causal = by_name(emd.causal_emd(df, "close", window=30), "denoised")
     assert causal[1] == [None] * 29 + approx([emd.without_first_mode(x[i - 29 : i + 1])[-1] for i in range(29, 90)])
+
+
+def test_event_windows_slide_and_agree_with_brute_force(spark):
+    """Means before, sums after and the next meeting are one step a row: no window expression builds a frame anew for each row."""
+    import re
+
+    from tidemark.operators import events
+
+    rng = np.random.default_rng(3)
+    days = [date(2020, 1, 1) + timedelta(i) for i in range(200)]
+    ret = {s: rng.normal(0, 1, len(days)) for s in ("A", "B")}
+    mret = rng.normal(0, 1, len(days))
+    panel = spark.createDataFrame([(s, d, float(r)) for s, x in ret.items() for d, r in zip(days, x, strict=True)], "symbol string, trade_date date, ret double")
+    market = spark.createDataFrame([(d, float(m)) for d, m in zip(days, mret, strict=True)], "trade_date date, mret double")
+    ab = events.market_model(panel, market)
+    ev = spark.createDataFrame([(s, d) for s in ret for d in days], "symbol string, knowable_date date")
+    cars = events.car(ab, ev, [(0, 1), (2, 20)], ())
+    grid = panel.select("symbol", "trade_date")
+    told = ev.selectExpr("symbol", "knowable_date", "'pledge' as category", "-1 as direction", "1 as materiality")
+    made = events.event_features(grid, told, ev.selectExpr("symbol", "knowable_date as meeting_date", "knowable_date as known_date"), ab)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (ab, cars, made)]
+    assert not [f for p in plans for f in re.findall(r"specifiedwindowframe\(RowFrame, [^)]*\)", p) if "unboundedpreceding$()" not in f]
+    got = {(r.symbol, r.trade_date): r.ar for r in ab.collect()}
+    want = {}
+    for s, x in ret.items():
+        for i in range(60, len(days)):
+            y, m = x[max(0, i - 120) : i], mret[max(0, i - 120) : i]
+            beta = (np.mean(y * m) - y.mean() * m.mean()) / (np.mean(m * m) - m.mean() ** 2 + 1e-12)
+            want[s, days[i]] = x[i] - (y.mean() - beta * m.mean()) - beta * mret[i]
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    for r in cars.collect():
+        lo, hi = (0, 1) if r.window == "[0,1]" else (2, 20)
+        at = days.index(r.knowable_date)
+        assert abs(r.car - sum(want[r.symbol, d] for d in days[at + lo : at + hi + 1])) < 1e-9
+    assert cars.count() == 2 * (139 + 120)
