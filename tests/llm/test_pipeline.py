@@ -74,6 +74,23 @@ def test_groups_equal_brute_force(spark, docs, monkeypatch, block):
     assert sorted(min(g) for g in got.values()) == sorted(brute_groups(texts).values())
 
 
+def test_near_duplicates_go_through_the_pigeonring_search(spark, docs):
+    """Fingerprints of at most four differing bits are candidates without any band, and links once their sets reach the similarity."""
+    texts = family(np.random.default_rng(1), 40, 4) + ["one two three", "three two one"]
+    stage, prints = Stage(spark, "test"), [slow_fingerprint(t, p.WORDS) for t in texts]
+    signed = stage.write(jaccard.signatures(docs(*texts), words=p.WORDS, keys=lambda grams: [], fingerprints=True))
+    node = {r.doc_id: bytes(r.node) for r in signed.collect()}
+    found = simhash.candidates(signed.select("node", "fp"), stage)
+    number = {n: d for d, n in node.items()}
+    edges = [(number[bytes(r.a)], number[bytes(r.b)]) for r in found.collect()]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    assert near and roots(range(len(texts)), edges) == roots(range(len(texts)), near)
+    sets = [set(jaccard.shingles(t, p.WORDS).tolist()) for t in texts]
+    nodes = signed.select("node", F.struct("doc_id", "text_md5").alias("row"), "size", "keys")
+    got = jaccard.links(nodes, docs(*texts), stage, words=p.WORDS, percent=p.SIMILAR, found=found).collect()
+    assert {(bytes(r.a), bytes(r.b)) for r in got} == {tuple(sorted((node[i], node[j]))) for i, j in edges if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])} != set()
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert p.run(spark, str(tmp_path)).count() == 0

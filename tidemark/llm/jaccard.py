@@ -1,13 +1,14 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: candidates by MinHash bands, verified exactly.
+"""Near-duplicates by the Jaccard similarity of word shingles: candidates by SimHash and by MinHash bands, verified exactly.
 
-This is the mode of the SimHash operator for a given similarity: at 0.8 the fingerprints of two texts differ in some ten of 64 bits, too many
-for keys, so a second sketch finds the candidates. Texts are cut into shingles as in simhash; a text's set is the set of its shingles'
-64-bit hashes, and texts of equal sets are one node, named by a 128-bit digest of the set. Candidates agree in all ROWS values of one of
-BANDS bands of MinHash values: a pair of similarity s is missed with probability (1 - s^3)^20, 6e-7 at 0.8 and less above. Every
-edge is verified on whole sets, so that no pair below the threshold is linked.
+This is the mode of the SimHash operator for a given similarity. Texts are cut into shingles as in simhash; a text's set is the set of its
+shingles' 64-bit hashes, and texts of equal sets are one node, named by a 128-bit digest of the set. The first candidates are what the
+operator's pigeonring search links, fingerprints of at most DISTANCE differing bits. At 0.8 fingerprints differ in some ten of 64 bits, too many
+for its keys, so further candidates complete the search: nodes that agree in all ROWS values of one of BANDS bands of MinHash values. A
+pair of similarity s is missed by the bands alone with probability (1 - s^3)^20, 6e-7 at 0.8 and less above. Every edge of either is
+verified on whole sets, so that no pair below the threshold is linked.
 
-First each node is compared with one representative, the least node of its buckets, which is linear work and joins what large groups of
-near copies hold. Only buckets that still hold several parts are then searched pair by pair, but for pairs of one part; buckets
+First the pairs of the SimHash search are verified, and each node is compared with one representative, the least node of its buckets, which is
+linear work and joins what large groups of near copies hold. Only buckets that still hold several parts are then searched pair by pair, but for pairs of one part; buckets
 over BLOCK nodes or BLOCK_BYTES of sets are cut into pairs of blocks that other tasks take, so a task holds two blocks however long texts are.
 Bucket keys and nodes that hold very many rows are dealt over many tasks wherever their rows are joined.
 
@@ -23,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
+from . import simhash
 from .common import Stage, hot_keys, ship, slices, split_join
-from .simhash import _LOWER, components
+from .simhash import components
 
 ROWS = 3
 BANDS = 20
@@ -36,14 +38,7 @@ _B = np.array([xxh64_intdigest(b"b%d" % i) & 0xFFFFFFFF for i in range(BANDS * R
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The sorted distinct hashes of the text's shingles."""
-    tokens = (text or "").encode().translate(_LOWER).split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(tokens)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(tokens) - words + 1)
-    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n))
+    return np.unique(simhash.shingle_hashes(text, words))
 
 
 def bands(grams: np.ndarray) -> list[int]:
@@ -67,18 +62,22 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (small + large - both)
 
 
-def signatures(docs: DataFrame, *, words: int, id_col: str = "doc_id", text_col: str = "text", keys=bands) -> DataFrame:
-    """(id, text_md5, node, size, keys) of every row. keys: the bucket keys of a set, signed longs."""
+def signatures(docs: DataFrame, *, words: int, id_col: str = "doc_id", text_col: str = "text", keys=bands, fingerprints: bool = False) -> DataFrame:
+    """(id, text_md5, node, size, keys) of every row. keys: the bucket keys of a set, signed longs; fingerprints: with the SimHash fingerprint as fp."""
 
     def run(batches):
         for b in slices(batches):
-            sets = [shingles(t, words) for t in b.column(2).to_pylist()]
+            hashes = [simhash.shingle_hashes(t, words) for t in b.column(2).to_pylist()]
+            sets = [np.unique(h) for h in hashes]
             node, size = pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(map(len, sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, size, pa.array(map(keys, sets), pa.list_(pa.int64()))], [id_col, "text_md5", "node", "size", "keys"])
+            out = [b.column(0), b.column(1), node, size, pa.array(map(keys, sets), pa.list_(pa.int64()))]
+            if fingerprints:
+                out.append(pa.array(np.fromiter(map(simhash.majority, hashes), np.uint64, len(hashes)).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(out, [id_col, "text_md5", "node", "size", "keys", "fp"][: len(out)])
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.md5(text_col).alias("text_md5"), text_col).mapInArrow(run, f"{id_col} {kind}, text_md5 string, node binary, size long, keys array<long>")
+    return docs.select(id_col, F.md5(text_col).alias("text_md5"), text_col).mapInArrow(run, f"{id_col} {kind}, text_md5 string, node binary, size long, keys array<long>{', fp long' if fingerprints else ''}")
 
 
 def _forest(left: list, right: list | None, percent: int) -> list[tuple[bytes, bytes]]:
@@ -112,14 +111,16 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "grams", "other").mapInArrow(run, "a binary, b binary")
 
 
-def links(nodes: DataFrame, docs: DataFrame, stage: Stage, *, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b): verified edges that connect whatever candidates reach the similarity. nodes: (node, row, size, keys), with one row of each node."""
+def links(nodes: DataFrame, docs: DataFrame, stage: Stage, *, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
+    """(a, b): verified edges that connect whatever candidates reach the similarity. nodes: (node, row, size, keys), with one row of each node; found:
+    further candidates (a, b), the lesser first."""
     keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
     sizes = stage.write(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("node").alias("rep")).where("n > 1"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(8 * F.col("bytes") / BLOCK_BYTES)).cast("int")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     rows = stage.write(split_join(keyed.drop("size"), sizes.select("key", "rep", blocks.alias("blocks")), "key", hot_keys(sizes, "key", total), "node"))
-    wanted = stage.write(nodes.select("node", "row").join(rows.select("node").distinct(), "node"))
+    met = rows.select("node") if found is None else rows.select("node").unionByName(found.select(F.explode(F.array("a", "b")).alias("node")))
+    wanted = stage.write(nodes.select("node", "row").join(met.distinct(), "node"))
     texts = docs.select(F.struct(id_col, F.md5(text_col).alias("text_md5")).alias("row"), text_col).join(wanted, "row").select("node", text_col)
 
     def cut(batches):
@@ -128,12 +129,13 @@ def links(nodes: DataFrame, docs: DataFrame, stage: Stage, *, words: int, percen
 
     sets = stage.write(texts.mapInArrow(cut, "node binary, grams binary").dropDuplicates(["node"]))
 
-    stars = stage.write(rows.where("node <> rep").groupBy("node").agg(F.min("rep").alias("rep")))
-    hot = hot_keys(stars.groupBy("rep").agg(F.count(F.lit(1)).alias("n")), "rep", stars.count())
-    pairs = split_join(stars.join(sets, "node"), sets.select(F.col("node").alias("rep"), F.col("grams").alias("other")), "rep", hot, "node")
+    stars = rows.where("node <> rep").groupBy("node").agg(F.min("rep").alias("rep"))
+    stars = stage.write(stars if found is None else stars.unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("rep"))).distinct())
+    hot, often = (hot_keys(stars.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c, stars.count()) for c in ("rep", "node"))
+    pairs = split_join(split_join(stars, sets, "node", often, "rep"), sets.select(F.col("node").alias("rep"), F.col("grams").alias("other")), "rep", hot, "node")
     first = stage.write(_verified(pairs.select(F.col("rep").alias("a"), F.col("node").alias("b"), "grams", "other"), percent))
     # each node's representative, or that one's own, names its part: nodes of one part are linked, be it that some parts are linked as well
-    up = first.select(F.col("b").alias("node"), F.col("a").alias("rep"))
+    up = first.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("rep"))
     parts = split_join(up, up.select(F.col("node").alias("rep"), F.col("rep").alias("top")), "rep", hot, "node", "left").select("node", F.coalesce("top", "rep").alias("part"))
     members = stage.write(rows.join(parts, "node", "left").select("key", "node", "blocks", F.coalesce("part", "node").alias("part")))
     open_ = members.groupBy("key").agg((F.min("part") != F.max("part")).alias("open")).where("open").select("key")
@@ -176,9 +178,10 @@ def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_md5, root) of every row: rows share a root where a chain of similarities of percent / 100 or more links their texts."""
     stage = Stage(docs.sparkSession, "jaccard")
-    signed = stage.write(signatures(docs, words=words, id_col=id_col, text_col=text_col))
-    nodes = stage.write(signed.groupBy("node").agg(F.min(F.struct(id_col, "text_md5")).alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")))
+    signed = stage.write(signatures(docs, words=words, id_col=id_col, text_col=text_col, fingerprints=True))
+    nodes = stage.write(signed.groupBy("node").agg(F.min(F.struct(id_col, "text_md5")).alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")))
     keyed = nodes.where(F.size("keys") > 0).drop("n")
-    roots = components(links(keyed, docs, stage, words=words, percent=percent, id_col=id_col, text_col=text_col), stage).withColumnRenamed("root", "_root")
+    found = simhash.candidates(keyed.select("node", "fp"), stage)
+    roots = components(links(keyed, docs, stage, words=words, percent=percent, id_col=id_col, text_col=text_col, found=found), stage).withColumnRenamed("root", "_root")
     copies = hot_keys(nodes, "node", signed.count())
-    return split_join(signed.drop("keys"), roots, "node", copies, F.monotonically_increasing_id(), "left").select(id_col, "text_md5", F.coalesce("_root", "node").alias("root"))
+    return split_join(signed.drop("keys", "fp"), roots, "node", copies, F.monotonically_increasing_id(), "left").select(id_col, "text_md5", F.coalesce("_root", "node").alias("root"))

@@ -36,21 +36,30 @@ _WIDTHS = [13, 13, 13, 13, 12]
 _SHIFTS = [51, 38, 25, 12, 0]
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The 64-bit majority of the shingles' hashes."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The hashes of the text's shingles, repeats included."""
     tokens = (text or "").encode().translate(_LOWER).split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(tokens) - words + 1)
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that more than half of the hashes have; 0 for none."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, n, 255 * 64):  # bounded memory on very long texts
+    for k in range(0, len(hashes), 255 * 64):  # bounded memory on very long texts
         bits = np.unpackbits(hashes[k : k + 255 * 64].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         ones += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n).view(">u8")[0])
+    return int(np.packbits(ones * 2 > len(hashes)).view(">u8")[0])
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """The 64-bit majority of the shingles' hashes."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, *, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,8 +206,24 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, id_col: str = "doc_id",
     return split_join(fps, named, "fp", copies, F.monotonically_increasing_id()).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def candidates(nodes: DataFrame, stage: Stage) -> DataFrame:
+    """(a, b): pairs of nodes, the lesser first, that the pigeonring search of their fingerprints links. nodes: (node, fp); those of one fingerprint
+    are paired with its least node."""
+    fps = stage.write(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
+    found = stage.write(links(fps.select("fp"), stage).select(F.col("a").alias("fp"), "b"))
+    firsts = fps.select("fp", "first")
+    named = split_join(found, firsts, "fp", hot_keys(found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "fp", found.count()), "b")
+    named = stage.write(named.select(F.col("first").alias("x"), F.col("b").alias("fp")))
+    both = split_join(named, firsts, "fp", hot_keys(named.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "fp", named.count()), "x")
+    same = split_join(nodes, firsts, "fp", hot_keys(fps, "fp", nodes.count()), "node").where("node <> first")
+    out = stage.write(both.select(F.least("x", "first").alias("a"), F.greatest("x", "first").alias("b")).unionByName(same.select(F.col("first").alias("a"), F.col("node").alias("b"))))
+    stage.drop(fps, found, named)
+    return out
+
+
 def similar_texts(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_md5, root): near-duplicates by a similarity of percent / 100 of whole shingle sets instead of a distance of fingerprints."""
+    """(id, text_md5, root): near-duplicates by SimHash whose links are confirmed at a similarity of percent / 100 of whole shingle sets; pairs of that
+    similarity whose fingerprints lie over DISTANCE bits apart are added."""
     from . import jaccard
 
     return jaccard.near_duplicates(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
