@@ -139,6 +139,15 @@ def test_modes_add_up_and_part_quick_from_slow():
     assert high.tolist() == [2] and low.tolist() == [5]
 
 
+def test_series_sifted_together_have_their_own_first_modes():
+    rng = np.random.default_rng(8)
+    series = [np.cumsum(rng.normal(0, 1, n)) for n in (90, 7, 1, 300, 2, 40)] + [np.ones(20), np.sin(np.arange(60)), np.round(np.cumsum(rng.normal(0, 1, 120)))]
+    modes = np.split(emd.first_modes(np.concatenate(series), [len(x) for x in series]), np.cumsum([len(x) for x in series])[:-1])
+    for x, mode in zip(series, modes, strict=True):
+        alone = emd.first_mode(x)
+        assert np.allclose(mode, np.zeros(len(x)) if alone is None else alone, atol=1e-9)
+
+
 def test_decompositions_by_name(spark):
     rng = np.random.default_rng(6)
     series = {1: (10 + np.cumsum(rng.normal(0, 1, 90))).tolist(), 2: [1.0, None, 2.0, 1.0], 3: np.sin(np.arange(60)).tolist()}
