@@ -396,6 +396,17 @@ def test_car_bootstrap_is_near_the_normal_p_value(spark):
         assert r.mean_car == pytest.approx(x.mean()) and r.p_value == pytest.approx(2 * NormalDist().cdf(-abs(z)), abs=0.05)
 
 
+def test_runs_of_other_lengths_are_learned_side_by_side_as_alone(spark, monkeypatch):
+    monkeypatch.setattr(engine, "RUNS", 3)
+    rng = np.random.default_rng(4)
+    rows = [(run, step, 1.0, *rng.normal(0, 0.05, 3).tolist()) for run, n in enumerate((5, 40, 1, 17, 40, 2, 9)) for step in range(1, n + 1)]
+    make = lambda some: spark.createDataFrame(some, "run long, step long, bias double, before double, x double, y double").coalesce(1)
+    whole = sorted(map(tuple, engine.linucb(make(rows[::-1]), ["x", "y"], ["bias", "before"]).collect()))
+    assert [r[:2] for r in whole] == [r[:2] for r in rows]
+    for run in (1, 3):
+        assert sorted(map(tuple, engine.linucb(make([r for r in rows if r[0] == run]), ["x", "y"], ["bias", "before"]).collect())) == [r for r in whole if r[0] == run]
+
+
 def test_policies(spark):
     rewards = [(run, step, 1.0, float(step % 2), 0.1 * step, -0.05 * step, 0.02) for run in (1, 2) for step in range(1, 30)]
     df = spark.createDataFrame(rewards, "run long, step long, bias double, before double, x double, y double, z double")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import asof_backward
 from ..workers import ship
 
+RUNS = 512
+
 
 def fixed_policy(rewards: DataFrame, arm: str) -> DataFrame:
     """The policy that always picks one arm: (run, step, arm, reward) of a reward table."""
@@ -26,22 +29,40 @@ def policy_returns(decisions: DataFrame, daily: DataFrame) -> DataFrame:
 
 def linucb(rewards: DataFrame, arms: list[str], context: list[str], *, alpha: float = 0.3, ridge: float = 1.0) -> DataFrame:
     """Disjoint LinUCB over a reward table (run, step, context columns, arms): the decision of a step knows earlier steps only. A run's steps
-    are learned in order by one task; runs go side by side."""
+    are learned in order by one task, up to RUNS runs of it side by side."""
     ship(rewards.sparkSession)
+    k = len(context)
+
+    def learn(x, r, starts, lengths):
+        """Picks of runs that lie end to end in the rows of x (context) and r (rewards of all arms)."""
+        picks, order = np.zeros(len(x), int), np.argsort(-lengths, kind="stable")
+        starts, going = starts[order], np.searchsorted(-lengths[order], -np.arange(lengths.max()))  # how many runs have a step i
+        a, b = np.tile(ridge * np.eye(k), (len(starts), len(arms), 1, 1)), np.zeros((len(starts), len(arms), k))
+        for i, m in enumerate(going):
+            at = starts[:m] + i
+            now = x[at]
+            solved = np.linalg.solve(a[:m], np.stack([b[:m], np.broadcast_to(now[:, None], (m, len(arms), k))], -1))
+            mean, spread = np.moveaxis((now[:, None, :, None] * solved).sum(2), -1, 0)
+            pick = picks[at] = (mean + alpha * np.sqrt(spread)).argmax(1)
+            own = np.arange(m)
+            a[own, pick] += now[:, :, None] * now[:, None, :]
+            b[own, pick] += r[at, pick][:, None] * now
+        return picks
+
+    def run(batches):
+        for whole in batches:
+            for j in range(0, whole.num_rows, RUNS):
+                some = whole.slice(j, RUNS)
+                rows = some.column(1).flatten()
+                lengths = np.diff(some.column(1).offsets.to_numpy())
+                x, r = (np.column_stack([rows.field(c).to_numpy(zero_copy_only=False) for c in names]) for names in (context, arms))
+                picks = learn(x, r, np.cumsum(lengths) - lengths, lengths)
+                out = [some.column(0).take(pa.array(np.repeat(np.arange(len(lengths)), lengths))), rows.field("step"), pa.array(np.array(arms, object)[picks], pa.string()), pa.array(r[np.arange(len(r)), picks])]
+                yield pa.RecordBatch.from_arrays(out, ["run", "step", "arm", "reward"])
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        k = len(context)
-        a, b, out = {x: ridge * np.eye(k) for x in arms}, {x: np.zeros(k) for x in arms}, []
-        for r in g.sort_values("step").to_dict("records"):
-            x = np.array([r[c] for c in context])
-            score = {m: float(np.linalg.solve(a[m], b[m]) @ x + alpha * np.sqrt(x @ np.linalg.solve(a[m], x))) for m in arms}
-            pick = max(arms, key=lambda m: score[m])
-            out.append((r["run"], r["step"], pick, r[pick]))
-            a[pick] += np.outer(x, x)
-            b[pick] += r[pick] * x
-        return pd.DataFrame(out, columns=["run", "step", "arm", "reward"])
-
-    return rewards.groupBy("run").applyInPandas(one, f"run {rewards.schema['run'].dataType.simpleString()}, step long, arm string, reward double")
+    each = F.struct(F.col("step").cast("long").alias("step"), *[F.col(c).cast("double").alias(c) for c in (*context, *arms)])
+    runs = rewards.groupBy("run").agg(F.sort_array(F.collect_list(each)).alias("rows"))  # a run's steps, which one task learns
+    return runs.mapInArrow(run, f"run {rewards.schema['run'].dataType.simpleString()}, step long, arm string, reward double")
 
 
 def thompson(moments: DataFrame, *, seed: int = 7) -> DataFrame:
