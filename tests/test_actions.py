@@ -108,3 +108,14 @@ def test_front_month_return_is_of_one_contract(spark):
     f = spark.createDataFrame(rows, "trade_date date, expiry date, settle double")
     got = [r.ret for r in actions.front_month(f).orderBy("trade_date").collect()]
     assert got[0] is None and got[1:] == [pytest.approx(0.01), pytest.approx(0.01)]
+
+
+def test_adjusted_panel_deals_bars_once_and_has_no_frame_to_the_end(spark):
+    """Bars cross one exchange, a union with actions a second; products run over growing frames, not over one made anew for each row."""
+    from tidemark.plans.actions import adjusted_panel
+    from tidemark.sources import views
+
+    sf = "/root/testdata/sf0.001"
+    assert "rowframe, 1, unboundedfollowing" not in adjusted_panel(spark, sf)._jdf.queryExecution().optimizedPlan().toString().lower()
+    returns = views.returns(views.bars(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert returns.count("Exchange") == 1 and returns.count("Sort [") == 1
