@@ -1,15 +1,18 @@
 """Sliding kernels, wavelets and mode decomposition against plain versions."""
 
 import math
+import re
 from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import emd, sliding, wavelet
 
 D0 = date(2020, 1, 1)
+SMALL = "/root/testdata/sf0.001"
 
 
 def frame(spark, series, column="close"):
@@ -195,3 +198,36 @@ def test_event_windows_slide_and_agree_with_brute_force(spark):
         at = days.index(r.knowable_date)
         assert abs(r.car - sum(want[r.symbol, d] for d in days[at + lo : at + hi + 1])) < 1e-9
     assert cars.count() == 2 * (139 + 120)
+
+
+def test_array_formulas_equal_the_column_expressions(spark):
+    """Over names shorter and longer than the windows, with missing and equal values, in batches shorter than a window."""
+    from tidemark.functions import dsl
+    from tidemark.operators import features
+    from tidemark.sources import views
+
+    rows = [(s, date(2020, 1, 1) + timedelta(i), None if (i * s) % 97 == 5 else 50.0 if s == 3 else 100.0 + (i * (5 + s)) % 31 + i * 0.1, 7.0 if s == 3 else 1e4 * s + i % 13) for s, n in ((1, 400), (2, 20), (3, 300), (4, 1)) for i in range(n)]
+    panel = spark.createDataFrame(rows, "symbol long, trade_date date, close double, traded_value double").withColumns({"high": F.col("close") + 1, "low": F.col("close") - 1})
+    panel = views.returns(panel)
+    names = list(features.formulas())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = sliding.evaluate(panel, lambda on: features.formulas(on=on) | dsl.arrays(dsl.SEEDS)(on)).orderBy("symbol", "trade_date").collect()
+        year = features.raw_features(panel, [f.name for f in features.REGISTRY]).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    made = features.library() | {n: dsl.compile_expression(s) for n, s in dsl.SEEDS.items()}
+    want = panel.withColumns(made).orderBy("symbol", "trade_date").collect()
+    assert len(got) == len(want) == 721 and year == sum(r.ret_252d is not None for r in want) > 0
+    for a, b in zip(got, want, strict=True):
+        for n in [*names, *dsl.SEEDS]:
+            assert (a[n] is None) == (b[n] is None) and (a[n] is None or a[n] == pytest.approx(b[n], rel=1e-9, abs=1e-9)), (n, a, b)
+
+
+def test_feature_frames_do_not_grow_with_the_window(spark):
+    """The feature library and the seeds have no frame of many rows that is added up anew for each row."""
+    from tidemark.plans import kernels
+    from tidemark.plans.factors import feature_library_zscored
+
+    for made in (feature_library_zscored(spark, SMALL), kernels.dsl_seed_features(spark, SMALL)):
+        assert not re.search(r"RowFrame, -\d\d", made._jdf.queryExecution().optimizedPlan().toString())

@@ -68,9 +68,8 @@ def _raw(*names):
     body = f"WITH f AS ({_LIBRARY}) SELECT symbol, trade_date, {', '.join(f'round(CAST({n} AS DOUBLE), 8) + 0.0 AS {n}' for n in names)} FROM f WHERE ret_252d IS NOT NULL"
 
     def run(spark, sf_dir):
-        made = features.library()
-        panel = views.returns(views.bars(spark, sf_dir)).withColumns({n: made[n] for n in {*names, "ret_252d"}})
-        return panel.where("ret_252d is not null").select("symbol", "trade_date", *[rounded(n, 8).alias(n) for n in names])
+        panel = views.returns(views.bars(spark, sf_dir))
+        return features.raw_features(panel, list(names)).select("symbol", "trade_date", *[rounded(n, 8).alias(n) for n in names])
 
     return body, run
 

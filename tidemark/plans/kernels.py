@@ -150,7 +150,7 @@ def _dsl_sql() -> str:
 @query(_dsl_sql())
 def dsl_seed_features(spark, sf_dir):
     b = views.bars(spark, sf_dir)
-    return b.select("symbol", "trade_date", *[rounded(dsl.compile_expression(s)).alias(n) for n, s in dsl.SEEDS.items()])
+    return sliding.evaluate(b, dsl.arrays(dsl.SEEDS)).select("symbol", "trade_date", *[rounded(n).alias(n) for n in dsl.SEEDS])
 
 
 TABLES["dsl_x"] = "SELECT symbol, trade_date, a / (b + 1e-6) AS x FROM (SELECT symbol, trade_date, CASE WHEN count(ret) OVER f = 21 THEN stddev_samp(ret) OVER f END AS a, CASE WHEN count(ret) OVER s = 63 THEN stddev_samp(ret) OVER s END AS b FROM rets WINDOW f AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), s AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) WHERE a IS NOT NULL AND b IS NOT NULL"
