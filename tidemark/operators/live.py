@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import average_rank, correlation, rolling, safe_div
+from ..functions.expr import rolling, safe_div
 from ..functions.temporal import asof_forward
+from ..workers import ship
+from .gram import correlations
 from .risk import days, so_far
 from .sliding import quantile as sliding_quantile
 from .sliding import slide
@@ -105,7 +109,19 @@ def action_rewards(paths: DataFrame, rows: int = 5) -> DataFrame:
 
 def screen(candidates: DataFrame, labels: DataFrame, *, min_names: int = 10) -> DataFrame:
     """Mean daily rank correlation with the label, its t and the days, by candidate (name, symbol, trade_date, x)."""
-    both = candidates.where("x is not null").join(labels.where("label is not null"), ["symbol", "trade_date"])
-    r = both.withColumns({"_a": average_rank("x", "name", "trade_date"), "_b": average_rank("label", "name", "trade_date")})
-    daily = r.groupBy("name", "trade_date").agg(F.count(F.lit(1)).alias("n"), correlation(F.col("_a"), F.col("_b")).alias("ic")).where(F.col("n") >= min_names)
+    return rank_correlations(candidates.join(labels, ["symbol", "trade_date"]), min_names=min_names)
+
+
+def rank_correlations(scored: DataFrame, *, min_names: int = 10) -> DataFrame:
+    """As screen, of candidates beside their labels (name, trade_date, x, label). A date's rows of a candidate, as many as the market has names, are
+    ranked together."""
+    ship(scored.sparkSession)
+
+    def daily_ic(rows: pa.Table) -> pa.Table:
+        x, label = (rows.column(c).to_numpy() for c in ("x", "label"))
+        ic = correlations(x[:, None], label[:, None])
+        return pa.Table.from_arrays([rows.column("name").slice(0, 1), rows.column("trade_date").slice(0, 1), pa.array([len(x)], pa.int64()), pa.array(ic, pa.float64(), mask=np.isnan(ic))], ["name", "trade_date", "n", "ic"])
+
+    both = scored.where("x is not null and label is not null").select("name", "trade_date", F.col("x").cast("double").alias("x"), F.col("label").cast("double").alias("label"))
+    daily = both.groupBy("name", "trade_date").applyInArrow(daily_ic, "name string, trade_date date, n long, ic double").where(F.col("n") >= min_names)
     return daily.groupBy("name").agg(F.count("ic").alias("days"), F.avg("ic").alias("mean_ic"), (F.avg("ic") / F.stddev_samp("ic") * F.sqrt(F.count("ic"))).alias("t"))
