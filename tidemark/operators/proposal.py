@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dsl
 from ..functions.expr import zscore
 from ..stages import Stage
-from . import validation
+from . import sliding, validation
 
 #: A name's pattern, the most characters of rationale and expression, and the longest lookback.
 NAME = r"^[a-z][a-z0-9_]{2,30}$"
@@ -70,12 +70,13 @@ def screen(panel: DataFrame, rows: DataFrame, calendar: DataFrame, folds: DataFr
         if bad:
             refused.append((p.name, "rejected", bad, None, None, None))
         else:
-            found[p.name] = dsl.compile_expression(p.expression)
+            found[p.name] = p.expression
     shape = "name string, status string, detail string, mean_ic double, t double, delta_ic double"
     out = spark.createDataFrame(refused, shape)
     if not found:
         return out
-    raw = panel.select("symbol", "trade_date", *[x.alias(n) for n, x in found.items()])
+    days = rows.select("trade_date").distinct()  # one row a session
+    raw = sliding.evaluate(panel, dsl.arrays(found)).join(F.broadcast(days), "trade_date", "left_semi")
     scored = raw.select("symbol", "trade_date", *[F.coalesce(zscore(n), F.lit(0.0)).alias(n) for n in found])
     both = Stage(spark, "screen").write(rows.join(scored, ["symbol", "trade_date"], "left").fillna(0.0, list(found)))
     done = validation.candidates(both, calendar, folds, library, list(found), min_names=min_names)
