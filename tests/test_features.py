@@ -205,3 +205,13 @@ def test_markets(spark):
     assert m.settlement_days == 1 and spark.range(1).select(m.cost("buy", F.lit(1e6), F.lit(1e8))).first()[0] == pytest.approx(1.8e-4)
     with pytest.raises(ValueError, match="no market"):
         market("moon")
+
+
+def test_labelled_days_equal_features_joined_with_labels(spark):
+    p = walk(spark, 5, 320)
+    days = p.where("day(trade_date) in (3, 11, 19)").select("trade_date").distinct()
+    names = ["ret_21d", "mom_12_1", "month_end"]
+    got = features.labelled(p, days, names)
+    want = features.build_features(p).join(features.forward_return_z(p).where("label is not null"), ["symbol", "trade_date"]).join(days, "trade_date", "left_semi").select(got.columns)
+    a, b = (x.orderBy("symbol", "trade_date").collect() for x in (got, want))
+    assert len(a) == len(b) > 0 and all(list(x)[:2] == list(y)[:2] and list(x)[2:] == pytest.approx(list(y)[2:], abs=1e-9) for x, y in zip(a, b, strict=True))
