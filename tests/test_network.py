@@ -150,3 +150,26 @@ def test_sweep_scores_each_kind_of_learner(spark):
     for learner, o in ((boost, boost.Options(trees=2, depth=2, bins=8, least_rows=5, rate=0.5)), (network, network.Options(hidden=4, epochs=10, rate=0.1))):
         got = validation.cpcv_learner(df, cal, "one", ["a", "b", "c"], learner, o, blocks=4, pick=1, gap=1, min_names=5).collect()
         assert [r.combo for r in sorted(got)] == [0, 1, 2, 3] and all(r.config == "one" and r.is_score > 0.3 and r.oos_score > 0.3 for r in got)
+
+
+def test_passes_read_blocks(spark):
+    """A pass hands on a few blocks with all values, not a row at a time."""
+    x, y, idx, df = made(spark, parts=2)
+    rows = df.select("idx", F.col("label").alias("y"), *[F.when(F.col("idx") != 3, F.col(c)).alias(f"x{i}") for i, c in enumerate("abc")])
+    blocks = network.packed(rows, 3).collect()
+    assert len(blocks) == 2
+    got = np.hstack([np.frombuffer(b.block).reshape(5, -1) for b in blocks])
+    want = np.vstack([idx, y, np.where(idx == 3, np.nan, x.T)])
+    order = lambda m: m[:, np.lexsort(m[:2])]
+    assert np.array_equal(order(got), order(want), equal_nan=True)
+
+
+@pytest.mark.parametrize("kind", ["gru", "lstm"])
+def test_recurrent_cells_take_any_size_and_slice(kind):
+    """Gradients of slices add up, also where gates are far out and a smaller slice follows a larger one."""
+    rng = np.random.default_rng(8)
+    o = network.Options(kind, hidden=4)
+    w, x, y = 40 * network.start(o, 5, 1), rng.normal(size=(50, 5)) * 100, rng.normal(size=50)
+    whole = network.gradient(w, x, y, o)
+    parts = sum(network.gradient(w, x[a:b], y[a:b], o) for a, b in ((0, 37), (37, 38), (38, 50)))
+    assert np.isfinite(whole).all() and np.allclose(whole, parts)
