@@ -90,3 +90,13 @@ def test_a_batch_may_be_applied_again(spark, tmp_path):
     before = files(tmp_path)
     store.append(spark.createDataFrame([], BARS), spark.createDataFrame([], ACTIONS))
     assert files(tmp_path) == before
+
+
+def test_periods_that_read_as_numbers_are_not_rewritten(spark, tmp_path):
+    """By year, whose partitions Spark reads as numbers: a late action that changes no price leaves every file."""
+    rows, actions = panel(5)
+    store = AdjustedStore(spark, str(tmp_path / "s"), buckets=2)
+    store.append(spark.createDataFrame(rows, BARS), spark.createDataFrame(actions, ACTIONS))
+    before = files(store.path)
+    store.append(spark.createDataFrame([], BARS), spark.createDataFrame([("B", DAYS[7], "Dividend")], ACTIONS))
+    assert files(store.path) == before

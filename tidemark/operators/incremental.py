@@ -7,7 +7,7 @@ session, and `versions` one row a batch. A batch touches
   new, or for which an action was waiting for a session that the batch brings. Their rows are adjusted anew from their own bars;
 - all other symbols with new bars: as nothing is adjusted after the last session, these rows are appended as they are.
 
-Of the rows adjusted anew only partitions with a row that differs are written, by dynamic overwrite, so all others keep their files. A batch that is
+Of the rows adjusted anew only partitions with a row that differs, which digests tell, are written, by dynamic overwrite, so all others keep their files. A batch that is
 applied again, or that was cut off between its writes, leaves the same store: rows are replaced by key, heads and version are written last.
 """
 
@@ -53,15 +53,19 @@ class AdjustedStore:
     def _dealt(self, df: DataFrame) -> DataFrame:
         return df.withColumns({"period": F.date_format("trade_date", self.period), "bucket": F.pmod(F.xxhash64("symbol"), F.lit(self.buckets)).cast("int")})
 
+    def _scaled(self, bars: DataFrame) -> DataFrame:
+        """Bars with the prices and the volume that their factor gives."""
+        by = F.col("cum_adj_factor")
+        return bars.select("*", *[(F.col(c) * by).alias(f"adj_{c}") for c in PRICES], (F.col("volume") / by).alias("adj_volume"))
+
     def _as_they_are(self, bars: DataFrame) -> DataFrame:
         """Bars after which nothing is adjusted."""
-        one = F.lit(1.0)
-        return bars.select("*", one.alias("cum_adj_factor"), *[(F.col(c) * one).alias(f"adj_{c}") for c in PRICES], (F.col("volume") / one).alias("adj_volume"))
+        return self._scaled(bars.withColumn("cum_adj_factor", F.lit(1.0)))
 
     def append(self, bars: DataFrame, actions: DataFrame) -> int:
         """Applies a batch of bars (one a symbol and date) and declared actions, and returns its version."""
         stage = Stage(self.spark, "incremental")
-        bars = stage.write(bars)
+        bars = stage.write(bars, compression="zstd")
         actions = stage.write(actions.select(*ACTION).dropDuplicates())
         stored, known, heads, log = map(self._table, ("adjusted", "actions", "heads", "versions"))
         panel = bars.columns
@@ -81,23 +85,25 @@ class AdjustedStore:
         if stored is not None:
             before = stored.select(*panel).join(anew, "symbol", "left_semi")
             own = before.join(bars.select(*KEY), KEY, "left_anti").unionByName(own)
-        again = stage.write(self._dealt(adjust(own, every.join(anew, "symbol", "left_semi"))))
-        plain = self._dealt(self._as_they_are(bars.join(anew, "symbol", "left_anti")))
+        adjusted = adjust(own, every.join(anew, "symbol", "left_semi"))
+        plain = bars.join(anew, "symbol", "left_anti")
         if stored is None:
-            changed, rows = again, again.unionByName(plain)
+            rows, parts = self._dealt(adjusted).unionByName(self._dealt(self._as_they_are(plain))), self._dealt(bars).select(*PART).distinct()
+            swapped = parts.count()
         else:
-            # of the rows made anew, those that the store holds as they are need no write
-            same = stored.join(anew, "symbol", "left_semi").select(*again.columns)
-            changed = again.select(F.struct(*again.columns).alias("r"), F.xxhash64(*again.columns).alias("h"), *KEY).join(same.select(F.xxhash64(*again.columns).alias("h"), *KEY), [*KEY, "h"], "left_anti").select("r.*")
-        parts = stage.write(changed.select(*PART).unionByName(plain.select(*PART)).distinct())
-        if stored is not None:
-            made = again.unionByName(plain).join(F.broadcast(parts), PART, "left_semi")  # at most periods x buckets rows
-            kept = self._in(stored, parts).join(made.select(*KEY), KEY, "left_anti")
-            rows = kept.select(*made.columns).unionByName(made)
-        swapped = parts.count()
-        rows = stage.write(rows.repartition(*PART))
+            again = self._dealt(self._scaled(stage.write(adjusted.select(*panel, "cum_adj_factor"), compression="zstd")))  # all else follows from these columns
+            added = self._dealt(self._as_they_are(plain))
+            # of the partitions of rows made anew, those that hold the same rows already need no write
+            same = self._dealt(stored.drop(*PART).join(anew, "symbol", "left_semi")).select(*again.columns)  # Spark may read a period as a number
+            both = _digests(again, 1).unionByName(_digests(same, -1)).groupBy(*PART).agg(F.sum("n").alias("n"), *[F.expr(f"bit_xor({c})").alias(c) for c in ("h1", "h2")])
+            parts = stage.write(both.where("n <> 0 or h1 <> 0 or h2 <> 0").select(*PART).unionByName(added.select(*PART)).distinct())
+            swapped = parts.count()
+            # a name made anew brings all its rows
+            kept = self._dealt(self._in(stored, parts).drop(*PART)).join(anew, "symbol", "left_anti").join(plain.select(*KEY), KEY, "left_anti")
+            rows = kept.select(*again.columns).unionByName(again.unionByName(added).join(F.broadcast(parts), PART, "left_semi"))  # at most periods x buckets rows
         if swapped:
-            rows.write.partitionBy(*PART).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.path}/adjusted")
+            # the files that are read go when the job is done; rows come dealt by symbol, so each task sorts its own by partition and none are exchanged
+            rows.write.partitionBy(*PART).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").mode("overwrite").parquet(f"{self.path}/adjusted")
         fresh.write.mode("append").parquet(f"{self.path}/actions")
 
         new_heads = ends.select("symbol", F.greatest("hi", F.coalesce("last_day", "hi")).alias("last_day"))
@@ -116,6 +122,13 @@ class AdjustedStore:
         return stored.where(name(F.col("period"), F.col("bucket")).isin([f"{r['period']}/{r['bucket']}" for r in found]))
 
 
+def _digests(rows: DataFrame, sign: int) -> DataFrame:
+    """(period, bucket, n, h1, h2): of each partition its rows' number, times sign, and two digests that do not depend on their order. Rows are unique by key, so
+    that none cancels another."""
+    hashed = rows.select(*PART, F.xxhash64(*rows.columns).alias("h1"), F.xxhash64(F.lit(1), *rows.columns).alias("h2"))
+    return hashed.groupBy(*PART).agg((F.count(F.lit(1)) * sign).alias("n"), F.expr("bit_xor(h1)").alias("h1"), F.expr("bit_xor(h2)").alias("h2"))
+
+
 def _unknown(actions: DataFrame, known: DataFrame) -> DataFrame:
     """Actions that the store doesn't hold yet."""
     key = F.struct(*ACTION)  # structs match with null fields too
