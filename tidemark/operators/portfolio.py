@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div
+from ..stages import Stage
 from ..workers import ship
 
 
@@ -157,7 +158,8 @@ def ledoit_wolf(returns: DataFrame) -> DataFrame:
     follows from sums over all pairs, which the products give."""
     t = returns.select("trade_date").distinct().agg(F.count(F.lit(1)).alias("t"))
     p = products(demeaned(returns).withColumn("w", F.lit(1.0))).join(F.broadcast(t))  # one row
-    s = p.select("a", "b", "t", (F.col("xy") / F.col("t")).alias("s"), (F.col("qq") / F.col("t")).alias("q"))
+    # written, as the shrinkage of all pairs goes back to each
+    s = Stage(returns.sparkSession, "pairs").write(p.select("a", "b", "t", (F.col("xy") / F.col("t")).alias("s"), (F.col("qq") / F.col("t")).alias("q")))
     twice, same = F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0), F.col("a") == F.col("b")
     total = s.agg(F.count_if(same).alias("p"), F.sum(F.when(same, F.col("s"))).alias("trace"), F.sum(twice * F.col("s") * F.col("s")).alias("ss"), F.sum(twice * F.col("q")).alias("qs"), F.first("t").alias("_t"))
     mu = F.col("trace") / F.col("p")

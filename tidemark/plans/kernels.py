@@ -70,7 +70,7 @@ def book_names(spark, sf_dir):
     """All returns of the names that were ever in the point-in-time universe."""
     panel = backtests.scaled(spark, sf_dir)
     names = universe.pit_universe(panel, **SCALED).where("in_universe").select("symbol").distinct()
-    return panel.where("ret is not null").select("symbol", "trade_date", "ret").join(names, "symbol", "left_semi")
+    return Stage(spark, "book-names").write(panel.where("ret is not null").select("symbol", "trade_date", "ret").join(names, "symbol", "left_semi"))  # read several times
 
 
 @query("SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, round(covar_pop(a.ret, b.ret), 8) + 0.0 AS cov FROM book_names a JOIN book_names b ON a.trade_date = b.trade_date AND a.symbol <= b.symbol GROUP BY 1, 2")
