@@ -462,3 +462,10 @@ def test_stateless_stages(spark):
     sent = orders.where("client_order_id = 'a'")
     assert [r.client_order_id for r in risk.to_send(orders, sent).collect()] == ["c"]
     assert [r.client_order_id for r in risk.to_send(orders, sent.limit(0), killed=True).collect()] == ["c"]
+
+
+def test_covariances_read_the_names_returns_written(spark):
+    """The returns of the universe's names are a written table, which no step makes anew from the trades."""
+    from tidemark.plans.kernels import book_names
+
+    assert "lineitem" not in book_names(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
